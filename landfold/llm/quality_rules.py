@@ -1,6 +1,6 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each text gets counts; from them come five rates in parts per thousand (or hundredths of a code point). For each language
+Each text gets counts; from them come four rates in parts per thousand (or hundredths of a code point). For each language
 and source, and for each rate, a sketch counts the documents per bin, bins being exact below 64 and then 32 to each power of
 two (a relative error of 1/32 at most); sketches are rows, so they merge by adding counts. The upper threshold of a rate is
 its 75 % quantile plus FENCE times the distance between the 75 % and 25 % quantiles (at least a floor, so that a rate that
@@ -32,9 +32,8 @@ MIN_GROUP, FENCE = 200, 3
 RATES = {
     "word_length": ("word_chars", "n_words", 100, 150, "both"),
     "symbols": ("n_symbols", "word_chars", 1000, 30, "above"),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 150, "above"),
-    "repeats": ("n_repeat_words", "n_words", 1000, 100, "above"),
-    "line_words": ("n_words", "n_lines", 10, 300, "above"),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 400, "above"),
+    "repeats": ("n_repeat_words", "n_words", 1000, 250, "above"),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 _POWERS = np.random.default_rng(42).integers(1 << 62, size=REPEAT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
