@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "exact_dedup", "simhash", "chat", "bpe", "quality_rules", "sharding", "token_files")
+MODULES = ("mixing", "exact_dedup", "simhash", "pii", "quality_model", "chat", "bpe", "quality_rules", "sharding", "token_files")
 
 
 def queries() -> dict:
