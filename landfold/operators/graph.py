@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landfold.operators.cells import CELL
@@ -35,22 +36,25 @@ def with_roots(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
 
 
-def label_cells(cells: DataFrame, keys: list[str], chunk: int = 64) -> DataFrame:
+def label_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """4-connected components of cells: adds `label`, the least id of a component's cells, ids counting in row-major order.
 
-    Two steps: within a chunk, runs of a row and their contacts are edges, as everywhere else; edges come from equi-joins
-    with the neighbour to the right and below, so that no task holds more than its share of cells.
+    Runs of neighbours in a row are the nodes; edges come from an equi-join of cells with those below, so that a component
+    of any size is spread over tasks and the iteration sees runs instead of cells.
     """
-    ident = F.col("cy") * (1 << 31) + F.col("cx")
-    rows = staged(cells.select(*keys, *CELL).distinct().withColumn("_set", F.abs(F.xxhash64(*[F.lit(0)], *keys)) if keys else F.lit(0)).withColumn("_id", ident), "cells")
-    names = rows.select(*keys, *CELL, F.xxhash64("_set", "_id").alias("_node"), "_id")
-    edges = []
-    for dx, dy in ((1, 0), (0, 1)):
-        moved = names.select(*keys, (F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), F.col("_node").alias("b"))
-        edges.append(names.join(moved, [*keys, *CELL]).select(F.col("_node").alias("a"), "b"))
-    rooted = staged(with_roots(names, "_node", edges[0].unionByName(edges[1])), "labelled-cells")
-    least = rooted.groupBy("root").agg(F.min("_id").alias("label"))
-    return rooted.join(least, "root").select(*keys, *CELL, "label")
+    rows = cells.select(*keys, *CELL).distinct()
+    row = W.partitionBy(*keys, "cy")
+    runs = rows.withColumn("_run", F.col("cx") - F.row_number().over(row.orderBy("cx")))
+    ident = F.min("cx").over(W.partitionBy(*keys, "cy", "_run")) + F.col("cy") * (1 << 31)
+    runs = runs.withColumn("_first", ident)
+    named = staged(runs.select(*keys, *CELL, "_first", F.xxhash64(F.lit(0), *keys, "_first").alias("_node")), "cell-runs")
+    below = named.select(*keys, "cx", (F.col("cy") - 1).alias("cy"), F.col("_node").alias("b"))
+    edges = named.join(below, [*keys, *CELL]).select(F.col("_node").alias("a"), "b").distinct()
+    nodes = named.groupBy("_node").agg(F.min("_first").alias("_first"))
+    rooted = staged(with_roots(nodes, "_node", edges), "run-roots")
+    least = rooted.groupBy("root").agg(F.min("_first").alias("label"))
+    labels = rooted.join(least, "root").select("_node", "label")
+    return named.join(labels, "_node").select(*keys, *CELL, "label")
 
 
 def close_pairs(boxes: DataFrame, node: str, keys: list[str], gap: float) -> DataFrame:
