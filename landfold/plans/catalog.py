@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("grid", "metrics", "growth", "raster")
+MODULES: tuple[str, ...] = ("grid", "metrics", "growth", "raster", "timeline")
 FLAGSHIP = "slice_project_growth"
 
 
