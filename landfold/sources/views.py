@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[str, str | None]] = {
                    "SELECT doc_id AS artifact_id, doc_id % 97 AS request, concat(source, '/', lang, '/', CAST(doc_id AS {s}), CASE doc_id % 5 WHEN 0 THEN '.geojson' WHEN 1 THEN '.tif' WHEN 2 THEN '.csv' WHEN 3 THEN '_preview.png' ELSE '.tmp' END) AS path, source, lang, n_chars AS size, sha256(text) AS sha, doc_id % 400 AS age_h FROM {documents}"),
     "v_reference": ("SELECT doc_id AS artifact_id, doc_id % 53 AS target, CASE WHEN toxic = 1 THEN 'pair_hash' WHEN quality = 1 THEN 'artifact_path' ELSE 'metadata' END AS reason FROM {labels}", None),
     "v_client_event": ("SELECT event_id, ts AS received_at, concat(event_type, '.loaded') AS event, user_id AS project, props AS payload FROM {events}", None),
-    "v_road": ("SELECT n_nationkey AS road, CASE WHEN n_nationkey % 2 = 0 THEN 'h' ELSE 'v' END AS way, n_nationkey * 160 + 5 AS at FROM {nation}", None),
+    "v_road": ("SELECT n_nationkey AS road, CASE WHEN n_nationkey % 2 = 0 THEN 'h' ELSE 'v' END AS way, n_nationkey * 160 + 5 AS at FROM {nation}", "SELECT n_nationkey AS road, CASE WHEN n_nationkey % 2 = 0 THEN 'h' ELSE 'v' END AS way, n_nationkey * 160 + 5 AS \"at\" FROM {nation}"),
 }
 VIEWS["v_artifact"] = tuple(x.replace("{s}", k) for x, k in zip(VIEWS["v_artifact"], ("STRING", "VARCHAR"), strict=True))
 
