@@ -90,16 +90,18 @@ def leaf_quotas(leaves: DataFrame, mix: Mixture) -> DataFrame:
         above = level.select(*LEAF[:depth], F.col("quota").alias("budget"))
         level = tree.groupBy(*LEAF[: depth + 1]).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).join(above, LEAF[:depth])
         level = share(level.withColumn("weight", _weight(weights, LEAF[depth], mix.other)), LEAF[:depth], LEAF[depth])
-    return level.select(*LEAF, "tokens", "quota", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("part"))
+    return level.select(*LEAF, "quota", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("part"))
 
 
 def _order_key(seed: int) -> Column:
     """60 bits of a hash of seed, epoch and doc_id."""
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_lf_full").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
     return F.conv(F.substring(mixed, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def _by_leaf(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows joined to their leaf's line of a plan, whose columns get a prefix, as rows may have columns of any name."""
+    plan = plan.withColumnsRenamed({c: f"_lf_{c}" for c in plan.columns if not c.startswith("_lf_")})
     small = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     return rows.join(F.broadcast(plan) if small else plan.hint("merge"), LEAF)
 
@@ -113,14 +115,14 @@ def plan_mixture(docs: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     rows = staged(_with_leaf(docs, mix).select("doc_id", *LEAF, "_lf_tokens"), "mix-rows")
     leaves = rows.groupBy(*LEAF).agg(F.sum("_lf_tokens").alias("tokens"))
     plan = staged(leaf_quotas(leaves, mix), "mix-quotas")
-    partial = staged(_keyed(_by_leaf(rows, plan.where("part > 0")), mix).select(*LEAF, "_lf_bin", "_lf_hash", "_lf_id", "_lf_tokens", "part"), "mix-order")
-    bins = partial.groupBy(*LEAF, "_lf_bin").agg(F.sum("_lf_tokens").alias("n"), F.first("part").alias("part"))
+    partial = staged(_keyed(_by_leaf(rows, plan.where("part > 0")), mix).select(*LEAF, "_lf_bin", "_lf_hash", "_lf_id", "_lf_tokens", "_lf_part"), "mix-order")
+    bins = partial.groupBy(*LEAF, "_lf_bin").agg(F.sum("_lf_tokens").alias("n"), F.first("_lf_part").alias("part"))
     upto = F.sum("n").over(W.partitionBy(*LEAF).orderBy("_lf_bin"))  # at most 4,096 rows a leaf
     bins = bins.withColumn("base", upto - F.col("n"))
     edge = staged(bins.where((F.col("base") <= F.col("part")) & (F.col("base") + F.col("n") > F.col("part"))).select(*LEAF, "_lf_bin", "base"), "mix-edges")
     inside = partial.join(edge, [*LEAF, "_lf_bin"])
     running = F.sum("_lf_tokens").over(W.partitionBy(*LEAF).orderBy("_lf_hash", "_lf_id"))  # rows that tie count together
-    last = inside.withColumn("upto", F.col("base") + running).where("upto <= part").groupBy(*LEAF).agg(F.max(F.struct("_lf_hash", "_lf_id")).alias("last"))
+    last = inside.withColumn("upto", F.col("base") + running).where("upto <= _lf_part").groupBy(*LEAF).agg(F.max(F.struct("_lf_hash", "_lf_id")).alias("last"))
     cuts = plan.join(edge.drop("base"), LEAF, "left").join(last, LEAF, "left")
     cuts = cuts.select(*LEAF, "quota", "full", F.coalesce("last._lf_hash", F.shiftleft(F.col("_lf_bin").cast("bigint"), HASH_BITS - BIN_BITS) - 1, F.lit(-1)).alias("last_hash"), F.coalesce("last._lf_id", F.lit((1 << 63) - 1)).alias("last_id"))
     return rows, staged(cuts, "mix-cuts")
@@ -129,8 +131,9 @@ def plan_mixture(docs: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
 def with_copies(rows: DataFrame, cuts: DataFrame, mix: Mixture) -> DataFrame:
     """Adds _lf_copies, how often a row is in the mixture; rows have LEAF and doc_id."""
     placed = _keyed(_by_leaf(rows, cuts), mix)
-    inside = (F.col("_lf_hash") < F.col("last_hash")) | ((F.col("_lf_hash") == F.col("last_hash")) & (F.col("_lf_id") <= F.col("last_id")))
-    return placed.withColumn("_lf_copies", F.col("full") + inside.cast("bigint"))
+    last = F.struct(F.col("_lf_last_hash"), F.col("_lf_last_id"))
+    inside = F.struct(F.col("_lf_hash"), F.col("_lf_id")) <= last
+    return placed.withColumn("_lf_copies", F.col("_lf_full") + inside.cast("bigint"))
 
 
 def mix_documents(docs: DataFrame, mix: Mixture) -> DataFrame:
@@ -143,7 +146,7 @@ def mix_documents(docs: DataFrame, mix: Mixture) -> DataFrame:
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mixture()
     rows, cuts = plan_mixture(table(spark, sf_dir, "documents"), mix)
-    return with_copies(rows, cuts, mix).select("doc_id", F.col("_lf_domain").alias("domain"), F.col("_lf_lang").alias("lang"), F.col("_lf_source").alias("source"), F.col("_lf_tokens").alias("n_tokens"), F.col("quota").alias("leaf_quota"), F.col("_lf_copies").alias("copies"))
+    return with_copies(rows, cuts, mix).select("doc_id", F.col("_lf_domain").alias("domain"), F.col("_lf_lang").alias("lang"), F.col("_lf_source").alias("source"), F.col("_lf_tokens").alias("n_tokens"), F.col("_lf_quota").alias("leaf_quota"), F.col("_lf_copies").alias("copies"))
 
 
 def _share_sql(name: str, nodes: str, family: str, child: str) -> str:
