@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("grid", "metrics", "growth", "raster", "timeline", "records", "geometry", "values", "streams")
+MODULES: tuple[str, ...] = ("grid", "metrics", "growth", "raster", "timeline", "records", "geometry", "values", "files", "streams")
 FLAGSHIP = "slice_project_growth"
 
 

@@ -177,7 +177,7 @@ def join04(s):
     return met.groupBy("hole").agg(F.min("outer_id").alias("outer_id"))
 
 
-@R.add("agg_feature_area_choice", "SELECT feature_id, CASE WHEN feature_id % 3 = 0 THEN score WHEN feature_id % 3 = 1 THEN p ELSE CAST((maxx - minx) * (maxy - miny) AS DOUBLE) END AS area FROM v_feature")
+@R.add("fn55_feature_area", "SELECT feature_id, CASE WHEN feature_id % 3 = 0 THEN score WHEN feature_id % 3 = 1 THEN p ELSE CAST((maxx - minx) * (maxy - miny) AS DOUBLE) END AS area FROM v_feature")
 def fn55(s):
     """The first property that can be read as a number, else the geometry's area."""
     f = s.v_feature.withColumn("ring", G.box_ring("minx", "miny", "maxx", "maxy"))

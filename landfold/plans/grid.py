@@ -11,7 +11,6 @@ R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
 
 #: Points of the queries: degrees from order keys.
-POINT = "(o_orderkey * 37) % 3600 / 10.0 - 180 AS lon, (o_orderkey * 53) % 1600 / 10.0 - 80 AS lat, CAST(8 + o_orderkey % 8 AS INT) AS z"
 LONLAT = "(SELECT o_orderkey AS id, CAST((o_orderkey * 37) % 3600 AS DOUBLE) / 10 - 180 AS lon, CAST((o_orderkey * 53) % 1600 AS DOUBLE) / 10 - 80 AS lat, CAST(8 + o_orderkey % 8 AS INT) AS z FROM orders)"
 FRACTION = "(lon + 180) / 360 * pow(2.0, z) AS tx, (1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * pow(2.0, z) AS ty"
 
@@ -45,6 +44,18 @@ def fn03(s):
     return b.select("event_id", *[rounded(F.col(f"b.{k}"), 4).alias(k) for k in ("minx", "miny", "maxx", "maxy")])
 
 
+@R.add("fn04_tile_span", f"SELECT event_id, round({2 * G.HALF_SPAN} / pow(2.0, z), 4) AS span, round(x * {2 * G.HALF_SPAN} / pow(2.0, z) - {G.HALF_SPAN}, 4) AS minx FROM v_tile_check")
+def fn04(s):
+    b = G.tile_bounds_mercator("z", "x", "y")
+    return s.v_tile_check.select("event_id", rounded(b.maxx - b.minx, 4).alias("span"), rounded(b.minx, 4).alias("minx"))
+
+
+@R.add("fn06_scene_tile_count", "SELECT release, sum((x % 7 + 1) * (y % 5 + 1))::BIGINT AS tiles FROM v_tile_check GROUP BY release")
+def fn06(s):
+    span = F.struct(F.col("x").alias("x_min"), (F.col("x") + F.col("x") % 7).alias("x_max"), F.col("y").alias("y_min"), (F.col("y") + F.col("y") % 5).alias("y_max"))
+    return s.v_tile_check.withColumn("span", span).groupBy("release").agg(F.sum(G.tile_count(F.col("span"))).alias("tiles"))
+
+
 @R.add("fn05_tile_bounds_degrees", """SELECT event_id, round(x / n * 360 - 180, 6) AS minx, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / n)))), 6) AS miny, round((x + 1) / n * 360 - 180, 6) AS maxx, round(degrees(atan(sinh(pi() * (1 - 2 * y / n)))), 6) AS maxy
     FROM (SELECT *, pow(2.0, z) AS n FROM v_tile_check)""")
 def fn05(s):

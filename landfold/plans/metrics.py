@@ -283,7 +283,7 @@ def agg42(s):
     return s.v_artifact.withColumn("status", status).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.when(F.col("status") == "create", F.col("size")).otherwise(0)).alias("bytes_to_create"))
 
 
-@R.add("raster17_window_valid_stats", "SELECT raster, count(*) AS total, count(*) FILTER (WHERE p > 0.1) AS valid, count(*) FILTER (WHERE p <= 0.1) AS nodata, round(100.0 * count(*) FILTER (WHERE p > 0.1) / count(*), 5) AS coverage FROM v_pixel GROUP BY raster")
+@R.add("ras17_window_valid_stats", "SELECT raster, count(*) AS total, count(*) FILTER (WHERE p > 0.1) AS valid, count(*) FILTER (WHERE p <= 0.1) AS nodata, round(100.0 * count(*) FILTER (WHERE p > 0.1) / count(*), 5) AS coverage FROM v_pixel GROUP BY raster")
 def ras17(s):
     valid = F.count_if(F.col("p") > 0.1)
     return s.v_pixel.groupBy("raster").agg(F.count("*").alias("total"), valid.alias("valid"), (F.count("*") - valid).alias("nodata"), F.round(100.0 * valid / F.count("*"), 5).alias("coverage"))

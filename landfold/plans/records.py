@@ -412,7 +412,7 @@ def snk10(s):
     return C.upsert(old, new, ["run_id"], "v").select("run_id", "cost")
 
 
-@R.add("snk10_artifact_replace", "SELECT artifact_id, request FROM v_artifact WHERE request >= 20 OR path LIKE '%.tif' AND request < 20")
+@R.add("snk10_artifact_replace", "SELECT artifact_id, request FROM v_artifact WHERE request NOT IN (SELECT request FROM v_artifact WHERE request < 20 AND path LIKE '%.tif') OR path LIKE '%.tif' AND request < 20")
 def snk10_children(s):
     """A run's artifacts are deleted and inserted together."""
     new = s.v_artifact.where("request < 20 AND path LIKE '%.tif'").select("artifact_id", "request")
