@@ -1,13 +1,15 @@
-"""Small helpers that the text operators share: staged tables, text access, connected components."""
+"""Small helpers that the text operators share: tables, texts, paths."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landfold.sources.staging import shared_dir, staged
+
+__all__ = ["DOCUMENT_COLUMNS", "scratch", "shared_dir", "staged", "table", "text_of"]
 #: Columns of the documents table, in order; every pipeline stage but the last returns them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,52 +23,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="landfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/landfold/{name}-{uuid.uuid4().hex[:16]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor costs no more
-    than the tasks that it ran."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected edges (a, b), both bigint: rows (node, root), root the least node of each.
-
-    Alternates large-star and small-star steps; each round is one written table, and the rounds end when a round changes
-    nothing (in the order of log of the number of nodes). A node with very many edges is only ever reduced by a combined
-    minimum or split by the adaptive skew join. Nodes without edges do not appear.
-    """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _fingerprint(now)
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = staged(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = staged(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        after = _fingerprint(now)
-        if after == seen:
-            break
-        seen = after
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landfold.llm.common import components, staged, table, text_of
+from landfold.llm.common import staged, table, text_of
+from landfold.operators.graph import components
 
 RADIUS = 3
 SHINGLE = 3
