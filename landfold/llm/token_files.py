@@ -2,8 +2,8 @@
 
 Documents are dealt into ranges of doc_id and sorted, each task encodes its range and writes one shard, an Arrow file in
 the random-access format whose record batches hold equal-length sequences (`input_ids`: fixed-size list of uint16 or
-uint32) and masks (`mask`: fixed-size list of uint8, 0 where the last sequence is padded). A sequence is a view of the
-mapped file, without a copy. Beside it lies an index file of the shard's documents (doc_id, start in the shard, n_tokens).
+uint32) and masks (`mask`: fixed-size list of uint8, a bit for each id, highest first, 0 where the last sequence is padded).
+A sequence and its mask are views of the mapped file, without a copy. Beside it lies an index file of the shard's documents (doc_id, start in the shard, n_tokens).
 
 Files get a name of their own for each attempt of a task, and only the manifest that the successful attempts return names
 files; what a lost or repeated attempt leaves behind is never read. Shards lie in the shared folder and are written and
@@ -86,8 +86,10 @@ class ShardWriter:
     """Fills sequences and writes them out a record batch at a time."""
 
     def __init__(self, sink, width: np.dtype, sequence: int = SEQUENCE, batch: int = BATCH):
+        if sequence % 8:
+            raise ValueError("a sequence has a multiple of 8 ids")
         self.kind = pa.from_numpy_dtype(width)
-        self.schema = pa.schema([("input_ids", pa.list_(self.kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema = pa.schema([("input_ids", pa.list_(self.kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence // 8))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.width, self.sequence, self.room, self.held, self.n = width, sequence, sequence * batch, bytearray(), 0
 
@@ -102,8 +104,8 @@ class ShardWriter:
     def _write(self, ids: np.ndarray) -> None:
         padded = -len(ids) % self.sequence
         values = pa.array(np.concatenate([ids, np.zeros(padded, self.width)]), self.kind)
-        mask = pa.array(np.concatenate([np.ones(len(ids), np.uint8), np.zeros(padded, np.uint8)]))
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.sequence) for x in (values, mask)]
+        mask = pa.array(np.packbits(np.concatenate([np.ones(len(ids), bool), np.zeros(padded, bool)])))
+        lists = [pa.FixedSizeListArray.from_arrays(x, n) for x, n in ((values, self.sequence), (mask, self.sequence // 8))]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -130,11 +132,11 @@ class ShardReader:
             if len(self.batches) > 64:
                 self.batches = {}
             batch = self.file.get_batch(k)
-            self.batches[k] = tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.sequence) for c in ("input_ids", "mask"))
+            self.batches[k] = tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True).reshape(batch.num_rows, -1) for c in ("input_ids", "mask"))
         return self.batches[k]
 
     def example(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sequence n and its mask, as views."""
+        """Sequence n and its mask, a bit for each id, as views."""
         ids, mask = self._batch(n // self.per_batch)
         return ids[n % self.per_batch], mask[n % self.per_batch]
 
