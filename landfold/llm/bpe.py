@@ -31,8 +31,8 @@ VOCABULARY = "word_bpe_49k.json"
 END = "Ā"
 #: White space of str.split() that the library's \s doesn't know; texts with it are split by a pattern.
 ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: A worker forgets the words that it has seen once it holds so many.
-CACHE_WORDS = 400_000
+#: What a worker remembers of words that it has seen: up to twice so many, the older half forgotten at once.
+CACHE_WORDS = 250_000
 NEVER = np.int64(1 << 62)
 
 
@@ -49,6 +49,45 @@ def _byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in plain} | {chr(256 + k): chr(b) for k, b in enumerate(other)}
 
 
+class Memory:
+    """Values by key in two generations: a full one becomes the older one, and what is asked for again moves up."""
+
+    def __init__(self, size: int = CACHE_WORDS):
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of keys that aren't known; all others are in `now` after this."""
+        if len(self.now) > self.size:
+            self.before, self.now = self.now, {}
+        new = keys - self.now.keys()
+        again = new & self.before.keys()
+        for k in again:
+            self.now[k] = self.before[k]
+        return new - again
+
+
+def word_splitter() -> Callable[[str], list[str]]:
+    """A piece without white space to its words, as the vocabulary's normaliser and splitter leave them."""
+    import regex
+
+    words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+
+    def split(piece: str) -> list[str]:
+        if piece.isascii():  # most pieces: a word, perhaps with one sign after it
+            if piece.isalpha():
+                return [piece.lower()]
+            if piece[:-1].isalpha() and not piece[-1].isdigit():
+                return [piece[:-1].lower(), piece[-1]]
+        else:
+            if not unicodedata.is_normalized("NFC", piece):
+                piece = unicodedata.normalize("NFC", piece)
+            # lower() would write a final sigma by its place; the library lowers each character alone
+            piece = piece.replace("Σ", "σ")
+        return words_of(piece.lower())
+
+    return split
+
+
 class Codec:
     """One vocabulary. encode_chunks() takes pieces of text without white space."""
 
@@ -107,11 +146,10 @@ class Codec:
             if reached[i]:
                 self.finder.add_word(t, i)
         self.finder.make_automaton()
-        self.words_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.words_of = word_splitter()
         self.blanks = regex.compile(r"\s+").split
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Memory(), Memory()
 
     def text_of(self, i: int, vocab: dict, plain: Callable) -> str:
         if not hasattr(self, "_texts"):
@@ -209,7 +247,7 @@ class Codec:
                 ranks[there, k] = np.where(b >= 0, self.merge_rank(a, b), NEVER)
 
     def encode_words(self, words: list[str]) -> None:
-        """Puts the ids of distinct words into self.words."""
+        """Remembers the ids of distinct words."""
         plain = [w.encode().decode("latin-1") + END for w in words]
         found = list(self.finder.iter_long("".join(plain)))
         ends, ids = np.array(found, np.int64).reshape(-1, 2).T
@@ -225,29 +263,23 @@ class Codec:
         start = 0
         ids = ids.astype(self.width)
         for word, end in zip(words, stop.tolist(), strict=True):
-            self.words[word] = ids[start:end].tobytes()
+            self.words.now[word] = ids[start:end].tobytes()
             start = end
         again = np.flatnonzero(failing).tolist()
         for k, exact in zip(again, self.merged([plain[k] for k in again]), strict=True):
-            self.words[words[k]] = exact.tobytes()
+            self.words.now[words[k]] = exact.tobytes()
 
     def encode_chunks(self, chunks: set[str]) -> None:
-        """Puts the ids of new chunks into self.chunks."""
-        lists = {}
-        for c in chunks:
-            low = c if c.isascii() or unicodedata.is_normalized("NFC", c) else unicodedata.normalize("NFC", c)
-            # lower() would write a final sigma by its place; the library lowers each character alone
-            lists[c] = self.words_of(low.replace("Σ", "σ").lower())
-        new = list({w for ws in lists.values() for w in ws} - self.words.keys())
+        """Remembers the ids of new chunks."""
+        lists = {c: self.words_of(c) for c in chunks}
+        new = list(self.words.missing({w for ws in lists.values() for w in ws}))
         if new:
             self.encode_words(new)
         for c, ws in lists.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
+            self.chunks.now[c] = b"".join([self.words.now[w] for w in ws])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of self.width."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks, self.words = {}, {}
         split = []
         for text in texts:
             pieces: list[str | int] = [text]
@@ -258,10 +290,10 @@ class Codec:
                     at = m.end()
                 pieces.append(text[at:])
             split.append([p if isinstance(p, int) else [c for c in self.blanks(p) if c] if any(b in p for b in ODD_BLANKS) else p.split() for p in pieces])
-        new = {c for pieces in split for p in pieces if not isinstance(p, int) for c in p if c not in self.chunks}
+        new = self.chunks.missing(set().union(*(p for pieces in split for p in pieces if not isinstance(p, int))))
         if new:
             self.encode_chunks(new)
-        look = self.chunks.__getitem__
+        look = self.chunks.now.__getitem__
         return [b"".join([self.width.type(p).tobytes() if isinstance(p, int) else b"".join(map(look, p)) for p in pieces]) for pieces in split]
 
     def decode(self, ids: np.ndarray) -> bytes:

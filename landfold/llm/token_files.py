@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from landfold.llm.bpe import CACHE_WORDS, ODD_BLANKS, slices, vocabulary_path
+from landfold.llm.bpe import ODD_BLANKS, Memory, slices, vocabulary_path, word_splitter
 from landfold.llm.common import scratch, staged, table, text_of
 
 END_ID = 2
+CACHE_WORDS = 450_000
 SEQUENCE, BATCH = 2048, 128  # ids in a sequence, sequences in a record batch
 MANIFEST = "shard int, tokens_path string, index_path string, n_documents bigint, n_tokens bigint"
 
@@ -43,10 +44,11 @@ def file_system(uri: str):
 
 
 class Encoder:
-    """The tokenizers library over pieces between white space, each distinct piece encoded once.
+    """The tokenizers library over words, each distinct word encoded once.
 
-    The vocabulary drops white space and cuts words at it before anything else, so that a text's ids are those of its
-    pieces in order; a text with a special token's string or an unusual blank goes to the library as a whole.
+    The vocabulary drops white space and cuts texts into words before anything else, so that a text's ids are those of its
+    words in order; many new words go to the library as one text. A text with a special token's string or an unusual blank
+    goes to it as a whole.
     """
 
     def __init__(self, path: str):
@@ -58,18 +60,29 @@ class Encoder:
         self.own.no_padding()
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
+        self.words_of = word_splitter()
+        self.pieces, self.words = Memory(CACHE_WORDS), Memory(CACHE_WORDS)
+
+    def encode_words(self, words: list[str]) -> None:
+        found = self.own.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(found.ids, self.width), np.array(found.word_ids)
+        data, size = ids.tobytes(), self.width.itemsize
+        ends = (np.searchsorted(of, np.arange(len(words)), side="right") * size).tolist()
+        start = 0
+        for word, end in zip(words, ends, strict=True):
+            self.words.now[word] = data[start:end]
+            start = end
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
         whole = [any(s in t for s in self.special) or any(b in t for b in ODD_BLANKS) for t in texts]
         split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        new = [*{p for ps in split for p in ps if p not in self.pieces}]
+        lists = {p: self.words_of(p) for p in self.pieces.missing(set().union(*split))}
+        new = [*self.words.missing({w for ws in lists.values() for w in ws})]
         if new:
-            for p, e in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.pieces[p] = np.array(e.ids, self.width).tobytes()
-        look = self.pieces.__getitem__
+            self.encode_words(new)
+        for p, ws in lists.items():
+            self.pieces.now[p] = b"".join([self.words.now[w] for w in ws])
+        look = self.pieces.now.__getitem__
         return [np.array(self.own.encode(t, add_special_tokens=False).ids, self.width).tobytes() if w else b"".join(map(look, ps)) for t, w, ps in zip(texts, whole, split, strict=True)]
 
 
