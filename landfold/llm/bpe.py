@@ -32,7 +32,7 @@ END = "Ā"
 #: White space of str.split() that the library's \s doesn't know; texts with it are split by a pattern.
 ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: What a worker remembers of words that it has seen: up to twice so many, the older half forgotten at once.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 NEVER = np.int64(1 << 62)
 
 
