@@ -30,7 +30,7 @@ from landfold.llm.bpe import ODD_BLANKS, Memory, slices, vocabulary_path, word_s
 from landfold.llm.common import scratch, staged, table, text_of
 
 END_ID = 2
-CACHE_WORDS = 450_000
+CACHE_WORDS = 550_000
 SEQUENCE, BATCH = 2048, 128  # ids in a sequence, sequences in a record batch
 MANIFEST = "shard int, tokens_path string, index_path string, n_documents bigint, n_tokens bigint"
 
@@ -61,13 +61,18 @@ class Encoder:
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         self.width = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
         self.words_of = word_splitter()
+        suffix = self.own.model.end_of_word_suffix
+        self.ends_word = np.array([bool(suffix) and (self.own.id_to_token(i) or "").endswith(suffix) for i in range(self.own.get_vocab_size())])
         self.pieces, self.words = Memory(CACHE_WORDS), Memory(CACHE_WORDS)
 
     def encode_words(self, words: list[str]) -> None:
         found = self.own.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(found.ids, self.width), np.array(found.word_ids)
+        ids = np.array(found.ids, self.width)
         data, size = ids.tobytes(), self.width.itemsize
-        ends = (np.searchsorted(of, np.arange(len(words)), side="right") * size).tolist()
+        last = np.flatnonzero(self.ends_word[ids]) + 1  # a word's last token is one with a word end
+        if len(last) != len(words):
+            last = np.searchsorted(np.array(found.word_ids), np.arange(len(words)), side="right")
+        ends = (last * size).tolist()
         start = 0
         for word, end in zip(words, ends, strict=True):
             self.words.now[word] = data[start:end]
@@ -81,7 +86,7 @@ class Encoder:
         if new:
             self.encode_words(new)
         for p, ws in lists.items():
-            self.pieces.now[p] = b"".join([self.words.now[w] for w in ws])
+            self.pieces.now[p] = self.words.now[ws[0]] if len(ws) == 1 else b"".join([self.words.now[w] for w in ws])
         look = self.pieces.now.__getitem__
         return [np.array(self.own.encode(t, add_special_tokens=False).ids, self.width).tobytes() if w else b"".join(map(look, ps)) for t, w, ps in zip(texts, whole, split, strict=True)]
 
