@@ -15,7 +15,7 @@ majority; without labels every score is 0.5; rows that share a doc_id are each s
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +50,21 @@ class Features:
         self.word, self.shape = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
 
     def learn(self, words: set[str]) -> None:
+        """Makes all of words known; those of earlier calls are forgotten where there is no room for the new ones. What is
+        asked for together is known together, even where that alone passes the bound."""
         from xxhash import xxh64_intdigest
 
-        if len(self.known) + len(words) > CACHE_WORDS:
+        new = {w for w in words if w not in self.known}  # a difference with keys() would go through all of these
+        if new and len(self.known) + len(new) > CACHE_WORDS:
             self.clear()
+            new = words
         n = len(self.known)
         room = len(self.word)
-        while room < n + len(words):
+        while room < n + len(new):
             room *= 2
         if room > len(self.word):
             self.word, self.shape = np.resize(self.word, room), np.resize(self.shape, room)
-        for k, w in enumerate(words, n):
+        for k, w in enumerate(new, n):
             self.known[w] = k
             self.word[k] = xxh64_intdigest(w.lower(), 1)
             self.shape[k] = xxh64_intdigest(shape(w), 2)
@@ -76,15 +80,16 @@ class Features:
         return found
 
     def lists(self, texts: list[str]) -> list[list[str]]:
+        """The words of texts, all of them known until the next call."""
         split = [t.split() for t in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
-        if new:
-            before = self.known
-            self.learn(new)
-            if self.known is not before:  # it was cleared
-                self.learn({w for ws in split for w in ws} - new)
+        self.learn({w for ws in split for w in ws})
         return split
 
+    def each(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+        """places() of each text; only one text's words are in use at a time."""
+        for t in texts:
+            yield self.places(self.lists([t])[0])
+
 
 class Ftrl:
     """Per-coordinate updates; a weight is worked out from its sums when it is needed."""
@@ -116,8 +121,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features, model, rows = Features(), Ftrl(), []
     for batch in batches:
         for part, texts in slices(batch):
-            for words, label in zip(features.lists(texts), part.column("label").to_pylist(), strict=True):
-                at, value = sparse(features.places(words))
+            for families, label in zip(features.each(texts), part.column("label").to_pylist(), strict=True):
+                at, value = sparse(families)
                 rows.append((at.astype(np.int32), value.astype(np.float32), label))
     for _ in range(EPOCHS):
         for at, value, label in rows:
@@ -150,8 +155,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for batch in batches:
             for part, texts in slices(batch):
                 scores = []
-                for words in features.lists([t or "" for t in texts]):
-                    total = w[BIAS] + sum(w[f].sum() / len(f) for f in features.places(words) if len(f))
+                for families in features.each(t or "" for t in texts):
+                    total = w[BIAS] + sum(w[f].sum() / len(f) for f in families if len(f))
                     scores.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "_lf_score"])
 

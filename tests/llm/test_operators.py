@@ -271,6 +271,20 @@ def test_classifier_learns_and_ignores_held_out(spark):
     assert len(scores) == 482 and 0 < scores[900] < 1
 
 
+def test_classifier_with_more_words_than_the_memory(monkeypatch):
+    texts = ["one two three one", "four five six seven eight four", "", "one nine ten", "two six", "one two three one"]
+    roomy = quality_model.Features()
+    want = [roomy.places(words) for words in roomy.lists(texts)]
+    monkeypatch.setattr(quality_model, "CACHE_WORDS", 4)
+    small, whole = quality_model.Features(), quality_model.Features()
+    together = [whole.places(words) for words in whole.lists(texts)]  # a slice over the bound
+    got = list(small.each(texts))
+    assert all((a == b).all() for found in (got, together) for x, y in zip(found, want, strict=True) for a, b in zip(x, y, strict=True))
+    assert len(small.known) <= 4
+    again = whole.lists(["eleven twelve", "one"])  # another slice after the one over the bound
+    assert [len(whole.places(w)[0]) for w in again] == [2, 1] and len(whole.known) == 3
+
+
 def test_classifier_scores_by_brute_force(docs, rows):
     rng = np.random.default_rng(0)
     weights = rng.normal(size=quality_model.PLACES).astype(np.float32)
