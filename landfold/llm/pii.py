@@ -6,8 +6,9 @@ values become equal pseudonyms in all documents, and whoever has the key can und
 each letter and digit is replaced by one of its class, the last label of the host stays.
 
 Kinds and checks: card (13 to 19 digits, check digit), iban (check digits), ssn (no reserved group), date (a day of the
-calendar), ip (four numbers up to 255), phone (with + and 8 to 15 digits, or ten digits in North American groups), email.
-Other numbers stay.
+calendar; the month may come first where the day is above 12), ip (four numbers up to 255), phone (with + and 8 to 15
+digits, or ten digits in North American groups), email. Other numbers stay. What fails its check is tried again without its last groups, as each other kind that can begin there,
+and then from its next group on, so that a number beside a card or a word after an IBAN doesn't hide these.
 
 Defined results: a null text counts as empty; rows that share a doc_id are each returned; an empty table gives no rows. A
 permutation may map a value to itself, as often as chance has it (1 in 73,049 dates, 1 in 10^12 cards or fewer).
@@ -32,20 +33,23 @@ KINDS = ("email", "card", "iban", "ssn", "date", "ip", "phone")
 #: The key of the registered query; callers give their own.
 DEMO_KEY = b"landfold demonstration key"
 ROUNDS = 8
+LETTERS = 64
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 _WORTH = re.compile(r"[\d@]")
-_FOUND = re.compile(
-    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ymd>(?<![\w.-])\d{4}([-/.])\d{2}\3\d{2}(?![\w-]))"
-    r"|(?P<dmy>(?<![\w.-])\d{1,2}([-/.])\d{1,2}\5\d{4}(?![\w-]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
-    re.A,
-)
-_LOCAL = re.compile(r"[\w.+-]+\Z")
+_PATTERNS = {
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ymd": r"(?<![\w.-])\d{4}(?P<y>[-/.])\d{2}(?P=y)\d{2}(?![\w-])",
+    "dmy": r"(?<![\w.-])\d{1,2}(?P<d>[-/.])\d{1,2}(?P=d)\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
+}
+_ALONE = {kind: re.compile(p, re.A) for kind, p in _PATTERNS.items()}
+_FOUND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS.items()), re.A)
+_WORD = re.compile(r"\w+", re.A)
+_LOCAL_SIGNS = frozenset("_.+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CLASSES = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
 
@@ -96,7 +100,9 @@ def _permuted(digits: str, key: bytes, kind: str) -> str:
 
 def _lettered(text: str, key: bytes, kind: str) -> str:
     """Letters and digits as one number in mixed places, permuted; other characters stay. Letters beyond a-z have the
-    place of one of these."""
+    place of one of these. A text of over LETTERS characters goes in parts, as a round mixes 64 bytes at most."""
+    if len(text) > LETTERS:
+        return "".join(_lettered(text[k : k + LETTERS], key, kind) for k in range(0, len(text), LETTERS))
     places = []
     for c in text:
         if c.isalnum():
@@ -165,7 +171,12 @@ def _dmy(text: str, key: bytes) -> str | None:
     sign = next(c for c in text if not c.isdigit())
     day, month, year = text.split(sign)
     d = _day(year, month, day, key)
-    return d and f"{d.day:02d}{sign}{d.month:02d}{sign}{d.year}"
+    if d:
+        return f"{d.day:02d}{sign}{d.month:02d}{sign}{d.year}"
+    d = _day(year, day, month, key)  # month first: the day is above 12, and so is the new one, else the form couldn't be told
+    while d and d.day <= 12:
+        d = _day(str(d.year), str(d.month), str(d.day), key)
+    return d and f"{d.month:02d}{sign}{d.day:02d}{sign}{d.year}"
 
 
 def _ip(text: str, key: bytes) -> str | None:
@@ -187,6 +198,36 @@ def _phone(text: str, key: bytes) -> str | None:
 _BY_KIND = {"card": ("card", _card), "iban": ("iban", _iban), "ssn": ("ssn", _ssn), "ymd": ("date", _ymd), "dmy": ("date", _dmy), "ip": ("ip", _ip), "phone": ("phone", _phone)}
 
 
+def _shorter(text: str, start: int, limit: int, failed: str, key: bytes) -> tuple[int, str, str] | None:
+    """Where the match of kind `failed` from start has failed its check: the first kind that passes there as a whole or
+    without its last groups, the longest first; its end, kind and pseudonym."""
+    for name, pattern in _ALONE.items():
+        m = pattern.match(text, start, limit)
+        if not m:
+            continue
+        kind, change = _BY_KIND[name]
+        for stop in reversed([w.end() for w in _WORD.finditer(text, start, m.end())]):
+            if (name != failed or stop != m.end()) and pattern.fullmatch(text, start, stop):
+                changed = change(text[start:stop], key)
+                if changed is not None:
+                    return stop, kind, changed
+    return None
+
+
+def _numbers(text: str, start: int, end: int, key: bytes) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of what isn't an e-mail address between start and end."""
+    while m := _FOUND.search(text, start, end):
+        kind, change = _BY_KIND[m.lastgroup]
+        found = m.end(), kind, change(m[0], key)
+        if found[2] is None:
+            found = _shorter(text, m.start(), end, m.lastgroup, key)
+        if found:
+            yield m.start(), *found
+            start = found[0]
+        else:  # on from its next group
+            start = _WORD.search(text, m.start()).end()
+
+
 def pseudonymised(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind it had."""
     counts = dict.fromkeys(KINDS, 0)
@@ -195,26 +236,24 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     spots: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
-        local, host = _LOCAL.search(text[max(0, at - 64) : at]), _HOST.match(text, at + 1)
-        if local and host and (not spots or spots[-1][1] <= at - len(local[0])):
-            labels, last = host[0].rsplit(".", 1)
-            spots.append((at - len(local[0]), host.end(), f"{_lettered(local[0], key, 'local')}@{_lettered(labels, key, 'host')}.{last}"))
-            counts["email"] += 1
+        host = _HOST.match(text, at + 1)
+        if host:
+            start, least = at, spots[-1][1] if spots else 0
+            while start > least and (text[start - 1].isalnum() or text[start - 1] in _LOCAL_SIGNS):
+                start -= 1
+            if start < at:
+                labels, last = host[0].rsplit(".", 1)
+                spots.append((start, host.end(), f"{_lettered(text[start:at], key, 'local')}@{_lettered(labels, key, 'host')}.{last}"))
+                counts["email"] += 1
         at = text.find("@", at + 1)
-    mails = list(spots)
-    k = 0
-    for m in _FOUND.finditer(text):
-        while k < len(mails) and mails[k][1] <= m.start():
-            k += 1
-        if k < len(mails) and mails[k][0] < m.end():
-            continue
-        kind, change = _BY_KIND[m.lastgroup]
-        changed = change(m[0], key)
-        if changed is not None:
+    done, numbers = 0, []
+    for start, end, _ in [*spots, (len(text), 0, "")]:
+        for a, b, kind, new in _numbers(text, done, start, key):
             counts[kind] += 1
-            spots.append((m.start(), m.end(), changed))
+            numbers.append((a, b, new))
+        done = end
     out, done = [], 0
-    for start, end, new in sorted(spots):
+    for start, end, new in sorted(spots + numbers):
         out += [text[done:start], new]
         done = end
     return "".join([*out, text[done:]]), counts

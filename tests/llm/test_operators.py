@@ -241,6 +241,42 @@ def test_unvalidated_numbers_stay():
         assert pii.pseudonymised(text, b"k") == (text, dict.fromkeys(pii.KINDS, 0))
 
 
+@pytest.mark.parametrize(
+    "text, private, kind",
+    [
+        ("pay 4111 1111 1111 1111 12/27 now", "4111 1111 1111 1111", "card"),
+        ("pay 4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+        ("no. 12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("4111 1111 1111 1111 5@x.com", "4111 1111 1111 1111", "card"),
+        ("ES91 2100 0418 4502 0005 1332 EUR", "ES91 2100 0418 4502 0005 1332", "iban"),
+        ("ES9121000418450200051332 BANK", "ES9121000418450200051332", "iban"),
+        ("born 03/25/1990.", "03/25/1990", "date"),
+    ],
+)
+def test_private_data_beside_other_things(text, private, kind):
+    out, found = pii.pseudonymised(text, b"k")
+    alone, _ = pii.pseudonymised(private, b"k")
+    assert found[kind] == 1 and alone != private
+    assert out.split("@")[0][:-1] == text.replace(private, alone).split("@")[0][:-1] if "@" in text else out == text.replace(private, alone)
+
+
+def test_month_first_dates_stay_so():
+    for day in range(13, 32):
+        out, _ = pii.pseudonymised(f"01/{day}/1990", b"k")
+        month, other, year = out.split("/")
+        assert 1 <= int(month) <= 12 < int(other) and len(year) == 4
+    assert pii.pseudonymised("02/30/1990", b"k")[0] == "02/30/1990"
+
+
+def test_long_local_parts_change_throughout():
+    local = "abcdefghij" * 60
+    out, found = pii.pseudonymised(f"to {local}@mail.example.com", b"k")
+    got = out[3 : 3 + len(local)]
+    assert found["email"] == 1 and out[3 + len(local)] == "@"
+    assert all(got[k : k + 20] != local[k : k + 20] for k in range(0, len(local), 20))
+    assert pii.pseudonymised("a@b.com+xyzxyz@c.org", b"k")[1]["email"] == 2
+
+
 @pytest.mark.parametrize("size", [2, 10, 73049, 10**15, 1 << 32, 36**20])
 def test_feistel_is_a_permutation(size):
     values = range(size) if size <= 10 else [0, 1, size // 3, size - 1]
