@@ -357,6 +357,6 @@ def fn32(s):
 def fn33(s):
     """Components bridged by a gap, their holes filled: cells of the complement that don't reach the border. A check: the
     envelope covers all that it was made of."""
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions' AND project % 8 = 0"), ["project"], 10)
+    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], 10)
     wide = C.close(cells, ["project"], 2)
     return X.filled(wide, ["project"]).groupBy("project").agg(F.count("*").alias("cells"))

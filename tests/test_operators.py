@@ -13,6 +13,7 @@ from landfold.functions import grid
 from landfold.functions import values as V
 from landfold.operators import cells as C
 from landfold.operators import graph, metrics, raster, records
+from landfold.sources.views import view
 from landfold.streaming import jobs
 
 
@@ -195,3 +196,26 @@ def test_json_stream_drops_broken_lines(spark, tmp_path):
     stream = jobs.json_stream(spark, f"file://{tmp_path}", "name string, value double")
     got = jobs.run(stream.groupBy("name").agg(F.count("*").alias("n")), "complete", "json").collect()
     assert [(r.name, r.n) for r in got] == [("x", 2)]
+
+
+def test_growth_envelope_of_every_project(spark):
+    from landfold.plans import values
+
+    sf_dir = "/root/testdata/sf0.001"
+    boxes = view(spark, sf_dir, "v_feature").where("layer = 'additions'").select("project", "minx", "miny", "maxx", "maxy").collect()
+    got = {r.project: r.cells for r in values.QUERIES["fn33_growth_envelope"](spark, sf_dir).collect()}
+    assert set(got) == {b.project for b in boxes}
+    offsets = [(x, y) for x in range(-2, 3) for y in range(-2, 3) if x * x + y * y <= 4]
+    for project in (0, 3, 21):
+        base = {(x, y) for b in boxes if b.project == project for x in range(b.minx // 10, b.maxx // 10) for y in range(b.miny // 10, b.maxy // 10)}
+        wide = {(x + i, y + j) for x, y in base for i, j in offsets}
+        shut = base | {(x, y) for x, y in wide if all((x + i, y + j) in wide for i, j in offsets)}
+        (x0, x1), (y0, y1) = ((min(v) - 1, max(v) + 1) for v in zip(*shut, strict=True))
+        seen, todo = {(x0, y0)}, [(x0, y0)]
+        while todo:
+            x, y = todo.pop()
+            near = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} - seen - shut
+            near = {(i, j) for i, j in near if x0 <= i <= x1 and y0 <= j <= y1}
+            seen |= near
+            todo += near
+        assert got[project] == (x1 - x0 + 1) * (y1 - y0 + 1) - len(seen)
