@@ -466,22 +466,81 @@ def test_text_counts(rows):
 
 
 def test_bins(spark):
-    values = [*range(200), 1000, 4095, 4096, 10**6, 10**12]
-    frame = spark.createDataFrame([(v,) for v in values], "_lf_v bigint").withColumn("_lf_b", quality_rules.bin_of(F.col("_lf_v"))).withColumn("s", quality_rules.bin_start(F.col("_lf_b")))
+    values = [*range(600), 1000, 4095, 4096, 10**6, 10**12]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint").withColumn("b", quality_rules.bin_of("v")).withColumn("s", quality_rules.bin_start("b"))
     for r in frame.collect():
-        assert r.s <= r._lf_v <= r.s * 33 / 32 + 0.01
-    assert [r._lf_b for r in frame.orderBy("_lf_v").collect()] == sorted(r._lf_b for r in frame.collect())
+        assert r.s == slow_bin(r.v) and r.s <= r.v <= r.s * 129 / 128 + 0.01
+    assert [r.b for r in frame.orderBy("v").collect()] == sorted(r.b for r in frame.collect())
+
+
+def slow_bin(v):
+    p = max(0, v.bit_length() - 8)
+    return v >> p << p
+
+
+def slow_rates(counted):
+    n, chars, symbols, dup, rep, lines = counted
+    return {"word_length": chars * 100 // n if n else 0, "symbols": symbols * 1000 // chars if chars else 0, "dup_lines": dup * 1000 // lines if lines else 0, "repeats": rep * 1000 // n if n else 0}
+
+
+def slow_limits(values, form):
+    """(low, high) of one rate's values, by sorting them."""
+    v = sorted(map(slow_bin, values))
+    at = lambda k: v[-(-len(v) * k // 1000) - 1]
+    reach = form[1] * (at(750) - at(250))
+    if form[0] == "fence":
+        return max(0, at(250) - reach), at(750) + reach
+    q = at(form[2])
+    return 0, max(at(750) + reach, q + sum(max(0, x - q) for x in v) * 1000 * form[3] // (len(v) * 4 * (1000 - form[2])))
+
+
+def slow_verdicts(rows):
+    """Per row: base_failed, kept; rows are (text, lang, source)."""
+    counted = [slow_counts(x) for x, *_ in rows]
+    failed = [c[0] < 20 or 100 * c[4] > 30 * c[0] for c in counted]
+    rates = [slow_rates(c) for c in counted]
+    groups = defaultdict(list)
+    for k, (_, lang, source) in enumerate(rows):
+        if not failed[k]:
+            for g in ((), (lang,), (lang, source)):
+                groups[g].append(k)
+    limits = {}
+    for name, spec in quality_rules.RATES.items():
+        for g in sorted(groups, key=len):
+            n, own = len(groups[g]), slow_limits([rates[k][name] for k in groups[g]], spec[3])
+            limits[g, name] = own if not g else tuple((n * a + 50 * b) // (n + 50) for a, b in zip(own, limits[g[:-1], name], strict=True))
+    return [(bad, not bad and all(limits[(lang, source), r][0] <= rates[k][r] <= limits[(lang, source), r][1] for r in rates[k])) for k, (bad, (_, lang, source)) in enumerate(zip(failed, rows, strict=True))], limits
 
 
 def test_rules_verdicts(clashing, empty, rows):
     got = quality_rules.judged(clashing).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
-        assert not (r.base_failed and r.kept)
+    want, _ = slow_verdicts([(t(x), lang, source) for _, x, lang, source, _ in rows])
+    assert Counter((r.doc_id, r.n_words, r.base_failed, r.kept) for r in got) == Counter((r[0], slow_counts(t(r[1]))[0], *v) for r, v in zip(rows, want, strict=True))
     assert quality_rules.judged(empty).count() == 0
 
 
+def test_limits_follow_their_group(spark):
+    """A group whose texts are full of signs has limits of its own; texts that stand out from a plain group go."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9)))
+    plain = lambda share: " ".join(word() + ("#$" if rng.random() < share else "") for _ in range(60))
+    rows = [(k, plain(0.0), "en", "prose") for k in range(400)] + [(1000 + k, plain(0.5), "en", "code") for k in range(400)]
+    rows += [(2000 + k, plain(0.5), "en", "prose") for k in range(8)] + [(3000 + k, plain(0.5), "de", "tiny") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {(r.lang_key, r.source_key): r for r in quality_rules.thresholds(quality_rules.counts(frame)).collect()}
+    assert found["=en", "=code"].high_symbols > 3 * found["=en", "=prose"].high_symbols
+    want, limits = slow_verdicts([r[1:] for r in rows])
+    for (lang, source), r in found.items():
+        for name in quality_rules.RATES:
+            assert limits[(lang[1:], source[1:]), name] == (r[f"low_{name}"], r[f"high_{name}"])
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(frame).collect()}
+    assert kept == {r[0]: v[1] for r, v in zip(rows, want, strict=True)}
+    assert not any(kept[2000 + k] for k in range(8))
+    assert sum(kept[k] for k in range(400)) > 390 and sum(kept[1000 + k] for k in range(400)) > 390
+
+
 # --- sharding
 
 
