@@ -1,95 +1,149 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash.
 
-A batch of documents is reduced to one row per SHA-256 digest (combined before the shuffle, so a text that makes up a
-third of all rows is no heavier than any other), compared with the index by a sort-merge anti-join that needs no exchange
-of the index, and what is new is appended to the index.
+Documents are reduced to one row per SHA-256 digest (combined before the shuffle, so a text that makes up a third of all
+rows is no heavier than any other), compared with the index by a sort-merge anti-join that needs no exchange of the index,
+and appended to it: what is new with its doc_id, what is known as a further count. A feed of documents goes in parts, by
+descending ranges of doc_id, so that of equal texts the row with the largest doc_id is met first and is the one that stays.
+
+A feed may be run again, after a failure or with other rows: what its earlier runs have appended doesn't count for it, and
+compact() removes that, merges counts, and leaves one sorted file to a bucket.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, a null doc_id being
-the smallest; of rows equal in text and doc_id one stays; a text that an earlier batch has put into the index stays
-nowhere in this batch and keeps the earlier doc_id as keep_id. Other columns play no part. An empty batch gives no rows.
+the smallest; of rows equal in text and doc_id one stays; a text that another feed has put into the index stays nowhere in
+this feed and keeps the earlier doc_id as keep_id; group_size counts all feeds. Texts are hashed whole, whatever their
+length. Other columns, of whatever name, play no part. An empty feed gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landfold.llm.common import staged, table, text_of
 
-INDEX_SCHEMA = "digest binary, keep_id bigint, batch string"
+INDEX_SCHEMA = "digest binary, keep_id bigint, n bigint, feed string, run string"
+#: Ranges of doc_id in which a feed is taken.
+PARTS = 2
 
 
 class DigestIndex:
-    """A managed Parquet table of (digest, keep_id, batch), bucketed and sorted by digest."""
+    """A managed Parquet table of (digest, keep_id, n, feed, run), bucketed and sorted by digest; all rows of a digest carry
+    the same keep_id, and n adds up to the number of its documents."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name = spark, name
         #: Each append writes one file for each bucket. The number is fixed when the table is made.
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not spark.catalog.tableExists(name):
-            self._write(spark.createDataFrame([], INDEX_SCHEMA))
+            self._write(spark.createDataFrame([], INDEX_SCHEMA), name)
 
-    def _write(self, rows: DataFrame) -> None:
-        dealt = rows.repartition(self.buckets, "digest")
-        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+    def _write(self, rows: DataFrame, name: str) -> None:
+        dealt = rows.select("digest", "keep_id", "n", "feed", "run").repartition(self.buckets, "digest")
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
-    def read(self, but_batch: str | None = None) -> DataFrame:
+    def read(self, feed: str | None = None, run: str | None = None) -> DataFrame:
+        """All rows, or those that count for a run of a feed: of other feeds, and its own."""
         rows = self.spark.table(self.name)
-        return rows if but_batch is None else rows.where(F.col("batch") != but_batch)
+        return rows if feed is None else rows.where((F.col("feed") != feed) | (F.col("run") == run))
 
     def append(self, rows: DataFrame) -> None:
-        self._write(rows.select("digest", "keep_id", "batch"))
+        self._write(rows, self.name)
 
+    def compact(self) -> None:
+        """One row for each digest and feed, of the feed's latest run, in one sorted file for each bucket."""
+        rows = self.read()
+        last = rows.groupBy("feed").agg(F.max("run").alias("run"))  # a row for each feed
+        live = rows.join(last, ["feed", "run"], "left_semi").groupBy("digest", "feed", "run").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        fresh = f"{self.name}_{uuid.uuid4().hex[:8]}"
+        self._write(live, fresh)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
 
-def digest_column(text: str = "text"):
-    return F.unhex(F.sha2(text_of(text).cast("binary"), 256))
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
-    """Adds a batch to the index; returns its groups (digest, keep_id, keep_row, group_size, is_new) and rows as `rows`.
-
-    Running the same batch id again gives the same result, as its own rows in the index do not count.
-    """
-    rows = staged(docs.select("doc_id", digest_column().alias("digest"), F.monotonically_increasing_id().alias("row_no")), "digests")
-    groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row_no")).alias("top"), F.count("*").alias("group_size"))
-    groups = staged(groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row_no").alias("keep_row"), "group_size"), "digest-groups")
-    earlier = index.read(but_batch=batch).select("digest", F.col("keep_id").alias("earlier_id"))
-    fresh = groups.join(earlier.hint("merge"), "digest", "left_anti").withColumn("is_new", F.lit(True))
-    known = groups.join(earlier.hint("merge"), "digest").withColumns({"keep_id": F.col("earlier_id"), "keep_row": F.lit(None).cast("bigint"), "is_new": F.lit(False)}).drop("earlier_id")
-    resolved = staged(fresh.unionByName(known), "digest-verdicts")
-    already = index.read().where(F.col("batch") == batch).select("digest")
-    index.append(resolved.where("is_new").join(already.hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch)))
-    # Both sides are exchanged here, so that the adaptive planner can split the rows of a very common digest.
-    return rows.join(resolved.hint("merge"), "digest")
+def digest_column(text: str = "text") -> Column:
+    return F.unhex(F.sha2(text_of(text).cast("binary"), 256))
 
 
-def verdicts(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+def _ranges(rows: DataFrame, parts: int) -> list[Column]:
+    """Conditions that deal doc_ids out into descending ranges of about equal size; nulls are in the last."""
+    shares = [k / parts for k in range(parts - 1, 0, -1)]
+    cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 1000)).first()[0] if shares else []
+    at, out, above = F.col("doc_id"), [], None
+    for cut in dict.fromkeys(cuts or []):
+        out.append((at >= cut) if above is None else (at >= cut) & (at < above))
+        above = cut
+    return [*out, F.lit(True) if above is None else at.isNull() | (at < above)]
+
+
+def dedup_feed(docs: DataFrame, index: DigestIndex, feed: str, parts: int = PARTS) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Adds a feed to the index. Returns its rows (doc_id, digest, row_no); of each new digest the row that stays (digest,
+    keep_row); and how many digests of each part the anti-join found new."""
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest_column().alias("digest"), F.monotonically_increasing_id().alias("row_no")), "digests")
+    stay, news = None, []
+    for own in _ranges(rows, parts):
+        groups = rows.where(own).groupBy("digest").agg(F.max(F.struct("doc_id", "row_no")).alias("top"), F.count("*").alias("n"))
+        groups = staged(groups.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row_no").alias("keep_row"), "n"), "digest-groups")
+        earlier = index.read(feed, run).groupBy("digest").agg(F.max("keep_id").alias("earlier_id"))  # no exchange: by bucket
+        fresh = groups.join(earlier.hint("merge"), "digest", "left_anti")
+        known = groups.join(earlier.hint("merge"), "digest").select("digest", F.col("earlier_id").alias("keep_id"), F.lit(None).cast("bigint").alias("keep_row"), "n")
+        verdict = staged(fresh.unionByName(known), "digest-verdicts")
+        index.append(verdict.withColumns({"feed": F.lit(feed), "run": F.lit(run)}))
+        new = verdict.where("keep_row IS NOT NULL").select("digest", "keep_row")
+        news.append(new.count())
+        stay = new if stay is None else stay.unionByName(new)
+    sizes = index.read(feed, run).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    return rows, staged(sizes.join(stay.hint("merge"), "digest", "left"), "digest-sizes"), news
+
+
+def verdicts(docs: DataFrame, index: DigestIndex, feed: str) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return dedup_batch(docs, index, batch).select(
+    rows, sizes, _ = dedup_feed(docs, index, feed)
+    # Both sides are exchanged here, so that the adaptive planner can split the rows of a very common digest.
+    return rows.join(sizes.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("row_no") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def new_index(spark: SparkSession) -> DigestIndex:
-    return DigestIndex(spark, f"landfold_digests_{uuid.uuid4().hex[:16]}")
-
-
-def keep_new(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+def keep_new(docs: DataFrame, index: DigestIndex, feed: str) -> DataFrame:
     """The rows of docs that stay, with all their columns. The text moves once, by digest and doc_id together, so that the
     copies of a common text spread out."""
-    stay = staged(dedup_batch(docs, index, batch).where(F.col("row_no") == F.col("keep_row")).select(F.col("digest").alias("_lf_digest"), F.coalesce("doc_id", F.lit(0)).alias("_lf_id"), F.col("doc_id").isNull().alias("_lf_null")), "kept-digests")
+    _, sizes, _ = dedup_feed(docs, index, feed)
+    stay = sizes.where("keep_row IS NOT NULL").select(F.col("digest").alias("_lf_digest"), F.coalesce("keep_id", F.lit(0)).alias("_lf_id"), F.col("keep_id").isNull().alias("_lf_null"))
     keys = ["_lf_digest", "_lf_id", "_lf_null"]
-    marked = docs.withColumns({"_lf_digest": digest_column(), "_lf_id": F.coalesce("doc_id", F.lit(0)), "_lf_null": F.col("doc_id").isNull()})
+    marked = docs.withColumns({"_lf_digest": digest_column(), "_lf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_lf_null": F.col("doc_id").isNull()})
     joined = marked.join(stay.hint("merge"), keys, "left_semi")
     # Rows alike in text and doc_id: one stays. The join has sorted by these keys already.
     return joined.withColumn("_lf_n", F.row_number().over(W.partitionBy(*keys).orderBy("_lf_id"))).where("_lf_n = 1").drop("_lf_n", *keys)
 
 
+def new_index(spark: SparkSession) -> DigestIndex:
+    return DigestIndex(spark, f"landfold_digests_{uuid.uuid4().hex[:16]}")
+
+
+def named_index(spark: SparkSession, purpose: str, sf_dir: str) -> DigestIndex:
+    """The lasting index of a purpose over a folder of tables. Without a metastore tables last as long as the application,
+    which is then part of the name, so that files of an earlier one don't stand in the way."""
+    name = f"landfold_digests_{purpose}_{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    if spark.conf.get("spark.sql.catalogImplementation") == "in-memory":
+        name += "_" + "".join(c if c.isalnum() else "_" for c in spark.conf.get("spark.app.id")).lower()
+    return DigestIndex(spark, name)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "documents"), new_index(spark), "documents")
+    """The index is this query's own; it goes once the result is written."""
+    index = new_index(spark)
+    found = staged(verdicts(table(spark, sf_dir, "documents"), index, "documents"), "exact-verdicts")
+    index.drop()
+    return found
 
 
 QUERIES: dict[str, Callable] = {"op2_exact_dedup": op2_exact_dedup}

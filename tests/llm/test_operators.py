@@ -39,15 +39,30 @@ def test_exact_dedup_verdicts(docs, rows, spark):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
-def test_exact_dedup_second_batch_and_repeated_batch(spark):
+def test_exact_dedup_goes_through_the_index(spark):
+    """The second part's texts that the first has put into the index are removed by the anti-join."""
+    rows = [(k, f"text {k % 7}") for k in range(100)] + [(k, f"low {k}") for k in range(3)]
+    index = exact_dedup.new_index(spark)
+    _, sizes, news = exact_dedup.dedup_feed(spark.createDataFrame(rows, "doc_id bigint, text string"), index, "f")
+    assert news == [7, 3]  # all seven texts of the upper half again in the lower one
+    assert Counter(r.group_size for r in sizes.collect()) == Counter({1: 3, 14: 5, 15: 2})
+    assert index.read().count() == 17 and index.read().where("keep_id >= 93").agg(F.sum("n")).first()[0] == 100
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_exact_dedup_second_feed_repeated_and_compacted(spark):
     index = exact_dedup.new_index(spark)
     first = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
     second = spark.createDataFrame([(9, "a"), (8, "c"), (7, "c")], "doc_id bigint, text string")
     exact_dedup.verdicts(first, index, "one").collect()
-    for _ in range(2):  # the same batch again gives the same
-        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.verdicts(second, index, "two").collect()}
-        assert got == {9: (2, False), 8: (8, True), 7: (8, False)}
-    assert index.read().count() == 3
+    for k in range(3):  # the same feed again gives the same
+        got = {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in exact_dedup.verdicts(second, index, "two").collect()}
+        assert got == {9: (2, False, 3), 8: (8, True, 2), 7: (8, False, 2)}
+        if k == 1:
+            index.compact()
+            assert sorted((r.keep_id, r.n, r.feed) for r in index.read().collect()) == [(2, 1, "two"), (2, 2, "one"), (3, 1, "one"), (8, 2, "two")]
+    index.drop()
 
 
 def test_keep_new(docs, clashing, empty, spark, rows):
