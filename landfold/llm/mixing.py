@@ -2,23 +2,26 @@
 
 A token budget goes down the tree. Among siblings each gets its share by weight, at most what lies below it (its tokens
 times the number of epochs); what one can't take goes to its siblings by weight, and only what a whole family can't take
-goes on to the family's own siblings, because a family's ceiling is the sum of its members'. The shares come in closed
-form from windows over one row per node, in whole numbers, so that nothing is lost to rounding.
+goes on to the family's own siblings, because a family's ceiling is the sum of its members', of those that have a weight.
+The shares come in closed form from windows over one row per node, in whole numbers, so that nothing is lost to rounding.
 
 A leaf with quota q and t tokens is read q div t times in full, and of the next epoch a prefix of q mod t tokens: the
 documents in the order of a hash of (seed, epoch, doc_id), as long as their running total stays within it. The cut is
-found from a histogram of the hash's high bits, then inside the one bin where it falls; no task sees a whole leaf, so a
-source with a third of all rows is no burden.
+found from histograms of the hash's bits, 64 bins of a leaf and then 64 of the one bin where it falls, and inside the last
+of these; no task sees a whole leaf, so a source with a third of all rows is no burden.
 
 Only DataFrame functions. Defined results: null lang or source count as 'unknown'; tokens are the text's UTF-8 bytes div 4
-plus 1 (null text: empty); rows that tie in hash and doc_id go in or stay out together; a weight of 0 or below gives nothing;
-an empty table gives no rows.
+plus 1, of the whole text (null text: empty); rows that tie in hash and doc_id, repeated rows among them, go in or stay out
+together; weights may be fractions, and one of 0 gives nothing (one below 0 is refused); columns of any name are handed on,
+as the operator's own begin with _lf_; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from landfold.llm.common import staged, table, text_of
 
 LEAF = ["_lf_domain", "_lf_lang", "_lf_source"]
-BIN_BITS, HASH_BITS = 12, 60
+LEVELS, LEVEL_BITS, HASH_BITS = 2, 6, 60
 #: A table of leaves is broadcast up to so many rows, of about 100 bytes each; beyond that it is joined by a shuffle that
 #: the adaptive planner can split.
 BROADCAST_LEAVES = 2000
@@ -36,22 +39,38 @@ WHOLE = "decimal(20,0)"
 
 @dataclass(frozen=True)
 class Mixture:
-    """Target weights by name; a name that isn't given has `other`."""
+    """Target weights by name, whole numbers or fractions; a name that isn't given has `other`."""
 
     domain: str = "CASE WHEN source IS NULL THEN 'unknown' WHEN length(source) <= 4 THEN 'web' ELSE 'curated' END"
     domains: dict = field(default_factory=lambda: {"web": 3, "curated": 2})
     langs: dict = field(default_factory=lambda: {"en": 4, "de": 2, "fr": 2, "es": 2})
     sources: dict = field(default_factory=dict)
-    other: int = 1
+    other: float = 1
     percent: int = 80  # of the corpus's tokens
     epochs: int = 3
     seed: int = 42
 
 
-def _weight(names: dict, column: str, other: int) -> Column:
-    known = F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v)]) if names else None
-    found = F.coalesce(F.element_at(known, F.col(column)), F.lit(other)) if names else F.lit(other)
-    return F.greatest(found, F.lit(0)).cast("bigint")
+def whole_weights(names: dict, other) -> tuple[dict, int]:
+    """Weights, in whole numbers of the same proportions."""
+    exact = {k: Fraction(str(v)) for k, v in [*names.items(), (None, other)]}
+    if min(exact.values()) < 0:
+        raise ValueError("a weight is 0 or more")
+    scale = math.lcm(*[v.denominator for v in exact.values()])
+    whole = {k: int(v * scale) for k, v in exact.items()}
+    shared = math.gcd(*whole.values()) or 1
+    whole = {k: v // shared for k, v in whole.items()}
+    if max(whole.values()) > 1_000_000_000:
+        raise ValueError("weights are too unlike or too finely graded")
+    return whole, whole.pop(None)
+
+
+def _weight(names: dict, column: str, other) -> Column:
+    known, rest = whole_weights(names, other)
+    found = F.lit(rest)
+    for name, weight in known.items():
+        found = F.when(F.col(column) == name, weight).otherwise(found)
+    return found.cast("bigint")
 
 
 def _with_leaf(docs: DataFrame, mix: Mixture) -> DataFrame:
@@ -82,14 +101,18 @@ def share(nodes: DataFrame, family: list[str], name: str) -> DataFrame:
 
 def leaf_quotas(leaves: DataFrame, mix: Mixture) -> DataFrame:
     """leaves: LEAF columns and tokens. Returns them with quota, full (whole epochs) and part (tokens of the next)."""
-    tree = leaves.withColumn("cap", F.col("tokens") * mix.epochs)
+    weights = dict(zip(LEAF, (mix.domains, mix.langs, mix.sources), strict=True))
     total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * mix.percent / 100).cast("bigint").alias("budget"))
-    level = tree.groupBy(LEAF[0]).agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(total))  # a single row
-    level = share(level.withColumn("weight", _weight(mix.domains, LEAF[0], mix.other)), [], LEAF[0])
-    for depth, weights in ((1, mix.langs), (2, mix.sources)):
-        above = level.select(*LEAF[:depth], F.col("quota").alias("budget"))
-        level = tree.groupBy(*LEAF[: depth + 1]).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).join(above, LEAF[:depth])
-        level = share(level.withColumn("weight", _weight(weights, LEAF[depth], mix.other)), LEAF[:depth], LEAF[depth])
+    # Ceilings bottom up: what has no weight can't take anything, and so adds nothing to its family's ceiling.
+    caps, below = {}, leaves.withColumn("cap", F.col("tokens") * mix.epochs)
+    for depth in (3, 2, 1):
+        level = below.withColumn("weight", _weight(weights[LEAF[depth - 1]], LEAF[depth - 1], mix.other))
+        caps[depth] = level.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
+        below = caps[depth].groupBy(*LEAF[: depth - 1]).agg(F.sum("cap").alias("cap"))
+    level = share(caps[1].crossJoin(F.broadcast(total)), [], LEAF[0])  # a single row
+    for depth in (2, 3):
+        above = level.select(*LEAF[: depth - 1], F.col("quota").alias("budget"))
+        level = share(caps[depth].join(above, LEAF[: depth - 1]), LEAF[: depth - 1], LEAF[depth - 1])
     return level.select(*LEAF, "quota", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("part"))
 
 
@@ -107,7 +130,7 @@ def _by_leaf(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, mix: Mixture) -> DataFrame:
-    return rows.withColumns({"_lf_hash": _order_key(mix.seed), "_lf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))}).withColumn("_lf_bin", F.shiftright("_lf_hash", HASH_BITS - BIN_BITS))
+    return rows.withColumns({"_lf_hash": _order_key(mix.seed), "_lf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))})
 
 
 def plan_mixture(docs: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
@@ -115,16 +138,19 @@ def plan_mixture(docs: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     rows = staged(_with_leaf(docs, mix).select("doc_id", *LEAF, "_lf_tokens"), "mix-rows")
     leaves = rows.groupBy(*LEAF).agg(F.sum("_lf_tokens").alias("tokens"))
     plan = staged(leaf_quotas(leaves, mix), "mix-quotas")
-    partial = staged(_keyed(_by_leaf(rows, plan.where("part > 0")), mix).select(*LEAF, "_lf_bin", "_lf_hash", "_lf_id", "_lf_tokens", "_lf_part"), "mix-order")
-    bins = partial.groupBy(*LEAF, "_lf_bin").agg(F.sum("_lf_tokens").alias("n"), F.first("_lf_part").alias("part"))
-    upto = F.sum("n").over(W.partitionBy(*LEAF).orderBy("_lf_bin"))  # at most 4,096 rows a leaf
-    bins = bins.withColumn("base", upto - F.col("n"))
-    edge = staged(bins.where((F.col("base") <= F.col("part")) & (F.col("base") + F.col("n") > F.col("part"))).select(*LEAF, "_lf_bin", "base"), "mix-edges")
-    inside = partial.join(edge, [*LEAF, "_lf_bin"])
+    partial = staged(_keyed(_by_leaf(rows, plan.where("part > 0")), mix).select(*LEAF, "_lf_hash", "_lf_id", "_lf_tokens", "_lf_part"), "mix-order")
+    inside, edge = partial.withColumn("base", F.lit(0).cast("bigint")), None
+    for level in range(1, LEVELS + 1):
+        binned = inside.withColumn("_lf_bin", F.shiftright("_lf_hash", HASH_BITS - level * LEVEL_BITS))
+        bins = binned.groupBy(*LEAF, "_lf_bin").agg(F.sum("_lf_tokens").alias("n"), F.first("_lf_part").alias("part"), F.first("base").alias("base"))
+        upto = F.col("base") + F.sum("n").over(W.partitionBy(*LEAF).orderBy("_lf_bin"))  # at most 64 rows a leaf
+        bins = bins.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("n"))
+        edge = staged(bins.where((F.col("base") <= F.col("part")) & (F.col("upto") > F.col("part"))).select(*LEAF, "_lf_bin", "base"), "mix-edges")
+        inside = binned.drop("base").join(edge, [*LEAF, "_lf_bin"])
     running = F.sum("_lf_tokens").over(W.partitionBy(*LEAF).orderBy("_lf_hash", "_lf_id"))  # rows that tie count together
     last = inside.withColumn("upto", F.col("base") + running).where("upto <= _lf_part").groupBy(*LEAF).agg(F.max(F.struct("_lf_hash", "_lf_id")).alias("last"))
     cuts = plan.join(edge.drop("base"), LEAF, "left").join(last, LEAF, "left")
-    cuts = cuts.select(*LEAF, "quota", "full", F.coalesce("last._lf_hash", F.shiftleft(F.col("_lf_bin").cast("bigint"), HASH_BITS - BIN_BITS) - 1, F.lit(-1)).alias("last_hash"), F.coalesce("last._lf_id", F.lit((1 << 63) - 1)).alias("last_id"))
+    cuts = cuts.select(*LEAF, "quota", "full", F.coalesce("last._lf_hash", F.shiftleft(F.col("_lf_bin").cast("bigint"), HASH_BITS - LEVELS * LEVEL_BITS) - 1, F.lit(-1)).alias("last_hash"), F.coalesce("last._lf_id", F.lit((1 << 63) - 1)).alias("last_id"))
     return rows, staged(cuts, "mix-cuts")
 
 
