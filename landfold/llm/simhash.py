@@ -8,8 +8,10 @@ a carry-save counter per lane holds the distances of a query to all lanes at onc
 its lanes have passed the radius. A key with very many rows is dealt out over pairs of chunks, which compares all its
 pairs over many tasks. Only a spanning set of links leaves a block, and components are found by star contraction.
 
-Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; rows
-that share a doc_id are each returned; a null doc_id is returned and never becomes a component id unless all are null.
+Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; texts
+are read whole, whatever their length; rows that share a doc_id are each returned, and so are repeated rows; a null doc_id is
+returned and never becomes a component id unless all are null; other columns, of whatever name, play no part in the links and
+are handed on by keep_one(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,13 +58,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text")
         found = np.array([fingerprint_bytes(texts[k].as_buffer().to_pybytes()) for k in range(len(texts))], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found.view(np.int64))], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a bigint."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, with_digest: bool = False) -> DataFrame:
+    """doc_id, if asked for the text's SHA-256 as digest, and fp, the fingerprint's 64 bits as a bigint."""
+    text = text_of().cast("binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *[F.unhex(F.sha2(text, 256)).alias("digest")] * with_digest, text.alias("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id bigint" + ", digest binary" * with_digest + ", fp bigint")
 
 
 def within(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -202,13 +206,19 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a bigint, b bigint")
 
 
+def fingerprint_roots(rows: DataFrame, *first) -> DataFrame:
+    """One row per distinct fingerprint: fp, root (the component's least fingerprint), and aggregates over the fingerprint's
+    rows."""
+    distinct_fps = staged(rows.groupBy("fp").agg(*first), "distinct-fingerprints")
+    roots = components(links(distinct_fps.select("fp")))
+    placed = distinct_fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return staged(placed.withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
     rows = staged(fingerprints(docs), "fingerprints")
-    distinct_fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct_fps.select("fp")))
-    placed = distinct_fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = staged(placed, "fingerprint-roots")
+    placed = fingerprint_roots(rows, F.min("doc_id").alias("first_id"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = staged(placed.join(least, "root").select("fp", "component_id"), "fingerprint-classes")
     # Both sides are exchanged, so that the adaptive planner can split a very common fingerprint.
@@ -216,13 +226,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each component: that with its smallest doc_id, and of rows that share it the
-    first in the order of their text. Rows with a null doc_id can't be told apart afterwards; all of them stay."""
-    rows = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_lf_id")).distinct()
-    kept = staged(rows, "kept-documents")
-    joined = docs.withColumn("_lf_id", F.col("doc_id").cast("bigint")).join(kept.hint("merge"), "_lf_id", "left_semi")
-    one = joined.withColumn("_lf_n", F.row_number().over(W.partitionBy("_lf_id").orderBy("text"))).where("_lf_n = 1")
-    return one.drop("_lf_n", "_lf_id").unionByName(docs.where("doc_id is null"))
+    """One row of each component: that with its smallest doc_id (a null one comes last), of rows that share it that with the
+    least digest of its text, and of rows alike in both any one. Rows are told apart by doc_id and digest together, so that
+    unlike texts under one doc_id, or without any, each stay or go with their own component."""
+    rows = staged(fingerprints(docs, with_digest=True), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+    placed = fingerprint_roots(rows, F.min(first).alias("first"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first"))
+    keys = {"_lf_none": F.col("first.none"), "_lf_id": F.col("first.id"), "_lf_digest": F.col("first.digest")}
+    kept = staged(kept.select(*[c.alias(k) for k, c in keys.items()]), "kept-documents")
+    marked = docs.withColumns({"_lf_none": F.col("doc_id").isNull(), "_lf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_lf_digest": F.unhex(F.sha2(text_of().cast("binary"), 256))})
+    joined = marked.join(kept.hint("merge"), [*keys], "left_semi")
+    # The join has sorted by these keys already.
+    return joined.withColumn("_lf_n", F.row_number().over(W.partitionBy(*keys).orderBy("_lf_id"))).where("_lf_n = 1").drop("_lf_n", *keys)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
