@@ -1,15 +1,18 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
 Features are hashed into 2^18 places: words (lower case), pairs of neighbouring words, the words' shapes (runs of upper
-case, lower case and digits, and signs as they are) and pairs of shapes; a pair of the same word twice has one place for all
+case, lower case and digits, and signs as they are, each run of whatever length one sign) and pairs of shapes; a pair of the same word twice has one place for all
 words. Each family's counts are divided by its size, so that a text's length plays no part. A score is a sparse dot product,
 the bias plus the sum of the weights at a text's n-grams.
 
 Training reads at most TRAIN_ROWS labelled rows, those with the smallest hashes of their doc_id among those not held out;
-the bound is a parameter of train(). It runs in one task, as the updates are sequential. Scoring reads all rows.
+the bound is a parameter of train(). Their n-grams are made where the texts are; only these sparse vectors meet in one
+task, as the updates are sequential. Scoring reads all rows, and whole texts.
 
 Defined results: a null text counts as empty and has the bias's score; labels of a doc_id given more than once count by
-majority; without labels every score is 0.5; rows that share a doc_id are each scored.
+majority; of documents that share a labelled doc_id the least text is learned from; without labels every score is 0.5; rows
+that share a doc_id, and repeated rows, are each scored; a null doc_id is not held out and never learned from; columns of any
+name but _lf_score are handed on; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 
 
 def shape(word: str) -> str:
-    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24])
-    return _RUNS.sub(r"\1", out)[:8]
+    out = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUNS.sub(r"\1", out)
 
 
 class Features:
@@ -117,13 +120,20 @@ def sparse(families: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return places, np.bincount(back, value)
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features, model, rows = Features(), Ftrl(), []
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """order, label and the sparse vector of each text."""
+    features = Features()
     for batch in batches:
         for part, texts in slices(batch):
-            for families, label in zip(features.each(texts), part.column("label").to_pylist(), strict=True):
-                at, value = sparse(families)
-                rows.append((at.astype(np.int32), value.astype(np.float32), label))
+            found = [sparse(f) for f in features.each(texts)]
+            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))], ["order", "label", "places", "amounts"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model, rows = Ftrl(), []
+    for batch in batches:
+        for k, label in enumerate(batch.column("label").to_pylist()):
+            rows.append((batch.column("places")[k].values.to_numpy(), batch.column("amounts")[k].values.to_numpy(), label))
     for _ in range(EPOCHS):
         for at, value, label in rows:
             model.update(at, value, label)
@@ -132,7 +142,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
@@ -140,9 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     sample = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label")).withColumn("order", F.xxhash64("doc_id"))
     sample = staged(sample.orderBy("order", "doc_id").limit(rows), "labelled-sample")
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")  # at most `rows` rows
-    texts = texts.select("order", "text", "label").repartition(1).sortWithinPartitions("order", "text")
-    found = texts.mapInArrow(_fit, "weights binary").collect()
+    # At most `rows` rows are broadcast, and one text is left of each doc_id.
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "order", "label").agg(F.min("text").alias("text"))
+    vectors = texts.select("order", "doc_id", "label", "text").mapInArrow(_vectors, "order bigint, label int, places array<int>, amounts array<float>")
+    found = vectors.repartition(1).sortWithinPartitions("order").mapInArrow(_fit, "weights binary").collect()
     return np.frombuffer(bytes(found[0][0]), "<f4") if found else np.zeros(PLACES, np.float32)
 
 

@@ -118,15 +118,40 @@ def test_simhash_components(docs, clashing, rows):
     assert any(n > 40 for n in Counter(c for _, _, c in want.elements()).values())
 
 
+def brute_kept(rows):
+    """(doc_id, text) of one row of each component: least doc_id, null last, then least digest."""
+    items = [(r[0], slow_fingerprint(t(r[1]))) for r in rows]
+    near = lambda a, b: (items[a][1] ^ items[b][1]).bit_count() <= 3
+    left, kept = set(range(len(rows))), []
+    while left:
+        todo = [left.pop()]
+        group = list(todo)
+        while todo:
+            a = todo.pop()
+            more = {b for b in left if near(a, b)}
+            left -= more
+            todo += more
+            group += more
+        best = min(group, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, hashlib.sha256(t(rows[k][1]).encode()).digest()))
+        kept.append((rows[best][0], t(rows[best][1])))
+    return Counter(kept)
+
+
 def test_simhash_keep_one(clashing, empty, rows):
     kept = simhash.keep_one(clashing)
     assert kept.columns == clashing.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    components = {c for i, _, c in brute_components([(r[0], slow_fingerprint(t(r[1]))) for r in rows]) if c is not None}
-    assert {i for i in ids if i is not None} == components and set(n for i, n in ids.items() if i is not None) == {1}
+    assert Counter((r.doc_id, t(r.text)) for r in kept.collect()) == brute_kept(rows)
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keep_one_by_row(spark):
+    """Unlike texts under one doc_id stay, near copies without a doc_id go."""
+    say = lambda seed, n: " ".join(f"w{(k * seed) % 997}" for k in range(n))
+    rows = [(1, say(7, 80)), (1, say(11, 80)), (1, say(7, 80)), (2, say(11, 80)), (None, say(13, 80)), (None, say(13, 80)), (None, say(17, 80)), (5, say(17, 80))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, say(7, 80)), (1, say(11, 80)), (None, say(13, 80)), (5, say(17, 80))])
+
+
 def test_hot_keys_are_dealt_in_chunks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = 0x1234_5678_9ABC_DEF0
@@ -460,17 +485,75 @@ def test_classifier_with_more_words_than_the_memory(monkeypatch):
     assert [len(whole.places(w)[0]) for w in again] == [2, 1] and len(whole.known) == 3
 
 
+def plain_vector(text):
+    """Place -> amount, from the docstring: four families of n-grams, each weighing 1 in all, and the bias."""
+    from itertools import groupby, pairwise
+
+    from xxhash import xxh64_intdigest
+
+    def sign(c):
+        return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+
+    words = text.split()
+    names = [xxh64_intdigest(w.lower(), 1) for w in words]
+    shapes = [xxh64_intdigest("".join(k for k, _ in groupby(map(sign, w))), 2) for w in words]
+    place = lambda h: 2 + (h % 2**64 >> 40) % (2**18 - 2)
+    families = [
+        [place(h) for h in names],
+        [1 if a == b else place(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) for a, b in pairwise(names)],
+        [place(h) for h in shapes],
+        [place(a * 0xD6E8FEB86659FD93 + b * 0xA0761D6478BD642F) for a, b in pairwise(shapes)],
+    ]
+    out = defaultdict(float)
+    out[0] = 1.0
+    for family in families:
+        for at in family:
+            out[at] += 1 / len(family)
+    return out
+
+
+def logistic(x):
+    return 1 / (1 + np.exp(-x))
+
+
 def test_classifier_scores_by_brute_force(docs, rows):
     rng = np.random.default_rng(0)
     weights = rng.normal(size=quality_model.PLACES).astype(np.float32)
-    features, want = quality_model.Features(), Counter()
+    want = Counter()
     for i, text, *_ in rows:
-        words = features.lists([t(text)])[0]
-        at, value = quality_model.sparse(features.places(words))
-        want[i, round(float(1 / (1 + np.exp(-np.clip(weights[at].astype(float) @ value, -35, 35)))), 6)] += 1
+        want[i, round(float(logistic(sum(float(weights[at]) * v for at, v in plain_vector(t(text)).items()))), 6)] += 1
     assert Counter((r.doc_id, round(r._lf_score, 6)) for r in quality_model.score(docs, weights).collect()) == want
 
 
+def test_classifier_updates_by_brute_force(spark):
+    """Follow the regularised leader, written plainly, over two passes in the sample's order."""
+    import math
+
+    rows = [(k, f"good words {k % 5} here" if k % 3 else f"BAD!! {k % 4} $$", int(k % 3 > 0)) for k in range(60)]
+    docs = spark.createDataFrame([(i, x) for i, x, _ in rows] + [(7, "zzz a later text of the same id")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    order = {r.doc_id: r.o for r in labels.select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+    learned = [r for r in sorted(rows, key=lambda r: order[r[0]]) if zlib.crc32(str(r[0]).encode()) % 5]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(at):
+        return 0.0 if abs(z[at]) <= 1e-4 else -(z[at] - math.copysign(1e-4, z[at])) / ((1 + math.sqrt(n[at])) / 0.5 + 1e-3)
+
+    for _ in range(2):
+        for _, text, label in learned:
+            vector = {at: float(np.float32(v)) for at, v in plain_vector(text).items()}
+            now = {at: weight(at) for at in vector}
+            off = logistic(sum(now[at] * v for at, v in vector.items())) - label
+            for at, v in vector.items():
+                g = off * v
+                z[at] += g - (math.sqrt(n[at] + g * g) - math.sqrt(n[at])) / 0.5 * now[at]
+                n[at] += g * g
+    want = np.zeros(quality_model.PLACES)
+    for at in list(z):
+        want[at] = weight(at)
+    assert np.allclose(quality_model.train(docs, labels), want, atol=1e-5) and np.abs(want).max() > 0.1
+
+
 def test_classifier_without_labels(clashing, empty, spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     weights = quality_model.train(clashing, none)
