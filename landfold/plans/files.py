@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from landfold.plans.base import Registry
 from landfold.sources import files
-from landfold.sources.staging import shared_dir
+from landfold.sources.staging import run_dir
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
 
 
 def path(s, name: str) -> str:
-    return f"{shared_dir(s.spark)}/landfold/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{run_dir(s.spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 @R.add("src01_release_catalog", "SELECT DISTINCT release AS identifier, make_date(CAST(substr(release, 4, 4) AS BIGINT), CAST(substr(release, 11, 1) AS BIGINT) * 3, 1) AS release_date, CAST(substr(release, 11, 1) AS INTEGER) AS release_num FROM v_feature WHERE substr(release, 11, 1) <> '4'")

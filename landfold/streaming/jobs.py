@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.sources.staging import shared_dir
+from landfold.sources.staging import run_dir
 
 
 def events_stream(spark: SparkSession, folder: str, table: str, files_per_batch: int = 1000) -> DataFrame:
@@ -28,7 +28,7 @@ def run(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Processes all that there is. Complete results replace the table, appended ones are added to it under their batch, so
     that a batch that is run again writes the same rows to the same place."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/landfold/stream-{name}-{uuid.uuid4().hex[:12]}"
+    base = f"{run_dir(spark)}/stream-{name}-{uuid.uuid4().hex[:12]}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={number}")
