@@ -9,8 +9,10 @@ Files get a name of their own for each attempt of a task, and only the manifest
 files; what a lost or repeated attempt leaves behind is never read. Shards lie in the shared folder and are written and
 read through pyarrow's file systems.
 
-Defined results: a null text counts as empty, a document without tokens has the end id alone; rows that share a doc_id
-follow each other in the order of their text, null ids come first; an empty table writes no shard and gives no rows.
+Defined results: a null text counts as empty, a document without tokens has the end id alone; texts are encoded whole,
+whatever their length; rows that share a doc_id follow each other in the order of the XXH64 of their text, so that they too
+are dealt out over tasks, and repeated rows follow each other; null ids come first; other columns, of whatever name, play no
+part; an empty table writes no shard and gives no rows.
 """
 
 from __future__ import annotations
@@ -201,7 +203,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}.tokens.arrow"]), pa.array([f"{folder}/{name}.index.arrow"]), pa.array([n_documents], pa.int64()), pa.array([tokens.n], pa.int64())], ["shard", "tokens_path", "index_path", "n_documents", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return staged(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
 
