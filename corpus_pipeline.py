@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder and
 rereads it as the next one's docs. All stages but the last return the columns of documents.
+
+Defined results: as each operator says, so a null text counts as empty; rows without a doc_id, or that share one, are judged
+each for itself; texts are read whole; columns of any name that don't begin with _lf_ are handed on up to the last stage,
+which gives doc_id and tokens; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ of the left token and the left edge of the right one. Only words with a failing
 The vocabulary file is that of the `tokenizers` library (BPE with word ends, NFC, lower case, white space dropped); its
 path is a parameter and must exist on the executors.
 
-Defined results: a null text counts as empty and gives no tokens; strings of special tokens inside a text become those
-tokens, as in the library with its defaults; rows that share a doc_id are each returned.
+Defined results: a null text counts as empty and gives no tokens; texts are encoded whole, whatever their length; strings of
+special tokens inside a text become those tokens, as in the library with its defaults; rows that share a doc_id, and repeated
+rows, are each returned; other columns, of whatever name, play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ becomes `&amp;`. In roles `&`, the line end and `<|` are escaped as well.
 
 Only DataFrame functions. A turn costs its UTF-8 bytes, as written, div 4 plus 1. A window's own turns start within STRIDE
 tokens; a turn longer than that stays whole. Defined results: null role or text counts as empty; rows are in the order of
-turn (null first), then role, then text, and repeated rows are turns of their own; rows with a null conv_id form one
-conversation; an empty table gives only what the caller adds. As the digest of a conversation is asked for whole, its turns
+turn (null first), then role, then text, and repeated rows are turns of their own; texts of any length stay whole; rows with
+a null conv_id form one conversation; other columns, of whatever name, play no part; an empty table gives only what the caller adds. As the digest of a conversation is asked for whole, its turns
 meet in one row.
 """
 

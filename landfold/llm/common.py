@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.sources.staging import shared_dir, staged
+from landfold.sources.staging import run_dir, shared_dir, staged
 
 __all__ = ["DOCUMENT_COLUMNS", "scratch", "shared_dir", "staged", "table", "text_of"]
 #: Columns of the documents table, in order; every pipeline stage but the last returns them.
@@ -25,4 +25,4 @@ def text_of(column: str = "text") -> Column:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/landfold/{name}-{uuid.uuid4().hex[:16]}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:16]}"

@@ -588,6 +588,15 @@ def test_chat_round_trip(spark):
             assert w.text[:start].endswith("<|im_start|>assistant\n") and w.text[start + length :].startswith(chat.END)
 
 
+def test_chat_clashing_columns(spark):
+    """Columns named like the operator's own, and texts and turns without a value."""
+    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, None, None, "first"), (1, 2, "assistant", "y" * 30_000), (2, 0, "assistant", "")]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    odd = frame.withColumns({c: F.lit("x") for c in ("idx", "head", "body", "piece", "system", "cost", "at", "raw", "new", "own", "last", "window", "m", "first_at", "n")})
+    plain, other = ({r.conv_id: r for r in chat.read_back(chat.format_windows(f)).collect()} for f in (frame, odd))
+    assert plain == other and [x.text for x in plain[1].turns] == ["first", "s", "", "y" * 30_000]
+
+
 def test_chat_empty(spark):
     assert chat.read_back(chat.format_windows(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))).count() == 0
 
@@ -648,7 +657,7 @@ def test_token_files(clashing, empty, rows, library, spark):
     manifest = token_files.write_shards(clashing, bpe.vocabulary_path(), folder, sequence=64, batch=4)
     got = sorted((r.start, r.n_tokens, r.ids_crc32, r.doc_id) for r in token_files.read_documents(manifest).collect())
     want, at = [], 0
-    for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, t(r[1]))):
+    for i, text, *_ in sorted(rows, key=lambda r: shard_key(r[0], t(r[1]))):
         ids = library.encode(t(text), add_special_tokens=False).ids + [2]
         want.append((at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), i))
         at += len(ids)
@@ -766,29 +775,51 @@ def test_limits_follow_their_group(spark):
 # --- sharding
 
 
-def test_sharding_by_bytes(clashing, empty, rows):
-    docs = clashing.drop("shard", "slot")
-    got = sharding.shard_documents(docs, shards=6, pieces=4).collect()
+def shard_key(i, text):
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(text.encode(), 42)
+    return -(1 << 63) if i is None else i, h - (1 << 64) if h >= 1 << 63 else h
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 30, 3000, 500])
+def test_sharding_by_bytes(clashing, empty, rows, piece_bytes):
+    placed = sharding.shard_documents(clashing, shards=6, piece_bytes=piece_bytes)
+    assert placed.columns == [*clashing.columns, "_lf_slot", "_lf_shard"]
+    got = placed.collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == Counter((r[0], r[1], "x", "x") for r in rows)
     total = sum(len(t(r[1]).encode()) + 8 for r in rows)
-    sizes = defaultdict(int)
+    sizes = Counter()
     for i, text, *_ in rows:
-        sizes[-(1 << 63) if i is None else i] += len(t(text).encode()) + 8
+        sizes[shard_key(i, t(text))] += len(t(text).encode()) + 8
     below, at = {}, 0
     for k in sorted(sizes):
         below[k] = at
         at += sizes[k]
-    assert all(r.shard == 6 * below[-(1 << 63) if r.doc_id is None else r.doc_id] // total for r in got)
+    assert all(r._lf_shard == 6 * below[shard_key(r.doc_id, t(r.text))] // total for r in got)
     for shard in range(6):
-        own = sorted((r.slot, -(1 << 63) if r.doc_id is None else r.doc_id) for r in got if r.shard == shard)
-        assert [s for s, _ in own] == list(range(len(own))) and [k for _, k in own] == sorted(k for _, k in own)
+        own = sorted((r._lf_slot, shard_key(r.doc_id, t(r.text))) for r in got if r._lf_shard == shard)
+        assert [x for x, _ in own] == list(range(len(own))) and [k for _, k in own] == sorted(k for _, k in own)
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_rows_that_share_a_doc_id_are_split(spark):
+    rows = [(None, f"no id {k}") for k in range(300)] + [(5, f"five {k}") for k in range(300)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), shards=6, piece_bytes=100).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r._lf_shard] += len(r.text) + 8
+    assert len(sizes) == 6 and max(sizes.values()) - min(sizes.values()) <= 40
+
+
 @pytest.mark.parametrize("keys", [[5] * 10, [-(1 << 63), (1 << 63) - 1, 0], list(range(0, 1 << 40, 1 << 33)), [k * k * k for k in range(-200, 200)]])
 def test_splitters(spark, keys):
-    frame = spark.createDataFrame([(k, 1 + k % 7) for k in keys], "_lf_key bigint, _lf_size bigint")
-    total = sum(1 + k % 7 for k in keys)
+    both = [(k, (k * 7919 * (n + 1)) % (1 << 63) - (1 << 62)) for n, k in enumerate(keys)]
+    frame = spark.createDataFrame([(k, h, 1 + n % 7) for n, (k, h) in enumerate(both)], "_lf_key bigint, _lf_hash bigint, _lf_size bigint")
+    total = sum(1 + n % 7 for n in range(len(keys)))
     cuts = sharding.splitters(frame, 5)
-    for k in keys:
-        below = sum(1 + x % 7 for x in keys if x < k)
-        assert sum(c <= k + (1 << 63) for c in cuts) == sum(below * 5 >= j * total for j in range(1, 5))
+    pieces = dict(((r._lf_key, r._lf_hash), r.p) for r in frame.select("*", sharding.piece_of(cuts).alias("p")).collect())
+    for at in both:
+        below = sum(1 + n % 7 for n, x in enumerate(both) if x < at)
+        number = (at[0] + (1 << 63)) << 64 | (at[1] + (1 << 63))
+        assert sum(c <= number for c in cuts) == sum(below * 5 >= j * total for j in range(1, 5)) == pieces[at]
