@@ -122,6 +122,38 @@ def geodesic_area(lons: np.ndarray, lats: np.ndarray) -> float:
     return abs(float(np.sum((lon[1:] - lon[:-1]) * (h[1:] + h[:-1]) / 2))) * SEMI_MAJOR**2
 
 
+#: Where the metric plane of the queries lies: metres to degrees about a fixed point.
+PLANE_SCALE, PLANE_LON, PLANE_LAT = 100_000, -7, 33
+
+
+def _authalic(sine: Column) -> Column:
+    """The part of the ellipsoid's area between the equator and a latitude, by the sine of it, in squared semi-axes for two
+    radians of longitude."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    return (sine / (1 - sine * sine * e2) - F.log((1 - sine * e) / (1 + sine * e)) / (2 * e)) * (1 - e2)
+
+
+def band_area_m2(lat0: Column, lat1: Column, degrees: float) -> Column:
+    """Square metres between two latitudes over so many degrees of longitude."""
+    return F.abs(_authalic(F.sin(F.radians(lat1))) - _authalic(F.sin(F.radians(lat0)))) * (math.radians(degrees) / 2 * SEMI_MAJOR**2)
+
+
+def cell_area_m2(row: str, size: int) -> Column:
+    """Of a cell of the metric plane, by its row."""
+    lat = lambda k: (F.col(row) + k) * size / PLANE_SCALE + PLANE_LAT
+    return band_area_m2(lat(0), lat(1), size / PLANE_SCALE)
+
+
+def cell_area_sql(row: str, size: int) -> str:
+    """cell_area_m2 for the SQL twins."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    sine = lambda k: f"sin(radians(({row} + {k}) * {size} / {PLANE_SCALE}.0::DOUBLE + {PLANE_LAT}))"
+    part = lambda s: f"(({s} / (1 - {s} * {s} * {e2!r}::DOUBLE) - ln((1 - {s} * {e!r}::DOUBLE) / (1 + {s} * {e!r}::DOUBLE)) / {2 * e!r}::DOUBLE) * {1 - e2!r}::DOUBLE)"
+    return f"abs({part(sine(1))} - {part(sine(0))}) * {math.radians(size / PLANE_SCALE) / 2 * SEMI_MAJOR**2!r}::DOUBLE"
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Counter-clockwise, without the closing point."""
     pts = np.unique(points, axis=0)

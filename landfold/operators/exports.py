@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.operators import cells as C
 from landfold.operators.graph import label_cells
+from landfold.sources.staging import staged
 
 GEOMETRY = "struct<type: string, coordinates: string>"
 
@@ -56,11 +57,17 @@ def walk_json(rows: DataFrame, doc: str, keys: list[str], depth: int) -> DataFra
 
 
 def filled(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells and their holes: parts of the complement, inside the set's bounds, that don't reach these bounds."""
-    box = cells.groupBy(*keys).agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"))
-    grid = box.withColumn("cx", F.explode(F.sequence(F.col("x0") - 1, F.col("x1") + 1))).withColumn("cy", F.explode(F.sequence(F.col("y0") - 1, F.col("y1") + 1)))
-    outside = grid.join(cells.select(*keys, *C.CELL), [*keys, *C.CELL], "left_anti")
-    labels = label_cells(outside.select(*keys, *C.CELL), keys)
-    edge = outside.where("cx < x0 OR cx > x1 OR cy < y0 OR cy > y1").join(labels, [*keys, *C.CELL]).select(*keys, "label").distinct()
-    holes = labels.join(edge, [*keys, "label"], "left_anti").select(*keys, *C.CELL)
-    return C.union(cells, keys).unionByName(holes)
+    """Cells and their holes. A hole lies within one component (of cells that share a side or a corner), so each component's
+    complement is sought inside its own bounds, and the parts of it that don't reach these bounds are holes."""
+    whole = C.union(cells, keys)
+    labelled = staged(label_cells(whole, keys, eight=True).withColumnRenamed("label", "_of"), "fill-components")
+    own = [*keys, "_of"]
+    box = labelled.groupBy(*own).agg(F.min("cx").alias("x0"), F.max("cx").alias("x1"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.count("*").alias("n"))
+    # Only what is at least three cells wide and high, and not full, can have a hole.
+    box = box.where("x1 - x0 >= 2 AND y1 - y0 >= 2 AND n < (x1 - x0 + 1) * (y1 - y0 + 1)")
+    grid = box.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
+    outside = staged(grid.join(labelled, [*own, *C.CELL], "left_anti"), "fill-complement")
+    labels = staged(label_cells(outside.select(*own, *C.CELL), own), "fill-labels")
+    edge = outside.where("cx = x0 OR cx = x1 OR cy = y0 OR cy = y1").join(labels, [*own, *C.CELL]).select(*own, "label").distinct()
+    holes = labels.join(edge, [*own, "label"], "left_anti").select(*keys, *C.CELL)
+    return whole.unionByName(holes).distinct()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,12 +13,20 @@ from pyspark.sql import functions as F
 from landfold.operators.cells import CELL
 from landfold.sources.staging import staged
 
+#: Cells along a side of the squares that are labelled in one pass.
+CHUNK = 256
+#: Border edges of chunks that one task may join up; beyond that the star rounds do.
+ONE_TASK_EDGES = 50_000
+
 
-def components(edges: DataFrame) -> DataFrame:
-    """Components of undirected edges (a, b) of bigints: rows (node, root), root the least node of each; nodes without edges
-    don't appear. Large-star and small-star steps take turns until every node hangs from one root; each round is a written
-    table. A node with very many edges is only ever reduced by a combined minimum, or split by the adaptive skew join."""
+def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
+    """Components of undirected edges (a, b) of any type with an order: rows (node, root), root the least node of each; nodes
+    without edges don't appear. Large-star and small-star steps take turns until every node hangs from one root; each round is
+    a written table. A node with very many edges is only ever reduced by a combined minimum, or split by the adaptive skew
+    join. Up to `one_task` edges are joined up in one task instead, with the same result."""
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if one_task and now.limit(one_task + 1).count() <= one_task:
+        return _joined_up(now)
     while not _all_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -25,6 +37,36 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _joined_up(edges: DataFrame) -> DataFrame:
+    """The same in one task; nodes are numbered in their order, so that the least number is the least node."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    numbered = ends.repartition(1).sortWithinPartitions("node").withColumn("k", F.monotonically_increasing_id())
+    numbered = staged(numbered, "edge-nodes")
+    pairs = edges.join(numbered.withColumnsRenamed({"node": "a", "k": "ka"}), "a").join(numbered.withColumnsRenamed({"node": "b", "k": "kb"}), "b").select("ka", "kb")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column("ka").to_numpy(), x.column("kb").to_numpy()) for x in batches]
+        if parts:
+            a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            root = least_of_group(int(max(a.max(), b.max())) + 1, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(root))), pa.array(root)], ["k", "r"])
+
+    found = pairs.repartition(1).mapInArrow(solve, "k bigint, r bigint")
+    return found.join(numbered, "k").join(numbered.withColumnsRenamed({"node": "root", "k": "r"}), "r").select("node", "root")
+
+
+def least_of_group(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For 0 .. n - 1 the least number that edges between a and b reach."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def _all_stars(edges: DataFrame) -> bool:
     """Whether each `a` has one edge and no `b` is an `a`; one grouping over the nodes, of which a few numbers come back."""
     nodes = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -38,25 +80,90 @@ def with_roots(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
 
 
-def label_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """4-connected components of cells: adds `label`, the least id of a component's cells, ids counting in row-major order.
-
-    Runs of neighbours in a row are the nodes; edges come from an equi-join of cells with those below, so that a component
-    of any size is spread over tasks and the iteration sees runs instead of cells.
-    """
-    rows = cells.select(*keys, *CELL).distinct()
-    row = W.partitionBy(*keys, "cy")
-    runs = rows.withColumn("_run", F.col("cx") - F.row_number().over(row.orderBy("cx")))
-    ident = F.min("cx").over(W.partitionBy(*keys, "cy", "_run")) + F.col("cy") * (1 << 31)
-    runs = runs.withColumn("_first", ident)
-    named = staged(runs.select(*keys, *CELL, "_first", F.xxhash64(F.lit(0), *keys, "_first").alias("_node")), "cell-runs")
-    below = named.select(*keys, "cx", (F.col("cy") - 1).alias("cy"), F.col("_node").alias("b"))
-    edges = named.join(below, [*keys, *CELL]).select(F.col("_node").alias("a"), "b").distinct()
-    nodes = named.groupBy("_node").agg(F.min("_first").alias("_first"))
-    rooted = staged(with_roots(nodes, "_node", edges), "run-roots")
-    least = rooted.groupBy("root").agg(F.min("_first").alias("label"))
-    labels = rooted.join(least, "root").select("_node", "label")
-    return named.join(labels, "_node").select(*keys, *CELL, "label")
+def label_chunks(cells: DataFrame, keys: list[str], size: int = CHUNK, eight: bool = False) -> DataFrame:
+    """Components within squares of `size` cells: (keys, cx, cy, bx, by, nx, ny), where (bx, by) is the square and (nx, ny) the
+    first cell, by rows, of the component in it. Neighbours share a side, or with `eight` a corner. One exchange, by square;
+    a task holds an Arrow batch and one square at a time."""
+    square = [F.floor(F.col("cx") / size).alias("bx"), F.floor(F.col("cy") / size).alias("by")]
+    dealt = cells.select(*keys, *[F.col(c).cast("bigint").alias(c) for c in CELL]).select(*keys, *CELL, *square).repartition(*keys, "bx", "by").distinct()
+    group = [*keys, "bx", "by"]
+    steps = (size + 2, size + 1, size + 3) if eight else (size + 2,)
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+    def label(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        cx, cy = rows["cx"].to_numpy(), rows["cy"].to_numpy()
+        own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        place = own * (size + 2) ** 2 + cy % size * (size + 2) + cx % size + 1  # ascending
+        run = np.cumsum(np.append(True, np.diff(place) != 1)) - 1
+        first = np.flatnonzero(np.append(True, np.diff(run) != 0))
+        a, b = [], []
+        for step in steps:
+            at = np.minimum(np.searchsorted(place, place + step), len(place) - 1)
+            met = (place[at] == place + step) & (own[at] == own)
+            a.append(run[met])
+            b.append(run[at[met]])
+        least = first[least_of_group(len(first), np.concatenate(a), np.concatenate(b))[run]]
+        return rows.append_column("nx", pa.array(cx[least])).append_column("ny", pa.array(cy[least]))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
+            new = np.zeros(len(rows), bool)
+            for c in group:
+                found = numbers(rows[c])
+                new[1:] |= found[1:] != found[:-1]
+            new[0] = True
+            starts = np.flatnonzero(new)
+            last = int(starts[-1])  # the last square may go on
+            if last:
+                yield from label(rows.slice(0, last), starts[:-1]).to_batches()
+            held = rows.slice(last)
+        if held is not None and len(held):
+            yield from label(held, np.zeros(1, np.int64)).to_batches()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    return dealt.sortWithinPartitions(*group, "cy", "cx").mapInArrow(over, f"{kinds}, nx bigint, ny bigint")
+
+
+def label_cells(cells: DataFrame, keys: list[str], size: int = CHUNK, eight: bool = False) -> DataFrame:
+    """Components of cells whose neighbours share a side (with `eight`, or a corner): adds `label`, the least id of a
+    component's cells, ids counting in row-major order.
+
+    Squares are labelled first, each in one pass; the nodes of the graph are the components in squares, named by their keys
+    and first cell, and its edges come from cells on squares' borders alone. So a component of any size is spread over tasks,
+    and the rounds see borders instead of cells."""
+    named = staged(label_chunks(cells, keys, size, eight), "cell-squares")
+    node = F.struct(*[F.col(k) for k in keys], "ny", "nx")
+    edge = lambda c: F.pmod(F.col(c), F.lit(size)).isin(0, size - 1)
+    border = named.where(edge("cx") | edge("cy"))
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 0), (0, 1), (1, 1), (-1, 1))[: 4 if eight else 2]])
+    moved = border.select(*keys, *CELL, "bx", "by", node.alias("a"), F.explode(steps).alias("o"))
+    moved = moved.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("cx") + F.col("o.x")).alias("_cx"), (F.col("cy") + F.col("o.y")).alias("_cy"), "bx", "by", "a")
+    moved = moved.where((F.floor(F.col("_cx") / size) != F.col("bx")) | (F.floor(F.col("_cy") / size) != F.col("by"))).drop("bx", "by")
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys] + [F.col("_cx") == F.col("cx"), F.col("_cy") == F.col("cy")]
+    met = moved.join(border.select(*keys, *CELL, node.alias("b")), same).select("a", "b")
+    roots = components(met, ONE_TASK_EDGES).select(F.col("node").alias("_node"), F.col("root.ny").alias("_ry"), F.col("root.nx").alias("_rx"))
+    labelled = named.withColumn("_node", node).join(roots, "_node", "left")
+    return labelled.select(*keys, *CELL, (F.coalesce("_ry", "ny") * (1 << 31) + F.coalesce("_rx", "nx")).alias("label"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds a running number from 1 over all rows, which differ in `order`: rows are dealt out by ranges, sorted and counted
+    in each, and every range begins where those before it end; no task sees all rows."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = staged(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    # Within a partition ids count up from the partition's number times 2^33.
+    at = F.col("_at") - F.shiftleft(F.col("_part").cast("bigint"), 33) + 1
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + at).drop("_part", "_at", "_before")
 
 
 def close_pairs(boxes: DataFrame, node: str, keys: list[str], gap: float) -> DataFrame:
@@ -87,10 +194,31 @@ def connector(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"x1": x1, "x2": x2, "y1": y1, "y2": y2})
 
 
-def unblocked(pairs: DataFrame, roads: DataFrame) -> DataFrame:
-    """Pairs whose connector crosses no road; a connector without length is never blocked. roads: way ('h' or 'v') and `at`,
-    axis-parallel barriers, a small table. The check is an anti-join by the road's place between the two points."""
-    bars = F.broadcast(roads.select("way", F.col("at").alias("road_at")))
-    crosses = ((F.col("way") == "v") & F.col("road_at").between(F.least("x1", "x2"), F.greatest("x1", "x2")) & (F.col("x1") != F.col("x2"))) | (
-        (F.col("way") == "h") & F.col("road_at").between(F.least("y1", "y2"), F.greatest("y1", "y2")) & (F.col("y1") != F.col("y2")))
-    return pairs.join(bars, crosses, "left_anti")
+def split_segments(segments: DataFrame, size: float) -> DataFrame:
+    """Segments (x1, y1, x2, y2) in pieces that are at most `size` long on either axis."""
+    long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    parts = F.greatest(F.ceil(long / size), F.lit(1)).cast("int")
+    cut = segments.withColumn("_n", parts).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    along = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
+    ends = {f"{v}{e}": along(f"{v}1", f"{v}2", F.col("_k") + int(e == 2)) for v in "xy" for e in (1, 2)}
+    return cut.select(*[c for c in segments.columns if c not in ends], *[x.alias(n) for n, x in ends.items()])
+
+
+def unblocked(pairs: DataFrame, barriers: DataFrame, size: float = 200.0) -> DataFrame:
+    """Pairs (a, b) whose connector (x1, y1, x2, y2) meets no barrier; a connector without length is never blocked. Barriers
+    are segments (x1, y1, x2, y2) of any number and direction: both sides are dealt out to buckets of the plane, meet there by
+    an equi-join, and are tested exactly; the blocked pairs go by an anti-join."""
+
+    def dealt(segments: DataFrame) -> DataFrame:
+        span = lambda v: F.explode(F.sequence(F.floor(F.least(f"{v}1", f"{v}2") / size), F.floor(F.greatest(f"{v}1", f"{v}2") / size)))
+        return segments.withColumn("_bx", span("x")).withColumn("_by", span("y"))
+
+    bars = dealt(split_segments(barriers.select("x1", "y1", "x2", "y2"), size)).withColumnsRenamed({c: f"r_{c}" for c in ("x1", "y1", "x2", "y2")})
+    side = lambda p, q, r: F.signum((F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{r}y") - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{r}x") - F.col(f"{p}x")))
+    lines = dealt(pairs.where((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))).select("a", "b", "x1", "y1", "x2", "y2"))
+    met = lines.join(bars, ["_bx", "_by"])
+    ends = {f"{p}{v}": F.col(c) for p, of in (("p", ("x1", "y1")), ("q", ("x2", "y2")), ("r", ("r_x1", "r_y1")), ("s", ("r_x2", "r_y2"))) for v, c in zip("xy", of, strict=True)}
+    met = met.withColumns(ends)
+    apart = lambda v: (F.greatest(f"p{v}", f"q{v}") < F.least(f"r{v}", f"s{v}")) | (F.greatest(f"r{v}", f"s{v}") < F.least(f"p{v}", f"q{v}"))
+    crosses = (side("p", "q", "r") * side("p", "q", "s") <= 0) & (side("r", "s", "p") * side("r", "s", "q") <= 0) & ~apart("x") & ~apart("y")
+    return pairs.join(met.where(crosses).select("a", "b").distinct(), ["a", "b"], "left_anti")

@@ -90,28 +90,30 @@ def regions(labelled: DataFrame, pixels: DataFrame) -> DataFrame:
     return joined.groupBy("label").agg(F.count("*").alias("pixels"), F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"), (F.avg("col") + 0.5).alias("centre_x"), (F.avg("row") + 0.5).alias("centre_y"))
 
 
-def boundary_edges(labelled: DataFrame) -> DataFrame:
+def boundary_edges(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
     """Directed unit edges (x1, y1, x2, y2) of the components' outlines, the inside on the right: a cell's side is an edge if
     the neighbour across it isn't of the component. An edge between two cells of one component would show up twice."""
     c, r = F.col("col"), F.col("row")
     side = lambda x1, y1, x2, y2: F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-    sides = labelled.select("label", F.explode(F.array(side(c, r, c + 1, r), side(c + 1, r, c + 1, r + 1), side(c + 1, r + 1, c, r + 1), side(c, r + 1, c, r))).alias("e")).select("label", "e.*")
+    sides = labelled.select(*keys, "label", F.explode(F.array(side(c, r, c + 1, r), side(c + 1, r, c + 1, r + 1), side(c + 1, r + 1, c, r + 1), side(c, r + 1, c, r))).alias("e")).select(*keys, "label", "e.*")
     lo = F.struct(F.least("x1", "x2").alias("x"), F.least("y1", "y2").alias("y"), (F.col("x1") == F.col("x2")).alias("v"))
-    once = sides.groupBy("label", lo.alias("at")).agg(F.count("*").alias("n"), F.first(F.struct("x1", "y1", "x2", "y2")).alias("e")).where("n = 1")
-    return once.select("label", "e.*")
+    once = sides.groupBy(*keys, "label", lo.alias("at")).agg(F.count("*").alias("n"), F.first(F.struct("x1", "y1", "x2", "y2")).alias("e")).where("n = 1")
+    return once.select(*keys, "label", "e.*")
 
 
-def outlines(labelled: DataFrame) -> DataFrame:
-    """(label, ring, points): closed rings chained from the boundary edges, the outer one first. One component's outline is
+def outlines(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """(keys, label, ring, points): closed rings chained from the boundary edges, the outer one first. One component's outline is
     held by one task; it is as long as its edge, not its area."""
 
     def chain(edges: pd.DataFrame) -> pd.DataFrame:
         after: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for x1, y1, x2, y2 in edges[["x1", "y1", "x2", "y2"]].sort_values(["y1", "x1", "y2", "x2"]).itertuples(index=False):
             after.setdefault((x1, y1), []).append((x2, y2))
-        rings = []
+        rings, starts = [], sorted(after, key=lambda p: (p[1], p[0]), reverse=True)
         while after:
-            start = min(after, key=lambda p: (p[1], p[0]))
+            while starts[-1] not in after:  # its edges are in earlier rings
+                starts.pop()
+            start = starts[-1]
             ring, at, came = [start], start, (1, 0)
             while True:
                 options = after[at]
@@ -129,9 +131,10 @@ def outlines(labelled: DataFrame) -> DataFrame:
                 if at == start:
                     break
             rings.append([{"x": float(x), "y": float(y)} for x, y in ring])
-        return pd.DataFrame({"label": [edges["label"].iloc[0]] * len(rings), "ring": range(len(rings)), "points": rings})
+        return pd.DataFrame({**{c: [edges[c].iloc[0]] * len(rings) for c in [*keys, "label"]}, "ring": range(len(rings)), "points": rings})
 
-    return boundary_edges(labelled).groupBy("label").applyInPandas(chain, "label bigint, ring int, points array<struct<x: double, y: double>>")
+    kinds = "".join(f"`{k}` {labelled.schema[k].dataType.simpleString()}, " for k in keys)
+    return boundary_edges(labelled, keys).groupBy(*keys, "label").applyInPandas(chain, kinds + "label bigint, ring int, points array<struct<x: double, y: double>>")
 
 
 def predict(windows: DataFrame, chunked: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

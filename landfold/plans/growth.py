@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from landfold.functions.geometry import cell_area_m2, cell_area_sql
+from landfold.operators import blocks as B
 from landfold.operators import cells as C
+from landfold.operators import exports as X
 from landfold.operators import graph as G
 from landfold.operators.metrics import safe_ratio
 from landfold.plans.base import Registry
@@ -63,22 +66,37 @@ def agg07(s):
     return cells.groupBy("project").agg(F.round(F.least(F.count_if(inside) / 40000, F.lit(1.0)), 6).alias("fraction"))
 
 
-@R.add("agg08_dissolve_area", f"WITH {CELLS} SELECT project, layer, count(DISTINCT (cx, cy)) * 100 AS area FROM cell GROUP BY project, layer")
+def rings_sql(table: str, keys: str) -> str:
+    """Area and outline of cell sets: a cell's side is on the outline unless its neighbour is in the set."""
+    joins = " ".join(f"LEFT JOIN {table} n{i} ON {' AND '.join(f'n{i}.{k} = c.{k}' for k in keys.split(', '))} AND n{i}.cx = c.cx + {x} AND n{i}.cy = c.cy + {y}" for i, (x, y) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))))
+    sides = " + ".join(f"(CASE WHEN n{i}.cx IS NULL THEN 1 ELSE 0 END)" for i in range(4))
+    return f"SELECT {', '.join(f'c.{k}' for k in keys.split(', '))}, CAST(count(*) * 100 AS DOUBLE) AS area, CAST(sum({sides}) * 10 AS DOUBLE) AS perimeter FROM {table} c {joins} GROUP BY ALL"
+
+
+def measured(rings, keys):
+    """Area and outline of the rings of each key: holes have areas of the other sign."""
+    return rings.groupBy(*keys).agg(F.sum(B.ring_area("points")).alias("area"), F.sum(B.ring_length("points")).alias("perimeter"))
+
+
+@R.add("agg08_dissolve_area", f"WITH {CELLS}, u AS (SELECT DISTINCT project, layer, cx, cy FROM cell) {rings_sql('u', 'project, layer')}")
 def agg08(s):
-    return C.area(feature_cells(s, ["project", "layer"]), ["project", "layer"], SIZE)
+    """Unions as polygons: the rings of their outlines, measured."""
+    keys = ["project", "layer"]
+    return measured(B.polygons(feature_cells(s, keys), keys, SIZE), keys)
 
 
 _TWO = "a AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'additions'), b AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'effective')"
 
 
-@R.add("set03_overlay", f"""WITH {CELLS}, {_TWO} SELECT project, 'union' AS op, count(*) * 100 AS area FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY project UNION ALL SELECT project, 'intersection', count(*) * 100 FROM a SEMI JOIN b USING (project, cx, cy) GROUP BY project UNION ALL SELECT project, 'difference', count(*) * 100 FROM a ANTI JOIN b USING (project, cx, cy) GROUP BY project""")
+@R.add("set03_overlay", f"""WITH {CELLS}, {_TWO}, ops AS (SELECT project, 'union' AS op, cx, cy FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT project, 'intersection', cx, cy FROM a SEMI JOIN b USING (project, cx, cy) UNION ALL SELECT project, 'difference', cx, cy FROM a ANTI JOIN b USING (project, cx, cy)) {rings_sql('ops', 'project, op')}""")
 def set03(s):
+    """Union, intersection and difference as polygons, measured."""
     cells = feature_cells(s, ["project", "layer"])
     a, b = (cells.where(F.col("layer") == k).drop("layer") for k in ("additions", "effective"))
     k = ["project"]
     parts = {"union": C.union(a.unionByName(b), k), "intersection": C.intersection(a, b, k), "difference": C.difference(a, b, k)}
-    found = [C.area(v, k, SIZE).withColumn("op", F.lit(n)) for n, v in parts.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    found = [v.withColumn("op", F.lit(n)) for n, v in parts.items()]
+    return measured(B.polygons(found[0].unionByName(found[1]).unionByName(found[2]), ["project", "op"], SIZE), ["project", "op"])
 
 
 @R.add("join06_footprint_overlap", f"WITH {CELLS}, foot AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'effective') SELECT feature_id, round(count(f.cx) / count(*), 6) AS overlap, count(*) AS cells FROM (SELECT * FROM cell WHERE layer = 'additions') c LEFT JOIN foot f USING (project, cx, cy) GROUP BY feature_id")
@@ -125,19 +143,42 @@ def flt05(s):
     return x.select("feature_id", reason.alias("reason"), (~(low | over | edge)).alias("kept"))
 
 
-@R.add("fn30_buffers", f"""WITH {CELLS}, d(buffer_m) AS (VALUES (10), (15), (20)), grown AS (SELECT project, buffer_m, cx + dx AS cx, cy + dy AS cy FROM cell, d, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE layer = 'additions' AND release LIKE '%1996%' AND 100 * (dx * dx + dy * dy) <= buffer_m * buffer_m)
-    SELECT project, buffer_m, count(DISTINCT (cx, cy)) * 100 AS area FROM grown GROUP BY ALL""")
+#: Components of cells in the SQL twins: a walk from cell to cell.
+def walk_sql(table: str, keys: str, out: str = "lab") -> str:
+    return f"""walk_{out}({keys}, cx, cy, label) AS (SELECT {keys}, cx, cy, cy * 2147483648 + cx FROM {table} UNION SELECT {', '.join(f'k.{c}' for c in keys.split(', '))}, k.cx, k.cy, label FROM walk_{out} w, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy), {table} k
+        WHERE {' AND '.join(f'k.{c} = w.{c}' for c in keys.split(', '))} AND k.cx = w.cx + dx AND k.cy = w.cy + dy), {out} AS (SELECT {keys}, cx, cy, min(label)::BIGINT AS label FROM walk_{out} GROUP BY ALL)"""
+
+
+#: The same for sets made of pieces that each hang together: a walk from piece to piece. pieces: {keys}, piece, cx, cy.
+def piece_walk_sql(pieces: str, keys: str, out: str = "lab") -> str:
+    on = " AND ".join(f"a.{c} = b.{c}" for c in keys.split(", "))
+    each = lambda t: ", ".join(f"{t}.{c}" for c in keys.split(", "))
+    return f"""adj_{out} AS (SELECT DISTINCT {each('a')}, a.piece AS a, b.piece AS b FROM {pieces} a, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy), {pieces} b WHERE {on} AND b.cx = a.cx + dx AND b.cy = a.cy + dy),
+        hop_{out}({keys}, node, seen) AS (SELECT DISTINCT {keys}, piece, piece FROM {pieces} UNION SELECT {each('b')}, b.b, a.seen FROM hop_{out} a JOIN adj_{out} b ON {on} AND b.a = a.node),
+        root_{out} AS (SELECT {keys}, node, min(seen) AS root FROM hop_{out} GROUP BY ALL),
+        {out} AS (SELECT DISTINCT {each('a')}, cx, cy, (min(cy * 2147483648 + cx) OVER (PARTITION BY {each('a')}, root))::BIGINT AS label FROM {pieces} a JOIN root_{out} b ON {on} AND b.node = a.piece)"""
+
+
+@R.add("fn30_buffers", f"""WITH RECURSIVE {CELLS}, d(buffer_m) AS (VALUES (10), (15), (20)), grown AS (SELECT DISTINCT project, buffer_m, feature_id AS piece, cx + dx AS cx, cy + dy AS cy FROM cell, d, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE layer = 'additions' AND 100 * (dx * dx + dy * dy) <= buffer_m * buffer_m),
+    {piece_walk_sql('grown', 'project, buffer_m')} SELECT buffer_m, project, row_number() OVER (PARTITION BY buffer_m ORDER BY project, label) AS buffer_id, area FROM (SELECT buffer_m, project, label, count(*) * 100 AS area FROM lab GROUP BY ALL)""")
 def fn30(s):
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions' AND release LIKE '%1996%'"), ["project"], SIZE)
-    found = [C.area(C.dilate(cells, ["project"], m / SIZE), ["project"], SIZE).withColumn("buffer_m", F.lit(m)) for m in (10, 15, 20)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    """Buffers by several distances, one row for each part, numbered for each distance."""
+    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
+    parts = B.buffer_parts(cells, ["project"], (10, 15, 20), SIZE)
+    return parts.select("buffer_m", "project", "buffer_id", "area")
 
 
-@R.add("fn31_closing", f"""WITH {CELLS}, base AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'additions'), o AS (SELECT dx, dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx * dx + dy * dy <= 1),
-    wide AS (SELECT DISTINCT project, cx + dx AS cx, cy + dy AS cy FROM base, o), back AS (SELECT project, cx + dx AS cx, cy + dy AS cy FROM wide, o GROUP BY ALL HAVING count(*) = 5) SELECT project, count(*) * 100 AS area FROM (SELECT * FROM back UNION SELECT * FROM base) GROUP BY project""")
+@R.add("fn31_closing", f"""WITH RECURSIVE {CELLS}, base AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'additions'), o AS (SELECT dx, dy FROM range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx * dx + dy * dy <= 1),
+    wide AS (SELECT DISTINCT project, cx + dx AS cx, cy + dy AS cy FROM base, o), back AS (SELECT project, cx + dx AS cx, cy + dy AS cy FROM wide, o GROUP BY ALL HAVING count(*) = 5), shut AS (SELECT * FROM back UNION SELECT * FROM base), {walk_sql('shut', 'project')},
+    src AS (SELECT project, label, count(DISTINCT feature_id) AS sources, min(feature_id) AS first_id FROM lab JOIN (SELECT project, feature_id, cx, cy FROM cell WHERE layer = 'additions') USING (project, cx, cy) GROUP BY ALL), sized AS (SELECT project, label, count(*) * 100 AS area FROM lab GROUP BY ALL)
+    SELECT project, row_number() OVER (PARTITION BY project ORDER BY label) AS region_id, area, sources, f.release, f.release_date FROM sized JOIN src USING (project, label) JOIN (SELECT feature_id AS first_id, release, release_date FROM v_feature) f USING (first_id)""")
 def fn31(s):
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
-    return C.area(C.close(cells, ["project"], 1), ["project"], SIZE)
+    """Close regions merged: an id, the area, how many features are in it, and the release of the first of these."""
+    f = s.v_feature.where("layer = 'additions'")
+    sources = C.cells_of_boxes(f, ["project", "feature_id"], SIZE)
+    regions = B.merged_regions(sources, ["project"], "feature_id", 1, SIZE)
+    first = f.select(F.col("feature_id").alias("first_source"), "release", "release_date")
+    return regions.join(first, "first_source").select("project", "region_id", "area", "sources", "release", "release_date")
 
 
 @R.add("fn42_export_perimeter", f"WITH {CELLS}, u AS (SELECT DISTINCT project, cx, cy FROM cell) SELECT project, count(*) FILTER (WHERE cx < 200) > 0 AS meets, count(*) FILTER (WHERE cx < 200) < count(*) AS clipped FROM u GROUP BY project")
@@ -147,8 +188,8 @@ def fn42(s):
     return cells.groupBy("project").agg((inside > 0).alias("meets"), (inside < F.count("*")).alias("clipped"))
 
 
-#: Features of every fifth project, whose boxes are clustered in the SQL twin by a recursive walk.
-_NODES = "n AS (SELECT * FROM v_feature WHERE project % 8 = 0)"
+#: Boxes clustered in the SQL twin by a walk from feature to feature.
+_NODES = "n AS (SELECT * FROM v_feature)"
 _PAIRS = """p AS (SELECT a.project, a.feature_id AS a, b.feature_id AS b, a.minx, a.miny, a.maxx, a.maxy, b.minx AS o_minx, b.miny AS o_miny, b.maxx AS o_maxx, b.maxy AS o_maxy FROM n a JOIN n b ON a.project = b.project AND a.feature_id < b.feature_id
     AND pow(greatest(a.minx - b.maxx, b.minx - a.maxx, 0), 2) + pow(greatest(a.miny - b.maxy, b.miny - a.maxy, 0), 2) <= 1600)"""
 _OPEN = """q AS (SELECT p.a, p.b FROM (SELECT *, CASE WHEN maxx < o_minx THEN maxx WHEN minx > o_maxx THEN minx ELSE greatest(minx, o_minx) END AS x1, CASE WHEN maxx < o_minx THEN o_minx WHEN minx > o_maxx THEN o_maxx ELSE greatest(minx, o_minx) END AS x2,
@@ -156,12 +197,29 @@ _OPEN = """q AS (SELECT p.a, p.b FROM (SELECT *, CASE WHEN maxx < o_minx THEN ma
     WHERE NOT EXISTS (SELECT 1 FROM v_road r WHERE (r.way = 'v' AND x1 <> x2 AND r.at BETWEEN least(x1, x2) AND greatest(x1, x2)) OR (r.way = 'h' AND y1 <> y2 AND r.at BETWEEN least(y1, y2) AND greatest(y1, y2))))"""
 
 
+GAP = 40
+AREA = (5, 5, 394, 394)  # of cells, both ends included
+
+
+def roads(s):
+    """Roads as segments across the plane."""
+    at, far = F.col("at").cast("double"), F.lit(10_000.0)
+    along = F.col("way") == "v"
+    return s.v_road.select(F.when(along, at).otherwise(-far).alias("x1"), F.when(along, -far).otherwise(at).alias("y1"), F.when(along, at).otherwise(far).alias("x2"), F.when(along, far).otherwise(at).alias("y2"))
+
+
 def clustered(s):
-    nodes = s.v_feature.where("project % 8 = 0")
-    pairs = G.unblocked(G.connector(G.close_pairs(nodes, "feature_id", ["project"], 40)), s.v_road)
+    nodes = s.v_feature
+    pairs = G.unblocked(G.connector(G.close_pairs(nodes, "feature_id", ["project"], GAP)), roads(s))
     return nodes, pairs
 
 
+def blocks(s):
+    """Features with the block (root) that they belong to."""
+    nodes, pairs = clustered(s)
+    return G.with_roots(nodes, "feature_id", pairs.select("a", "b"))
+
+
 @R.add("join03_distance_barrier_pairs", f"WITH {_NODES}, {_PAIRS}, {_OPEN} SELECT a, b FROM q")
 def join03(s):
     return clustered(s)[1].select("a", "b")
@@ -176,10 +234,51 @@ def gr01(s):
     return G.with_roots(nodes.select("feature_id"), "feature_id", pairs.select("a", "b"))
 
 
-@R.add("gr02_growth_blocks", f"WITH RECURSIVE {_NODES}, {_PAIRS}, {_OPEN}, {_WALK} SELECT project, row_number() OVER (PARTITION BY project ORDER BY root) AS block_id, members, minx, miny, maxx, maxy FROM (SELECT project, root, count(*) AS members, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM cl JOIN n USING (feature_id) GROUP BY project, root)")
+_DISC2 = "o AS (SELECT dx, dy FROM range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4)"
+_SHUT = f"""own AS (SELECT DISTINCT project, root, cx, cy FROM cell JOIN cl USING (feature_id)), {_DISC2}, wide AS (SELECT DISTINCT project, root, cx + dx AS cx, cy + dy AS cy FROM own, o),
+    shut AS (SELECT project, root, cx + dx AS cx, cy + dy AS cy FROM wide, o GROUP BY ALL HAVING count(*) = 13 UNION SELECT * FROM own)"""
+
+
+@R.add("fn32_block_closing", f"WITH RECURSIVE {CELLS}, {_NODES}, {_PAIRS}, {_OPEN}, {_WALK}, {_SHUT} SELECT project, root, count(*) * 100 AS area, any_value(plain) AS plain_area FROM shut JOIN (SELECT project, root, count(*) * 100 AS plain FROM own GROUP BY ALL) USING (project, root) GROUP BY project, root")
+def fn32(s):
+    """Each block closed over gaps; with a gap of 0 or below, the plain union."""
+    cells = C.cells_of_boxes(blocks(s), ["project", "root"], SIZE)
+    keys = ["project", "root"]
+    shut = C.area(B.closed_blocks(cells, keys, GAP, SIZE), keys, SIZE)
+    plain = C.area(B.closed_blocks(cells, keys, 0, SIZE), keys, SIZE).withColumnRenamed("area", "plain_area")
+    return shut.join(plain, keys)
+
+
+@R.add("gr02_growth_blocks", f"""WITH RECURSIVE {CELLS}, {_NODES}, {_PAIRS}, {_OPEN}, {_WALK}, {_SHUT}, cut AS (SELECT *, {cell_area_sql('cy', SIZE)} AS m2 FROM shut WHERE cx BETWEEN {AREA[0]} AND {AREA[2]} AND cy BETWEEN {AREA[1]} AND {AREA[3]}),
+    found AS (SELECT project, root, round(sum(m2), 2) AS area_m2, round((avg(cx) + 0.5) * {SIZE}, 3) AS centre_x, round((avg(cy) + 0.5) * {SIZE}, 3) AS centre_y FROM cut GROUP BY ALL), m AS (SELECT root, count(*) AS members FROM cl GROUP BY root)
+    SELECT project, row_number() OVER (PARTITION BY project ORDER BY root) AS block_id, members, area_m2, centre_x, centre_y FROM found JOIN m USING (root)""")
 def gr02(s):
-    """Blocks of features near each other: members and extent, numbered by their smallest member."""
-    nodes, pairs = clustered(s)
-    rooted = G.with_roots(nodes, "feature_id", pairs.select("a", "b"))
-    blocks = rooted.groupBy("project", "root").agg(F.count("*").alias("members"), *[F.min(c).alias(c) for c in ("minx", "miny")], *[F.max(c).alias(c) for c in ("maxx", "maxy")])
-    return blocks.withColumn("block_id", F.row_number().over(W.partitionBy("project").orderBy("root")).cast("bigint")).drop("root")
+    """Blocks of features near each other: closed, clipped to the area, with their size on the ellipsoid, centre and number of
+    members, numbered by their smallest member."""
+    return B.growth_blocks(blocks(s), ["project"], GAP, SIZE, AREA).select("project", "block_id", "members", F.round("area_m2", 2).alias("area_m2"), F.round("centre_x", 3).alias("centre_x"), F.round("centre_y", 3).alias("centre_y"))
+
+
+@R.add("fn33_growth_envelope")
+def fn33(s):
+    """Features bridged by a gap, holes filled, smoothed where that loses none of what it was made of, and clipped."""
+    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
+    return B.growth_envelope(cells, ["project"], 2, SIZE, AREA)
+
+
+@R.add("join08_source_counts", f"WITH RECURSIVE {CELLS}, pieces AS (SELECT DISTINCT project, feature_id AS piece, cx, cy FROM cell WHERE layer = 'additions'), {piece_walk_sql('pieces', 'project')} SELECT project, label, count(DISTINCT piece) AS sources, count(DISTINCT (cx, cy)) * 100 AS area FROM lab JOIN pieces USING (project, cx, cy) GROUP BY project, label")
+def join08(s):
+    """Merged regions with the number of polygons in them."""
+    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project", "feature_id"], SIZE)
+    return B.merged_regions(cells, ["project"], "feature_id", 0, SIZE).select("project", "label", "sources", "area")
+
+
+@R.add("join09_road_split", f"""WITH RECURSIVE {CELLS}, source AS (SELECT DISTINCT feature_id, cx, cy FROM cell WHERE layer = 'additions'), grown AS (SELECT DISTINCT feature_id, cx + dx AS cx, cy + dy AS cy FROM source, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy <= 4),
+    r AS (SELECT way, v_road.at // 10 AS c FROM v_road), cut AS (SELECT * FROM grown WHERE cx NOT IN (SELECT c FROM r WHERE way = 'v') AND cy NOT IN (SELECT c FROM r WHERE way = 'h')), {walk_sql('cut', 'feature_id')},
+    touching AS (SELECT DISTINCT feature_id, label FROM lab SEMI JOIN source USING (feature_id, cx, cy)), kept AS (SELECT feature_id, count(*) * 100 AS area FROM lab SEMI JOIN touching USING (feature_id, label) GROUP BY feature_id)
+    SELECT feature_id, coalesce(kept.area, w.area) AS area, kept.area IS NULL AS uncut FROM (SELECT feature_id, count(*) * 100 AS area FROM grown GROUP BY feature_id) w LEFT JOIN kept USING (feature_id)""")
+def join09(s):
+    """Each feature's buffer without the cells of roads: of the parts those that touch the feature, or the whole buffer where
+    nothing would be left."""
+    source = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["feature_id"], SIZE)
+    kept = B.road_split(source, "feature_id", 2, roads(s), SIZE)
+    return kept.groupBy("feature_id").agg((F.count("*") * SIZE * SIZE).alias("area"), F.first("uncut").alias("uncut"))

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.functions import values as V
 from landfold.functions.geometry import bounds, signed_area
-from landfold.operators import cells as C
 from landfold.operators import exports as X
-from landfold.operators.graph import label_cells
 from landfold.plans.base import Registry
 
 R = Registry()
@@ -315,48 +313,3 @@ def snk16(s):
     n = s.v_feature.groupBy("project", "layer").agg(F.count("*").alias("n"))
     j = m.crossJoin(F.broadcast(layers)).join(n, ["project", "layer"], "left")
     return j.select("project", "layer", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("there"))
-
-
-_COMP = """k AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'additions' AND project % 8 = 0), walk(project, cx, cy, label) AS (SELECT project, cx, cy, cy * 2147483648 + cx FROM k UNION SELECT k.project, k.cx, k.cy, label FROM walk w JOIN k ON k.project = w.project AND abs(k.cx - w.cx) + abs(k.cy - w.cy) = 1), lab AS (SELECT project, cx, cy, min(label)::BIGINT AS label FROM walk GROUP BY ALL)"""
-_CELL = "cells AS (SELECT *, unnest(range(minx // 10, maxx // 10)) AS cx FROM v_feature), cell AS (SELECT *, unnest(range(miny // 10, maxy // 10)) AS cy FROM cells)"
-
-
-def merged(s):
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions' AND project % 8 = 0"), ["project", "feature_id"], 10)
-    return cells, label_cells(cells.select("project", "cx", "cy"), ["project"])
-
-
-@R.add("join08_source_counts", f"WITH RECURSIVE {_CELL}, {_COMP} SELECT project, label, count(DISTINCT feature_id) AS sources, count(DISTINCT (cx, cy)) * 100 AS area FROM lab JOIN (SELECT project, feature_id, cx, cy FROM cell WHERE layer = 'additions') USING (project, cx, cy) GROUP BY project, label")
-def join08(s):
-    """Merged regions with the number of polygons in them."""
-    cells, labels = merged(s)
-    j = cells.join(labels, ["project", "cx", "cy"])
-    return j.groupBy("project", "label").agg(F.count_distinct("feature_id").alias("sources"), (F.count_distinct("cx", "cy") * 100).alias("area"))
-
-
-@R.add("join09_road_split", "WITH " + _CELL + ", k AS (SELECT DISTINCT project, cx + dx AS cx, cy + dy AS cy FROM cell, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE layer = 'additions' AND project % 8 = 0 AND dx * dx + dy * dy <= 1), r AS (SELECT way, v_road.at // 10 AS c FROM v_road) SELECT project, count(*) * 100 AS area FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE (way = 'v' AND c = cx) OR (way = 'h' AND c = cy)) GROUP BY project")
-def join09(s):
-    """Buffers without the cells of roads."""
-    cells = C.dilate(C.cells_of_boxes(s.v_feature.where("layer = 'additions' AND project % 8 = 0"), ["project"], 10), ["project"], 1)
-    roads = s.v_road.select("way", F.floor(F.col("at") / 10).alias("c"))
-    for way, axis in (("v", "cx"), ("h", "cy")):
-        bars = F.broadcast(roads.where(F.col("way") == way).select(F.col("c").alias(axis)).distinct())
-        cells = cells.join(bars, axis, "left_anti")
-    return C.area(cells, ["project"], 10)
-
-
-@R.add("fn32_block_closing", f"WITH RECURSIVE {_CELL}, {_COMP} SELECT project, label, count(*) AS cells, min(cx) AS cx0, max(cx) AS cx1 FROM lab GROUP BY project, label HAVING count(*) >= 10")
-def fn32(s):
-    """Closing by component; a gap of 0 or below is the plain union."""
-    _, labels = merged(s)
-    shut = C.close(labels, ["project", "label"], 0)
-    return shut.groupBy("project", "label").agg(F.count("*").alias("cells"), F.min("cx").alias("cx0"), F.max("cx").alias("cx1")).where("cells >= 10")
-
-
-@R.add("fn33_growth_envelope")
-def fn33(s):
-    """Components bridged by a gap, their holes filled: cells of the complement that don't reach the border. A check: the
-    envelope covers all that it was made of."""
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], 10)
-    wide = C.close(cells, ["project"], 2)
-    return X.filled(wide, ["project"]).groupBy("project").agg(F.count("*").alias("cells"))

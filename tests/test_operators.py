@@ -12,7 +12,7 @@ from landfold.functions import geometry as G
 from landfold.functions import grid
 from landfold.functions import values as V
 from landfold.operators import cells as C
-from landfold.operators import graph, metrics, raster, records
+from landfold.operators import blocks, exports, graph, metrics, raster, records
 from landfold.sources.views import view
 from landfold.streaming import jobs
 
@@ -118,9 +118,77 @@ def test_growth_blocks_and_roads(spark):
     near = spark.createDataFrame([(1, 1, 0, 0, 4, 4), (1, 2, 9, 0, 13, 4), (1, 3, 60, 0, 64, 4)], "k int, id bigint, minx bigint, miny bigint, maxx bigint, maxy bigint")
     pairs = graph.connector(graph.close_pairs(near, "id", ["k"], 20))
     assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
-    road = spark.createDataFrame([("v", 6)], "way string, at bigint")
-    assert graph.unblocked(pairs, road).count() == 0
-    assert graph.unblocked(pairs, road.where("at > 10")).count() == 1
+    roads = lambda *lines: spark.createDataFrame(list(lines), "x1 double, y1 double, x2 double, y2 double")
+    assert graph.unblocked(pairs, roads((6.0, -900.0, 6.0, 900.0))).count() == 0
+    assert graph.unblocked(pairs, roads((6.0, 50.0, 6.0, 900.0), (-90.0, -10.0, 90.0, -10.0))).count() == 1
+    assert graph.unblocked(pairs, roads((0.0, -700.0, 13.0, 705.0))).count() == 0  # aslant, between the two
+    assert graph.unblocked(pairs, roads((20.0, -700.0, 33.0, 705.0))).count() == 1
+
+
+def crosses(a, b, c, d):
+    """Closed segments, by exact arithmetic."""
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    sign = lambda v: (v > 0) - (v < 0)
+    over = lambda k: max(min(a[k], b[k]), min(c[k], d[k])) <= min(max(a[k], b[k]), max(c[k], d[k]))
+    return sign(side(a, b, c)) * sign(side(a, b, d)) <= 0 and sign(side(c, d, a)) * sign(side(c, d, b)) <= 0 and over(0) and over(1)
+
+
+def test_barriers_by_brute_force(spark):
+    rng = random.Random(8)
+    point = lambda: (float(rng.randrange(0, 3000)), float(rng.randrange(0, 3000)))
+    lines = []
+    for k in range(150):
+        x, y = point()
+        lines.append((k, k + 1000, x, y, x + rng.randrange(-60, 61), y + rng.randrange(-60, 61)))
+    bars = [(*point(), *point()) for _ in range(25)]
+    pairs = spark.createDataFrame(lines, "a bigint, b bigint, x1 double, y1 double, x2 double, y2 double")
+    got = {r.a for r in graph.unblocked(pairs, spark.createDataFrame(bars, "x1 double, y1 double, x2 double, y2 double"), 128.0).collect()}
+    want = {a for a, _, *l in lines if l[:2] == l[2:] or not any(crosses(l[:2], l[2:], r[:2], r[2:]) for r in bars)}
+    assert got == want and 0 < len(got) < 150
+
+
+def brute_labels(cells, eight=False):
+    steps = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x or y) and (eight or not (x and y))]
+    out = {}
+    for seed in sorted(cells, key=lambda c: (c[0], c[2], c[1])):
+        todo = [] if seed in out else [seed]
+        while todo:
+            k, x, y = todo.pop()
+            if (k, x, y) in out:
+                continue
+            out[k, x, y] = seed[2] * (1 << 31) + seed[1]
+            todo += [c for i, j in steps if (c := (k, x + i, y + j)) in cells and c not in out]
+    return out
+
+
+@pytest.mark.parametrize("eight", [False, True])
+@pytest.mark.parametrize("one_task", [0, 50_000])
+def test_labels_across_squares(spark, monkeypatch, eight, one_task):
+    """Components that pass many squares, under keys with nulls, by the star rounds and in one task."""
+    rng = random.Random(3)
+    cells = {(k, x, y) for k in ("a", None) for x in range(-7, 30) for y in range(-5, 27) if rng.random() < 0.57}
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", one_task)
+    frame = spark.createDataFrame([*cells, *list(cells)[:40]], "k string, cx bigint, cy bigint")
+    got = graph.label_cells(frame, ["k"], size=8, eight=eight).collect()
+    want = brute_labels({(k or "", x, y) for k, x, y in cells}, eight)
+    assert len(got) == len(cells) and {(r.k or "", r.cx, r.cy): r.label for r in got} == want
+
+
+def test_running_numbers(spark):
+    frame = spark.range(500).withColumn("h", F.xxhash64("id"))
+    got = sorted(graph.numbered(frame, ["h"], "n").collect(), key=lambda r: r.h)
+    assert [r.n for r in got] == list(range(1, 501))
+
+
+def test_road_split_keeps_touching_parts(spark):
+    """A road beside a feature takes off the far part of its buffer; one over the whole feature leaves the buffer uncut."""
+    source = spark.createDataFrame([(1, 0, 0), (2, 100, 0)], "id bigint, cx bigint, cy bigint")
+    roads = spark.createDataFrame([(15.0, -900.0, 15.0, 900.0), (1005.0, -900.0, 1005.0, 900.0)], "x1 double, y1 double, x2 double, y2 double")
+    got = {}
+    for r in blocks.road_split(source, "id", 2, roads, 10).collect():
+        got.setdefault((r.id, r.uncut), set()).add((r.cx, r.cy))
+    disc = {(x, y) for x in range(-2, 3) for y in range(-2, 3) if x * x + y * y <= 4}
+    assert got == {(1, False): {c for c in disc if c[0] < 1}, (2, True): {(100 + x, y) for x, y in disc}}
 
 
 def test_timing_summary(spark):
@@ -199,17 +267,18 @@ def test_json_stream_drops_broken_lines(spark, tmp_path):
 
 
 def test_growth_envelope_of_every_project(spark):
-    from landfold.plans import values
+    from landfold.plans import growth
 
     sf_dir = "/root/testdata/sf0.001"
     boxes = view(spark, sf_dir, "v_feature").where("layer = 'additions'").select("project", "minx", "miny", "maxx", "maxy").collect()
-    got = {r.project: r.cells for r in values.QUERIES["fn33_growth_envelope"](spark, sf_dir).collect()}
-    assert set(got) == {b.project for b in boxes}
-    offsets = [(x, y) for x in range(-2, 3) for y in range(-2, 3) if x * x + y * y <= 4]
+    got = {r.project: r for r in growth.QUERIES["fn33_growth_envelope"](spark, sf_dir).collect()}
+    assert set(got) == {b.project for b in boxes} and all(r.covered for r in got.values())
+    disc = lambda n: [(x, y) for x in range(-n, n + 1) for y in range(-n, n + 1) if x * x + y * y <= n * n]
+    grown = lambda s, n: {(x + i, y + j) for x, y in s for i, j in disc(n)}
+    shrunk = lambda s, n: {(x, y) for x, y in s if all((x + i, y + j) in s for i, j in disc(n))}
     for project in (0, 3, 21):
         base = {(x, y) for b in boxes if b.project == project for x in range(b.minx // 10, b.maxx // 10) for y in range(b.miny // 10, b.maxy // 10)}
-        wide = {(x + i, y + j) for x, y in base for i, j in offsets}
-        shut = base | {(x, y) for x, y in wide if all((x + i, y + j) in wide for i, j in offsets)}
+        shut = base | shrunk(grown(base, 2), 2)
         (x0, x1), (y0, y1) = ((min(v) - 1, max(v) + 1) for v in zip(*shut, strict=True))
         seen, todo = {(x0, y0)}, [(x0, y0)]
         while todo:
@@ -218,4 +287,18 @@ def test_growth_envelope_of_every_project(spark):
             near = {(i, j) for i, j in near if x0 <= i <= x1 and y0 <= j <= y1}
             seen |= near
             todo += near
-        assert got[project] == (x1 - x0 + 1) * (y1 - y0 + 1) - len(seen)
+        whole = {(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)} - seen
+        smooth = grown(shrunk(whole, 1), 1)
+        cut = {(x, y) for x, y in (smooth if base <= smooth else whole) if 5 <= x <= 394 and 5 <= y <= 394}
+        assert (got[project].cells, got[project].smoothed) == (len(cut), base <= smooth)
+        assert abs(got[project].area_m2 / len(cut) / 103.6 - 1) < 0.01  # a cell of 0.0001 degrees at 33 degrees north
+
+
+def test_holes_are_filled(spark):
+    """A hole closed by a corner alone, an island inside a hole, and a bay that stays open."""
+    ring = {(x, y) for x in range(7) for y in range(7) if not (0 < x < 6 and 0 < y < 6)} | {(3, 3)}
+    corner = {(20, 21), (21, 20), (22, 21), (21, 22)}
+    bay = {(30, 0), (30, 1), (30, 2), (31, 2), (32, 2), (32, 1), (32, 0)}
+    frame = spark.createDataFrame([(1, x, y) for x, y in ring | corner | bay], "k int, cx bigint, cy bigint")
+    got = {(r.cx, r.cy) for r in exports.filled(frame, ["k"]).collect()}
+    assert got == {(x, y) for x in range(7) for y in range(7)} | corner | {(21, 21)} | bay
