@@ -80,6 +80,31 @@ def with_roots(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups, with the place where each group begins. The last group of a batch waits for the
+    next one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for c in group:
+            found = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= found[1:] != found[:-1]
+        new[0] = not held or any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in group)
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            held.append(batch)
+            continue
+        last, before = int(starts[-1]), sum(b.num_rows for b in held)
+        begins = np.concatenate([[0] if held else [], starts[:-1] + before]).astype(np.int64)
+        if len(begins):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]), begins
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
+
+
 def label_chunks(cells: DataFrame, keys: list[str], size: int = CHUNK, eight: bool = False) -> DataFrame:
     """Components within squares of `size` cells: (keys, cx, cy, bx, by, nx, ny), where (bx, by) is the square and (nx, ny) the
     first cell, by rows, of the component in it. Neighbours share a side, or with `eight` a corner. One exchange, by square;
@@ -89,9 +114,6 @@ def label_chunks(cells: DataFrame, keys: list[str], size: int = CHUNK, eight: bo
     group = [*keys, "bx", "by"]
     steps = (size + 2, size + 1, size + 3) if eight else (size + 2,)
 
-    def numbers(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-
     def label(rows: pa.Table, starts: np.ndarray) -> pa.Table:
         cx, cy = rows["cx"].to_numpy(), rows["cy"].to_numpy()
         own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
@@ -108,24 +130,8 @@ def label_chunks(cells: DataFrame, keys: list[str], size: int = CHUNK, eight: bo
         return rows.append_column("nx", pa.array(cx[least])).append_column("ny", pa.array(cy[least]))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            if not len(rows):
-                continue
-            new = np.zeros(len(rows), bool)
-            for c in group:
-                found = numbers(rows[c])
-                new[1:] |= found[1:] != found[:-1]
-            new[0] = True
-            starts = np.flatnonzero(new)
-            last = int(starts[-1])  # the last square may go on
-            if last:
-                yield from label(rows.slice(0, last), starts[:-1]).to_batches()
-            held = rows.slice(last)
-        if held is not None and len(held):
-            yield from label(held, np.zeros(1, np.int64)).to_batches()
+        for rows, starts in whole_groups(batches, group):
+            yield from label(rows, starts).to_batches()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
     return dealt.sortWithinPartitions(*group, "cy", "cx").mapInArrow(over, f"{kinds}, nx bigint, ny bigint")

@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landfold.functions.geometry import cell_area_m2
 from landfold.operators import cells as C
-from landfold.operators.graph import label_cells
+from landfold.operators.graph import label_cells, label_chunks, whole_groups
 
 
 def to_cells(pixels: DataFrame) -> DataFrame:
@@ -49,6 +51,15 @@ def pair(pixels: DataFrame, a: str = "t1", b: str = "t2") -> DataFrame:
     return pixels.groupBy("row", "col").agg(one(a).alias("p1"), one(b).alias("p2"))
 
 
+def aligned(headers: DataFrame, a: str, b: str) -> DataFrame:
+    """headers: (raster, height, width, crs, transform). The pair with its mismatches, in this order; none if aligned. A raster
+    that isn't there differs in everything."""
+    fields = ("height", "width", "crs", "transform")
+    one, two = (headers.where(F.col("raster") == r).select(F.lit(1).alias("_k"), F.struct(*fields).alias(f"_{k}")) for k, r in (("a", a), ("b", b)))
+    differs = [F.when(~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), f) for f in fields]
+    return one.join(two, "_k", "full").select(F.lit(a).alias("t1"), F.lit(b).alias("t2"), F.array_compact(F.array(*differs)).alias("mismatches"))
+
+
 def dilate_mask(mask: DataFrame, pixels: int, bounds: tuple[int, int] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """3 x 3 dilation, repeated: all within a Chebyshev radius; 0 or below changes nothing. bounds: height and width."""
     out = to_pixels(C.dilate(to_cells(mask), list(keys), pixels, square=True))
@@ -84,10 +95,11 @@ def new_objects(both: DataFrame, change: str, t: float, object_t: float, dilatio
     return now.join(old, ["row", "col"], "left_anti")
 
 
-def regions(labelled: DataFrame, pixels: DataFrame) -> DataFrame:
-    """One row per component: pixels, mean and greatest probability over its own pixels, extent and centroid."""
-    joined = labelled.join(pixels.select("row", "col", "p"), ["row", "col"])
-    return joined.groupBy("label").agg(F.count("*").alias("pixels"), F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"), (F.avg("col") + 0.5).alias("centre_x"), (F.avg("row") + 0.5).alias("centre_y"))
+def regions(labelled: DataFrame, pixels: DataFrame, size: int = 10) -> DataFrame:
+    """One row per component: pixels, mean and greatest probability over its own pixels (values that aren't numbers don't
+    count), extent, centroid, and the area on the ellipsoid of a grid of the metric plane whose pixels are `size` wide."""
+    joined = labelled.join(pixels.select("row", "col", F.nanvl("p", F.lit(None).cast("double")).alias("p")), ["row", "col"])
+    return joined.groupBy("label").agg(F.sum(cell_area_m2("row", size)).alias("area_m2"), F.count("*").alias("pixels"), F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"), (F.avg("col") + 0.5).alias("centre_x"), (F.avg("row") + 0.5).alias("centre_y"))
 
 
 def boundary_edges(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
@@ -101,19 +113,14 @@ def boundary_edges(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFra
     return once.select(*keys, "label", "e.*")
 
 
-def outlines(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
-    """(keys, label, ring, points): closed rings chained from the boundary edges, the outer one first. One component's outline is
-    held by one task; it is as long as its edge, not its area."""
-
-    def chain(edges: pd.DataFrame) -> pd.DataFrame:
-        after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x1, y1, x2, y2 in edges[["x1", "y1", "x2", "y2"]].sort_values(["y1", "x1", "y2", "x2"]).itertuples(index=False):
-            after.setdefault((x1, y1), []).append((x2, y2))
-        rings, starts = [], sorted(after, key=lambda p: (p[1], p[0]), reverse=True)
-        while after:
-            while starts[-1] not in after:  # its edges are in earlier rings
-                starts.pop()
-            start = starts[-1]
+def _rings(edges: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Closed rings of one component's edges (rows of x1, y1, x2, y2, sorted by y1, x1)."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x1, y1, x2, y2 in edges.tolist():
+        after.setdefault((x1, y1), []).append((x2, y2))
+    rings = []
+    for start in list(after):
+        while start in after:
             ring, at, came = [start], start, (1, 0)
             while True:
                 options = after[at]
@@ -130,45 +137,142 @@ def outlines(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
                 at, came = nxt, step
                 if at == start:
                     break
-            rings.append([{"x": float(x), "y": float(y)} for x, y in ring])
-        return pd.DataFrame({**{c: [edges[c].iloc[0]] * len(rings) for c in [*keys, "label"]}, "ring": range(len(rings)), "points": rings})
-
-    kinds = "".join(f"`{k}` {labelled.schema[k].dataType.simpleString()}, " for k in keys)
-    return boundary_edges(labelled, keys).groupBy(*keys, "label").applyInPandas(chain, kinds + "label bigint, ring int, points array<struct<x: double, y: double>>")
+            rings.append(ring)
+    return rings
 
 
-def predict(windows: DataFrame, chunked: DataFrame, predictor: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Windows (raster, index, y0, y1, x0, x1) joined to the chunks that they touch, and a predictor over pandas batches of
-    the joined rows; it is made once per worker process."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def outlines(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """(keys, label, ring, points): closed rings chained from the boundary edges, the outer one first. One component's outline is
+    held by one task; it is as long as its edge, not its area."""
+    group = [*keys, "label"]
+    dealt = boundary_edges(labelled, keys).repartition(*group).sortWithinPartitions(*group, "y1", "x1", "y2", "x2")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, group):
+            edges = np.stack([rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+            found = [_rings(part) for part in np.split(edges, starts[1:])]
+            own = pa.array(np.repeat(starts, [len(f) for f in found]))
+            rings = [ring for f in found for ring in f]
+            points = np.array([p for ring in rings for p in ring], float).reshape(-1, 2)
+            ends = pa.array(np.cumsum([0, *map(len, rings)]), pa.int32())
+            listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"]))
+            number = pa.array([k for f in found for k in range(len(f))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(rows[c].take(own).combine_chunks() for c in group), number, listed], [*group, "ring", "points"])
+
+    kinds = "".join(f"`{k}` {labelled.schema[k].dataType.simpleString()}, " for k in group)
+    return dealt.mapInArrow(over, kinds + "ring int, points array<struct<x: double, y: double>>")
+
+
+#: (tile, t1, t2, masks) -> (probability, mask, metadata): a window's place, both dates' values and validity as arrays of its
+#: shape, and what a model makes of them.
+Predictor = Callable[[dict, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, dict]]
+PATCH = "raster string, index bigint, y0 bigint, x0 bigint, h bigint, w bigint, p array<double>, mask array<boolean>, metadata map<string, string>"
+_MADE: dict = {}
+
+
+def _made(make: Callable[[], Predictor]) -> Predictor:
+    """One predictor for each worker process and factory."""
+    key = (make.__module__, make.__qualname__)
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def paired_chunks(pixels: DataFrame, a: str = "t1", b: str = "t2", size: int = 32) -> DataFrame:
+    """Chunks of both dates side by side: (raster, chunk_row, chunk_col, row0, col0, h, w, v1, v2, m1, m2), the masks being where
+    a date has a value."""
+    both = pair(pixels, a, b).withColumns({"chunk_row": F.floor(F.col("row") / size), "chunk_col": F.floor(F.col("col") / size)})
+    cell = F.array_sort(F.collect_list(F.struct("row", "col", "p1", "p2")))
+    found = both.groupBy("chunk_row", "chunk_col").agg(cell.alias("c"), F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"))
+    band = lambda k: F.transform("c", lambda x: F.coalesce(x[k], F.lit(0.0)))
+    there = lambda k: F.transform("c", lambda x: x[k].isNotNull())
+    return found.select(F.lit(f"{a}-{b}").alias("raster"), "chunk_row", "chunk_col", "row0", "col0", "h", "w", band("p1").alias("v1"), band("p2").alias("v2"), there("p1").alias("m1"), there("p2").alias("m2"))
+
+
+def predict(windows: DataFrame, chunked: DataFrame, size: int, make: Callable[[], Predictor]) -> DataFrame:
+    """Windows (raster, index, y0, y1, x0, x1) over paired chunks of `size`: PATCH rows, one for each window.
+
+    Each window names the chunks that it touches, meets them by an equi-join, and is put together whole before the predictor
+    sees it; `make` is called once in a worker process. Chunks that aren't there leave their part of the masks off."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows.iloc[0]
+        tile = {c: head[c] if c == "raster" else int(head[c]) for c in ("raster", "index", "y0", "y1", "x0", "x1")}
+        h, w = tile["y1"] - tile["y0"], tile["x1"] - tile["x0"]
+        bands = {c: np.zeros((h, w), bool if c[0] == "m" else float) for c in ("v1", "v2", "m1", "m2")}
+        for c in rows.itertuples(index=False):
+            top, bottom = max(tile["y0"], c.row0), min(tile["y1"], c.row0 + c.h)
+            left, right = max(tile["x0"], c.col0), min(tile["x1"], c.col0 + c.w)
+            if top < bottom and left < right:
+                for name, whole in bands.items():
+                    part = np.asarray(getattr(c, name)).reshape(c.h, c.w)[top - c.row0 : bottom - c.row0, left - c.col0 : right - c.col0]
+                    whole[top - tile["y0"] : bottom - tile["y0"], left - tile["x0"] : right - tile["x0"]] = part
+        p, mask, told = _made(make)(tile, bands["v1"], bands["v2"], (bands["m1"], bands["m2"]))
+        mask = np.asarray(mask, bool) & bands["m1"] & bands["m2"]
+        return pd.DataFrame([(tile["raster"], tile["index"], tile["y0"], tile["x0"], h, w, np.asarray(p, float).ravel(), mask.ravel(), {k: str(v) for k, v in told.items()})], columns=[f.split()[0] for f in PATCH.split(", ", 8)])
+
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor((F.col(high) - 1) / size)))
+    wanted = windows.select("raster", "index", "y0", "y1", "x0", "x1").withColumn("chunk_row", span("y0", "y1")).withColumn("chunk_col", span("x0", "x1"))
+    return wanted.join(chunked, ["raster", "chunk_row", "chunk_col"]).groupBy("raster", "index").applyInPandas(run, PATCH)
+
+
+def mosaic(patches: DataFrame, size: int) -> DataFrame:
+    """PATCH rows laid over one another in the order of their index, the last one's values staying: chunks (raster, chunk_row,
+    chunk_col, row0, col0, h, w, p, mask, writes). Patches are cut at the chunks' borders and only arrays are exchanged."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield predictor(batch)
-
-    held = chunked.withColumnRenamed("raster", "_raster")
-    rows = (F.col("y0") < F.col("row0") + F.col("h")) & (F.col("y1") > F.col("row0"))
-    cols = (F.col("x0") < F.col("col0") + F.col("w")) & (F.col("x1") > F.col("col0"))
-    return windows.join(held, (F.col("raster") == F.col("_raster")) & rows & cols).drop("_raster").mapInPandas(run, schema)
-
-
-def last_write_wins(predicted: DataFrame, key: list[str], value: str, order: str) -> DataFrame:
-    """Overlapping windows: the value of the last one stays."""
-    return predicted.groupBy(*key).agg(F.max_by(value, order).alias(value))
-
-
-def window_of(batch: pd.DataFrame) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each joined row's part of its chunk inside the window: the row, rows, columns and values."""
-    for row in batch.itertuples(index=False):
-        values = np.asarray(row.values, np.float64).reshape(row.h, row.w)
-        a, b = max(row.y0, row.row0), min(row.y1, row.row0 + row.h)
-        c, d = max(row.x0, row.col0), min(row.x1, row.col0 + row.w)
-        rr, cc = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-        yield row, rr.ravel(), cc.ravel(), values[a - row.row0 : b - row.row0, c - row.col0 : d - row.col0].ravel()
-
-
-def resample(pixels: DataFrame, scale: float, height: int, width: int, nearest: bool) -> DataFrame:
-    """Values on a grid whose pixels are `scale` source pixels wide: the nearest source pixel, or four weighted ones."""
-    spark = pixels.sparkSession
-    grid = spark.range(height).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint"))))
+            out = []
+            for t in batch.itertuples(index=False):
+                p, mask = np.asarray(t.p).reshape(t.h, t.w), np.asarray(t.mask).reshape(t.h, t.w)
+                for r in range(t.y0 // size, (t.y0 + t.h - 1) // size + 1):
+                    for c in range(t.x0 // size, (t.x0 + t.w - 1) // size + 1):
+                        rows = slice(max(0, r * size - t.y0), min(t.h, (r + 1) * size - t.y0))
+                        cols = slice(max(0, c * size - t.x0), min(t.w, (c + 1) * size - t.x0))
+                        part = p[rows, cols]
+                        out.append((t.raster, r, c, t.index, t.y0 + rows.start, t.x0 + cols.start, *part.shape, part.ravel(), mask[rows, cols].ravel()))
+            yield pd.DataFrame(out, columns=["raster", "chunk_row", "chunk_col", "index", "y0", "x0", "h", "w", "p", "mask"])
+
+    def lay(parts: pd.DataFrame) -> pd.DataFrame:
+        row0, col0 = int(parts.y0.min()), int(parts.x0.min())
+        shape = int((parts.y0 + parts.h).max()) - row0, int((parts.x0 + parts.w).max()) - col0
+        p, mask, writes = np.full(shape, np.nan), np.zeros(shape, bool), np.zeros(shape, int)
+        for t in parts.sort_values("index").itertuples(index=False):
+            at = slice(t.y0 - row0, t.y0 - row0 + t.h), slice(t.x0 - col0, t.x0 - col0 + t.w)
+            p[at], mask[at] = np.reshape(t.p, (t.h, t.w)), np.reshape(t.mask, (t.h, t.w))
+            writes[at] += 1
+        first = parts.iloc[0]
+        return pd.DataFrame([(first.raster, first.chunk_row, first.chunk_col, row0, col0, *shape, p.ravel(), mask.ravel(), writes.ravel())], columns=["raster", "chunk_row", "chunk_col", "row0", "col0", "h", "w", "p", "mask", "writes"])
+
+    place = "raster string, chunk_row bigint, chunk_col bigint"
+    parts = patches.mapInPandas(cut, f"{place}, index bigint, y0 bigint, x0 bigint, h bigint, w bigint, p array<double>, mask array<boolean>")
+    return parts.groupBy("raster", "chunk_row", "chunk_col").applyInPandas(lay, f"{place}, row0 bigint, col0 bigint, h bigint, w bigint, p array<double>, mask array<boolean>, writes array<bigint>")
+
+
+def mosaic_pixels(chunked: DataFrame) -> DataFrame:
+    """(raster, row, col, p, mask, writes) of a mosaic, without what no patch has written."""
+    zipped = F.posexplode(F.arrays_zip("p", "mask", "writes")).alias("k", "v")
+    rows = chunked.select("raster", "row0", "col0", "w", zipped).where("v.writes > 0")
+    return rows.select("raster", (F.col("row0") + F.floor(F.col("k") / F.col("w"))).alias("row"), (F.col("col0") + F.col("k") % F.col("w")).alias("col"), "v.*")
+
+
+def tile_regions(mask: DataFrame, size: int) -> DataFrame:
+    """mask: (raster, row, col, p). Regions within tiles of `size`, not joined across their borders: (raster, tile_row, tile_col,
+    label, pixels, extent), and mean_probability, which is over the tile's whole mask and not the region's."""
+    cells = to_cells(mask)
+    found = label_chunks(cells, ["raster"], size).withColumn("label", F.col("ny") * (1 << 31) + F.col("nx"))
+    extent = [f(c).alias(n) for f, c, n in ((F.min, "cy", "row0"), (F.max, "cy", "row1"), (F.min, "cx", "col0"), (F.max, "cx", "col1"))]
+    regions_ = found.groupBy("raster", "by", "bx", "label").agg(F.count("*").alias("pixels"), *extent)
+    tile = cells.groupBy("raster", F.floor(F.col("cy") / size).alias("by"), F.floor(F.col("cx") / size).alias("bx")).agg(F.avg("p").alias("mean_probability"))
+    return regions_.join(tile, ["raster", "by", "bx"]).withColumnsRenamed({"by": "tile_row", "bx": "tile_col"})
+
+
+def resample(pixels: DataFrame, scale: float, nearest: bool) -> DataFrame:
+    """Values on a grid whose pixels are `scale` source pixels wide and that ends where each raster does: the nearest source
+    pixel, or the weighted mean of those of four that are there."""
+    sizes = pixels.groupBy("raster").agg(F.floor((F.max("row") + 1) / scale).cast("bigint").alias("_h"), F.floor((F.max("col") + 1) / scale).cast("bigint").alias("_w"))
+    upto = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>")))
+    grid = sizes.select("raster", upto("_h").alias("row"), "_w").withColumn("col", upto("_w")).drop("_w")
     y, x = (F.col("row") + 0.5) * scale - 0.5, (F.col("col") + 0.5) * scale - 0.5
     if nearest:
         want = grid.withColumns({"sr": F.floor(y + 0.5), "sc": F.floor(x + 0.5), "weight": F.lit(1.0)})
@@ -178,5 +282,5 @@ def resample(pixels: DataFrame, scale: float, height: int, width: int, nearest:
         part = lambda v, k: F.when(k == 1, v - F.floor(v)).otherwise(1 - (v - F.floor(v)))
         want = want.withColumns({"sr": F.floor("y") + F.col("c.a"), "sc": F.floor("x") + F.col("c.b"), "weight": part(F.col("y"), F.col("c.a")) * part(F.col("x"), F.col("c.b"))}).where("weight > 0")
     source = pixels.select("raster", F.col("row").alias("sr"), F.col("col").alias("sc"), "p")
-    joined = source.join(want, ["sr", "sc"])
+    joined = source.join(want, ["raster", "sr", "sc"])
     return joined.groupBy("raster", "row", "col").agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("p"))

@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landfold.functions import grid
+from landfold.functions.geometry import cell_area_sql
 from landfold.operators import raster as P
+from landfold.operators.graph import numbered
 from landfold.plans.base import Registry
 from landfold.plans.growth import SIZE
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
+#: What two dates of a raster are.
+PAIR = {"release_t1": "t1", "release_t2": "t2", "date_t1": "2020-01-01", "date_t2": "2021-01-01"}
 #: Columns of a raster; its rows grow with the table.
 WIDTH = 64
 _T1 = "(SELECT row, col, p FROM v_pixel WHERE raster = 't1')"
 _BOTH = "bo AS (SELECT row, col, max(CASE WHEN raster = 't1' THEN p END) AS p1, max(CASE WHEN raster = 't2' THEN p END) AS p2 FROM v_pixel GROUP BY row, col)"
 _MASK = "m AS (SELECT row, col FROM v_pixel WHERE raster = 't1' AND p >= 0.62)"
 #: Components by a recursive walk.
-_LABEL = "m AS (SELECT row, col FROM v_pixel WHERE raster = 't1' AND p >= 0.68), walk(row, col, label) AS (SELECT row, col, row * 2147483648 + col FROM m UNION SELECT m.row, m.col, label FROM walk w JOIN m ON abs(m.row - w.row) + abs(m.col - w.col) = 1), lab AS (SELECT row, col, min(label)::BIGINT AS label FROM walk GROUP BY row, col)"
+_LABEL = "m AS (SELECT row, col FROM v_pixel WHERE raster = 't1' AND p >= 0.68), walk(row, col, label) AS (SELECT row, col, row * 2147483648 + col FROM m UNION SELECT m.row, m.col, label FROM walk w, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx), m WHERE m.row = w.row + dy AND m.col = w.col + dx), lab AS (SELECT row, col, min(label)::BIGINT AS label FROM walk GROUP BY row, col)"
 
 
 def t1(s):
@@ -68,7 +70,7 @@ def ras02(s):
 @R.add("ras03_small_components", f"WITH RECURSIVE {_LABEL} SELECT label, count(*) AS pixels, dense_rank() OVER (ORDER BY label) AS region FROM lab GROUP BY label HAVING count(*) >= 3")
 def ras03(s):
     kept = P.large_components(labelled(s), 3).groupBy("label").agg(F.count("*").alias("pixels"))
-    return kept.withColumn("region", F.dense_rank().over(W.orderBy("label")).cast("bigint"))
+    return numbered(kept, ["label"], "region")
 
 
 @R.add("ras04_edge_suppression", f"WITH RECURSIVE {_LABEL}, ref AS (SELECT row, col FROM v_pixel WHERE raster = 't2' AND p >= 0.85), near AS (SELECT DISTINCT row + dy AS row, col + dx AS col FROM ref, range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE dx * dx + dy * dy < 4), far AS (SELECT label, count(*) AS n FROM lab ANTI JOIN near USING (row, col) GROUP BY label HAVING count(*) >= 2) SELECT row, col, label FROM lab SEMI JOIN far USING (label)")
@@ -123,37 +125,56 @@ def ras07(s):
     return w.where("index % 3 = 0").select("raster", "index", (F.col("index") * 16 + 4).alias("row0"), (F.col("index") * 16 + 11).alias("row1"))
 
 
-def _halved(batch: pd.DataFrame) -> pd.DataFrame:
-    """A model of the query: half the value plus a hundredth of the window's number."""
-    out = []
-    for row, r, c, v in P.window_of(batch):
-        out.append(pd.DataFrame({"raster": row.raster, "index": row.index, "row": r, "col": c, "p": v / 2 + (row.index % 10) / 100}))
-    return pd.concat(out) if out else pd.DataFrame({"raster": pd.Series(dtype=str), "index": pd.Series(dtype=np.int64), "row": pd.Series(dtype=np.int64), "col": pd.Series(dtype=np.int64), "p": pd.Series(dtype=np.float64)})
+def _rising() -> P.Predictor:
+    """The query's model: what the second date has more, and a hundredth of the window's number; on where that is over 0.3."""
 
+    def predictor(tile, t1, t2, masks):
+        p = np.clip(t2 - t1, 0, 1) + tile["index"] % 10 / 100
+        return p, p >= 0.3, {"pixels": int((masks[0] & masks[1]).sum())}
 
-@R.add("ras08_tiled_prediction", f"""WITH h AS (SELECT raster, max(row) + 1 AS height FROM v_pixel GROUP BY raster), o AS (SELECT *, list_sort(list_distinct(list_concat(list_filter(range(0, height, 24), lambda v: v + 32 < height), [greatest(0, height - 32)]))) AS ys FROM h),
-    y AS (SELECT *, unnest(ys) AS y0, generate_subscripts(ys, 1) - 1 AS i FROM o), w AS (SELECT raster, i * 3 + j AS index, y0, x0 FROM y, (VALUES (0, 0), (1, 24), (2, 32)) x(j, x0)), pr AS (SELECT p.raster, index, row, col, p / 2 + (index % 10) / 100.0 AS q FROM v_pixel p JOIN w ON w.raster = p.raster AND row >= y0 AND row < y0 + 32 AND col >= x0 AND col < x0 + 32)
-    SELECT raster, row, col, round(arg_max(q, index), 6) AS p, count(*) AS writes FROM pr GROUP BY raster, row, col""")
+    return predictor
+
+
+_WINDOWS = f"""{_BOTH}, h AS (SELECT max(row) + 1 AS height FROM bo), o AS (SELECT *, list_sort(list_distinct(list_concat(list_filter(range(0, height, 24), lambda v: v + 32 < height), [greatest(0, height - 32)]))) AS ys FROM h),
+    y AS (SELECT *, unnest(ys) AS y0, generate_subscripts(ys, 1) - 1 AS i FROM o), w AS (SELECT i * 3 + j AS index, y0, x0 FROM y, (VALUES (0, 0), (1, 24), (2, 32)) x(j, x0)), pr AS (SELECT index, row, col, greatest(0, least(1, p2 - p1)) + (index % 10) / 100.0 AS q FROM bo JOIN w ON row >= y0 AND row < y0 + 32 AND col >= x0 AND col < x0 + 32)"""
+
+
+@R.add("ras08_tiled_prediction", f"WITH {_WINDOWS} SELECT row, col, round(arg_max(q, index), 6) AS p, arg_max(q, index) >= 0.3 AS mask, count(*) AS writes FROM pr GROUP BY row, col")
 def ras08(s):
-    """Overlapping windows over chunks: the last window's value stays, while statistics count overlaps as often as they come."""
-    headers = s.v_pixel.groupBy("raster").agg((F.max("row") + 1).alias("height"), F.lit(WIDTH).cast("bigint").alias("width")).withColumn("size", F.lit(32).cast("bigint"))
-    windows = grid.windows(headers, lambda c: grid.inference_offsets(c, F.col("size"), 4), "size")
-    predicted = P.predict(windows, P.chunks(s.v_pixel), _halved, "raster string, index bigint, row bigint, col bigint, p double")
-    return predicted.groupBy("raster", "row", "col").agg(F.round(F.max_by("p", "index"), 6).alias("p"), F.count("*").alias("writes"))
+    """Overlapping windows of both dates: the last window's value stays, while statistics count overlaps as often as they
+    come."""
+    patches = P.predict(windows(s), P.paired_chunks(s.v_pixel), 32, _rising)
+    return P.mosaic_pixels(P.mosaic(patches, 32)).select("row", "col", F.round("p", 6).alias("p"), "mask", "writes")
+
+
+@R.add("udf01_patch_predictor", f"WITH {_WINDOWS} SELECT index, min(row) AS y0, min(col) AS x0, count(*) AS pixels, count(*) FILTER (WHERE q >= 0.3) AS mask_pixels, round(sum(q), 4) AS total FROM pr GROUP BY index")
+def udf01(s):
+    """What the model says of each window, whole: its place, pixels and metadata."""
+    found = P.predict(windows(s), P.paired_chunks(s.v_pixel), 32, _rising)
+    total = F.aggregate("p", F.lit(0.0), lambda t, x: t + x)
+    return found.select("index", "y0", "x0", F.col("metadata")["pixels"].cast("bigint").alias("pixels"), F.size(F.filter("mask", lambda m: m)).cast("bigint").alias("mask_pixels"), F.round(total, 4).alias("total"))
 
 
-@R.add("ras10_rasterise", f"SELECT project, cx AS col, cy AS row FROM (SELECT DISTINCT project, cx, unnest(range(CAST(ceil(miny / 20.0 - 0.5) AS BIGINT), CAST(ceil(maxy / 20.0 - 0.5) AS BIGINT))) AS cy FROM (SELECT *, unnest(range(CAST(ceil(minx / 20.0 - 0.5) AS BIGINT), CAST(ceil(maxx / 20.0 - 0.5) AS BIGINT))) AS cx FROM v_feature WHERE project < 4))")
+def windows(s):
+    height = s.v_pixel.agg((F.max("row") + 1).alias("height"), F.lit(WIDTH).cast("bigint").alias("width"))
+    headers = height.withColumns({"raster": F.lit("t1-t2"), "size": F.lit(32).cast("bigint")})
+    return grid.windows(headers, lambda c: grid.inference_offsets(c, F.col("size"), 4), "size")
+
+
+@R.add("ras10_rasterise", f"SELECT project, cx AS col, cy AS row FROM (SELECT DISTINCT project, cx, unnest(range(CAST(ceil(miny / 20.0 - 0.5) AS BIGINT), CAST(ceil(maxy / 20.0 - 0.5) AS BIGINT))) AS cy FROM (SELECT *, unnest(range(CAST(ceil(minx / 20.0 - 0.5) AS BIGINT), CAST(ceil(maxx / 20.0 - 0.5) AS BIGINT))) AS cx FROM v_feature))")
 def ras10(s):
     """Features to a mask, a pixel being on where its centre is inside."""
     from landfold.operators.cells import cells_of_boxes
 
-    return P.to_pixels(cells_of_boxes(s.v_feature.where("project < 4"), ["project"], 2 * SIZE).distinct())
+    return P.to_pixels(cells_of_boxes(s.v_feature, ["project"], 2 * SIZE).distinct())
 
 
-@R.add("ras11_vectorise", f"WITH RECURSIVE {_LABEL} SELECT label, count(*) AS pixels, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(avg(col) + 0.5, 6) AS centre_x, round(avg(row) + 0.5, 6) AS centre_y FROM lab JOIN {_T1} USING (row, col) GROUP BY label")
+@R.add("ras11_vectorise", f"""WITH RECURSIVE {_LABEL} SELECT row_number() OVER (ORDER BY label) AS region_id, label, count(*) AS pixels, round(sum({cell_area_sql('row', SIZE)}), 2) AS area_m2, round(avg(p), 6) AS mean_p, round(max(p), 6) AS max_p, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(avg(col) + 0.5, 6) AS centre_x, round(avg(row) + 0.5, 6) AS centre_y,
+    't1' AS release_t1, 't2' AS release_t2, '2020-01-01' AS date_t1, '2021-01-01' AS date_t2 FROM lab JOIN {_T1} USING (row, col) GROUP BY label""")
 def ras11(s):
-    found = P.regions(labelled(s), t1(s))
-    return found.withColumns({c: F.round(c, 6) for c in ("mean_p", "max_p", "centre_x", "centre_y")})
+    """Regions with their numbers, sizes, probabilities, and the releases and dates compared."""
+    found = numbered(P.regions(labelled(s), t1(s), SIZE), ["label"], "region_id").withColumns({c: F.lit(v) for c, v in PAIR.items()})
+    return found.withColumns({"area_m2": F.round("area_m2", 2), **{c: F.round(c, 6) for c in ("mean_p", "max_p", "centre_x", "centre_y")}})
 
 
 @R.add("ras11_outlines", f"""WITH RECURSIVE {_LABEL} SELECT label, CAST(sum(4 - (SELECT count(*) FROM lab b WHERE b.label = a.label AND abs(a.row - b.row) + abs(a.col - b.col) = 1)) AS DOUBLE) AS perimeter, CAST(count(*) AS DOUBLE) AS area FROM lab a GROUP BY label""")
@@ -167,11 +188,13 @@ def ras11_outlines(s):
     return rings.groupBy("label").agg(F.sum(length).alias("perimeter"), F.sum(twice / 2).alias("area"))
 
 
-@R.add("ras12_tile_vectorise", f"SELECT raster, tile, count(*) AS pixels, round(any_value(mean_p), 6) AS mean_probability FROM (SELECT raster, row // 32 AS tile, p, avg(p) OVER (PARTITION BY raster, row // 32) AS mean_p FROM v_pixel WHERE p >= 0.62) GROUP BY ALL")
+@R.add("ras12_tile_vectorise", """WITH RECURSIVE m AS (SELECT raster, row // 32 AS tile_row, col // 32 AS tile_col, row, col, p FROM v_pixel WHERE p >= 0.68), walk(raster, tile_row, tile_col, row, col, label) AS (SELECT raster, tile_row, tile_col, row, col, row * 2147483648 + col FROM m
+    UNION SELECT m.raster, m.tile_row, m.tile_col, m.row, m.col, label FROM walk w, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx), m WHERE m.raster = w.raster AND m.tile_row = w.tile_row AND m.tile_col = w.tile_col AND m.row = w.row + dy AND m.col = w.col + dx),
+    lab AS (SELECT raster, tile_row, tile_col, row, col, min(label)::BIGINT AS label FROM walk GROUP BY ALL), t AS (SELECT raster, tile_row, tile_col, avg(p) AS mean_p FROM m GROUP BY ALL)
+    SELECT raster, tile_row, tile_col, label, count(*) AS pixels, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(any_value(mean_p), 6) AS mean_probability FROM lab JOIN t USING (raster, tile_row, tile_col) GROUP BY raster, tile_row, tile_col, label""")
 def ras12(s):
-    """By tile: a tile's features carry the mean over the tile's whole mask, not over their own pixels."""
-    on = s.v_pixel.where("p >= 0.62").withColumn("tile", F.floor(F.col("row") / 32))
-    return on.groupBy("raster", "tile").agg(F.count("*").alias("pixels"), F.round(F.avg("p"), 6).alias("mean_probability"))
+    """One feature for each region of each tile, with the mean over the tile's whole mask; regions end at the tile's border."""
+    return P.tile_regions(s.v_pixel.where("p >= 0.68"), 32).withColumn("mean_probability", F.round("mean_probability", 6))
 
 
 @R.add("ras13_mosaic", "SELECT release, z, x, y, (x - x0) * 256 AS col0, (y - y0) * 256 AS row0, n FROM (SELECT release, z, x, y, count(*) AS n FROM v_tile_check WHERE status = 'available' GROUP BY ALL) JOIN (SELECT release, z, min(x) AS x0, min(y) AS y0 FROM v_tile_check GROUP BY release, z) USING (release, z)")
@@ -183,15 +206,18 @@ def ras13(s):
     return there.join(origin, ["release", "z"]).select("release", "z", "x", "y", ((F.col("x") - F.col("x0")) * 256).alias("col0"), ((F.col("y") - F.col("y0")) * 256).alias("row0"), "n")
 
 
-@R.add("ras14_resample", "SELECT raster, r AS row, c AS col, round(avg(p), 6) AS p FROM (SELECT raster, row // 2 AS r, col // 2 AS c, p FROM v_pixel WHERE row < 40) GROUP BY ALL")
+_SIZES = "SELECT raster, max(row) + 1 AS height FROM v_pixel GROUP BY raster"
+
+
+@R.add("ras14_resample", f"SELECT raster, row // 2 AS row, col // 2 AS col, round(avg(p), 6) AS p FROM v_pixel JOIN ({_SIZES}) USING (raster) WHERE row < height // 2 * 2 GROUP BY ALL")
 def ras14(s):
     """Bilinear to pixels twice as wide: the mean of four."""
-    return P.resample(s.v_pixel, 2.0, 20, WIDTH // 2, nearest=False).withColumn("p", F.round("p", 6))
+    return P.resample(s.v_pixel, 2.0, nearest=False).withColumn("p", F.round("p", 6))
 
 
-@R.add("ras14_resample_nearest", "SELECT raster, (row - 1) // 3 AS row, (col - 1) // 3 AS col FROM v_pixel WHERE row % 3 = 1 AND col % 3 = 1 AND row < 60 AND p > 0.5")
+@R.add("ras14_resample_nearest", f"SELECT raster, (row - 1) // 3 AS row, (col - 1) // 3 AS col FROM v_pixel JOIN ({_SIZES}) USING (raster) WHERE row % 3 = 1 AND col % 3 = 1 AND row < height // 3 * 3 AND col < {WIDTH} // 3 * 3 AND p > 0.5")
 def ras14_nearest(s):
-    return P.resample(s.v_pixel, 3.0, 20, 21, nearest=True).where("p > 0.5").drop("p")
+    return P.resample(s.v_pixel, 3.0, nearest=True).where("p > 0.5").drop("p")
 
 
 @R.add("ras16_padding_alpha", "SELECT raster, row, col, floor(p * 255) % 7 <> 0 OR floor(p * 100) % 5 <> 0 AS opaque FROM v_pixel")
@@ -236,9 +262,14 @@ def src07(s):
     return px.select("raster", "row", "col", F.round("p", 9).alias("p"), (F.col("p") > 0.5).alias("mask"))
 
 
-@R.add("src08_aligned_pair", "WITH h AS (SELECT raster, max(row) + 1 AS height, max(col) + 1 AS width, count(*) AS n FROM v_pixel WHERE raster = 't1' OR row > 0 GROUP BY raster) SELECT list_filter([CASE WHEN a.height <> b.height THEN 'height' END, CASE WHEN a.width <> b.width THEN 'width' END, CASE WHEN a.n <> b.n THEN 'pixels' END], lambda x: x IS NOT NULL) AS mismatches FROM (SELECT * FROM h WHERE raster = 't1') a, (SELECT * FROM h WHERE raster = 't2') b")
+_HEADER = "SELECT raster, max(row) + 1 AS height, max(col) + 1 AS width, CASE raster WHEN 't1' THEN 'EPSG:3857' ELSE 'EPSG:32629' END AS crs, CASE raster WHEN 't1' THEN [10.0, 0.0, 0.0, 0.0, -10.0, 1000.0] ELSE [10.0, 0.0, 0.0, 0.0, -10.0, 1000.0 + min(row)] END AS transform FROM v_pixel WHERE raster = 't1' OR row > 0 GROUP BY raster"
+
+
+@R.add("src08_aligned_pair", f"WITH h AS ({_HEADER}) SELECT list_filter([CASE WHEN a.height <> b.height THEN 'height' END, CASE WHEN a.width <> b.width THEN 'width' END, CASE WHEN a.crs <> b.crs THEN 'crs' END, CASE WHEN a.transform <> b.transform THEN 'transform' END], lambda x: x IS NOT NULL) AS mismatches FROM (SELECT * FROM h WHERE raster = 't1') a, (SELECT * FROM h WHERE raster = 't2') b")
 def src08(s):
-    h = s.v_pixel.where("raster = 't1' OR row > 0").groupBy("raster").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"), F.count("*").alias("n"))
-    a, b = (h.where(F.col("raster") == r).select(F.lit(1).alias("k"), *[F.col(c).alias(f"{c}_{r}") for c in ("height", "width", "n")]) for r in ("t1", "t2"))
-    differs = [F.when(F.col(f"{c}_t1") != F.col(f"{c}_t2"), n) for c, n in (("height", "height"), ("width", "width"), ("n", "pixels"))]
-    return a.join(b, "k", "full").select(F.array_compact(F.array(*differs)).alias("mismatches"))
+    """Two rasters' headers: what they don't agree in; the second one here begins a row later and is in another system."""
+    first = F.col("raster") == "t1"
+    shift = F.when(first, F.lit(1000.0)).otherwise(1000.0 + F.min("row"))
+    transform = F.array(*[F.lit(v) for v in (10.0, 0.0, 0.0, 0.0, -10.0)], shift)
+    h = s.v_pixel.where("raster = 't1' OR row > 0").groupBy("raster").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"), transform.alias("transform")).withColumn("crs", F.when(first, "EPSG:3857").otherwise("EPSG:32629"))
+    return P.aligned(h, "t1", "t2").select("mismatches")
