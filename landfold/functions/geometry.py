@@ -145,13 +145,17 @@ def cell_area_m2(row: str, size: int) -> Column:
     return band_area_m2(lat(0), lat(1), size / PLANE_SCALE)
 
 
-def cell_area_sql(row: str, size: int) -> str:
-    """cell_area_m2 for the SQL twins."""
+def authalic_sql(s: str) -> str:
+    """_authalic for the SQL twins."""
     e2 = FLATTENING * (2 - FLATTENING)
     e = math.sqrt(e2)
+    return f"(({s} / (1 - {s} * {s} * {e2!r}::DOUBLE) - ln((1 - {s} * {e!r}::DOUBLE) / (1 + {s} * {e!r}::DOUBLE)) / {2 * e!r}::DOUBLE) * {1 - e2!r}::DOUBLE)"
+
+
+def cell_area_sql(row: str, size: int) -> str:
+    """cell_area_m2 for the SQL twins."""
     sine = lambda k: f"sin(radians(({row} + {k}) * {size} / {PLANE_SCALE}.0::DOUBLE + {PLANE_LAT}))"
-    part = lambda s: f"(({s} / (1 - {s} * {s} * {e2!r}::DOUBLE) - ln((1 - {s} * {e!r}::DOUBLE) / (1 + {s} * {e!r}::DOUBLE)) / {2 * e!r}::DOUBLE) * {1 - e2!r}::DOUBLE)"
-    return f"abs({part(sine(1))} - {part(sine(0))}) * {math.radians(size / PLANE_SCALE) / 2 * SEMI_MAJOR**2!r}::DOUBLE"
+    return f"abs({authalic_sql(sine(1))} - {authalic_sql(sine(0))}) * {math.radians(size / PLANE_SCALE) / 2 * SEMI_MAJOR**2!r}::DOUBLE"
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -267,3 +271,13 @@ def clipped_ring(ring, box: tuple[float, float, float, float]) -> Column:
 
 def simplified_ring(ring, tolerance: float) -> Column:
     return _over_rings(lambda r: _ring(simplified(r, tolerance)), RING_TYPE)(ring)
+
+
+def clipped_to(ring, minx, miny, maxx, maxy) -> Column:
+    """A ring cut to a box of its own row."""
+
+    def run(rings: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([_ring(clip_to_box(_array(r), box)) for r, *box in zip(rings, a, b, c, d, strict=True)], dtype=object)
+
+    run.__annotations__ = {**dict.fromkeys(("rings", "a", "b", "c", "d"), pd.Series), "return": pd.Series}
+    return F.pandas_udf(run, RING_TYPE)(ring, minx, miny, maxx, maxy)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landfold.sources.staging import staged
+
 
 def reasons(rules: dict[str, Column]) -> Column:
     """Names of the rules that hold, in their order."""
@@ -74,3 +76,49 @@ def instability(checks: DataFrame, group: str, order: list[str], size: int, limi
     unstable = (F.col("errors") >= limit).cast("int")
     steps = F.sum(unstable).over(W.partitionBy(group).orderBy("w").rowsBetween(W.unboundedPreceding, 0))
     return windows.withColumns({"unstable": unstable == 1, "level": F.greatest(F.lit(floor), F.lit(start) - steps).cast("bigint")})
+
+
+def first_that_fits(wanted: DataFrame, offers: DataFrame, key: str, need: str, size: str, value: str, width: int) -> DataFrame:
+    """wanted (with key and need): adds the least value among the offers (key, size, value) of the same key whose size is at
+    least the need, or NULL. Sizes are dealt out to buckets of `width`: what lies in later buckets is a running minimum over
+    one row for each bucket, and only the need's own bucket is gone through by rows, so that no task has a whole key."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    offered = offers.select(key, F.col(size).alias("_s"), F.col(value).alias("_v"), bucket(size).alias("_b"))
+    asked = wanted.withColumn("_b", bucket(need))
+    needs = asked.select(key, F.col(need).alias("_s"), "_b").distinct()
+    # In the bucket: the least value so far, going down in size; at equal sizes offers come first.
+    rows = offered.select(key, "_b", "_s", "_v", F.lit(0).alias("_k")).unionByName(needs.select(key, "_b", "_s", F.lit(None).cast(offers.schema[value].dataType).alias("_v"), F.lit(1).alias("_k")))
+    down = Window.partitionBy(key, "_b").orderBy(F.desc("_s"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_near", F.min("_v").over(down)).where("_k = 1").select(key, "_b", F.col("_s").alias(need), "_near")
+    buckets = rows.groupBy(key, "_b").agg(F.min("_v").alias("_least"))
+    later = buckets.select(key, "_b", F.min("_least").over(Window.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
+    found = asked.join(near, [key, "_b", need], "left").join(later, [key, "_b"], "left")
+    return found.withColumn(value, F.least("_near", "_far")).drop("_b", "_near", "_far")
+
+
+def payload_references(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows whose JSON payload is a reference to a side table: storage is external and both key and checksum are there."""
+    told = F.from_json(payload, "storage string, key bigint, sha256 string")
+    return rows.withColumn("_p", told).where("_p.storage = 'external' AND _p.key IS NOT NULL AND _p.sha256 IS NOT NULL").withColumns({"key": F.col("_p.key"), "sha256": F.col("_p.sha256")}).drop("_p")
+
+
+def split_payloads(rows: DataFrame, payload: str, limit: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with bytes, storage, sha256 and the payload where it is inline, and the side table of the payloads above the
+    limit: sha256, bytes, schema_tag and payload, each once. Both are written, and read back."""
+    told = rows.withColumns({"bytes": F.octet_length(payload).cast("bigint")}).withColumn("_big", F.coalesce(F.col("bytes") > limit, F.lit(False)))
+    told = told.withColumns({"storage": F.when(F.col("_big"), "external").otherwise("inline"), "sha256": F.when(F.col("_big"), F.sha2(payload, 256))})
+    main = told.withColumn("payload", F.when(~F.col("_big"), F.col(payload))).drop("_big", *([payload] if payload != "payload" else []))
+    side = told.where("_big").groupBy("sha256").agg(F.first("bytes").alias("bytes"), F.lit(tag).alias("schema_tag"), F.first(payload).alias("payload"))
+    return staged(main, "payload-rows"), staged(side, "payload-side")
+
+
+def override_layer(candidates: DataFrame, override: DataFrame, key: str, area: tuple[int, int, int, int]) -> DataFrame:
+    """Boxes of the override, clipped to the area, in place of their key's candidates; an error if a key's override has nothing
+    inside."""
+    x, y = [F.greatest("minx", F.lit(area[0])), F.least("maxx", F.lit(area[2]))], [F.greatest("miny", F.lit(area[1])), F.least("maxy", F.lit(area[3]))]
+    cut = lambda rows: rows.withColumns({"minx": x[0], "maxx": x[1], "miny": y[0], "maxy": y[1]}).where("minx < maxx AND miny < maxy")
+    kept = cut(override)
+    lost = override.select(key).distinct().join(kept.select(key), key, "left_anti")
+    if not lost.isEmpty():
+        raise ValueError("an override has nothing inside the area")
+    return cut(candidates.join(override.select(key).distinct(), key, "left_anti")).unionByName(kept)

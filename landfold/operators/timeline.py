@@ -44,3 +44,8 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key, by a combined maximum instead of a sort."""
     whole = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r"))
     return whole.select("r.*")
+
+
+def top_of(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
+    """The first n rows of each group, numbered as `k`; Spark cuts each partition down to n before the exchange."""
+    return rows.withColumn("k", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("k") <= n)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landfold.functions import geometry as G
+from landfold.operators.timeline import stable_id
 from landfold.plans.base import Registry
 
 R = Registry()
@@ -14,6 +17,26 @@ QUERIES, ORACLE_SQL = R.queries, R.oracle
 QUAD = "(minx, miny), (maxx, miny), (maxx - (maxx - minx) * 0.25, maxy), (minx, maxy)"
 
 
+#: Levels of the tile pyramid of the plane: tiles of so many metres.
+LEVELS = {1: 512, 2: 256, 3: 128}
+AREA_OF_A_UNIT = math.radians(1 / G.PLANE_SCALE) / 2 * G.SEMI_MAJOR**2
+
+
+def authalic_sql(y: str) -> str:
+    return G.authalic_sql(f"sin(radians({y} / {G.PLANE_SCALE}.0::DOUBLE + {G.PLANE_LAT}))")
+
+
+def feature_tiles(s):
+    """Quadrilaterals of features under the tiles (z, tx, ty) that they share a part of, with that part as `cut`."""
+    levels = F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(m).cast("bigint").alias("size")) for z, m in LEVELS.items()]))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.col("size")), F.floor(F.col(b) / F.col("size"))))
+    t = quads(s).withColumn("level", levels).select("*", "level.*").drop("level").withColumn("tx", span("minx", "maxx")).withColumn("ty", span("miny", "maxy"))
+    box = [F.col("tx") * F.col("size"), F.col("ty") * F.col("size"), (F.col("tx") + 1) * F.col("size"), (F.col("ty") + 1) * F.col("size")]
+    whole = (F.col("minx") >= box[0]) & (F.col("miny") >= box[1]) & (F.col("maxx") <= box[2]) & (F.col("maxy") <= box[3])
+    inner = t.where(whole).withColumn("cut", F.col("ring"))  # nothing to clip
+    return inner.unionByName(t.where(~whole).withColumn("cut", G.clipped_to("ring", *box))).where(G.signed_area("cut") > 0)
+
+
 def quads(s):
     f = s.v_feature
     a, b, c, d = (F.col(v) for v in ("minx", "miny", "maxx", "maxy"))
@@ -38,17 +61,18 @@ def fn23(s):
     return fixed.select("feature_id", (G.signed_area("fixed") > 0).alias("ccw"), F.signum(G.signed_area("ring")).cast("int").alias("was"))
 
 
-@R.add("fn21_geodesic_area")
+@R.add("fn21_geodesic_area", f"SELECT feature_id, round(abs({authalic_sql('maxy')} - {authalic_sql('miny')}) * (maxx - minx) * {AREA_OF_A_UNIT!r}::DOUBLE, 2) AS area FROM v_feature")
 def fn21(s):
-    """Metres become degrees about a fixed point; areas on the ellipsoid."""
-    q = quads(s).withColumn("ring", F.transform("ring", lambda p: F.struct((p.x / 100000 - 7).alias("x"), (p.y / 100000 + 33).alias("y"))))
-    return q.select("feature_id", F.round(G.geodesic_area_of("ring"), 3).alias("area"))
+    """Metres become degrees about a fixed point; areas on the ellipsoid. The twin is the closed form for boxes."""
+    boxes = s.v_feature.withColumn("ring", F.transform(G.box_ring("minx", "miny", "maxx", "maxy"), lambda p: F.struct((p.x / G.PLANE_SCALE + G.PLANE_LON).alias("x"), (p.y / G.PLANE_SCALE + G.PLANE_LAT).alias("y"))))
+    return boxes.select("feature_id", F.round(G.geodesic_area_of("ring"), 2).alias("area"))
 
 
 @R.add("fn24_thinness", "SELECT feature_id, round(least(maxx - minx, maxy - miny) / greatest(maxx - minx, maxy - miny), 6) AS thin FROM v_feature")
 def fn24(s):
-    boxes = s.v_feature.withColumn("ring", G.box_ring("minx", "miny", "maxx", "maxy"))
-    return boxes.select("feature_id", F.round(G.thinness_of("ring"), 6).alias("thin"))
+    """Boxes turned aslant: their smallest rectangle isn't that of their bounds."""
+    turned = F.transform(G.box_ring("minx", "miny", "maxx", "maxy"), lambda p: F.struct((p.x * 0.6 - p.y * 0.8).alias("x"), (p.x * 0.8 + p.y * 0.6).alias("y")))
+    return s.v_feature.withColumn("ring", turned).select("feature_id", F.round(G.thinness_of("ring"), 6).alias("thin"))
 
 
 def holed(s):
@@ -83,14 +107,17 @@ def fn27(s):
 
 @R.add("fn28_part_count", "SELECT project, release, count(*) AS parts FROM v_feature GROUP BY project, release")
 def fn28(s):
-    parts = holed(s).groupBy("project", "release").agg(F.collect_list("polygon").alias("polygons"))
-    return parts.select("project", "release", F.size("polygons").cast("bigint").alias("parts"))
+    """Parts of multi-polygons, counted without gathering them."""
+    parts = holed(s).withColumn("polygons", F.array("polygon"))
+    return parts.groupBy("project", "release").agg(F.sum(F.size("polygons")).cast("bigint").alias("parts"))
 
 
-@R.add("fn29_clip_rectangle", "SELECT feature_id, CAST((least(maxx, 2000) - greatest(minx, 1000)) * (least(maxy, 2000) - greatest(miny, 1000)) AS DOUBLE) AS area FROM v_feature WHERE maxx > 1000 AND minx < 2000 AND maxy > 1000 AND miny < 2000")
+@R.add("fn29_clip_rectangle", """WITH q AS (SELECT feature_id, greatest(minx, 1000) AS l, greatest(miny, 1000)::DOUBLE AS a, least(maxy, 2000)::DOUBLE AS b, maxx, miny, (maxx - minx) * 0.25::DOUBLE / (maxy - miny) AS k FROM v_feature WHERE minx < 2000 AND maxy > 1000 AND miny < 2000 AND maxx > 1000),
+    y AS (SELECT *, greatest(a, least(b, miny + (maxx - 2000) / k)) AS u, greatest(a, least(b, miny + (maxx - l) / k)) AS v FROM q) SELECT feature_id, round((2000 - l) * (u - a) + (v - u) * ((maxx - k * (u - miny) - l) + (maxx - k * (v - miny) - l)) / 2, 6) AS area FROM y WHERE (2000 - l) * (u - a) + (v - u) * ((maxx - k * (u - miny) - l) + (maxx - k * (v - miny) - l)) / 2 > 0""")
 def fn29(s):
-    near = s.v_feature.where("maxx > 1000 AND minx < 2000 AND maxy > 1000 AND miny < 2000").withColumn("ring", G.box_ring("minx", "miny", "maxx", "maxy"))
-    return near.withColumn("c", G.clipped_ring("ring", (1000, 1000, 2000, 2000))).select("feature_id", G.signed_area("c").alias("area"))
+    """Quadrilaterals with an aslant side, clipped to a box."""
+    near = quads(s).where("maxx > 1000 AND minx < 2000 AND maxy > 1000 AND miny < 2000")
+    return near.withColumn("c", G.clipped_ring("ring", (1000, 1000, 2000, 2000))).select("feature_id", F.round(G.signed_area("c"), 6).alias("area")).where("area > 0")
 
 
 @R.add("fn34_simplify", "SELECT feature_id, CAST(5 AS BIGINT) AS points FROM v_feature")
@@ -136,21 +163,29 @@ def fn39(s):
     return d.select("feature_id", F.col("d")[0].x.alias("x0"), F.col("d")[1].x.alias("dx"), F.col("d")[2].y.alias("dy"), F.size("d").cast("bigint").alias("n"))
 
 
-@R.add("fn40_arc_indexes", "SELECT project, feature_id, row_number() OVER (PARTITION BY project ORDER BY release, feature_id) - 1 AS arc FROM v_feature")
+@R.add("fn40_arc_indexes", "SELECT project, feature_id, ring_no, row_number() OVER (PARTITION BY project ORDER BY release, feature_id, ring_no) - 1 AS arc FROM (SELECT *, unnest(range(1 + CASE WHEN feature_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN feature_id % 5 = 0 THEN 1 ELSE 0 END)) AS ring_no FROM v_feature)")
 def fn40(s):
-    """Rings numbered within their project."""
-    rings = holed(s).select("project", "release", "feature_id", F.posexplode("polygon").alias("ring_no", "ring")).where("ring_no = 0")
-    return rings.select("project", "feature_id", (F.row_number().over(W.partitionBy("project").orderBy("release", "feature_id", "ring_no")) - 1).cast("bigint").alias("arc"))
+    """All rings, holes too, numbered within their project."""
+    rings = holed(s).select("project", "release", "feature_id", F.posexplode("polygon").alias("ring_no", "ring"))
+    return rings.select("project", "feature_id", F.col("ring_no").cast("bigint").alias("ring_no"), (F.row_number().over(W.partitionBy("project").orderBy("release", "feature_id", "ring_no")) - 1).cast("bigint").alias("arc"))
 
 
-@R.add("snk05_topology_table", "SELECT feature_id, CAST(year(release_date) AS VARCHAR) || '-' || layer || '-' || lpad(CAST(row_number() OVER (PARTITION BY project, year(release_date), layer ORDER BY release, feature_id) AS VARCHAR), 6, '0') AS id, row_number() OVER (PARTITION BY project ORDER BY release, feature_id) - 1 AS arc, round((maxx - minx) * (maxy - miny) / 10000.0, 4) AS area_ha FROM v_feature WHERE layer <> 'blocks'")
+@R.add("snk05_topology_table", """WITH f AS (SELECT *, year(release_date) AS y FROM v_feature WHERE layer <> 'blocks'), w AS (SELECT project, min(minx)::DOUBLE AS x0, min(miny)::DOUBLE AS y0, (max(maxx) - min(minx)) / 9999.0::DOUBLE AS sx, (max(maxy) - min(miny)) / 9999.0::DOUBLE AS sy FROM f GROUP BY project),
+    q AS (SELECT f.*, w.x0, w.y0, w.sx, w.sy, round((minx - x0) / sx)::BIGINT AS a, round((miny - y0) / sy)::BIGINT AS b, round((maxx - x0) / sx)::BIGINT AS c, round((maxy - y0) / sy)::BIGINT AS d FROM f JOIN w USING (project))
+    SELECT feature_id, CAST(y AS VARCHAR) || '-' || layer || '-' || lpad(CAST(row_number() OVER (PARTITION BY project, y, layer ORDER BY release, feature_id) AS VARCHAR), 6, '0') AS id, row_number() OVER (PARTITION BY project ORDER BY release, feature_id) - 1 AS arc,
+    a || ',' || b || ' ' || (c - a) || ',0 0,' || (d - b) || ' ' || (a - c) || ',0 0,' || (b - d) AS deltas, release, strftime(release_date, '%Y-%m-%d') AS day, layer, round((maxx - minx) * (maxy - miny) / 10000.0, 4) AS area_ha, x0 AS translate_x, y0 AS translate_y, round(sx, 9) AS scale_x, round(sy, 9) AS scale_y FROM q""")
 def snk05(s):
-    """Ids, arcs of whole-number deltas and areas in hectares."""
-    from landfold.operators.timeline import stable_id
-
+    """Shared topology: stable ids, properties, and each ring as an arc of whole-number deltas on its project's grid of 10,000
+    steps, with the grid's scale and origin."""
     f = s.v_feature.where("layer <> 'blocks'").withColumn("ring", G.box_ring("minx", "miny", "maxx", "maxy"))
+    x, y = (((F.max(f"max{v}") - F.min(f"min{v}")) / 9999).alias(f"scale_{v}") for v in "xy")
+    frame = f.groupBy("project").agg(F.min("minx").cast("double").alias("translate_x"), F.min("miny").cast("double").alias("translate_y"), x, y)
+    # A frame for each project: joined as any table is, broadcast by Spark where it is small.
+    q = f.join(frame, "project").withColumn("arc_ring", G.quantised("ring", F.col("translate_x"), F.col("translate_y"), F.col("scale_x"), F.col("scale_y"), 9999))
+    deltas = F.array_join(F.transform(G.deltas(F.col("arc_ring")), lambda p: F.concat_ws(",", p.x.cast("string"), p.y.cast("string"))), " ")
     arc = (F.row_number().over(W.partitionBy("project").orderBy("release", "feature_id")) - 1).cast("bigint")
-    return f.select("feature_id", stable_id(["project"], F.year("release_date"), "layer", ["release", "feature_id"]).alias("id"), arc.alias("arc"), F.round(G.signed_area("ring") / 10000, 4).alias("area_ha"))
+    return q.select("feature_id", stable_id(["project"], F.year("release_date"), "layer", ["release", "feature_id"]).alias("id"), arc.alias("arc"), deltas.alias("deltas"), "release", F.date_format("release_date", "yyyy-MM-dd").alias("day"), "layer", F.round(G.signed_area("ring") / 10000, 4).alias("area_ha"),
+                    "translate_x", "translate_y", F.round("scale_x", 9).alias("scale_x"), F.round("scale_y", 9).alias("scale_y"))
 
 
 @R.add("fn41_box_polygon", "SELECT feature_id, CAST((maxx - minx) * (maxy - miny) AS DOUBLE) AS area, CAST(5 AS BIGINT) AS points FROM v_feature")

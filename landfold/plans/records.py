@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.operators import records as C
 from landfold.plans.base import Registry
+from landfold.plans.geometry import feature_tiles
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
@@ -53,14 +54,18 @@ def join13(s):
     return C.summaries(s.v_project, s.v_milestone, s.v_run).select("project", "milestones", "complete", "last_date", "latest_run")
 
 
-@R.add("join14_summary_view", """SELECT p.project, p.name, coalesce(n, 0) AS milestones, latest_run, job_id, job_status FROM v_project p LEFT JOIN (SELECT project, count(*) AS n FROM v_milestone GROUP BY project) USING (project) LEFT JOIN (SELECT project, arg_max(run_id, (created_at, run_id)) AS latest_run FROM v_run GROUP BY project) USING (project)
-    LEFT JOIN (SELECT project, arg_max(job_id, (ts, event_id)) AS job_id, arg_max(status, (ts, event_id)) AS job_status FROM (SELECT job_id AS project, * FROM v_job WHERE job_id < 100 UNION ALL SELECT job_id + 50 AS project, * FROM v_job WHERE job_id % 2 = 0) GROUP BY project) USING (project)""")
+@R.add("join14_summary_view", """SELECT p.project, p.name, coalesce(n, 0) AS milestones, coalesce(done, 0) AS complete, latest_run, job_id, job_status, bundle FROM v_project p LEFT JOIN (SELECT project, count(*) AS n, count(*) FILTER (WHERE status = 'complete') AS done FROM v_milestone GROUP BY project) USING (project) LEFT JOIN (SELECT project, arg_max(run_id, (created_at, run_id)) AS latest_run FROM v_run GROUP BY project) USING (project)
+    LEFT JOIN (SELECT project, arg_max(job_id, (ts, event_id)) AS job_id, arg_max(status, (ts, event_id)) AS job_status FROM (SELECT job_id AS project, * FROM v_job UNION ALL SELECT job_id + 50 AS project, * FROM v_job WHERE job_id % 2 = 0) GROUP BY project) USING (project)
+    LEFT JOIN (SELECT request AS project, max(artifact_id) AS bundle FROM v_artifact WHERE path LIKE '%.csv' GROUP BY request) USING (project)""")
 def join14(s):
-    """The latest job matches by either of two keys: a union of two equi-joins in place of an OR."""
-    jobs = s.v_job.where("job_id < 100").withColumn("project", F.col("job_id")).unionByName(s.v_job.where("job_id % 2 = 0").withColumn("project", F.col("job_id") + 50))
+    """Milestones and complete ones, the latest run, job and bundle of every project. A job matches by either of two keys: a
+    union of two equi-joins in place of an OR."""
+    jobs = s.v_job.withColumn("project", F.col("job_id")).unionByName(s.v_job.where("job_id % 2 = 0").withColumn("project", F.col("job_id") + 50))
     last = F.struct("ts", "event_id")
     latest = jobs.groupBy("project").agg(F.max_by("job_id", last).alias("job_id"), F.max_by("status", last).alias("job_status"))
-    return C.summaries(s.v_project, s.v_milestone, s.v_run).join(latest, "project", "left").select("project", "name", "milestones", "latest_run", "job_id", "job_status")
+    bundles = s.v_artifact.where("path LIKE '%.csv'").groupBy(F.col("request").alias("project")).agg(F.max("artifact_id").alias("bundle"))
+    whole = C.summaries(s.v_project, s.v_milestone, s.v_run).join(latest, "project", "left").join(bundles, "project", "left")
+    return whole.select("project", "name", "milestones", "complete", "latest_run", "job_id", "job_status", "bundle")
 
 
 @R.add("join15_milestone_listing", "SELECT m.release, p.name, m.release_date, r.cost FROM v_milestone m JOIN v_project p USING (project) LEFT JOIN (SELECT * FROM v_run WHERE kind = 'temporal') r ON r.run_id = m.release")
@@ -80,12 +85,13 @@ def join17(s):
     return s.v_run.where("kind = 'temporal'").groupBy("project").agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
 
 
-@R.add("join18_request_matches", "SELECT DISTINCT a.artifact_id, m.release FROM v_artifact a JOIN (SELECT release, release % 97 AS k FROM v_milestone WHERE release < 300 UNION ALL SELECT release, (release * 7) % 97 FROM v_milestone WHERE release < 300 AND n_buffers = 0) m ON m.k = a.request")
+@R.add("join18_request_matches", "SELECT DISTINCT a.artifact_id, m.release FROM v_artifact a JOIN (SELECT release, release AS k FROM v_milestone UNION ALL SELECT release, release * 7 % 5000 FROM v_milestone WHERE n_buffers = 0 UNION ALL SELECT release, release // 3 FROM v_milestone WHERE status = 'complete') m ON m.k = a.artifact_id")
 def join18(s):
-    """Either of two keys matches: candidate keys are exploded and joined once."""
-    keys = F.array_compact(F.array(F.col("release") % 97, F.when(F.col("n_buffers") == 0, (F.col("release") * 7) % 97)))
-    m = s.v_milestone.where("release < 300").select("release", F.explode(keys).alias("request"))
-    return s.v_artifact.join(m, "request").select("artifact_id", "release").distinct()
+    """Any of three keys matches: candidate keys are exploded and joined once."""
+    r = F.col("release")
+    keys = F.array_compact(F.array(r, F.when(F.col("n_buffers") == 0, r * 7 % 5000), F.when(F.col("status") == "complete", F.floor(r / 3))))
+    m = s.v_milestone.select("release", F.explode(keys).alias("artifact_id"))
+    return s.v_artifact.select("artifact_id").join(m, "artifact_id").distinct()
 
 
 @R.add("join19_orphans", "SELECT artifact_id, EXISTS (SELECT 1 FROM v_reference r WHERE r.target = a.request) AS protected FROM v_artifact a")
@@ -100,11 +106,18 @@ def join20(s):
     return s.v_reference.withColumn("wanted", F.col("target") * 31).join(there, "wanted", "left_anti").select("artifact_id", "target")
 
 
-@R.add("join21_published_duplicates", "SELECT a.artifact_id, b.artifact_id AS published, CASE WHEN b.artifact_id IS NULL THEN 'unmatched' END AS skipped FROM (SELECT * FROM v_artifact WHERE path LIKE '%.tmp') a LEFT JOIN (SELECT request, min(artifact_id) AS artifact_id FROM v_artifact WHERE path LIKE '%.geojson' AND size > 2000 GROUP BY request) b USING (request)")
+@R.add("join21_published_duplicates", "SELECT a.artifact_id, arg_min(b.artifact_id, (m.rank, b.artifact_id)) AS published, CASE WHEN any_value(k.kind) IS NULL THEN 'no_expected_name' WHEN min(b.artifact_id) IS NULL THEN 'not_published' END AS skipped FROM (SELECT *, regexp_extract(path, '([._][a-z.]+)$', 1) AS kind FROM v_artifact WHERE NOT contains(path, '.geojson')) a LEFT JOIN (SELECT DISTINCT kind FROM (VALUES ('.tmp'), ('.tif')) x(kind)) k ON k.kind = a.kind LEFT JOIN (VALUES ('.tmp', '.geojson', 1), ('.tmp', '.csv', 2), ('.tif', '.geojson', 1)) m(kind, expected, rank) ON m.kind = a.kind LEFT JOIN (SELECT artifact_id, source, lang, request, regexp_extract(path, '([._][a-z.]+)$', 1) AS expected FROM v_artifact WHERE size > 500) b ON b.source = a.source AND b.lang = a.lang AND b.request % 7 = a.request % 7 AND b.expected = m.expected GROUP BY a.artifact_id")
 def join21(s):
-    published = s.v_artifact.where("path LIKE '%.geojson' AND size > 2000").groupBy("request").agg(F.min("artifact_id").alias("published"))
-    j = s.v_artifact.where("path LIKE '%.tmp'").join(published, "request", "left")
-    return j.select("artifact_id", "published", F.when(F.col("published").isNull(), "unmatched").alias("skipped"))
+    """A file of a request counts as published if the project has one of the names expected for its stem; the first expected
+    name wins. The mapping of stems to names is a dimension of fixed size."""
+    kind = F.regexp_extract("path", "([._][a-z.]+)$", 1)
+    expected = s.spark.createDataFrame([(".tmp", ".geojson", 1), (".tmp", ".csv", 2), (".tif", ".geojson", 1)], "kind string, expected string, rank int")
+    files = s.v_artifact.withColumns({"kind": kind, "key": F.col("request") % 7})
+    there = files.where("size > 500").select("source", "lang", "key", F.col("kind").alias("expected"), F.col("artifact_id").alias("found"))
+    wanted = files.where(~F.col("path").contains(".geojson")).select("artifact_id", "source", "lang", "key", "kind").join(F.broadcast(expected), "kind", "left")
+    met = wanted.join(there, ["source", "lang", "key", "expected"], "left")
+    found = met.groupBy("artifact_id").agg(F.min_by("found", F.when(F.col("found").isNotNull(), F.struct("rank", "found"))).alias("published"), F.max("rank").alias("rank"))
+    return found.select("artifact_id", "published", F.when(F.col("rank").isNull(), "no_expected_name").when(F.col("published").isNull(), "not_published").alias("skipped"))
 
 
 @R.add("join22_canonical_links", "SELECT a.artifact_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS match FROM (SELECT artifact_id, artifact_id % 300 AS k FROM v_artifact) a LEFT JOIN (SELECT artifact_id % 211 AS k, count(*) AS n FROM v_reference GROUP BY 1) USING (k)")
@@ -134,12 +147,12 @@ def join25(s):
     return j.select("release", (F.coalesce("cached", F.lit(False)) & F.coalesce("there", F.lit(False))).alias("reusable"))
 
 
-@R.add("join26_shared_mosaic", "SELECT t.event_id, min(a.artifact_id) AS mosaic FROM (SELECT event_id, x % 97 AS request, y * 10 AS need FROM v_tile_check WHERE event_id % 10 = 0) t LEFT JOIN v_artifact a ON a.request = t.request AND a.size >= t.need AND a.path LIKE '%.tif' GROUP BY t.event_id")
+@R.add("join26_shared_mosaic", "SELECT t.event_id, min(a.artifact_id) AS mosaic FROM (SELECT event_id, x % 97 AS request, y * 10 AS need FROM v_tile_check) t LEFT JOIN v_artifact a ON a.request = t.request AND a.size >= t.need AND a.path LIKE '%.tif' GROUP BY t.event_id")
 def join26(s):
-    """The first mosaic that fits; the key is equal, the size at least what is needed."""
-    t = s.v_tile_check.where("event_id % 10 = 0").select("event_id", (F.col("x") % 97).alias("request"), (F.col("y") * 10).alias("need"))
-    a = s.v_artifact.where("path LIKE '%.tif'").select(F.col("request").alias("own"), "artifact_id", "size")
-    return t.join(a, (F.col("request") == F.col("own")) & (F.col("size") >= F.col("need")), "left").groupBy("event_id").agg(F.min("artifact_id").alias("mosaic"))
+    """The first mosaic that fits: of the same key, and at least as large as is needed."""
+    wanted = s.v_tile_check.select("event_id", (F.col("x") % 97).alias("request"), (F.col("y") * 10).alias("need"))
+    mosaics = s.v_artifact.where("path LIKE '%.tif'").select("request", "artifact_id", "size")
+    return C.first_that_fits(wanted, mosaics, "request", "need", "size", "artifact_id", 512).select("event_id", F.col("artifact_id").alias("mosaic"))
 
 
 @R.add("join27_expected_pairs", "SELECT project, prev, release, CASE WHEN gap > 365 THEN 'long' ELSE 'normal' END AS kind FROM (SELECT project, release, lag(release) OVER w AS prev, date_diff('day', lag(release_date) OVER w, release_date) AS gap FROM v_milestone WINDOW w AS (PARTITION BY project ORDER BY release_date, release)) WHERE prev IS NOT NULL")
@@ -149,12 +162,10 @@ def join27(s):
     return m.where("prev IS NOT NULL").select("project", "prev", "release", F.when(F.col("gap") > 365, "long").otherwise("normal").alias("kind"))
 
 
-@R.add("join05_feature_tiles", "SELECT tx, ty, count(*) AS n, count(DISTINCT project) AS projects FROM (SELECT project, tx, unnest(range(miny // 256, maxy // 256 + 1)) AS ty FROM (SELECT *, unnest(range(minx // 256, maxx // 256 + 1)) AS tx FROM v_feature)) GROUP BY tx, ty")
+@R.add("join05_feature_tiles", "SELECT z, tx, ty, count(*) AS n, count(DISTINCT project) AS projects FROM (SELECT *, unnest(range(miny // size, maxy // size + 1)) AS ty FROM (SELECT *, unnest(range(minx // size, maxx // size + 1)) AS tx FROM v_feature, (VALUES (1, 512), (2, 256), (3, 128)) p(z, size))) WHERE ty * size < maxy AND (ty + 1) * size > miny AND (tx + 1) * size > minx AND tx * size < maxx - (maxx - minx) * 0.25 * (greatest(miny, ty * size) - miny) / (maxy - miny) GROUP BY z, tx, ty")
 def join05(s):
-    """Each feature under the tiles that its box touches."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 256), F.floor(F.col(b) / 256)))
-    tiled = s.v_feature.withColumn("tx", span("minx", "maxx")).withColumn("ty", span("miny", "maxy"))
-    return tiled.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.count_distinct("project").alias("projects"))
+    """Each feature under the tiles of every level that it shares a part of: candidates by its bounds, then the exact clip."""
+    return feature_tiles(s).groupBy("z", "tx", "ty").agg(F.count("*").alias("n"), F.count_distinct("project").alias("projects"))
 
 
 @R.add("flt06_polygon_filter", "SELECT feature_id FROM v_feature WHERE p > 0 AND (maxx - minx) * (maxy - miny) > 0 AND maxx > 500 AND minx < 3000")
@@ -254,10 +265,16 @@ def flt20(s):
     return s.v_artifact.select("artifact_id", ((F.col("age_h") <= 168) & ~F.col("path").endswith(".tmp")).alias("fresh"))
 
 
-@R.add("flt21_payload_checksum", "SELECT doc_id, sha256(coalesce(text, '')) = CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE a.sha END AS intact FROM documents JOIN v_artifact a ON a.artifact_id = doc_id WHERE n_chars > 3000")
+@R.add("flt21_payload_checksum", "SELECT doc_id, sha256(coalesce(text, '')) = CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE a.sha END AS intact FROM documents JOIN v_artifact a ON a.artifact_id = doc_id WHERE doc_id % 3 <> 0")
 def flt21(s):
-    side = s.v_artifact.select(F.col("artifact_id").alias("doc_id"), F.when(F.col("artifact_id") % 17 == 0, "x").otherwise(F.col("sha")).alias("told"))
-    return s.documents.where("n_chars > 3000").join(side, "doc_id").select("doc_id", (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("told")).alias("intact"))
+    """Payloads that are references (by their storage field) are resolved and checked against the checksum that they name; other
+    payloads are no references. Here every third document's payload is inline."""
+    sha = F.when(F.col("artifact_id") % 17 == 0, "x").otherwise(F.col("sha"))
+    payload = F.when(F.col("artifact_id") % 3 == 0, F.to_json(F.struct(F.lit(1).alias("n")))).otherwise(F.to_json(F.struct(F.lit("external").alias("storage"), F.col("artifact_id").alias("key"), sha.alias("sha256"))))
+    held = s.v_artifact.select(payload.alias("payload"))
+    refs = C.payload_references(held, "payload")
+    side = s.documents.select(F.col("doc_id").alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("own"))
+    return refs.join(side, "key").select(F.col("key").alias("doc_id"), (F.col("own") == F.col("sha256")).alias("intact"))
 
 
 @R.add("flt22_client_events", "SELECT event_id, CASE WHEN length(payload) > 8 THEN substr(payload, 1, 8) ELSE payload END AS payload FROM v_client_event WHERE event LIKE 'view%' OR event LIKE 'click%'")
@@ -334,19 +351,22 @@ def ret06(s):
     return s.v_artifact.where(~F.col("path").endswith(".tmp")).groupBy("request").agg((F.count_if(~F.col("path").startswith("src1")) > 0).alias("promoted"))
 
 
-@R.add("ret07_mosaic_compaction", "SELECT a.artifact_id, list_filter([CASE WHEN age_h < 48 THEN 'ttl' END, CASE WHEN size < 400 THEN 'missing_fields' END, CASE WHEN n IS NOT NULL THEN 'referenced' END, CASE WHEN n > 1 THEN 'ambiguous' END], lambda x: x IS NOT NULL) AS reasons FROM v_artifact a LEFT JOIN (SELECT target AS k, count(*) AS n FROM v_reference WHERE reason = 'metadata' GROUP BY 1) ON k = artifact_id % 100 WHERE path LIKE '%.tif'")
+@R.add("ret07_mosaic_compaction", "SELECT a.artifact_id, list_filter([CASE WHEN age_h < 48 THEN 'ttl' END, CASE WHEN size < 400 THEN 'missing_fields' END, CASE WHEN n IS NOT NULL THEN 'referenced' END, CASE WHEN c = 1 THEN 'canonical' END, CASE WHEN c > 1 THEN 'ambiguous' END], lambda x: x IS NOT NULL) AS reasons FROM v_artifact a LEFT JOIN (SELECT target AS k, count(*) AS n FROM v_reference WHERE reason = 'metadata' GROUP BY 1) ON k = artifact_id % 100 LEFT JOIN (SELECT source, lang, count(*) AS c FROM v_artifact WHERE path LIKE '%.csv' AND size > 2000 GROUP BY ALL) m ON m.source = a.source AND m.lang = a.lang WHERE path LIKE '%.tif'")
 def ret07(s):
+    """Why a mosaic stays: young, incomplete, referenced, or linked to canonical imagery, be it once or ambiguously."""
     links = s.v_reference.where("reason = 'metadata'").groupBy(F.col("target").alias("k")).agg(F.count("*").alias("n"))
-    j = s.v_artifact.where("path LIKE '%.tif'").withColumn("k", F.col("artifact_id") % 100).join(links, "k", "left")
-    return j.select("artifact_id", C.reasons({"ttl": F.col("age_h") < 48, "missing_fields": F.col("size") < 400, "referenced": F.col("n").isNotNull(), "ambiguous": F.col("n") > 1}).alias("reasons"))
+    canonical = s.v_artifact.where("path LIKE '%.csv' AND size > 2000").select("source", "lang", "sha")
+    linked = C.ambiguous_match(s.v_artifact.where("path LIKE '%.tif'"), canonical, ["source", "lang"], "sha")
+    j = linked.withColumn("k", F.col("artifact_id") % 100).join(links, "k", "left")
+    return j.select("artifact_id", C.reasons({"ttl": F.col("age_h") < 48, "missing_fields": F.col("size") < 400, "referenced": F.col("n").isNotNull(), "canonical": F.col("match") == "one", "ambiguous": F.col("match") == "many"}).alias("reasons"))
 
 
-@R.add("ret08_active_reference", "SELECT k, count(*) AS uses FROM (SELECT n_name AS k FROM nation) n JOIN (SELECT 'NATION_' || CAST(user_id % 40 AS VARCHAR) || ';' AS body FROM events) e ON contains(body, k || ';') GROUP BY k")
+@R.add("ret08_active_reference", "SELECT k, count(*) AS uses FROM (SELECT n_name AS k FROM nation) n JOIN (SELECT '{\"used\": [\"NATION_' || CAST(user_id % 40 AS VARCHAR) || '\", 7]}' AS body FROM events) e ON contains(body, '\"' || k || '\"') GROUP BY k")
 def ret08(s):
-    """A few keys against all texts: the keys are the small side."""
-    bodies = s.events.select(F.concat(F.lit("NATION_"), (F.col("user_id") % 40).cast("string"), F.lit(";")).alias("body"))
-    keys = s.nation.select(F.col("n_name").alias("k"))
-    return bodies.join(F.broadcast(keys), F.contains(F.col("body"), F.concat("k", F.lit(";")))).groupBy("k").agg(F.count("*").alias("uses"))
+    """Texts that name a cache key: what could be a key is taken out of each text once, and met by equality."""
+    bodies = s.events.select("event_id", F.concat(F.lit('{"used": ["NATION_'), (F.col("user_id") % 40).cast("string"), F.lit('", 7]}')).alias("body"))
+    named = bodies.select("event_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit('"([A-Za-z0-9_-]+)"'), F.lit(1)))).alias("k"))
+    return named.join(s.nation.select(F.col("n_name").alias("k")), "k").groupBy("k").agg(F.count("*").alias("uses"))
 
 
 @R.add("ret09_fingerprints", "SELECT artifact_id, CASE WHEN o.s IS NULL THEN 'added' WHEN n.s IS NULL THEN 'removed' WHEN o.s = n.s AND o.h = n.h THEN 'same' ELSE 'changed' END AS state FROM (SELECT artifact_id, size AS s, sha AS h FROM v_artifact WHERE artifact_id % 7 <> 0) o FULL JOIN (SELECT artifact_id, CASE WHEN artifact_id % 5 = 0 THEN size + 1 ELSE size END AS s, sha AS h FROM v_artifact WHERE artifact_id % 11 <> 0) n USING (artifact_id)")
@@ -387,22 +407,33 @@ def ret14(s):
     return long.unionByName(long.agg(F.lit("all").alias("criterion"), F.bool_and("passed").alias("passed")))
 
 
-@R.add("ret15_override_import", "SELECT feature_id, project, greatest(minx, 100) AS minx, least(maxx, 3900) AS maxx FROM v_feature WHERE (layer = 'blocks' AND project % 5 = 0 OR layer = 'additions' AND project % 5 <> 0) AND maxx > 100 AND minx < 3900")
+@R.add("ret15_override_import", "WITH c AS (SELECT feature_id, project, release, greatest(minx, 100) AS minx, least(maxx, 3900) AS maxx, miny, maxy FROM v_feature WHERE (layer = 'blocks' AND project % 5 = 0 OR layer = 'additions' AND project % 5 <> 0) AND maxx > 100 AND minx < 3900), cells AS (SELECT *, unnest(range(minx // 10, maxx // 10)) AS cx FROM c), cell AS (SELECT *, unnest(range(miny // 10, maxy // 10)) AS cy FROM cells), seen AS (SELECT project, cx, cy, min(release) AS release FROM cell GROUP BY ALL), added AS (SELECT project, release, count(*) * 100 AS added_area FROM seen GROUP BY ALL) SELECT project, release, coalesce(added_area, 0)::BIGINT AS added_area, (sum(coalesce(added_area, 0)) OVER (PARTITION BY project ORDER BY release))::BIGINT AS total_area FROM (SELECT DISTINCT project, release FROM v_feature) LEFT JOIN added USING (project, release)")
 def ret15(s):
-    """Projects with an override take its rows, clipped to the area, in place of their candidates."""
+    """Projects with an override take its rows, clipped to the area, in place of their candidates, and all is worked out anew
+    from the first milestone; an override of which nothing lies inside is an error."""
+    from landfold.operators import cells as L
+
     f = s.v_feature
-    chosen = f.where("layer = 'blocks' AND project % 5 = 0").unionByName(f.where("layer = 'additions'").join(f.where("project % 5 = 0").select("project").distinct(), "project", "left_anti").select(f.columns))
-    inside = chosen.where("maxx > 100 AND minx < 3900")
-    return inside.select("feature_id", "project", F.greatest("minx", F.lit(100)).alias("minx"), F.least("maxx", F.lit(3900)).alias("maxx"))
+    chosen = C.override_layer(f.where("layer = 'additions'"), f.where("layer = 'blocks' AND project % 5 = 0"), "project", (100, -(1 << 40), 3900, 1 << 40))
+    return L.growth(L.cells_of_boxes(chosen, ["project", "release"], 10), f, ["project"], "release", 10)
 
 
-@R.add("ret16_missing_buffers", "SELECT release, d AS buffer_m, prev AS t1 FROM (SELECT *, lag(release) OVER (PARTITION BY project ORDER BY release_date, release) AS prev FROM v_milestone) m CROSS JOIN (SELECT unnest([10, 15, 20]) AS d) WHERE NOT (n_buffers >= 1 AND d = 10 OR n_buffers >= 3 AND d = 15)")
+@R.add("ret16_missing_buffers", "WITH m AS (SELECT project, release, lag(release) OVER (PARTITION BY project ORDER BY release) AS t1 FROM (SELECT DISTINCT project, release FROM v_feature)), has AS (SELECT project, release, CASE WHEN count(*) % 3 >= 1 THEN 10 END AS a, CASE WHEN count(*) % 3 = 2 THEN 15 END AS b FROM v_feature GROUP BY ALL), want AS (SELECT m.*, d FROM m JOIN has USING (project, release), (VALUES (10), (15), (20)) x(d) WHERE d IS DISTINCT FROM a AND d IS DISTINCT FROM b), cells AS (SELECT *, unnest(range(minx // 10, maxx // 10)) AS cx FROM v_feature), cell AS (SELECT *, unnest(range(miny // 10, maxy // 10)) AS cy FROM cells), grown AS (SELECT DISTINCT want.project, want.release, d, cx + dx AS cx, cy + dy AS cy FROM want JOIN cell USING (project, release), range(-2, 3) a(dx), range(-2, 3) b(dy) WHERE layer = 'additions' AND 100 * (dx * dx + dy * dy) <= d * d) SELECT want.project, want.release, d AS buffer_m, t1, coalesce(area, 0) AS area FROM want LEFT JOIN (SELECT project, release, d, count(*) * 100 AS area FROM grown GROUP BY ALL) USING (project, release, d)")
 def ret16(s):
-    w = W.partitionBy("project").orderBy("release_date", "release")
-    m = s.v_milestone.withColumn("t1", F.lag("release").over(w))
-    wanted = m.select("release", "t1", "n_buffers", F.explode(F.array(F.lit(10), F.lit(15), F.lit(20))).alias("buffer_m"))
-    there = m.where("n_buffers >= 1").select("release", F.lit(10).alias("buffer_m")).unionByName(m.where("n_buffers >= 3").select("release", F.lit(15).alias("buffer_m")))
-    return wanted.join(there, ["release", "buffer_m"], "left_anti").select("release", "buffer_m", "t1")
+    """Milestones that lack a buffer layer get it from their additions, with the milestone before as what they are compared
+    with. Which layers are there follows from the number of features here."""
+    from landfold.operators import cells as L
+
+    keys = ["project", "release"]
+    m = s.v_feature.groupBy(*keys).agg((F.count("*") % 3).alias("n")).withColumn("t1", F.lag("release").over(W.partitionBy("project").orderBy("release")))
+    there = m.where("n >= 1").select(*keys, F.lit(10).alias("buffer_m")).unionByName(m.where("n = 2").select(*keys, F.lit(15).alias("buffer_m")))
+    wanted = m.select(*keys, "t1", F.explode(F.array(F.lit(10), F.lit(15), F.lit(20))).alias("buffer_m")).join(there, [*keys, "buffer_m"], "left_anti")
+    added = L.cells_of_boxes(s.v_feature.where("layer = 'additions'"), keys, 10)
+    area = None
+    for d in (10, 15, 20):
+        own = L.area(L.dilate(added.join(wanted.where(F.col("buffer_m") == d).select(*keys), keys, "left_semi"), keys, d / 10), keys, 10).withColumn("buffer_m", F.lit(d))
+        area = own if area is None else area.unionByName(own)
+    return wanted.join(area, [*keys, "buffer_m"], "left").select(*keys, "buffer_m", "t1", F.coalesce("area", F.lit(0)).alias("area"))
 
 
 @R.add("snk10_run_upsert", "SELECT run_id, arg_max(cost, v) AS cost FROM (SELECT run_id, cost, 0 AS v FROM v_run WHERE run_id % 3 <> 0 UNION ALL SELECT run_id, cost + 1, 1 FROM v_run WHERE run_id % 2 = 0) GROUP BY run_id")
@@ -426,21 +457,26 @@ def snk11(s):
     return C.upsert(first, second, ["release", "z", "x", "y"], "version").drop("version")
 
 
-@R.add("snk09_layer_upsert", "SELECT project, layer, count(*) AS feature_count, sum((maxx - minx) * (maxy - miny))::BIGINT AS area, CASE WHEN count(*) <= 120 THEN count(*) END AS stored FROM v_feature GROUP BY project, layer")
+@R.add("snk09_layer_upsert", "SELECT project, layer, feature_count, area, CASE WHEN feature_count <= 120 THEN ids END AS stored FROM (SELECT project, layer, count(*) AS feature_count, sum((maxx - minx) * (maxy - miny))::BIGINT AS area, list(feature_id ORDER BY feature_id) AS ids FROM v_feature GROUP BY project, layer)")
 def snk09(s):
-    """Geometry is stored only for layers up to a number of features."""
-    found = s.v_feature.groupBy("project", "layer").agg(F.count("*").alias("feature_count"), F.sum(F.expr("(maxx - minx) * (maxy - miny)")).alias("area"), F.collect_list("feature_id").alias("g"))
-    return found.select("project", "layer", "feature_count", "area", F.when(F.col("feature_count") <= 120, F.size("g").cast("bigint")).alias("stored"))
+    """Geometry is stored only for layers up to a number of features; layers beyond it are counted and never gathered."""
+    f = s.v_feature
+    found = f.groupBy("project", "layer").agg(F.count("*").alias("feature_count"), F.sum(F.expr("(maxx - minx) * (maxy - miny)")).alias("area"))
+    small = f.join(found.where("feature_count <= 120").select("project", "layer"), ["project", "layer"], "left_semi")
+    stored = small.groupBy("project", "layer").agg(F.array_sort(F.collect_list("feature_id")).alias("stored"))
+    return found.join(stored, ["project", "layer"], "left").select("project", "layer", "feature_count", "area", "stored")
 
 
-@R.add("snk12_payload_split", "SELECT conv_id, bytes, CASE WHEN bytes > 1500 THEN 'external' ELSE 'inline' END AS storage, CASE WHEN bytes > 1500 THEN sha END AS sha FROM (SELECT conv_id, strlen(body) AS bytes, sha256(body) AS sha FROM (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id))")
+@R.add("snk12_payload_split", "SELECT conv_id, bytes, CASE WHEN bytes > 1500 THEN 'external' ELSE 'inline' END AS storage, CASE WHEN bytes > 1500 THEN sha END AS sha256, CASE WHEN bytes > 1500 THEN bytes END AS side_bytes, body FROM (SELECT conv_id, strlen(body) AS bytes, sha256(body) AS sha, body FROM (SELECT conv_id, string_agg(coalesce(role, '') || ':' || coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id))")
 def snk12(s):
-    """Large payloads go to a side table under their checksum; a reference stays."""
-    line = F.struct("turn", F.concat_ws(":", "role", "text").alias("t"))
+    """Large payloads go to a side table under their checksum, with their size and a schema tag; a reference stays. Read back
+    from both tables."""
+    line = F.struct("turn", F.concat_ws(":", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("t"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x.t), "\n")
-    p = s.conversations.groupBy("conv_id").agg(body.alias("body")).withColumn("bytes", F.octet_length("body").cast("bigint"))
-    big = F.col("bytes") > 1500
-    return p.select("conv_id", "bytes", F.when(big, "external").otherwise("inline").alias("storage"), F.when(big, F.sha2("body", 256)).alias("sha"))
+    main, side = C.split_payloads(s.conversations.groupBy("conv_id").agg(body.alias("body")), "body", 1500, "conversation/1")
+    held = side.withColumnRenamed("bytes", "side_bytes").drop("schema_tag")
+    both = main.join(held.withColumnRenamed("payload", "_side"), "sha256", "left")
+    return both.select("conv_id", "bytes", "storage", "sha256", "side_bytes", F.coalesce("_side", "payload").alias("body"))
 
 
 @R.add("st06_instability", "SELECT release, w, errors, errors >= 3 AS unstable, greatest(1, 6 - (sum(CASE WHEN errors >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY release ORDER BY w)))::BIGINT AS level FROM (SELECT release, CAST(floor((k - 1) / 10) AS BIGINT) AS w, count(*) FILTER (WHERE status = 'failed') AS errors FROM (SELECT *, row_number() OVER (PARTITION BY release ORDER BY ts, event_id) AS k FROM v_tile_check) GROUP BY ALL)")

@@ -65,11 +65,18 @@ def win12(s):
     return T.progress(s.v_timing, "run_id", "tile", "ms").select("run_id", "tile", "done", F.round("rate", 9).alias("rate"), F.round("eta", 9).alias("eta"))
 
 
-@R.add("win13_crop_overlap", "SELECT feature_id, CASE WHEN pminx IS NULL THEN 0 ELSE greatest(least(maxx, pmaxx) - greatest(minx, pminx), 0) * greatest(least(maxy, pmaxy) - greatest(miny, pminy), 0) END AS overlap FROM (SELECT *, lag(minx) OVER w AS pminx, lag(maxx) OVER w AS pmaxx, lag(miny) OVER w AS pminy, lag(maxy) OVER w AS pmaxy FROM v_feature WINDOW w AS (PARTITION BY project ORDER BY minx, miny, feature_id))")
+@R.add("win13_crop_overlap", "WITH o AS (SELECT *, row_number() OVER w AS k, lag(minx) OVER w AS pminx, lag(maxx) OVER w AS pmaxx, lag(miny) OVER w AS pminy, lag(maxy) OVER w AS pmaxy FROM v_feature WINDOW w AS (PARTITION BY project ORDER BY minx, miny, feature_id)), cells AS (SELECT *, unnest(range(minx // 10, maxx // 10)) AS cx FROM o), cell AS (SELECT *, unnest(range(miny // 10, maxy // 10)) AS cy FROM cells), first AS (SELECT project, cx, cy, min(k) AS first_k FROM cell GROUP BY ALL), r AS (SELECT feature_id, round(count(*) FILTER (WHERE first_k < k) / count(*), 6) AS redundancy FROM cell JOIN first USING (project, cx, cy) GROUP BY feature_id) SELECT feature_id, CASE WHEN pminx IS NULL THEN 0 ELSE greatest(least(maxx, pmaxx) - greatest(minx, pminx), 0) * greatest(least(maxy, pmaxy) - greatest(miny, pminy), 0) END AS overlap, redundancy FROM o JOIN r USING (feature_id)")
 def win13(s):
-    f = T.with_previous(s.v_feature, "project", ["minx", "miny", "feature_id"], {c: f"p{c}" for c in ("minx", "maxx", "miny", "maxy")})
+    """Overlap with the crop before, and the share of a crop's pixels that any earlier crop has."""
+    from landfold.operators import cells as C
+
+    by = W.partitionBy("project").orderBy("minx", "miny", "feature_id")
+    f = T.with_previous(s.v_feature, "project", ["minx", "miny", "feature_id"], {c: f"p{c}" for c in ("minx", "maxx", "miny", "maxy")}).withColumn("k", F.row_number().over(by))
     side = lambda lo, hi: F.greatest(F.least(hi, f"p{hi}") - F.greatest(lo, f"p{lo}"), F.lit(0))
-    return f.select("feature_id", F.when(F.col("pminx").isNull(), 0).otherwise(side("minx", "maxx") * side("miny", "maxy")).cast("bigint").alias("overlap"))
+    cells = C.cells_of_boxes(f, ["project", "feature_id", "k"], 10)
+    first = C.first_seen(cells, ["project"], "k").withColumnRenamed("k", "first_k")
+    seen = cells.join(first, ["project", "cx", "cy"]).groupBy("feature_id").agg(F.round(F.count_if(F.col("first_k") < F.col("k")) / F.count("*"), 6).alias("redundancy"))
+    return f.join(seen, "feature_id").select("feature_id", F.when(F.col("pminx").isNull(), 0).otherwise(side("minx", "maxx") * side("miny", "maxy")).cast("bigint").alias("overlap"), "redundancy")
 
 
 @R.add("win14_cumulative_set", f"SELECT project, release FROM (SELECT *, row_number() OVER ({_O}) AS k FROM v_milestone) WHERE k > 1 AND k <= 4")
@@ -102,12 +109,17 @@ def top02(s):
     return s.v_job.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "status")
 
 
-@R.add("top03_slowest_crops", "SELECT run_id, tile, CAST(k AS BIGINT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ms DESC, field, tile) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM v_timing) WHERE k <= 20 AND n > 100")
+@R.add("top03_slowest_crops", "SELECT run_id, ranking, CAST(k AS BIGINT) AS k, tile FROM (SELECT run_id, tile, 'slowest' AS ranking, row_number() OVER (PARTITION BY run_id ORDER BY ms DESC, field, tile) AS k FROM v_timing UNION ALL SELECT run_id, tile, 'padding', row_number() OVER (PARTITION BY run_id ORDER BY tile % 100 DESC, ms DESC, tile) FROM v_timing UNION ALL SELECT run_id, tile, 'contribution', row_number() OVER (PARTITION BY run_id ORDER BY tile % 37, ms DESC, tile) FROM v_timing) SEMI JOIN (SELECT run_id FROM v_timing GROUP BY run_id HAVING count(*) > 100) USING (run_id) WHERE k <= 20")
 def top03(s):
-    """The 20 slowest of each run, only of runs with over 100."""
-    by = W.partitionBy("run_id")
-    found = s.v_timing.withColumns({"k": F.row_number().over(by.orderBy(F.desc("ms"), "field", "tile")), "n": F.count("*").over(by)})
-    return found.where("k <= 20 AND n > 100").select("run_id", "tile", F.col("k").cast("bigint").alias("k"))
+    """The 20 slowest, those with most padding and those that contribute least, of each run with over 100 crops."""
+    crops = s.v_timing.withColumns({"padding": F.col("tile") % 100, "contribution": F.col("tile") % 37})
+    large = crops.groupBy("run_id").agg(F.count("*").alias("n")).where("n > 100").select("run_id")
+    orders = {"slowest": [F.desc("ms"), "field", "tile"], "padding": [F.desc("padding"), F.desc("ms"), "tile"], "contribution": ["contribution", F.desc("ms"), "tile"]}
+    found = None
+    for name, order in orders.items():
+        own = T.top_of(crops.join(large, "run_id", "left_semi"), "run_id", order, 20).withColumn("ranking", F.lit(name))
+        found = own if found is None else found.unionByName(own)
+    return found.select("run_id", "ranking", F.col("k").cast("bigint").alias("k"), "tile")
 
 
 @R.add("top04_release_selector", "SELECT project, max(CASE WHEN k = 1 THEN release END) AS latest, max(CASE WHEN k = 3 THEN release END) AS latest_minus_2 FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY release_date DESC, release DESC) AS k FROM v_milestone) GROUP BY project")
@@ -151,11 +163,11 @@ def top09(s):
     return s.v_tile_check.where("status <> 'failed'").groupBy("release").agg(F.min_by(layer, F.struct(F.when(layer == wanted, 0).otherwise(1), layer)).alias("layer"))
 
 
-@R.add("top10_part_order", "SELECT project, list(feature_id ORDER BY round((minx + maxx) / 2, 8), round((miny + maxy) / 2, 8), -((maxx - minx) * (maxy - miny)), feature_id) AS parts FROM v_feature WHERE layer = 'blocks' AND release LIKE '%1997%' GROUP BY project")
+@R.add("top10_part_order", "SELECT project, list(feature_id ORDER BY round((minx + maxx) / 2, 8), round((miny + maxy) / 2, 8), -((maxx - minx) * (maxy - miny)), feature_id) AS parts FROM v_feature WHERE layer = 'blocks' GROUP BY project")
 def top10(s):
     """Parts by their centroids, then the largest first."""
     key = F.struct(F.round((F.col("minx") + F.col("maxx")) / 2, 8), F.round((F.col("miny") + F.col("maxy")) / 2, 8), F.expr("-((maxx - minx) * (maxy - miny))"), F.col("feature_id").alias("feature_id"))
-    found = s.v_feature.where("layer = 'blocks' AND release LIKE '%1997%'").groupBy("project").agg(F.array_sort(F.collect_list(key)).alias("p"))
+    found = s.v_feature.where("layer = 'blocks'").groupBy("project").agg(F.array_sort(F.collect_list(key)).alias("p"))
     return found.select("project", F.transform("p", lambda x: x.feature_id).alias("parts"))
 
 
