@@ -65,8 +65,9 @@ def lenient_double(text, kind) -> Column:
 
 
 def human_bytes(n) -> Column:
+    """One decimal place, halves to the even digit."""
     n = _c(n)
-    scaled = lambda k, unit: F.concat(F.format_number(n / 1024**k, 1), F.lit(unit))
+    scaled = lambda k, unit: F.concat(F.bround(n / 1024**k, 1).cast("string"), F.lit(unit))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1, " KB")).when(n < 1024**3, scaled(2, " MB")).otherwise(scaled(3, " GB"))
 
 
@@ -77,4 +78,4 @@ def job_stage(progress) -> Column:
 
 
 def job_percent(progress) -> Column:
-    return F.greatest(F.lit(25), F.least(F.lit(92), F.round(_c(progress) * 100))).cast("int")
+    return F.greatest(F.lit(25), F.least(F.lit(92), F.bround(_c(progress) * 100))).cast("int")

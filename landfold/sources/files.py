@@ -40,3 +40,10 @@ def write_feature_lines(rows: DataFrame, path: str, by: str, line: str, order: l
 
 def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
     rows.write.option("header", True).option("sep", sep).csv(path)
+
+
+def capped_lines(spark: SparkSession, path: str, schema: str, order: list[str], most: int) -> DataFrame:
+    """Lines of JSON: the first `most` by `order`, with the total and whether it passes the cap."""
+    rows = spark.read.schema(schema).json(path)
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).limit(most).crossJoin(F.broadcast(total)).withColumn("capped", F.col("total") > most)  # a single row

@@ -31,9 +31,14 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/landfold/run-{_RUN}"
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in this session's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex[:16]}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back."""
-    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:16]}"
+    path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
