@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from landfold.functions.grid import project_mercator
+from landfold.sources.staging import staged
+
 
 def safe_ratio(top, bottom) -> Column:
     """NULL where the denominator is 0 or below, or NULL."""
@@ -13,12 +16,40 @@ def safe_ratio(top, bottom) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
+def percentiles(rows: DataFrame, group: list[str], v: str, levels: tuple[float, ...], bins: int = 4096) -> DataFrame:
+    """(group, q): exact percentiles, between two values by their distance; NULLs and NaNs don't count, groups are without NULLs.
+
+    Values are counted into bins between each group's ends; only the bins that hold a rank that is asked for are gone through by
+    value, so that no task or buffer holds a group's values, and equal values count as one row."""
+    base = rows.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))).select(*group, F.col(v).cast("double").alias("_v"))
+    ends = base.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
+    binned = (base.join(ends, group) if group else base.crossJoin(F.broadcast(ends))).withColumn("_b", at.cast("int"))
+    counted = binned.groupBy(*group, "_b").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(W.partitionBy(*group).orderBy("_b"))  # at most `bins` rows a group
+    rank = F.explode(F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("_n") - 1) * q), F.ceil((F.col("_n") - 1) * q)) for q in levels]))))
+    counted = counted.withColumn("_before", upto - F.col("_c")).withColumn("_r", rank).where((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
+    wanted = staged(counted.select(*group, "_b", "_before", "_r", "_n"), "percentile-ranks")
+    inner = binned.join(wanted.select(*group, "_b", "_before").distinct(), [*group, "_b"]).groupBy(*group, "_b", "_before", "_v").agg(F.count("*").alias("_c"))
+    inner = inner.withColumn("_to", F.col("_before") + F.sum("_c").over(W.partitionBy(*group, "_b").orderBy("_v")))
+    met = inner.join(wanted.select(*group, "_b", "_r", "_n"), [*group, "_b"]).where((F.col("_r") < F.col("_to")) & (F.col("_r") >= F.col("_to") - F.col("_c")))
+    # At most two ranks for each level.
+    by_rank = met.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"), F.first("_n").alias("_n"))
+
+    def level(q: float) -> Column:
+        at = (F.col("_n") - 1) * q
+        low, high = F.col("_m")[F.floor(at)], F.col("_m")[F.ceil(at)]
+        return low + (at - F.floor(at)) * (high - low)
+
+    return by_rank.select(*group, F.array(*map(level, levels)).alias("q"))
+
+
 def probability_stats(pixels: DataFrame, group: list[str], p: str = "p") -> DataFrame:
     """Count, least, greatest, mean, population deviation, five quantiles and shares above four thresholds; of finite values
     only, NULLs for an empty group."""
     finite = pixels.where(~F.isnan(p) & F.col(p).isNotNull())
-    q = F.percentile(p, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-    found = finite.groupBy(*group).agg(F.count(p).alias("n"), F.min(p).alias("least"), F.max(p).alias("most"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), q.alias("q"), *[F.avg((F.col(p) >= t).cast("double")).alias(f"share_{int(t * 100)}") for t in (0.5, 0.6, 0.75, 0.9)])
+    found = finite.groupBy(*group).agg(F.count(p).alias("n"), F.min(p).alias("least"), F.max(p).alias("most"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), *[F.avg((F.col(p) >= t).cast("double")).alias(f"share_{int(t * 100)}") for t in (0.5, 0.6, 0.75, 0.9)])
+    found = found.join(percentiles(finite, group, p, (0.01, 0.05, 0.5, 0.95, 0.99)), group)
     return found.select(*group, "n", "least", "most", "mean", "std", *[F.col("q")[k].alias(c) for k, c in enumerate(("p01", "p05", "p50", "p95", "p99"))], "share_50", "share_60", "share_75", "share_90")
 
 
@@ -36,11 +67,11 @@ def final_stats(parts: DataFrame, group: list[str]) -> DataFrame:
 
 def timing_summary(records: DataFrame, fields: DataFrame, field: str, value: str, group: list[str], digits: int = 3) -> DataFrame:
     """One row per group and field of the dimension `fields` (one column): count, mean, median, p90, p95, most, least, total,
-    rounded; a field without records has count 0, total 0 and NULLs. fields is a small dimension."""
+    rounded; a field without records has count 0, total 0 and NULLs."""
     groups = records.select(*group).distinct()
-    found = records.groupBy(*group, field).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("q"), F.max(value).alias("most"), F.min(value).alias("least"), F.sum(value).alias("total"))
-    every = groups.crossJoin(F.broadcast(fields))
-    out = every.join(found, [*group, field], "left")
+    found = records.groupBy(*group, field).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.min(value).alias("least"), F.sum(value).alias("total"))
+    found = found.join(percentiles(records, [*group, field], value, (0.5, 0.9, 0.95)), [*group, field], "left")
+    out = groups.crossJoin(fields).join(found, [*group, field], "left")
     return out.select(*group, field, F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, digits).alias(k) for c, k in ((F.col("mean"), "mean"), (F.col("q")[0], "median"), (F.col("q")[1], "p90"), (F.col("q")[2], "p95"), (F.col("most"), "most"), (F.col("least"), "least"), (F.coalesce("total", F.lit(0.0)), "total"))])
 
 
@@ -60,7 +91,9 @@ def raster_difference(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame
     """Two rasters (row, col, p) on one grid: greatest, mean and 99 % absolute difference, and pixels whose masks differ."""
     both = a.select("row", "col", F.col("p").alias("pa")).join(b.select("row", "col", F.col("p").alias("pb")), ["row", "col"], "full")
     diff = F.abs(F.col("pa") - F.col("pb"))
-    return both.agg(F.count("*").alias("pixels"), F.max(diff).alias("most"), F.avg(diff).alias("mean"), F.percentile(diff, F.lit(0.99)).alias("p99"), F.count_if((F.col("pa") >= threshold) != (F.col("pb") >= threshold)).alias("mismatches"))
+    whole = both.agg(F.count("*").alias("pixels"), F.max(diff).alias("most"), F.avg(diff).alias("mean"), F.count_if((F.col("pa") >= threshold) != (F.col("pb") >= threshold)).alias("mismatches"))
+    q = percentiles(both.select(diff.alias("d")), [], "d", (0.99,))
+    return whole.crossJoin(F.broadcast(q.select(F.col("q")[0].alias("p99"))))  # a single row each
 
 
 def slope_per_100(rows: DataFrame, group: list[str], y: str, x: str) -> DataFrame:
@@ -101,3 +134,47 @@ def metric_lines(merged: DataFrame) -> DataFrame:
     escaped = F.replace(F.replace(F.replace(F.col("label").cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     rows = merged.select(section.alias("section"), "name", "label", F.explode(kinds).alias("k")).select("section", "name", "label", "k.*")
     return rows.select("section", "name", "label", "part", F.concat("name", "end", F.lit('{label="'), escaped, F.lit('"} '), F.col("v").cast("string")).alias("line"))
+
+
+def summary_metrics(summary: DataFrame) -> DataFrame:
+    """A run's summary to a milestone's metrics. New buildings and changes of buildings have their own areas and counts; a count or
+    area of 0 or NULL falls back to the estimate, or to the number of features."""
+    new = F.col("semantics") == "new_buildings"
+    first = lambda own, other: F.coalesce(F.nullif(F.col(own), F.lit(0).cast(summary.schema[own].dataType)), F.col(other), F.lit(0))
+    return summary.withColumns({
+        "added_area_m2": F.round(F.when(new, first("new_building_area_m2", "estimated_area_m2")).otherwise(first("change_area_m2", "estimated_area_m2")), 2),
+        "feature_count": F.when(new, first("new_buildings", "feature_count")).otherwise(first("change_polygons", "feature_count")),
+        "building_level": new, "block_count": F.coalesce("building_blocks", F.lit(0)), "block_area_m2": F.round(F.coalesce("building_block_area_m2", F.lit(0.0)), 2)})
+
+
+def metric_audit(features: DataFrame, unions: DataFrame, keys: list[str], names: tuple[str, ...], tolerance: float) -> DataFrame:
+    """features: keys and props, a map of texts; unions: keys and area. The sum of the first property of each feature that can be
+    read as a number, against the area of the union: stored, computed, mismatch."""
+    told = F.coalesce(*[F.try_element_at("props", F.lit(n)).try_cast("double") for n in names], F.lit(0.0))
+    stored = features.groupBy(*keys).agg(F.sum(told).alias("stored"))
+    both = stored.join(unions.withColumnRenamed("area", "computed"), keys)
+    return both.select(*keys, "stored", "computed", (F.abs(F.col("stored") - F.col("computed")) > tolerance).alias("mismatch"))
+
+
+def repeat_summary(runs: DataFrame, mode: str, names: list[str]) -> DataFrame:
+    """Mean, least and greatest of each metric over the runs of a mode."""
+    long = runs.unpivot(mode, names, "metric", "v")
+    return long.groupBy(mode, "metric").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+def feature_count(body) -> Column:
+    """Features of a collection's text, -1 where it can't be read."""
+    found = F.try_variant_get(F.try_parse_json(body), "$.features", "array<variant>")
+    return F.when(found.isNull(), -1).otherwise(F.size(found)).cast("bigint")
+
+
+def padded_extent(keys_: DataFrame, boxes: DataFrame, key: str, source: str, area: tuple[float, float, float, float], pad: float) -> DataFrame:
+    """keys_: all keys; boxes in degrees. Each key's bounds in Web-Mercator metres, `pad` of its span wider on each side; a key
+    without boxes has those of the area, and fallback. sources: how many different ones took part."""
+    found = boxes.groupBy(key).agg(*[f(f"{e}{v}").alias(f"{e}{v}") for f, e in ((F.min, "min"), (F.max, "max")) for v in "xy"], F.count_distinct(source).alias("sources"))
+    joined = keys_.join(found, key, "left").withColumn("fallback", F.col("minx").isNull())
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(float(v))) for c, v in zip(("minx", "miny", "maxx", "maxy"), area, strict=True)})
+    (x0, y0), (x1, y1) = project_mercator("minx", "miny"), project_mercator("maxx", "maxy")
+    metres = filled.select(key, "fallback", F.coalesce("sources", F.lit(0)).alias("sources"), x0.alias("minx"), y0.alias("miny"), x1.alias("maxx"), y1.alias("maxy"))
+    wide, high = (F.col("maxx") - F.col("minx")) * pad, (F.col("maxy") - F.col("miny")) * pad
+    return metres.select(key, "fallback", "sources", (F.col("minx") - wide).alias("minx"), (F.col("miny") - high).alias("miny"), (F.col("maxx") + wide).alias("maxx"), (F.col("maxy") + high).alias("maxy"))

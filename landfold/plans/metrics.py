@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from landfold.functions.geometry import PLANE_LAT, PLANE_LON, PLANE_SCALE, cell_area_m2, cell_area_sql
+from landfold.operators import cells as C
 from landfold.operators import metrics as M
+from landfold.operators.graph import label_cells
 from landfold.plans.base import Registry
+from landfold.plans.growth import CELLS, piece_walk_sql
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
 
 
+#: Layers and what a milestone's metrics call them.
+LAYERS = {"additions": "added", "effective": "total", "blocks": "block"}
+#: Metrics of a run: over all of its records and over those of each kind.
+REPEAT_METRICS = {f"{f}_{k}": f"{f}(ms) FILTER (WHERE field = '{k}')" for f in ("count", "sum", "avg", "min", "max") for k in ("view", "click", "purchase", "error", "signup")} | {"total": "sum(ms)"}
+
+
 def rnd(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -44,11 +56,16 @@ def agg04(s):
     return M.availability(s.v_tile_check, ["release", "z"]).withColumn("fraction", F.round("fraction", 6))
 
 
-@R.add("agg05_dominant_metadata", """SELECT release, arg_min(day, (-n, day)) AS dominant, any_value(med) AS median_res FROM (SELECT release, day, count(*) AS n FROM (SELECT o_custkey % 50 AS release, CAST(o_orderdate AS DATE) AS day FROM orders) GROUP BY ALL)
-    JOIN (SELECT o_custkey % 50 AS release, round(median(o_totalprice), 4) AS med FROM orders GROUP BY 1) USING (release) GROUP BY release""")
+@R.add("agg05_dominant_metadata", """WITH r AS (SELECT o_custkey % 500 AS release, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) END AS day, CAST(o_orderdate AS DATE) + 30 AS captured, o_totalprice AS res FROM orders)
+    SELECT release, coalesce(dominant, earliest) AS dominant, dominant IS NULL AS fallback, median_res FROM (SELECT release, min(captured) AS earliest, round(median(res), 4) AS median_res FROM r GROUP BY release) LEFT JOIN (SELECT release, arg_min(day, (-n, day)) AS dominant FROM (SELECT release, day, count(*) AS n FROM r WHERE day IS NOT NULL GROUP BY ALL) GROUP BY release) USING (release)""")
 def agg05(s):
-    rows = s.orders.selectExpr("o_custkey % 50 AS release", "CAST(o_orderdate AS DATE) AS day", "o_totalprice AS res")
-    return rows.groupBy("release").agg(F.mode("day", True).alias("dominant"), F.round(F.median("res"), 4).alias("median_res"))
+    """The most frequent source date, of equally frequent ones the earliest; without any, the earliest capture date; and the median
+    resolution."""
+    rows = s.orders.selectExpr("o_custkey % 500 AS release", "CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) END AS day", "date_add(CAST(o_orderdate AS DATE), 30) AS captured", "o_totalprice AS res")
+    days = rows.where("day IS NOT NULL").groupBy("release", "day").agg(F.count("*").alias("n"))
+    dominant = days.groupBy("release").agg(F.min_by("day", F.struct(-F.col("n"), "day")).alias("dominant"))
+    found = rows.groupBy("release").agg(F.min("captured").alias("earliest")).join(dominant, "release", "left").join(M.percentiles(rows, ["release"], "res", (0.5,)), "release")
+    return found.select("release", F.coalesce("dominant", "earliest").alias("dominant"), F.col("dominant").isNull().alias("fallback"), F.round(F.col("q")[0], 4).alias("median_res"))
 
 
 @R.add("agg06_capture_dates", "SELECT release, list_sort(list(DISTINCT day)) AS dates, count(DISTINCT day) AS n_dates, count(DISTINCT day) > 1 AS mixed FROM (SELECT o_custkey AS release, strftime(o_orderdate, '%Y-%m') AS day FROM orders) GROUP BY release")
@@ -58,20 +75,26 @@ def agg06(s):
     return found.withColumns({"n_dates": F.size("dates").cast("bigint"), "mixed": F.size("dates") > 1})
 
 
-@R.add("agg09_milestone_metrics", """SELECT project, release, sum(CASE WHEN layer = 'additions' THEN a ELSE 0 END) AS added_area, sum(CASE WHEN layer = 'effective' THEN a ELSE 0 END) AS total_area, sum(CASE WHEN layer = 'blocks' THEN a ELSE 0 END) AS block_area, count(*) FILTER (WHERE layer = 'additions') AS n_added, count(*) FILTER (WHERE layer = 'effective') AS n_effective, count(*) FILTER (WHERE layer = 'blocks') AS n_blocks
-    FROM (SELECT *, CAST((maxx - minx) * (maxy - miny) AS DOUBLE) AS a FROM v_feature) GROUP BY project, release""")
+@R.add("agg09_milestone_metrics", f"""WITH RECURSIVE {CELLS}, pieces AS (SELECT DISTINCT project, release, layer, feature_id AS piece, cx, cy FROM cell), {piece_walk_sql('pieces', 'project, release, layer')}, l AS (SELECT project, release, layer, round(sum({cell_area_sql('cy', 10)}), 2) AS area, count(DISTINCT label) AS parts FROM lab GROUP BY ALL)
+    SELECT project, release, {', '.join(f"coalesce(max(CASE WHEN layer = '{k}' THEN area END), 0) AS {n}_area_m2, coalesce(max(CASE WHEN layer = '{k}' THEN parts END), 0) AS {n}_parts" for k, n in LAYERS.items())}, 0.0::DOUBLE AS envelope_area_m2 FROM l GROUP BY project, release""")
 def agg09(s):
-    area = ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).cast("double")
-    is_ = lambda k: F.col("layer") == k
-    of = lambda k: F.sum(F.when(is_(k), area).otherwise(0.0))
-    return s.v_feature.groupBy("project", "release").agg(of("additions").alias("added_area"), of("effective").alias("total_area"), of("blocks").alias("block_area"), F.count_if(is_("additions")).alias("n_added"), F.count_if(is_("effective")).alias("n_effective"), F.count_if(is_("blocks")).alias("n_blocks"))
+    """Of each milestone and layer the area of the union on the ellipsoid and the number of its parts. The envelope is switched
+    off and counts as 0."""
+    keys = ["project", "release", "layer"]
+    labels = label_cells(C.cells_of_boxes(s.v_feature, keys, 10), keys)
+    found = labels.groupBy(*keys, "label").agg(F.sum(cell_area_m2("cy", 10)).alias("a")).groupBy(*keys).agg(F.round(F.sum("a"), 2).alias("area_m2"), F.count("*").alias("parts"))
+    wide = [F.coalesce(F.max(F.when(F.col("layer") == k, F.col(c))), F.lit(0)).alias(f"{n}_{c}") for k, n in LAYERS.items() for c in ("area_m2", "parts")]
+    return found.groupBy("project", "release").agg(*wide).withColumn("envelope_area_m2", F.lit(0.0))
 
 
-@R.add("agg10_summary_metrics", "SELECT release, round(CASE WHEN mode LIKE '1%' THEN coalesce(nullif(n_buffers * total, 0), total) ELSE coalesce(nullif(n_buffers, 0), 1) * 1.0 END, 4) AS area FROM v_milestone")
+@R.add("agg10_summary_metrics", """SELECT release, round(CASE WHEN new THEN coalesce(nullif(new_area, 0), estimated, 0) ELSE coalesce(nullif(change_area, 0), estimated, 0) END, 2) AS added_area_m2, CASE WHEN new THEN coalesce(nullif(n_new, 0), n_features) ELSE coalesce(nullif(n_change, 0), n_features) END AS feature_count, new AS building_level, blocks AS block_count, round(coalesce(block_area, 0), 2) AS block_area_m2 FROM (SELECT release, mode LIKE '1%' AS new, n_buffers * 100.5::DOUBLE AS new_area, (n_buffers % 2) * total AS change_area, CASE WHEN release % 7 > 0 THEN total END AS estimated, n_buffers AS n_new, n_buffers % 3 AS n_change, 9 AS n_features, n_buffers % 4 AS blocks, CASE WHEN n_buffers > 2 THEN total / 3 END AS block_area FROM v_milestone)""")
 def agg10(s):
-    new = F.coalesce(F.nullif(F.col("n_buffers") * F.col("total"), F.lit(0.0)), "total")
-    change = F.coalesce(F.nullif("n_buffers", F.lit(0)), F.lit(1)) * 1.0
-    return s.v_milestone.select("release", F.round(F.when(F.col("mode").startswith("1"), new).otherwise(change), 4).alias("area"))
+    """Metrics of a milestone from its run's summary: what counts as its area and number depends on whether the run found new
+    buildings or changes of buildings, and each has something to fall back on."""
+    n = F.col("n_buffers")
+    summary = s.v_milestone.select("release", F.when(F.col("mode").startswith("1"), "new_buildings").otherwise("building_change").alias("semantics"), (n * 100.5).alias("new_building_area_m2"), ((n % 2) * F.col("total")).alias("change_area_m2"), F.when(F.col("release") % 7 > 0, F.col("total")).alias("estimated_area_m2"),
+                                   n.alias("new_buildings"), (n % 3).alias("change_polygons"), F.lit(9).cast("bigint").alias("feature_count"), (n % 4).alias("building_blocks"), F.when(n > 2, F.col("total") / 3).alias("building_block_area_m2"))
+    return M.summary_metrics(summary).select("release", "added_area_m2", "feature_count", "building_level", "block_count", "block_area_m2")
 
 
 @R.add("agg11_layer_bbox", "SELECT project, layer, count(*) AS n, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy FROM v_feature GROUP BY project, layer")
@@ -87,18 +110,27 @@ def agg12(s):
     return box.select("project", (F.col("minx") - px).alias("minx"), (F.col("miny") - py).alias("miny"), (F.col("maxx") + px).alias("maxx"), (F.col("maxy") + py).alias("maxy"), ((F.col("minx") + F.col("maxx")) / 2).alias("cx"), ((F.col("miny") + F.col("maxy")) / 2).alias("cy"))
 
 
-@R.add("agg13_metric_audit", """SELECT project, release, round(stored, 2) AS stored, computed, abs(stored - computed) > 1 AS mismatch FROM (SELECT project, release, sum(CAST((maxx - minx) * (maxy - miny) AS DOUBLE)) AS computed, sum(CASE WHEN feature_id % 7 = 0 THEN CAST((maxx - minx) * (maxy - miny) AS DOUBLE) + p ELSE (maxx - minx) * (maxy - miny) END) AS stored FROM v_feature WHERE layer = 'additions' GROUP BY project, release)""")
+@R.add("agg13_metric_audit", f"""WITH {CELLS}, u AS (SELECT project, release, count(DISTINCT (cx, cy)) * 100.0::DOUBLE AS computed FROM cell WHERE layer = 'additions' GROUP BY ALL), t AS (SELECT project, release, sum(CASE feature_id % 4 WHEN 3 THEN 0 ELSE (maxx - minx) * (maxy - miny) END)::DOUBLE AS stored FROM v_feature WHERE layer = 'additions' GROUP BY ALL)
+    SELECT project, release, stored, computed, abs(stored - computed) > 1 AS mismatch FROM u JOIN t USING (project, release)""")
 def agg13(s):
-    area = ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).cast("double")
-    told = F.coalesce(F.when(F.col("feature_id") % 7 == 0, area + F.col("p")), area)
-    found = s.v_feature.where("layer = 'additions'").groupBy("project", "release").agg(F.sum(told).alias("stored"), F.sum(area).alias("computed"))
-    return found.select("project", "release", F.round("stored", 2).alias("stored"), "computed", (F.abs(F.col("stored") - F.col("computed")) > 1).alias("mismatch"))
+    """The areas that features say they have (the first of three properties that can be read) against the area of their union."""
+    f = s.v_feature.where("layer = 'additions'")
+    text = ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).cast("string")
+    k = F.col("feature_id") % 4
+    given = f.select("project", "release", F.create_map(F.lit("area_m2"), F.when(k == 0, text).otherwise("n/a"), F.lit("added_area_m2"), F.when(k == 1, text), F.lit("change_area_m2"), F.when(k == 2, text)).alias("props"))
+    union = C.area(C.cells_of_boxes(f, ["project", "release"], 10), ["project", "release"], 10).withColumn("area", F.col("area").cast("double"))
+    return M.metric_audit(given, union, ["project", "release"], ("area_m2", "added_area_m2", "change_area_m2"), 1.0)
 
 
-@R.add("agg14_dissolve_attributes", "SELECT project, release, sum(CAST((maxx - minx) * (maxy - miny) AS DOUBLE)) AS area, round(avg(score), 9) AS mean_score, count(*) AS n_sources FROM v_feature GROUP BY project, release HAVING sum((maxx - minx) * (maxy - miny)) > 0")
+@R.add("agg14_dissolve_attributes", f"""WITH {CELLS}, u AS (SELECT project, release, count(DISTINCT (cx, cy)) * 100 AS union_area FROM cell GROUP BY ALL), a AS (SELECT project, release, sum(CASE WHEN feature_id % 3 = 0 THEN 0 ELSE CAST((maxx - minx) * (maxy - miny) AS DOUBLE) END) AS area, round(avg(score), 9) AS mean_score, count(*) AS n_sources FROM v_feature GROUP BY ALL)
+    SELECT project, release, union_area, nullif(area, 0) AS area, mean_score, n_sources FROM a JOIN u USING (project, release)""")
 def agg14(s):
-    found = s.v_feature.groupBy("project", "release").agg(F.sum(((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).cast("double")).alias("area"), F.round(F.avg("score"), 9).alias("mean_score"), F.count("*").alias("n_sources"))
-    return found.where("area > 0")
+    """One geometry for each milestone, here measured, with the sum of the areas that its features tell (left out where that is
+    0), their mean score and their number."""
+    keys = ["project", "release"]
+    told = F.when(F.col("feature_id") % 3 != 0, ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))).cast("double")).otherwise(0.0)
+    found = s.v_feature.groupBy(*keys).agg(F.nullif(F.sum(told), F.lit(0.0)).alias("area"), F.round(F.avg("score"), 9).alias("mean_score"), F.count("*").alias("n_sources"))
+    return C.area(C.cells_of_boxes(s.v_feature, keys, 10), keys, 10).withColumnRenamed("area", "union_area").join(found, keys)
 
 
 _MASKS = "(SELECT row, col, max(CASE WHEN raster = 't1' THEN p END) >= 0.6 AS a, max(CASE WHEN raster = 't2' THEN p END) >= 0.6 AS b FROM v_pixel GROUP BY row, col)"
@@ -118,10 +150,11 @@ def agg16(s):
     return found.select("pixels", rnd("most"), rnd("mean"), rnd("p99"), "mismatches")
 
 
-@R.add("agg17_repeat_summary", "SELECT event_type AS mode, metric, round(avg(v), 5) AS mean, round(min(v), 5) AS least, round(max(v), 5) AS most FROM (SELECT event_type, unnest(['value', 'double', 'log']) AS metric, unnest([value, value * 2, ln(value + 1)]) AS v FROM events) GROUP BY ALL")
+@R.add("agg17_repeat_summary", "WITH w AS (SELECT run_id, run_id % 2 AS mode, " + ", ".join(f"{sql} AS {n}" for n, sql in REPEAT_METRICS.items()) + " FROM v_timing GROUP BY run_id), l AS (" + " UNION ALL ".join(f"SELECT mode, '{n}' AS metric, CAST({n} AS DOUBLE) AS v FROM w" for n in REPEAT_METRICS) + ") SELECT mode, metric, round(avg(v), 5) AS mean, round(min(v), 5) AS least, round(max(v), 5) AS most FROM l GROUP BY ALL")
 def agg17(s):
-    wide = s.events.select(F.col("event_type").alias("mode"), "value", (F.col("value") * 2).alias("double"), F.log(F.col("value") + 1).alias("log"))
-    return wide.unpivot("mode", ["value", "double", "log"], "metric", "v").groupBy("mode", "metric").agg(F.round(F.avg("v"), 5).alias("mean"), F.round(F.min("v"), 5).alias("least"), F.round(F.max("v"), 5).alias("most"))
+    """26 metrics of each run; over the repeats of a mode their mean, least and greatest."""
+    wide = s.v_timing.groupBy("run_id").agg(*[F.expr(sql).cast("double").alias(n) for n, sql in REPEAT_METRICS.items()])
+    return M.repeat_summary(wide.withColumn("mode", F.col("run_id") % 2), "mode", list(REPEAT_METRICS)).select("mode", "metric", *[F.round(c, 5).alias(c) for c in ("mean", "least", "most")])
 
 
 @R.add("agg18_trend", "SELECT run_id, round(CASE WHEN count(*) >= 2 AND var_pop(tile) > 0 THEN regr_slope(ms, tile) * 100 END, 6) AS slope FROM v_timing GROUP BY run_id")
@@ -133,7 +166,8 @@ def agg18(s):
 def agg19(s):
     ms = F.col("ms")
     cv = F.stddev_pop(ms) / F.avg(ms)
-    return s.v_timing.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum(ms), 3).alias("total"), F.round(F.avg(ms), 5).alias("mean"), F.round(F.median(ms), 5).alias("median"), F.round(F.percentile(ms, F.lit(0.95)), 5).alias("p95"), F.round(cv, 5).alias("cv"), F.max_by("tile", F.struct("ms", -F.col("tile"))).alias("slowest"), F.min_by("tile", F.struct("ms", "tile")).alias("fastest"), F.count_if(ms > 100).alias("over_100"), (cv < 0.1).alias("uniform"))
+    found = s.v_timing.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum(ms), 3).alias("total"), F.round(F.avg(ms), 5).alias("mean"), F.round(cv, 5).alias("cv"), F.max_by("tile", F.struct("ms", -F.col("tile"))).alias("slowest"), F.min_by("tile", F.struct("ms", "tile")).alias("fastest"), F.count_if(ms > 100).alias("over_100"), (cv < 0.1).alias("uniform"))
+    return found.join(M.percentiles(s.v_timing, ["run_id"], "ms", (0.5, 0.95)), "run_id").select(*found.columns, F.round(F.col("q")[0], 5).alias("median"), F.round(F.col("q")[1], 5).alias("p95"))
 
 
 @R.add("agg20_quantisation_frame", "SELECT project, minx, miny, (maxx - minx) / 9999 AS scale_x, (maxy - miny) / 9999 AS scale_y FROM (SELECT project, round(min(minx) / 1000.0, 6) AS minx, round(min(miny) / 1000.0, 6) AS miny, round(max(maxx) / 1000.0, 6) AS maxx, round(max(maxy) / 1000.0, 6) AS maxy FROM v_feature GROUP BY project)")
@@ -181,10 +215,13 @@ def agg27(s):
     return s.v_milestone.groupBy("project").agg(F.count("*").alias("milestones"), F.count_if(done).alias("complete"), F.when(F.bool_and(done), "complete").otherwise("incomplete").alias("status"), F.min("release_date").alias("first_date"), F.max("release_date").alias("last_date"))
 
 
-@R.add("agg28_feature_counts", "SELECT artifact_id, CASE WHEN path LIKE '%.geojson' THEN size % 50 ELSE -1 END AS features FROM v_artifact")
+@R.add("agg28_feature_counts", "SELECT project, release, CASE WHEN bool_or(feature_id % 50 = 0) THEN -1 ELSE count(*) END AS n FROM v_feature GROUP BY project, release")
 def agg28(s):
-    """The features of a file, -1 where it can't be read as such."""
-    return s.v_artifact.select("artifact_id", F.coalesce(F.when(F.col("path").endswith(".geojson"), F.col("size") % 50), F.lit(-1).cast("bigint")).alias("features"))
+    """Features in each published file, -1 for one that can't be read. Some files are cut off here."""
+    k = F.col("feature_id")
+    listed = F.array_join(F.collect_list(F.to_json(F.struct(F.lit("Feature").alias("type"), k.alias("id")))), ",")
+    files = s.v_feature.groupBy("project", "release").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), listed, F.when(F.bool_or(k % 50 == 0), "").otherwise("]}")).alias("body"))
+    return files.select("project", "release", M.feature_count("body").alias("n"))
 
 
 @R.add("agg29_outcome_counters", "SELECT CASE WHEN size IS NULL THEN 'skipped' WHEN size < 500 THEN 'kept' WHEN artifact_id % 50 = 0 THEN 'failed' ELSE 'migrated' END AS outcome, count(*) AS n, sum(size)::BIGINT AS bytes FROM v_artifact GROUP BY 1")
@@ -248,9 +285,10 @@ def agg36(s):
     return s.v_tile_check.groupBy("release").agg(F.round(M.safe_ratio(100.0 * F.count_if(F.col("status") == "available"), F.count("*")), 5).alias("percent"))
 
 
-@R.add("agg37_layer_stats", "SELECT layer, count(*) AS n, min(minx) AS minx, max(maxx) AS maxx, sum((maxx - minx) * (maxy - miny))::BIGINT AS geometry_area, round(sum(p * (maxx - minx)), 2) AS property_area FROM v_feature GROUP BY layer")
+@R.add("agg37_layer_stats", "SELECT layer, count(*) AS n, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, sum((maxx - minx) * (maxy - miny))::BIGINT AS geometry_area, round(sum(p * (maxx - minx)), 2) AS property_area FROM v_feature GROUP BY layer")
 def agg37(s):
-    return s.v_feature.groupBy("layer").agg(F.count("*").alias("n"), F.min("minx").alias("minx"), F.max("maxx").alias("maxx"), F.sum(F.expr("(maxx - minx) * (maxy - miny)")).alias("geometry_area"), F.round(F.sum(F.expr("p * (maxx - minx)")), 2).alias("property_area"))
+    bbox = [f(f"{e}{v}").alias(f"{e}{v}") for f, e in ((F.min, "min"), (F.max, "max")) for v in "xy"]
+    return s.v_feature.groupBy("layer").agg(F.count("*").alias("n"), *bbox, F.sum(F.expr("(maxx - minx) * (maxy - miny)")).alias("geometry_area"), F.round(F.sum(F.expr("p * (maxx - minx)")), 2).alias("property_area"))
 
 
 @R.add("agg38_growth_kpis", "SELECT release, round(share, 6) AS share, CASE WHEN share IS NULL THEN 'unknown' WHEN share >= 0.5 THEN 'strong' WHEN share >= 0.2 THEN 'moderate' WHEN share > 0 THEN 'slight' ELSE 'none' END AS growth FROM (SELECT release, CASE WHEN total > 0 THEN (n_buffers * 20000) / total END AS share FROM v_milestone)")
@@ -265,16 +303,24 @@ def agg39(s):
     return found.select("project", F.when(F.col("most") > 5, F.col("most")).otherwise(0).cast("bigint").alias("n"))
 
 
-@R.add("agg40_project_extent", "SELECT project, coalesce(min(minx), 0) AS minx, coalesce(max(maxx), 4000) AS maxx, count(minx) = 0 AS fallback, count(DISTINCT layer) FILTER (WHERE minx IS NOT NULL) AS sources FROM v_project LEFT JOIN (SELECT * FROM v_feature WHERE p > 0.05) USING (project) GROUP BY project")
+@R.add("agg40_project_extent", f"""WITH e AS (SELECT project, count(minx) = 0 AS fallback, count(DISTINCT layer) FILTER (WHERE minx IS NOT NULL) AS sources, coalesce(min(minx), 0) / {PLANE_SCALE}.0 + {PLANE_LON} AS w, coalesce(min(miny), 0) / {PLANE_SCALE}.0 + {PLANE_LAT} AS s, coalesce(max(maxx), 4000) / {PLANE_SCALE}.0 + {PLANE_LON} AS e, coalesce(max(maxy), 4000) / {PLANE_SCALE}.0 + {PLANE_LAT} AS n FROM v_project LEFT JOIN (SELECT * FROM v_feature WHERE p > 0.05) USING (project) GROUP BY project),
+    m AS (SELECT project, fallback, sources, w * {math.pi} / 180 * 6378137 AS x0, ln(tan({math.pi} / 4 + s * {math.pi} / 360)) * 6378137 AS y0, e * {math.pi} / 180 * 6378137 AS x1, ln(tan({math.pi} / 4 + n * {math.pi} / 360)) * 6378137 AS y1 FROM e)
+    SELECT project, fallback, sources, round(x0 - 0.1 * (x1 - x0), 2) AS minx, round(y0 - 0.1 * (y1 - y0), 2) AS miny, round(x1 + 0.1 * (x1 - x0), 2) AS maxx, round(y1 + 0.1 * (y1 - y0), 2) AS maxy FROM m""")
 def agg40(s):
-    joined = s.v_project.select("project").join(s.v_feature.where("p > 0.05"), "project", "left")
-    return joined.groupBy("project").agg(F.coalesce(F.min("minx"), F.lit(0)).alias("minx"), F.coalesce(F.max("maxx"), F.lit(4000)).alias("maxx"), (F.count("minx") == 0).alias("fallback"), F.count_distinct(F.when(F.col("minx").isNotNull(), F.col("layer"))).alias("sources"))
+    """Bounds of each project's valid layers in Web-Mercator metres, a tenth wider on each side; where there are none, those of
+    the area."""
+    f = s.v_feature.where("p > 0.05")
+    degrees = {c: F.col(c) / PLANE_SCALE + (PLANE_LON if c.endswith("x") else PLANE_LAT) for c in ("minx", "miny", "maxx", "maxy")}
+    area = (PLANE_LON, PLANE_LAT, 4000 / PLANE_SCALE + PLANE_LON, 4000 / PLANE_SCALE + PLANE_LAT)
+    found = M.padded_extent(s.v_project.select("project"), f.withColumns(degrees), "project", "layer", area, 0.1)
+    return found.select("project", "fallback", "sources", *[F.round(c, 2).alias(c) for c in degrees])
 
 
 @R.add("agg41_benchmark_row", "SELECT run_id, count(*) AS tiles, round(count(*) / (sum(ms) / 1000), 5) AS per_second, round(avg(ms) / 1000, 6) AS mean_s, round(quantile_cont(ms, 0.95) / 1000, 6) AS p95_s, round(count(*) FILTER (WHERE field = 'view') / count(*), 6) AS reuse FROM v_timing GROUP BY run_id")
 def agg41(s):
     ms = F.col("ms")
-    return s.v_timing.groupBy("run_id").agg(F.count("*").alias("tiles"), F.round(M.safe_ratio(F.count("*"), F.sum(ms) / 1000), 5).alias("per_second"), F.round(F.avg(ms) / 1000, 6).alias("mean_s"), F.round(F.percentile(ms, F.lit(0.95)) / 1000, 6).alias("p95_s"), F.round(M.safe_ratio(F.count_if(F.col("field") == "view"), F.count("*")), 6).alias("reuse"))
+    found = s.v_timing.groupBy("run_id").agg(F.count("*").alias("tiles"), F.round(M.safe_ratio(F.count("*"), F.sum(ms) / 1000), 5).alias("per_second"), F.round(F.avg(ms) / 1000, 6).alias("mean_s"), F.round(M.safe_ratio(F.count_if(F.col("field") == "view"), F.count("*")), 6).alias("reuse"))
+    return found.join(M.percentiles(s.v_timing, ["run_id"], "ms", (0.95,)), "run_id").select(*found.columns, F.round(F.col("q")[0] / 1000, 6).alias("p95_s"))
 
 
 @R.add("agg42_backfill_report", "SELECT CASE WHEN path LIKE '%.tmp' THEN 'skip' WHEN size > 4000 THEN 'create' ELSE 'present' END AS status, count(*) AS n, sum(CASE WHEN path NOT LIKE '%.tmp' AND size > 4000 THEN size ELSE 0 END)::BIGINT AS bytes_to_create FROM v_artifact GROUP BY 1")
