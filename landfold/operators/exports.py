@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,3 +140,8 @@ def filled(cells: DataFrame, keys: list[str]) -> DataFrame:
     edge = outside.where("cx = x0 OR cx = x1 OR cy = y0 OR cy = y1").join(labels, [*own, *C.CELL]).select(*own, "label").distinct()
     holes = labels.join(edge, [*own, "label"], "left_anti").select(*keys, *C.CELL)
     return whole.unionByName(holes).distinct()
+
+
+def merged_payloads(rows: DataFrame, keys: list[str], getter: Callable[[], Column]) -> DataFrame:
+    """(keys, merged): the features of the payloads that the getter, an expression over the row's columns, gives as an array."""
+    return rows.select(*keys, F.flatten(getter()).alias("merged"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from landfold.operators import exports as X
 from landfold.plans.base import Registry
 from landfold.sources import files
 from landfold.sources.staging import run_dir
@@ -64,11 +67,55 @@ def snk06(s):
     return s.spark.read.option("header", True).schema("project bigint, layer string, n bigint, area bigint").csv(to)
 
 
-def run_pairs(pairs: DataFrame, runner: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A user's function over the whole table of pairs."""
-    return runner(pairs)
+@R.add("src16_file_scan", """WITH l AS (SELECT project, layer, strlen('{"feature_id":' || feature_id || ',"layer":"' || layer || '"}') + 1 AS n FROM v_feature) SELECT 'layer=' || layer || '/project=' || project AS folder, sum(n)::BIGINT AS bytes, project % 3 = 0 AS registered FROM l GROUP BY ALL""")
+def src16_files(s):
+    """All files under a run, by a scan of the folder, with those that are registered: by resolved path, an entry that is
+    registered wins. Here by folder, as file names are Spark's."""
+    to = path(s, "run")
+    rows = s.v_feature.select("project", "layer", F.to_json(F.struct("feature_id", "layer")).alias("value"))
+    rows.repartition("project", "layer").write.partitionBy("layer", "project").text(to)
+    found = files.file_inventory(s.spark, to)
+    registered = found.where(F.regexp_extract("path", "project=([0-9]+)", 1).cast("int") % 3 == 0).withColumn("path", F.concat(F.lit("x/../"), "path"))
+    entries = files.merged_entries(registered, found)
+    folder = F.regexp_extract("path", "(layer=[^/]+/project=[0-9]+)/", 1)
+    return entries.groupBy(folder.alias("folder")).agg(F.sum("size").alias("bytes"), F.bool_and("registered").alias("registered"))
 
 
-@R.add("udf02_pair_runner", "SELECT release, round(total * 2, 4) AS changed FROM v_milestone WHERE n_buffers > 0")
+def run_pairs(pairs: DataFrame, runner: Callable[[dict], dict], schema: str) -> DataFrame:
+    """A user's function for one pair of milestones, called for each row where its partition is; `runner` takes and gives a row.
+    A pair whose runner fails gives its columns NULL, and the error's text as `error`."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for pair in batch.to_dict("records"):
+                try:
+                    out.append({**runner(pair), "error": None})
+                except Exception as failure:  # a runner is another's code; its pair is marked, the others go on
+                    out.append({"error": str(failure)})
+            yield pd.concat([batch, pd.DataFrame(out, columns=[*names, "error"], index=batch.index)], axis=1)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+    return pairs.mapInPandas(run, f"{own}, {schema}, error string")
+
+
+def growing(pair: dict) -> dict:
+    """The query's runner: it fails where there is nothing to compare."""
+    if pair["before"] != pair["before"] or pair["before"] is None:
+        raise ValueError("no milestone before")
+    return {"changed": pair["total"] - pair["before"]}
+
+
+@R.add("udf02_pair_runner", "SELECT release, round(total - before, 4) AS changed, CASE WHEN before IS NULL THEN 'no milestone before' END AS error FROM (SELECT release, total, lag(total) OVER (PARTITION BY project ORDER BY release_date, release) AS before FROM v_milestone)")
 def udf02(s):
-    return run_pairs(s.v_milestone.where("n_buffers > 0"), lambda pairs: pairs.select("release", F.round(F.col("total") * 2, 4).alias("changed")))
+    pairs = s.v_milestone.select("release", "total", F.lag("total").over(W.partitionBy("project").orderBy("release_date", "release")).alias("before"))
+    return run_pairs(pairs, growing, "changed double").select("release", F.round("changed", 4).alias("changed"), "error")
+
+
+@R.add("udf03_payload_getter", "SELECT release, list(feature_id ORDER BY feature_id) AS ids FROM v_feature WHERE layer IN ('additions', 'effective') GROUP BY release")
+def udf03(s):
+    """Collections of all milestones merged by a getter: an expression over the row that says which payloads take part."""
+    layer = s.v_feature.groupBy("release", "layer").agg(F.collect_list("feature_id").alias("ids"))
+    payloads = layer.groupBy("release").agg(F.map_from_entries(F.collect_list(F.struct("layer", "ids"))).alias("payloads"))
+    return X.merged_payloads(payloads, ["release"], lambda: F.array_compact(F.array(*[F.try_element_at("payloads", F.lit(k)) for k in ("additions", "effective")]))).select("release", F.array_sort("merged").alias("ids"))

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from landfold.operators import metrics as M
 from landfold.plans.base import Registry
+from landfold.sources.staging import staged_path
 from landfold.streaming import jobs as J
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
 
 
+#: Files in which the events come, one a batch.
+FILES = 4
+
+
 def events(s):
-    return J.events_stream(s.spark, s.sf_dir, "events")
+    """The events as a stream of files in the order of their time."""
+    return J.file_stream(s.spark, s.events.schema, J.event_files(s.events, "ts", FILES, staged_path(s.spark, "event-files")))
 
 
 def metric_events(s):
@@ -25,9 +32,10 @@ def st01(s):
     return J.run(J.live_metrics(metric_events(s)), "complete", "st01").withColumn("total", F.round("total", 4))
 
 
-@R.add("st01_windowed_metrics", "SELECT date_trunc('hour', ts) AS start, name, count(*) AS n, round(sum(value), 4) AS total FROM v_metric_event GROUP BY ALL")
+@R.add("st01_windowed_metrics", "SELECT date_trunc('hour', ts) AS start, name, count(*) AS n, round(sum(value), 4) AS total FROM v_metric_event WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM v_metric_event) - INTERVAL 10 MINUTE GROUP BY ALL")
 def st01_windowed(s):
-    return J.run(J.windowed_metrics(metric_events(s), "1 hour", "10 minutes"), "complete", "st01w").select(F.col("start").cast("timestamp_ntz").alias("start"), "name", "n", F.round("total", 4).alias("total"))
+    """Only windows that are over, as the watermark tells."""
+    return J.run(J.windowed_metrics(metric_events(s), "1 hour", "10 minutes"), "append", "st01w").select(F.col("start").cast("timestamp_ntz").alias("start"), "name", "n", F.round("total", 4).alias("total"))
 
 
 @R.add("st02_gauges", "SELECT name, label, arg_max(value, seq) AS value FROM v_metric_event GROUP BY name, label")
@@ -38,14 +46,17 @@ def st02(s):
 @R.add("st03_tile_completion", "SELECT DISTINCT user_id % 20 AS run_id, event_id % 400 AS tile FROM events")
 def st03(s):
     tiles = events(s).select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 400).alias("tile"), F.col("ts").cast("timestamp").alias("ts"))
-    return J.run(J.completed_once(tiles, "3650 days"), "append", "st03").select("run_id", "tile")
+    return J.run(J.completed_once(tiles, "1 hour"), "append", "st03", once=("run_id", "tile")).select("run_id", "tile")
 
 
-@R.add("st04_run_progress", "SELECT user_id % 20 AS run_id, count(*) AS done, round(sum(value), 3) AS spent FROM events GROUP BY 1")
+@R.add("st04_run_progress", "SELECT run_id, n AS done, spent, rate, 0.0::DOUBLE AS eta FROM (SELECT user_id % 20 AS run_id, count(*) AS n, round(sum(value), 3) AS spent, round(count(*) / sum(value) * 1000, 6) AS rate FROM events GROUP BY 1)")
 def st04(s):
-    tiles = events(s).select((F.col("user_id") % 20).alias("run_id"), F.col("value").alias("ms"))
-    told = J.run(J.run_progress(tiles, 50), "append", "st04")
-    return told.groupBy("run_id").agg(F.max("done").alias("done"), F.round(F.max_by("spent", "done"), 3).alias("spent"))
+    """The last row of each run: all done, nothing left."""
+    totals = s.events.groupBy((F.col("user_id") % 20).alias("run_id")).agg(F.count("*").alias("total"))
+    tiles = events(s).select((F.col("user_id") % 20).alias("run_id"), F.col("value").alias("ms")).join(totals, "run_id")
+    rows = J.run(J.run_progress(tiles, 50), "append", "st04")
+    last = rows.groupBy("run_id").agg(F.max_by(F.struct("done", "spent", "rate", "eta"), "done").alias("r")).select("run_id", "r.*")
+    return last.select("run_id", "done", F.round("spent", 3).alias("spent"), F.round("rate", 6).alias("rate"), "eta")
 
 
 @R.add("st05_job_states", "SELECT job_id, arg_max(status, (ts, event_id)) AS status, min(ts) FILTER (WHERE status = 'running') AS started_at, min(ts) FILTER (WHERE status IN ('completed', 'failed')) AS completed_at FROM v_job GROUP BY job_id")
@@ -61,9 +72,10 @@ def st08(s):
     return J.run(J.audit(e, "2024-01-05"), "complete", "st08")
 
 
-@R.add("st09_timing_refresh", "SELECT field, count(*) AS n, round(avg(ms), 6) AS mean, round(max(ms), 6) AS most FROM v_timing GROUP BY field")
+@R.add("st09_timing_refresh", "SELECT f.field, count(ms) AS n, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.95), 6) AS p95, round(max(ms), 6) AS most FROM (SELECT DISTINCT field FROM v_timing UNION SELECT 'absent') f LEFT JOIN v_timing USING (field) GROUP BY f.field")
 def st09(s):
-    """The summary is worked out anew with each batch."""
-    t = events(s).select(F.col("event_type").alias("field"), F.col("value").alias("ms"))
-    found = t.groupBy("field").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.max("ms").alias("most"))
-    return J.run(found, "complete", "st09").select("field", "n", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
+    """The summary is worked out anew each time that 25 further tiles are in."""
+    t = events(s).select(F.lit("run").alias("run"), F.col("event_type").alias("field"), F.col("value").alias("ms"))
+    fields = s.events.select(F.col("event_type").alias("field")).distinct().union(s.spark.sql("SELECT 'absent'"))
+    found = J.refreshed(t, "st09", lambda rows: M.timing_summary(rows, fields, "field", "ms", ["run"], digits=6), 25)
+    return found.select("field", "n", "mean", "median", "p95", "most")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FEATURE = "struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
@@ -47,3 +47,24 @@ def capped_lines(spark: SparkSession, path: str, schema: str, order: list[str],
     rows = spark.read.schema(schema).json(path)
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy(*order).limit(most).crossJoin(F.broadcast(total)).withColumn("capped", F.col("total") > most)  # a single row
+
+
+def resolved(path: Column) -> Column:
+    """A path without `.` and without `name/..`."""
+    plain = F.regexp_replace(path, r"/\./", "/")
+    for _ in range(4):
+        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return plain
+
+
+def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file under a folder: path, size, modified. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where("NOT contains(path, '/_') AND NOT contains(path, '/.')")
+
+
+def merged_entries(registered: DataFrame, found: DataFrame) -> DataFrame:
+    """One entry for each resolved path, a registered one before one that was found: path, size, modified, registered."""
+    both = registered.withColumn("registered", F.lit(True)).unionByName(found.withColumn("registered", F.lit(False))).withColumn("path", resolved(F.col("path")))
+    whole = both.groupBy("path").agg(F.max_by(F.struct("size", "modified", "registered"), F.struct(F.col("registered"), "size")).alias("e"))
+    return whole.select("path", "e.*")
