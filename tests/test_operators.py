@@ -259,6 +259,118 @@ def test_upsert_and_children(spark):
     assert {(r.k, r.v) for r in records.replace_children(old, new, "k").collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def changed_square() -> raster.Predictor:
+    def predictor(tile, t1, t2, masks):
+        assert t1.shape == t2.shape == (tile["y1"] - tile["y0"], tile["x1"] - tile["x0"]) and masks[0].all()
+        p = np.abs(t2 - t1) / 255
+        return p, p >= 0.2, {"index": tile["index"]}
+
+    return predictor
+
+
+def test_tiled_prediction_of_whole_windows(spark):
+    """A square of 20 pixels that is new at the second date, by tiles of 32 that overlap by 4."""
+    t1, t2 = np.zeros((64, 64)), block((64, 64), (20, 39), (20, 39)) * 255
+    px = pixels(spark, t1).unionByName(pixels(spark, t2, "t2"))
+    headers = spark.createDataFrame([("t1-t2", 64, 64, 32)], "raster string, height bigint, width bigint, size bigint")
+    windows = grid.windows(headers, lambda c: grid.inference_offsets(c, F.col("size"), 4), "size")
+    patches = raster.predict(windows, raster.paired_chunks(px, size=16), 16, changed_square)
+    done = patches.select("index", "h", "w", "metadata").collect()
+    assert sorted(r["index"] for r in done) == list(range(windows.count())) and all((r.h, r.w) == (32, 32) and r.metadata == {"index": str(r["index"])} for r in done)
+    found = raster.mosaic_pixels(raster.mosaic(patches, 16)).collect()
+    assert len(found) == 64 * 64 and {(r.row, r.col) for r in found if r.mask} == {(y, x) for y in range(20, 40) for x in range(20, 40)}
+    starts = [0, 24, 32]
+    assert all(r.writes == sum(a <= r.row < a + 32 for a in starts) * sum(a <= r.col < a + 32 for a in starts) for r in found)
+    regions = raster.tile_regions(spark.createDataFrame([("m", r.row, r.col, r.p) for r in found if r.mask], "raster string, row bigint, col bigint, p double"), 32).collect()
+    assert sorted((r.tile_row, r.tile_col, r.pixels) for r in regions) == [(0, 0, 144), (0, 1, 96), (1, 0, 96), (1, 1, 64)]
+
+
+def test_last_window_stays(spark):
+    rows = [("r", 1, 0, 0, 1, 3, [1.0, 1.0, 1.0], [True] * 3, {}), ("r", 0, 0, 1, 1, 3, [0.0, 0.0, 0.0], [False] * 3, {})]
+    got = raster.mosaic_pixels(raster.mosaic(spark.createDataFrame(rows, raster.PATCH), 2)).orderBy("col").collect()
+    assert [(r.col, r.p, r.writes) for r in got] == [(0, 1.0, 1), (1, 1.0, 2), (2, 1.0, 2), (3, 0.0, 1)]
+
+
+def test_a_part_of_a_pair_that_is_missing_is_masked(spark):
+    px = pixels(spark, np.ones((4, 4))).unionByName(pixels(spark, np.ones((4, 3)), "t2"))
+    windows = spark.createDataFrame([("t1-t2", 0, 0, 4, 0, 4)], "raster string, index bigint, y0 bigint, y1 bigint, x0 bigint, x1 bigint")
+    patch = raster.predict(windows, raster.paired_chunks(px, size=4), 4, everything).first()
+    assert [x for k, x in enumerate(patch.mask) if k % 4 == 3] == [False] * 4 and sum(patch.mask) == 12
+
+
+def everything() -> raster.Predictor:
+    return lambda tile, t1, t2, masks: (t1, np.ones(t1.shape, bool), {})
+
+
+@pytest.mark.parametrize("values", [[1.0], [3.0, 1.0], [5.0] * 50, [float(v % 97) for v in range(1000)], [1e-9, 1e9, None, float("nan"), 7.0]])
+def test_percentiles_by_sorting(spark, values):
+    frame = spark.createDataFrame([("g", v) for v in values] + [("h", 2.0)], "g string, v double")
+    levels = (0.0, 0.01, 0.5, 0.9, 0.95, 1.0)
+    got = {r.g: r.q for r in metrics.percentiles(frame, ["g"], "v", levels, bins=16).collect()}
+    plain = [v for v in values if v is not None and v == v]
+    assert np.allclose(got["g"], [np.percentile(plain, q * 100) for q in levels]) and got["h"] == [2.0] * len(levels)
+
+
+def test_first_that_fits_by_brute_force(spark):
+    rng = random.Random(4)
+    offers = [(rng.randrange(3), k, rng.randrange(2000)) for k in range(200)]
+    wanted = [(k, rng.randrange(4), rng.randrange(2100)) for k in range(150)]
+    got = records.first_that_fits(spark.createDataFrame(wanted, "id int, k int, need int"), spark.createDataFrame(offers, "k int, v int, size int"), "k", "need", "size", "v", 100).collect()
+    assert {(r.id, r.v) for r in got} == {(i, min((v for o, v, size in offers if o == k and size >= need), default=None)) for i, k, need in wanted} and len(got) == 150
+
+
+def test_override_outside_the_area_is_an_error(spark):
+    boxes = lambda *rows: spark.createDataFrame(list(rows), "k int, minx bigint, miny bigint, maxx bigint, maxy bigint")
+    base, inside, outside = boxes((1, 0, 0, 10, 10), (2, 0, 0, 10, 10)), boxes((2, 5, 5, 30, 30)), boxes((2, 500, 500, 510, 510))
+    got = records.override_layer(base, inside, "k", (0, 0, 20, 20))
+    assert {tuple(r) for r in got.select("k", "minx", "miny", "maxx", "maxy").collect()} == {(1, 0, 0, 10, 10), (2, 5, 5, 20, 20)}
+    with pytest.raises(ValueError, match="inside"):
+        records.override_layer(base, outside, "k", (0, 0, 20, 20))
+
+
+def test_payloads_are_split_and_found_again(spark):
+    rows = spark.createDataFrame([(1, "x" * 50), (2, "short"), (3, None), (4, "x" * 50)], "id int, body string")
+    main, side = records.split_payloads(rows, "body", 10, "tag/1")
+    assert {(r.id, r.storage, r.payload) for r in main.collect()} == {(1, "external", None), (2, "inline", "short"), (3, "inline", None), (4, "external", None)}
+    assert [(r.bytes, r.schema_tag, r.payload) for r in side.collect()] == [(50, "tag/1", "x" * 50)]
+
+
+def test_nested_leaves_below_the_depth_stay_as_text(spark):
+    doc = '{"a": {"b": {"c": 1}}, "d": [2, {"e": 3}]}'
+    got = {r.field_path: r.value for r in exports.walk_json(spark.createDataFrame([(1, doc)], "id int, doc string"), "doc", ["id"], 2).collect()}
+    assert got == {"$.a.b": '{"c":1}', "$.d[0]": "2", "$.d[1]": '{"e":3}'}
+
+
+def test_areas_without_a_told_system(spark):
+    texts = ["POLYGON ((0 0, 111319.49 0, 111319.49 111325.14, 0 0))", '{"type":"Polygon","coordinates":[[[1,2],[3,2],[3,4],[1,2]]]}', "POLYGON ((190 0, 200 0, 200 5, 190 0))", "nothing"]
+    got = exports.imported_areas(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "text").orderBy("id").collect()
+    assert [(r.crs, r.valid) for r in got] == [("EPSG:3857", True), ("EPSG:4326", True), ("EPSG:4326", False), ("EPSG:4326", False)]
+    assert abs(got[0].bounds.maxx - 1) < 1e-5 and abs(got[0].bounds.maxy - 1) < 1e-3
+
+
+def test_a_runner_that_fails_marks_its_pair(spark):
+    from landfold.plans import files as plans
+
+    pairs = spark.createDataFrame([(1, 5.0, 3.0), (2, 5.0, None)], "release int, total double, before double")
+    got = {r.release: (r.changed, r.error) for r in plans.run_pairs(pairs, plans.growing, "changed double").collect()}
+    assert got == {1: (2.0, None), 2: (None, "no milestone before")}
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """State, watermark and the table of completed tiles are carried over batches and a restart; late events are dropped."""
+    rows = lambda *hours: spark.createDataFrame([(f"2024-01-01 {h:02d}:00:00", h % 3) for h in hours], "t string, tile int").selectExpr("CAST(t AS timestamp) AS ts", "0 AS run_id", "tile")
+    src, windows, tiles = (f"file://{tmp_path}/{n}" for n in ("src", "windows", "tiles"))
+    stream = lambda: jobs.file_stream(spark, rows(0).schema, src)
+    counted = lambda: jobs.windowed_metrics(stream().selectExpr("ts", "'n' AS name", "1.0 AS value"), "1 hour", "10 minutes")
+    once = lambda: jobs.completed_once(stream(), "1 hour")
+    done = lambda: (sorted((r.start.hour, r.n) for r in jobs.run(counted(), "append", "w", windows).collect()), sorted(r.tile for r in jobs.run(once(), "append", "o", tiles, ("run_id", "tile")).collect()))
+    rows(0, 0, 1).coalesce(1).write.mode("append").parquet(src)
+    rows(4, 5).coalesce(1).write.mode("append").parquet(src)
+    assert done() == ([(0, 2), (1, 1)], [0, 1, 2])
+    rows(1, 5, 9).coalesce(1).write.mode("append").parquet(src)  # the first is too late for its window
+    assert done() == ([(0, 2), (1, 1), (4, 1), (5, 2)], [0, 1, 2])
+
+
 def test_json_stream_drops_broken_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"name": "x", "value": 1}\n{broken\n{"name": "x", "value": 2}\n')
     stream = jobs.json_stream(spark, f"file://{tmp_path}", "name string, value double")
