@@ -60,11 +60,13 @@ class Memory:
         """Those of keys that aren't known; all others are in `now` after this."""
         if len(self.now) > self.size:
             self.before, self.now = self.now, {}
-        new = keys - self.now.keys()
-        again = new & self.before.keys()
-        for k in again:
-            self.now[k] = self.before[k]
-        return new - again
+        now, before, missing = self.now, self.before, set()
+        for k in [k for k in keys if k not in now]:  # a difference with keys() would go through all that is known
+            if k in before:
+                now[k] = before[k]
+            else:
+                missing.add(k)
+        return missing
 
 
 def word_splitter() -> Callable[[str], list[str]]:
