@@ -67,12 +67,13 @@ def final_stats(parts: DataFrame, group: list[str]) -> DataFrame:
 
 def timing_summary(records: DataFrame, fields: DataFrame, field: str, value: str, group: list[str], digits: int = 3) -> DataFrame:
     """One row per group and field of the dimension `fields` (one column): count, mean, median, p90, p95, most, least, total,
-    rounded; a field without records has count 0, total 0 and NULLs."""
+    rounded (by way of three more digits, so that the order of a sum doesn't decide a tie); a field without records has count 0,
+    total 0 and NULLs."""
     groups = records.select(*group).distinct()
     found = records.groupBy(*group, field).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.min(value).alias("least"), F.sum(value).alias("total"))
     found = found.join(percentiles(records, [*group, field], value, (0.5, 0.9, 0.95)), [*group, field], "left")
     out = groups.crossJoin(fields).join(found, [*group, field], "left")
-    return out.select(*group, field, F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, digits).alias(k) for c, k in ((F.col("mean"), "mean"), (F.col("q")[0], "median"), (F.col("q")[1], "p90"), (F.col("q")[2], "p95"), (F.col("most"), "most"), (F.col("least"), "least"), (F.coalesce("total", F.lit(0.0)), "total"))])
+    return out.select(*group, field, F.coalesce("n", F.lit(0)).alias("n"), *[F.round(F.round(c, digits + 3), digits).alias(k) for c, k in ((F.col("mean"), "mean"), (F.col("q")[0], "median"), (F.col("q")[1], "p90"), (F.col("q")[2], "p95"), (F.col("most"), "most"), (F.col("least"), "least"), (F.coalesce("total", F.lit(0.0)), "total"))])
 
 
 def availability(checks: DataFrame, group: list[str]) -> DataFrame:

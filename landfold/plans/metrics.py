@@ -44,7 +44,7 @@ def agg02(s):
 _FIELDS = "SELECT DISTINCT event_type AS field FROM events UNION SELECT 'absent'"
 
 
-@R.add("agg03_timing_summary", f"""SELECT run_id, f.field, count(ms) AS n, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95, round(max(ms), 6) AS most, round(min(ms), 6) AS least, round(coalesce(sum(ms), 0), 6) AS total
+@R.add("agg03_timing_summary", f"""SELECT run_id, f.field, count(ms) AS n, round(round(avg(ms), 9), 6) AS mean, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95, round(max(ms), 6) AS most, round(min(ms), 6) AS least, round(coalesce(sum(ms), 0), 6) AS total
     FROM (SELECT DISTINCT run_id FROM v_timing) CROSS JOIN ({_FIELDS}) f LEFT JOIN v_timing USING (run_id, field) GROUP BY run_id, f.field""")
 def agg03(s):
     fields = s.events.select(F.col("event_type").alias("field")).distinct().union(s.spark.sql("SELECT 'absent'"))
