@@ -146,7 +146,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, piece_bytes: int = PI
         offsets.append(upto)
         upto += counts.get(k, 0)
     number = F.col("_lf_piece")
-    placed = docs.withColumns(_keys()).withColumn("_lf_piece", piece_of(cuts))
+    # A piece is a partition, so that no task sorts two of them.
+    placed = docs.withColumns(_keys()).withColumn("_lf_piece", piece_of(cuts)).repartitionById(shards * pieces, "_lf_piece")
     place = F.row_number().over(W.partitionBy("_lf_piece").orderBy(*KEYS))
     slot = F.get(F.array(*[F.lit(x).cast("bigint") for x in offsets]), number) + place - 1
     return placed.withColumns({"_lf_slot": slot, "_lf_shard": F.floor(number / pieces).cast("int")}).drop("_lf_piece", *KEYS)
