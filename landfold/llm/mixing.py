@@ -3,14 +3,15 @@
 A token budget goes down the tree. Among siblings each gets its share by weight, at most what lies below it (its tokens
 times the number of epochs); what one can't take goes to its siblings by weight, and only what a whole family can't take
 goes on to the family's own siblings, because a family's ceiling is the sum of its members', of those that have a weight.
-The shares come in closed form from windows over one row per node, in whole numbers, so that nothing is lost to rounding.
+The shares come in closed form from running sums over one row per node, in whole numbers, so that nothing is lost to rounding;
+a family's children are dealt out by ranges, so that one with millions of sources is no burden either.
 
 A leaf with quota q and t tokens is read q div t times in full, and of the next epoch a prefix of q mod t tokens: the
 documents in the order of a hash of (seed, epoch, doc_id), as long as their running total stays within it. The cut is
 found from histograms of the hash's bits, 64 bins of a leaf and then 64 of the one bin where it falls, and inside the last
 of these; no task sees a whole leaf, so a source with a third of all rows is no burden.
 
-Only DataFrame functions. Defined results: null lang or source count as 'unknown'; tokens are the text's UTF-8 bytes div 4
+Only DataFrame functions. Defined results: null domain, lang or source count as 'unknown'; tokens are the text's UTF-8 bytes div 4
 plus 1, of the whole text (null text: empty); rows that tie in hash and doc_id, repeated rows among them, go in or stay out
 together; weights may be fractions, and one of 0 gives nothing (one below 0 is refused); columns of any name are handed on,
 as the operator's own begin with _lf_; an empty table gives no rows.
@@ -74,29 +75,38 @@ def _weight(names: dict, column: str, other) -> Column:
 
 
 def _with_leaf(docs: DataFrame, mix: Mixture) -> DataFrame:
-    return docs.withColumns({"_lf_domain": F.expr(mix.domain), "_lf_lang": F.coalesce("lang", F.lit("unknown")), "_lf_source": F.coalesce("source", F.lit("unknown")),
+    return docs.withColumns({"_lf_domain": F.coalesce(F.expr(mix.domain), F.lit("unknown")), "_lf_lang": F.coalesce("lang", F.lit("unknown")), "_lf_source": F.coalesce("source", F.lit("unknown")),
                              "_lf_tokens": F.floor(F.octet_length(text_of()) / 4).cast("bigint") + 1})
 
 
+def _with_running(rows: DataFrame, family: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows: with _lf_part, ranges of the order. Adds for each sum its total over the family (_lf_all_) and what comes before the
+    row (_lf_pre_): a range's own running sum, and what the family has in earlier ranges. No task has a whole family."""
+    held = rows.groupBy(*family, "_lf_part").agg(*[F.sum(c).alias(f"_lf_sum_{n}") for n, c in sums.items()])
+    whole = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))  # a row for each range
+    earlier = whole.orderBy("_lf_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = held.select(*family, "_lf_part", *[F.sum(f"_lf_sum_{n}").over(whole).alias(f"_lf_all_{n}") for n in sums], *[F.coalesce(F.sum(f"_lf_sum_{n}").over(earlier), F.lit(0)).alias(f"_lf_off_{n}") for n in sums])
+    own = W.partitionBy(*family, "_lf_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(offsets, [*family, "_lf_part"])
+    return placed.withColumns({f"_lf_pre_{n}": F.col(f"_lf_off_{n}") + F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+
+
 def share(nodes: DataFrame, family: list[str], name: str) -> DataFrame:
     """nodes: one row per child with cap, weight and the family's budget. Adds quota."""
     whole = lambda c: F.col(c).cast(WHOLE)
-    group = W.partitionBy(*family) if family else W.partitionBy(F.lit(0))
-    order = group.orderBy("_lf_ratio", name)
+    order = ["_lf_ratio", name]
     ranked = nodes.withColumn("_lf_ratio", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf"))))
-    ranked = ranked.withColumns({
-        "_lf_before": F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        "_lf_rest": F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))})
-    full = (F.col("weight") > 0) & (whole("cap") * whole("_lf_rest") <= whole("weight") * (whole("budget") - whole("_lf_before")))
-    ranked = ranked.withColumn("_lf_full", full)
-    ranked = ranked.withColumns({
-        "_lf_left": F.col("budget") - F.coalesce(F.sum(F.when(F.col("_lf_full"), F.col("cap"))).over(group), F.lit(0)),
-        "_lf_open": F.sum(F.when(F.col("_lf_full"), 0).otherwise(F.col("weight"))).over(group),
-        "_lf_upto": F.sum(F.when(F.col("_lf_full"), 0).otherwise(F.col("weight"))).over(order.rowsBetween(W.unboundedPreceding, 0))})
-    upto = "CAST(_lf_left AS decimal(20,0)) * CAST({} AS decimal(18,0)) div nullif(_lf_open, 0)"
+    ranked = staged(ranked.repartitionByRange(*family, *order).withColumn("_lf_part", F.spark_partition_id()), "mix-children")
+    first = _with_running(ranked, family, order, {"cap": F.col("cap"), "weight": F.col("weight")})
+    rest = F.col("_lf_all_weight") - F.col("_lf_pre_weight")
+    full = (F.col("weight") > 0) & (whole("cap") * rest.cast(WHOLE) <= whole("weight") * (whole("budget") - whole("_lf_pre_cap")))
+    filled = staged(first.select(*ranked.columns, full.alias("_lf_full")), "mix-filled")
+    second = _with_running(filled, family, order, {"taken": F.when(F.col("_lf_full"), F.col("cap")).otherwise(0), "open": F.when(F.col("_lf_full"), 0).otherwise(F.col("weight"))})
+    second = second.withColumns({"_lf_left": F.col("budget") - F.col("_lf_all_taken"), "_lf_upto": F.col("_lf_pre_open") + F.when(F.col("_lf_full"), 0).otherwise(F.col("weight"))})
+    upto = "CAST(_lf_left AS decimal(20,0)) * CAST({} AS decimal(18,0)) div nullif(_lf_all_open, 0)"
     part = F.expr(upto.format("_lf_upto")) - F.expr(upto.format("(_lf_upto - weight)"))
     quota = F.when(F.col("_lf_full"), F.col("cap")).when(F.col("weight") > 0, F.coalesce(part, F.lit(0))).otherwise(0)
-    return ranked.withColumn("quota", quota.cast("bigint")).drop(*[c for c in ranked.columns if c.startswith("_lf_") and c not in LEAF])
+    return second.select(*nodes.columns, quota.cast("bigint").alias("quota"))
 
 
 def leaf_quotas(leaves: DataFrame, mix: Mixture) -> DataFrame:
