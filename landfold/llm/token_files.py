@@ -68,12 +68,12 @@ class Encoder:
         self.pieces, self.words = Memory(CACHE_WORDS), Memory(CACHE_WORDS)
 
     def encode_words(self, words: list[str]) -> None:
-        found = self.own.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, self.width)
+        text = " ".join(words)
+        ids = np.array(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)  # ids without offsets
         data, size = ids.tobytes(), self.width.itemsize
         last = np.flatnonzero(self.ends_word[ids]) + 1  # a word's last token is one with a word end
         if len(last) != len(words):
-            last = np.searchsorted(np.array(found.word_ids), np.arange(len(words)), side="right")
+            last = np.searchsorted(np.array(self.own.encode(text, add_special_tokens=False).word_ids), np.arange(len(words)), side="right")
         ends = (last * size).tolist()
         start = 0
         for word, end in zip(words, ends, strict=True):
