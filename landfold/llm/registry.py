@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "exact_dedup", "simhash", "pii", "quality_model", "chat", "bpe", "quality_rules", "sharding", "token_files", "merkle", "collocations")
+MODULES = ("mixing", "exact_dedup", "simhash", "pii", "quality_model", "chat", "bpe", "quality_rules", "sharding", "token_files", "merkle", "collocations", "sketches")
 
 
 def queries() -> dict:
