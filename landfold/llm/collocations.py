@@ -91,11 +91,11 @@ def hash_keys(words: list[bytes], lang: str, columns: list[np.ndarray]) -> tuple
 def route_of(high: np.ndarray, low: np.ndarray, borders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """How many borders are at or below each key."""
     left, right = (np.searchsorted(borders[0], high, side) for side in ("left", "right"))
-    tied = np.flatnonzero(left < right)
+    route, tied = left.copy(), np.flatnonzero(left < right)
     for at in np.unique(left[tied]):  # a border's first two words
         own = tied[left[tied] == at]
-        left[own] += np.searchsorted(borders[1][at : right[own[0]]], low[own], "right")
-    return left
+        route[own] += np.searchsorted(borders[1][at : right[own[0]]], low[own], "right")
+    return route
 
 
 def combined(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
