@@ -20,7 +20,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,55 +37,49 @@ COVERED = 80
 #: Bytes of text to a route, routes to a shuffle, sampled suffixes to a route.
 ROUTE_BYTES, MOST_ROUTES, SAMPLES = 16 << 20, 50_000, 200
 #: Of a sampled document's suffixes one in THIN is taken; words that a mapper combines at a time.
-THIN, COMBINED = 16, 3_000_000
+THIN, COMBINED = 16, 1_000_000
 SALTS = 64
 
-#: A-Z to a-z, ends of pieces to a line feed, the tabulator to a blank.
-_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
-
-
-def word_hash(word: bytes, seed: int = 0) -> int:
-    return zlib.crc32(word, seed)
+#: A-Z to a-z, ends of pieces to a full stop, the tabulator to a blank.
+_BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"." * 9 + b" ")
 
 
 class Suffixes:
-    """Words of one language as numbers, with -1 at the end of each piece."""
+    """Words of one language as numbers; 0 is the end of a piece."""
 
     def __init__(self, lang: str):
         self.lang, self.numbers, self.known = lang, array("i"), defaultdict()
         self.known.default_factory = self.known.__len__
+        self.end = self.known[b"."]
 
     def add(self, text: bytes) -> None:
-        number, put = self.known.__getitem__, self.numbers
-        for piece in text.translate(_BYTES).split(b"\n"):
-            words = piece.split()
-            if words:
-                put.extend(map(number, words))
-                put.append(-1)
+        self.numbers.extend(map(self.known.__getitem__, text.translate(_BYTES).replace(b".", b" . ").split()))
+        self.numbers.append(self.end)
 
     def columns(self) -> list[np.ndarray]:
         """The first LONGEST words of each suffix; -1 beyond a piece's end."""
         first = np.frombuffer(self.numbers, np.int32)
-        out = [first.astype(np.int64)]
+        out, keep = [first], np.flatnonzero(first != self.end)
         for k in range(1, LONGEST):
-            later = np.concatenate([first[k:], np.full(min(k, len(first)), -1, np.int32)]).astype(np.int64)
-            out.append(np.where(out[-1] < 0, -1, later))
-        keep = first >= 0
-        return [c[keep] for c in out]
+            later = np.concatenate([first[k:], np.full(min(k, len(first)), self.end, np.int32)])
+            out.append(np.where(out[-1] == self.end, self.end, later))
+        return [np.where(c == self.end, -1, c)[keep] for c in out]
 
     def hashes(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return hash_keys(list(self.known), self.lang, columns)
+        return hash_keys(word_hashes(self.known), self.lang, columns)
+
 
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """Of 32 bits, and 0 for no word."""
+    return np.array([*map(zlib.crc32, words), 0], np.uint64)
 
-def hash_keys(words: list[bytes], lang: str, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def hash_keys(hashes: np.ndarray, lang: str, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two unsigned numbers of 64 bits that sort suffixes by their words' hashes, the first word's with its language; 0 where
     a word is missing."""
-    seed = zlib.crc32(lang.encode())
-    first = np.array([word_hash(w, seed) for w in words] + [0], np.uint64)
-    later = np.array([word_hash(w) for w in words] + [0], np.uint64)
-    by = [(later if k else first)[c] for k, c in enumerate(columns)]
+    first = hashes ^ np.uint64(zlib.crc32(lang.encode()))
     up = np.uint64(32)
-    return by[0] << up | by[1], by[2] << up | by[3]
+    return first[columns[0]] << up | hashes[columns[1]], hashes[columns[2]] << up | hashes[columns[3]]
 
 
 def route_of(high: np.ndarray, low: np.ndarray, borders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -101,8 +95,8 @@ def route_of(high: np.ndarray, low: np.ndarray, borders: tuple[np.ndarray, np.nd
 def combined(columns: list[np.ndarray], size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct suffixes, sorted, with their counts."""
     size += 1
-    heads, head = np.unique((columns[0] + 1) * size + columns[1] + 1, return_inverse=True)
-    tails, tail = np.unique((columns[2] + 1) * size + columns[3] + 1, return_inverse=True)
+    heads, head = np.unique((columns[0] + np.int64(1)) * size + columns[1] + 1, return_inverse=True)
+    tails, tail = np.unique((columns[2] + np.int64(1)) * size + columns[3] + 1, return_inverse=True)
     both, counts = np.unique(head * len(tails) + tail, return_counts=True)
     pairs = (heads[both // len(tails)], tails[both % len(tails)]) if len(both) else (heads, tails)
     return [part - 1 for pair in pairs for part in (pair // size, pair % size)], counts
@@ -233,48 +227,52 @@ class Route:
     """The suffixes of a route, by language."""
 
     def __init__(self) -> None:
-        self.words, self.rows, self.weights = defaultdict(), defaultdict(list), defaultdict(list)
-        self.words.default_factory = self.words.__len__
+        self.words, self.sizes, self.counts = defaultdict(list), defaultdict(list), defaultdict(list)
 
     def add(self, lang: str, suffixes: pa.Array, counts: bytes) -> None:
-        lines = pc.split_pattern(suffixes.cast(pa.large_string()), "\n").flatten()
-        split = pc.split_pattern(lines, " ")
-        code = split.flatten().dictionary_encode()
-        own = np.array([self.words[w] for w in code.dictionary.to_pylist()], np.int32)
-        number = own[code.indices.to_numpy()]
-        ends = split.offsets.to_numpy()
-        sizes = np.diff(ends)
+        split = pc.split_pattern(pc.split_pattern(suffixes, b"\n").flatten(), b" ")
+        self.words[lang].append(split.flatten().dictionary_encode())
+        self.sizes[lang].append(np.diff(split.offsets.to_numpy()).astype(np.int8))
+        self.counts[lang].append(np.frombuffer(counts, "<i4"))
+
+    def rows(self, lang: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words, the suffixes as rows of their numbers, and their weights."""
+        coded = pa.chunked_array(self.words.pop(lang)).unify_dictionaries()
+        number = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        sizes = np.concatenate(self.sizes.pop(lang))
         rows = np.full((len(sizes), LONGEST), -1, np.int32)
-        rows[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(number)) - np.repeat(ends[:-1] - ends[0], sizes)] = number
-        self.rows[lang].append(rows)
-        self.weights[lang].append(np.frombuffer(counts, "<i4").astype(np.int64))
+        rows[np.arange(LONGEST) < sizes[:, None]] = number
+        return coded.chunk(0).dictionary, rows, np.concatenate(self.counts.pop(lang)).astype(np.int64)
 
     def phrases(self, borders: tuple[np.ndarray, np.ndarray], route: int, inside: Range, least: int) -> Iterator[pa.RecordBatch]:
         """Counts of phrases, and with k = 0 and no phrase those of all words."""
         ends = [(int(borders[0][k]), int(borders[1][k])) for k in (route - 1, route) if 0 <= k < len(borders[0])]
         ends += [e for e in inside if e is not None]
-        words = [w.encode() for w in self.words]
-        names = pa.array(self.words, pa.large_string())
-        for lang in list(self.rows):
-            rows, weights = np.concatenate(self.rows.pop(lang)), np.concatenate(self.weights.pop(lang))
-            high, low = hash_keys(words, lang, list(rows.T))
-            cut = np.zeros(rows.shape, bool)
-            for end in ends:
-                for depth, (key, of, shift) in enumerate(((high, 0, 32), (high, 0, 0), (low, 1, 32), (low, 1, 0))):
-                    same = key >> np.uint64(shift) == np.uint64(end[of] >> shift)
-                    cut[:, depth] |= same if depth < 2 else same & cut_pair
-                    if depth == 1:
-                        cut_pair = same
+        for lang in list(self.words):
+            names, rows, weights = self.rows(lang)
+            cut = cut_prefixes(hash_keys(word_hashes(names.to_pylist()), lang, list(rows.T)), ends)
             at, depth, weight = three_way(rows, weights, cut, least)
             said = []
             for k in range(LONGEST):
                 number = np.where(depth > k, rows[at, k], -1)
                 said.append(names.take(pa.array(number, mask=number < 0)))
-            phrase = pc.binary_join_element_wise(*said, pa.scalar(" ", pa.large_string()), null_handling="skip").cast(pa.string())
+            phrase = pc.binary_join_element_wise(*said, pa.scalar(b" ", names.type), null_handling="skip").cast(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrase, pa.array(depth, pa.int32()), pa.array(weight, pa.int64())], ["lang", "phrase", "k", "f"])
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([int(weights.sum())], pa.int64())], ["lang", "phrase", "k", "f"])
 
 
+def cut_prefixes(keys: tuple[np.ndarray, np.ndarray], ends: list[tuple[int, int]]) -> np.ndarray:
+    """Of each suffix and depth whether one of these borders has a prefix with the same hashes, and so may cut it."""
+    cut = np.zeros((len(keys[0]), LONGEST), bool)
+    for end in ends:
+        same = np.ones(len(keys[0]), bool)
+        for depth in range(LONGEST):
+            shift = 32 * (1 - depth % 2)
+            same &= keys[depth // 2] >> np.uint64(shift) == np.uint64(end[depth // 2] >> shift)
+            cut[:, depth] |= same
+    return cut
+
+
 def counted(suffixes: DataFrame, borders: tuple[np.ndarray, np.ndarray], inside: Range, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, route = Route(), None
