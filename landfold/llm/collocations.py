@@ -35,9 +35,9 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: A longer candidate with this share of a candidate's count, in per cent, drops it.
 COVERED = 80
 #: Bytes of text to a route, routes to a shuffle, sampled suffixes to a route.
-ROUTE_BYTES, MOST_ROUTES, SAMPLES = 16 << 20, 50_000, 200
+ROUTE_BYTES, MOST_ROUTES, SAMPLES = 8 << 20, 50_000, 200
 #: Of a sampled document's suffixes one in THIN is taken; words that a mapper combines at a time.
-THIN, COMBINED = 16, 1_000_000
+THIN, COMBINED = 16, 800_000
 SALTS = 64
 
 #: A-Z to a-z, ends of pieces to a full stop, the tabulator to a blank.
