@@ -100,6 +100,7 @@ def cells_of(strips: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def union(strips: DataFrame, keys: list[str]) -> DataFrame:
+    """One strip for each place; most other operators take such a set."""
     return strips.groupBy(*keys, *STRIP).agg(F.bit_or("bits").alias("bits"))
 
 
@@ -114,13 +115,17 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return met.select(*keys, *STRIP, F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_b", F.lit(0).cast("bigint")))).alias("bits")).where("bits <> 0")
 
 
-def clipped(strips: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
-    """To the cells of a box, both ends included."""
+def clip_bits(box: tuple[int, int, int, int]) -> Column:
+    """A strip's bits within the cells of a box, both ends included."""
     x0, y0, x1, y1 = box
     start = F.col("sx") * SIDE
-    low, high = F.greatest(F.lit(x0) - start, F.lit(0)), F.least(F.lit(x1) - start, F.lit(SIDE - 1))
-    near = strips.where(F.col("cy").between(y0, y1) & F.col("sx").between(x0 // SIDE, x1 // SIDE))
-    return near.withColumn("bits", F.col("bits").bitwiseAND(_bits(low, high))).where("bits <> 0")
+    mask = _bits(F.greatest(F.lit(x0) - start, F.lit(0)), F.least(F.lit(x1) - start, F.lit(SIDE - 1)))
+    near = F.col("cy").between(y0, y1) & F.col("sx").between(x0 // SIDE, x1 // SIDE)
+    return F.when(near, F.col("bits").bitwiseAND(mask)).otherwise(F.lit(0).cast("bigint"))
+
+
+def clipped(strips: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
+    return strips.withColumn("bits", clip_bits(box)).where("bits <> 0")
 
 
 def count(bits: str | Column = "bits") -> Column:
@@ -268,13 +273,9 @@ def edge_band(strips: DataFrame, keys: list[str], radius: float) -> DataFrame:
 # --- components
 
 
-def label(strips: DataFrame, keys: list[str]) -> DataFrame:
-    """4-connected components as runs of cells: (keys, label, cy, x0, x1), x1 not included, the label being the least id of a
-    component's cells, ids counting in row-major order.
-
-    Squares are labelled as arrays, each on its own; a component of a square is a node named by its first cell. Runs that end
-    at a square's side meet those that begin there, and runs of a last row the cells below; so a component of any size is
-    spread over tasks, and the graph sees squares' borders alone."""
+def _runs(strips: DataFrame, keys: list[str], outside: bool = False) -> DataFrame:
+    """Components within squares, as runs (keys, sx, sy, ny, nx, cy, x0, x1) with the first cell (ny, nx) of their component;
+    with `outside`, those of the cells of the same squares that aren't in the set."""
     group = [*keys, "sx", "sy"]
     dealt = strips.select(*keys, F.col("sx").cast("bigint").alias("sx"), F.floor(F.col("cy") / SIDE).alias("sy"), F.col("cy").cast("bigint").alias("cy"), "bits").repartition(*group).sortWithinPartitions(*group, "cy")
 
@@ -283,6 +284,7 @@ def label(strips: DataFrame, keys: list[str]) -> DataFrame:
         sx, sy, cy = (rows[c].to_numpy().astype(np.int64) for c in ("sx", "sy", "cy"))
         words = np.zeros((len(starts), SIDE), "<u8")
         np.bitwise_or.at(words, (owner, cy - sy * SIDE), rows["bits"].to_numpy().view(np.uint64))
+        words = ~words if outside else words
         on = np.unpackbits(words.view(np.uint8).reshape(len(starts), SIDE, 8), axis=2, bitorder="little").astype(np.int8)
         turn = np.diff(np.pad(on, ((0, 0), (0, 0), (1, 1))), axis=2)
         own, row, x0 = np.nonzero(turn == 1)
@@ -302,20 +304,73 @@ def label(strips: DataFrame, keys: list[str]) -> DataFrame:
                 yield from some(rows.slice(starts[k], end - starts[k]), starts[k : k + TOGETHER] - starts[k]).to_batches()
 
     kinds = "".join(f"`{k}` {strips.schema[k].dataType.simpleString()}, " for k in keys)
-    runs = staged(dealt.mapInArrow(over, kinds + ", ".join(f"{c} bigint" for c in ("sx", "sy", "ny", "nx", "cy", "x0", "x1"))), "strip-runs")
-    node = F.struct(*[F.col(k) for k in keys], "ny", "nx")
-    here, there = runs.select(*[F.col(k).alias(f"_{k}") for k in keys], "cy", "x1", node.alias("a")), runs.select(*keys, F.col("cy").alias("_cy"), F.col("x0").alias("_x"), node.alias("b"))
+    return staged(dealt.mapInArrow(over, kinds + ", ".join(f"{c} bigint" for c in ("sx", "sy", "ny", "nx", "cy", "x0", "x1"))), "strip-runs")
+
+
+def _touching(runs: DataFrame, keys: list[str], node: Column) -> DataFrame:
+    """Pairs (a, b) of nodes of different squares that touch: runs that end at a square's side with those that begin there, and
+    the cells of runs of a last row with those below."""
     same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys]
-    beside = here.where(F.col("x1") % SIDE == 0).join(there.where(F.col("_x") % SIDE == 0), [*same, F.col("cy") == F.col("_cy"), F.col("x1") == F.col("_x")]).select("a", "b")
+    mine = [F.col(k).alias(f"_{k}") for k in keys]
+    here = runs.where(F.col("x1") % SIDE == 0).select(*mine, F.col("cy").alias("_cy"), F.col("x1").alias("_x"), node.alias("a"))
+    there = runs.where(F.col("x0") % SIDE == 0).select(*keys, "cy", F.col("x0").alias("x"), node.alias("b"))
+    beside = here.join(there, [*same, F.col("cy") == F.col("_cy"), F.col("x") == F.col("_x")]).select("a", "b")
     cells = F.explode(F.sequence(F.col("x0"), F.col("x1") - 1))
-    last = runs.where(F.pmod("cy", F.lit(SIDE)) == SIDE - 1).select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("cy") + 1).alias("cy"), cells.alias("x"), node.alias("a"))
-    top = runs.where(F.pmod("cy", F.lit(SIDE)) == 0).select(*keys, F.col("cy").alias("_cy"), cells.alias("_x"), node.alias("b"))
-    below = last.join(top, [*same, F.col("cy") == F.col("_cy"), F.col("x") == F.col("_x")]).select("a", "b")
-    roots = components(beside.unionByName(below), ONE_TASK_EDGES).select(F.col("node").alias("_node"), F.col("root.ny").alias("_ry"), F.col("root.nx").alias("_rx"))
+    row = F.pmod("cy", F.lit(SIDE))
+    last = runs.where(row == SIDE - 1).select(*mine, (F.col("cy") + 1).alias("_cy"), cells.alias("_x"), node.alias("a"))
+    top = runs.where(row == 0).select(*keys, "cy", cells.alias("x"), node.alias("b"))
+    return beside.unionByName(last.join(top, [*same, F.col("cy") == F.col("_cy"), F.col("x") == F.col("_x")]).select("a", "b"))
+
+
+def label(strips: DataFrame, keys: list[str]) -> DataFrame:
+    """4-connected components as runs of cells: (keys, label, cy, x0, x1), x1 not included, the label being the least id of a
+    component's cells, ids counting in row-major order.
+
+    Squares are labelled as arrays, each on its own; a component of a square is a node named by its first cell, and nodes meet
+    at squares' borders. So a component of any size is spread over tasks, and the graph sees borders alone."""
+    runs = _runs(strips, keys)
+    node = F.struct(*[F.col(k) for k in keys], "ny", "nx")
+    roots = components(_touching(runs, keys, node), ONE_TASK_EDGES).select(F.col("node").alias("_node"), F.col("root.ny").alias("_ry"), F.col("root.nx").alias("_rx"))
     labelled = runs.withColumn("_node", node).join(roots, "_node", "left")
     return labelled.select(*keys, (F.coalesce("_ry", "ny") * (1 << 31) + F.coalesce("_rx", "nx")).alias("label"), "cy", "x0", "x1")
 
 
+def filled(strips: DataFrame, keys: list[str]) -> DataFrame:
+    """The set and its holes: what of the rest doesn't hang together with the outside by shared sides.
+
+    The rest is labelled inside the squares that the set has; between these, the empty squares from one to the next in a row of
+    squares are one node, and what lies before the first and after the last is the outside. So a wide ring costs its edge, and
+    no area is written out but that of the holes."""
+    source = staged(union(strips, keys), "fill-source")
+    rest = _runs(source, keys, outside=True)
+    number = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else F.lit(c).cast("bigint")
+    node = lambda kind, y, x: F.struct(*[F.col(k) for k in keys], F.lit(kind).alias("kind"), number(y).alias("y"), number(x).alias("x"))
+    own, outer = node(2, "ny", "nx"), node(0, 0, 0)
+    own_row = W.partitionBy(*keys, "sy").orderBy("sx")
+    taken = staged(source.select(*keys, F.col("sx").cast("bigint").alias("sx"), F.floor(F.col("cy") / SIDE).alias("sy")).distinct().withColumn("after", F.lead("sx").over(own_row)), "fill-squares")
+    gaps = taken.where("after > sx + 1")
+    # What lies at a square (tx, ty) that a node touches or, of two runs of empty squares, at the start of either.
+    ask = lambda rows, x, y, of: rows.select(*keys, y.alias("sy"), x.alias("sx"), of.alias("a"))
+    sx, sy = F.col("sx"), F.col("sy")
+    asked = [
+        ask(rest.where(F.col("x0") == sx * SIDE), sx - 1, sy, own), ask(rest.where(F.col("x1") == (sx + 1) * SIDE), sx + 1, sy, own),
+        ask(rest.where(F.col("cy") == sy * SIDE), sx, sy - 1, own), ask(rest.where(F.col("cy") == sy * SIDE + SIDE - 1), sx, sy + 1, own),
+        *(ask(gaps, sx + 1, sy + d, node(1, "sy", "sx")) for d in (-1, 1)), *(ask(taken.where("after IS NULL"), sx + 1, sy + d, outer) for d in (-1, 1)),
+    ]
+    looked = taken.select(*keys, "sy", "sx", F.lit(None).cast(asked[0].schema["a"].dataType).alias("a"), F.struct("sx", "after").alias("at"))
+    for rows in asked:
+        looked = looked.unionByName(rows.distinct().withColumn("at", F.lit(None).cast("struct<sx: bigint, after: bigint>")))
+    known = F.last("at", ignorenulls=True).over(W.partitionBy(*keys, "sy").orderBy("sx", F.col("a").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
+    looked = looked.withColumn("at", known).where(F.col("a").isNotNull() & (F.col("at").isNull() | (F.col("at.sx") != sx)))
+    met = F.when(F.col("at").isNull() | F.col("at.after").isNull(), outer).otherwise(node(1, "sy", "at.sx"))
+    edges = _touching(rest, keys, own).unionByName(looked.select("a", met.alias("b")))
+    roots = staged(components(edges, ONE_TASK_EDGES).select(F.col("node").alias("_node"), F.col("root.kind").alias("_kind")).where("_kind = 0"), "fill-outside")
+    holes = rest.withColumn("_node", own).join(roots, "_node", "left_anti")
+    inner = gaps.withColumn("_node", node(1, "sy", "sx")).join(roots, "_node", "left_anti")
+    inner = inner.select(*keys, F.explode(F.sequence(sx + 1, F.col("after") - 1)).alias("sx"), "sy").select(*keys, "sx", F.explode(F.sequence(sy * SIDE, sy * SIDE + SIDE - 1)).alias("cy"), F.lit(-1).cast("bigint").alias("bits"))
+    return union(source.unionByName(run_strips(holes, keys)).unionByName(inner), keys)
+
+
 def label_cells(strips: DataFrame, keys: list[str]) -> DataFrame:
     """The same, a row a cell: (keys, cx, cy, label)."""
     return label(strips, keys).select(*keys, F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("cx"), "cy", "label")

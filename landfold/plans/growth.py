@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from landfold.functions.geometry import cell_area_sql
 from landfold.operators import blocks as B
-from landfold.operators import cells as C
 from landfold.operators import graph as G
+from landfold.operators import strips as S
 from landfold.operators.metrics import safe_ratio
 from landfold.plans.base import Registry
 
@@ -20,7 +20,7 @@ CELLS = "cells AS (SELECT * , unnest(range(minx // 10, maxx // 10)) AS cx FROM v
 
 
 def feature_cells(s, keys):
-    return C.cells_of_boxes(s.v_feature, keys, SIZE)
+    return S.of_features(s.v_feature, keys, SIZE)
 
 
 @R.add("slice_project_growth", f"""WITH {CELLS}, seen AS (SELECT project, cx, cy, min(release) AS release FROM cell GROUP BY ALL), added AS (SELECT project, release, count(*) * 100 AS added_area FROM seen GROUP BY ALL),
@@ -29,7 +29,7 @@ def feature_cells(s, keys):
 def slice_growth(s):
     """Area added, cumulative area, growth ratio and number of blocks for each project and milestone."""
     blocks = s.v_feature.groupBy("project", "release").agg(F.count_if(F.col("layer") == "blocks").alias("n_blocks"))
-    grown = C.growth(feature_cells(s, ["project", "release"]), blocks, ["project"], "release", SIZE).join(blocks, ["project", "release"])
+    grown = S.growth(feature_cells(s, ["project", "release"]), blocks, ["project"], "release", SIZE).join(blocks, ["project", "release"])
     before = F.lag("total_area").over(W.partitionBy("project").orderBy("release"))
     grown = grown.withColumn("before", before)
     return grown.withColumn("growth_ratio", F.round(safe_ratio(F.col("total_area") - F.col("before"), "before"), 9))
@@ -45,7 +45,7 @@ def win04(s):
     reset = F.sum(F.when(F.col("release").endswith("1998_R01"), 1).otherwise(0)).over(W.partitionBy("project").orderBy("release"))
     steps = steps.withColumn("segment", reset)
     live = s.v_feature.where((F.col("layer") == "blocks") == (F.col("project") % 5 == 0)).join(steps, ["project", "release"])
-    return C.growth(C.cells_of_boxes(live, ["project", "segment", "release"], SIZE), steps, ["project", "segment"], "release", SIZE)
+    return S.growth(S.of_features(live, ["project", "segment", "release"], SIZE), steps, ["project", "segment"], "release", SIZE)
 
 
 _BUFFERED = "buffered AS (SELECT DISTINCT project, release, cx + dx AS cx, cy + dy AS cy FROM cell, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE layer = 'additions' AND dx * dx + dy * dy <= 1)"
@@ -54,15 +54,15 @@ _BUFFERED = "buffered AS (SELECT DISTINCT project, release, cx + dx AS cx, cy +
 @R.add("win05_cumulative_buffers", f"""WITH {CELLS}, {_BUFFERED}, seen AS (SELECT project, cx, cy, min(release) AS release FROM buffered GROUP BY ALL), added AS (SELECT project, release, count(*) * 100 AS added_area FROM seen GROUP BY ALL)
     SELECT project, release, coalesce(added_area, 0)::BIGINT AS added_area, (sum(coalesce(added_area, 0)) OVER (PARTITION BY project ORDER BY release))::BIGINT AS total_area FROM (SELECT DISTINCT project, release FROM v_feature) LEFT JOIN added USING (project, release)""")
 def win05(s):
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project", "release"], SIZE)
-    return C.growth(C.dilate(cells, ["project", "release"], 1), s.v_feature, ["project"], "release", SIZE)
+    cells = S.of_features(s.v_feature.where("layer = 'additions'"), ["project", "release"], SIZE)
+    return S.growth(S.dilate(cells, ["project", "release"], 1), s.v_feature, ["project"], "release", SIZE)
 
 
 @R.add("agg07_coverage_fraction", f"WITH {CELLS} SELECT project, round(least(count(DISTINCT (cx, cy)) FILTER (WHERE cx BETWEEN 50 AND 249 AND cy BETWEEN 50 AND 249) / 40000.0, 1), 6) AS fraction FROM cell GROUP BY project")
 def agg07(s):
-    cells = C.union(feature_cells(s, ["project"]), ["project"])
-    inside = F.col("cx").between(50, 249) & F.col("cy").between(50, 249)
-    return cells.groupBy("project").agg(F.round(F.least(F.count_if(inside) / 40000, F.lit(1.0)), 6).alias("fraction"))
+    cells = S.union(feature_cells(s, ["project"]), ["project"])
+    inside = F.sum(S.count(S.clip_bits((50, 50, 249, 249))))
+    return cells.groupBy("project").agg(F.round(F.least(inside / 40000, F.lit(1.0)), 6).alias("fraction"))
 
 
 def rings_sql(table: str, keys: str) -> str:
@@ -90,10 +90,10 @@ _TWO = "a AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'additions
 @R.add("set03_overlay", f"""WITH {CELLS}, {_TWO}, ops AS (SELECT project, 'union' AS op, cx, cy FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT project, 'intersection', cx, cy FROM a SEMI JOIN b USING (project, cx, cy) UNION ALL SELECT project, 'difference', cx, cy FROM a ANTI JOIN b USING (project, cx, cy)) {rings_sql('ops', 'project, op')}""")
 def set03(s):
     """Union, intersection and difference as polygons, measured."""
-    cells = feature_cells(s, ["project", "layer"])
-    a, b = (cells.where(F.col("layer") == k).drop("layer") for k in ("additions", "effective"))
     k = ["project"]
-    parts = {"union": C.union(a.unionByName(b), k), "intersection": C.intersection(a, b, k), "difference": C.difference(a, b, k)}
+    cells = feature_cells(s, ["project", "layer"])
+    a, b = (S.union(cells.where(F.col("layer") == n), k) for n in ("additions", "effective"))
+    parts = {"union": S.union(a.unionByName(b), k), "intersection": S.intersection(a, b, k), "difference": S.difference(a, b, k)}
     found = [v.withColumn("op", F.lit(n)) for n, v in parts.items()]
     return measured(B.polygons(found[0].unionByName(found[1]).unionByName(found[2]), ["project", "op"], SIZE), ["project", "op"])
 
@@ -101,7 +101,7 @@ def set03(s):
 @R.add("join06_footprint_overlap", f"WITH {CELLS}, foot AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'effective') SELECT feature_id, round(count(f.cx) / count(*), 6) AS overlap, count(*) AS cells FROM (SELECT * FROM cell WHERE layer = 'additions') c LEFT JOIN foot f USING (project, cx, cy) GROUP BY feature_id")
 def join06(s):
     cells = feature_cells(s, ["project", "layer", "feature_id"])
-    found = C.overlap(cells.where("layer = 'additions'"), cells.where("layer = 'effective'"), ["feature_id"], ["project"])
+    found = S.overlap(cells.where("layer = 'additions'"), cells.where("layer = 'effective'"), ["feature_id"], ["project"])
     return found.withColumn("overlap", F.round("overlap", 6))
 
 
@@ -109,16 +109,11 @@ _BAND = """foot AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'eff
     core AS (SELECT project, cx + dx AS cx, cy + dy AS cy FROM foot, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE dx * dx + dy * dy <= 1 GROUP BY 1, 2, 3 HAVING count(*) = 5), band AS (SELECT * FROM wide ANTI JOIN core USING (project, cx, cy))"""
 
 
-def edge_band(foot, keys):
-    """Cells about the outline: the footprint grown, without its eroded core."""
-    return C.difference(C.dilate(foot, keys, 1), C.erode(foot, keys, 1), keys)
-
-
 @R.add("join07_edge_band_overlap", f"WITH {CELLS}, {_BAND} SELECT feature_id, round(count(f.cx) / count(*), 6) AS overlap, count(*) AS cells FROM (SELECT * FROM cell WHERE layer = 'additions') c LEFT JOIN band f USING (project, cx, cy) GROUP BY feature_id")
 def join07(s):
     cells = feature_cells(s, ["project", "layer", "feature_id"])
-    band = edge_band(cells.where("layer = 'effective'").select("project", "cx", "cy"), ["project"])
-    return C.overlap(cells.where("layer = 'additions'"), band, ["feature_id"], ["project"]).withColumn("overlap", F.round("overlap", 6))
+    band = S.edge_band(cells.where("layer = 'effective'"), ["project"], 1)
+    return S.overlap(cells.where("layer = 'additions'"), band, ["feature_id"], ["project"]).withColumn("overlap", F.round("overlap", 6))
 
 
 @R.add("flt05_candidate_filter", f"""WITH {CELLS}, {_BAND}, cand AS (SELECT * FROM cell WHERE layer = 'additions'), o AS (SELECT feature_id, count(f.cx) / count(*) AS on_foot FROM cand LEFT JOIN foot f USING (project, cx, cy) GROUP BY feature_id),
@@ -130,9 +125,9 @@ def flt05(s):
     """Candidates: too small, on the old footprint, or thin, unsure and at its edge go; others stay, with a flag where they
     deserve a look. The first rule that holds decides."""
     cells = feature_cells(s, ["project", "layer", "feature_id"])
-    cand, foot = cells.where("layer = 'additions'"), cells.where("layer = 'effective'").select("project", "cx", "cy")
-    on_foot = C.overlap(cand, foot, ["feature_id"], ["project"]).select("feature_id", F.col("overlap").alias("on_foot"))
-    on_edge = C.overlap(cand, edge_band(foot, ["project"]), ["feature_id"], ["project"]).select("feature_id", F.col("overlap").alias("on_edge"))
+    cand, foot = cells.where("layer = 'additions'"), cells.where("layer = 'effective'")
+    on_foot = S.overlap(cand, foot, ["feature_id"], ["project"]).select("feature_id", F.col("overlap").alias("on_foot"))
+    on_edge = S.overlap(cand, S.edge_band(foot, ["project"], 1), ["feature_id"], ["project"]).select("feature_id", F.col("overlap").alias("on_edge"))
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     x = s.v_feature.join(on_foot, "feature_id").join(on_edge, "feature_id").withColumns({"area": (w * h).cast("double"), "thin": F.least(w, h) / F.greatest(w, h), "mean_p": F.when(F.col("feature_id") % 11 != 0, F.col("p"))})
     small_thin = (F.col("area") < 600) & (F.col("thin") <= 0.35)
@@ -162,7 +157,7 @@ def piece_walk_sql(pieces: str, keys: str, out: str = "lab") -> str:
     {piece_walk_sql('grown', 'project, buffer_m')} SELECT buffer_m, project, row_number() OVER (PARTITION BY buffer_m ORDER BY project, label) AS buffer_id, area FROM (SELECT buffer_m, project, label, count(*) * 100 AS area FROM lab GROUP BY ALL)""")
 def fn30(s):
     """Buffers by several distances, one row for each part, numbered for each distance."""
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
+    cells = S.of_features(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
     parts = B.buffer_parts(cells, ["project"], (10, 15, 20), SIZE)
     return parts.select("buffer_m", "project", "buffer_id", "area")
 
@@ -174,7 +169,7 @@ def fn30(s):
 def fn31(s):
     """Close regions merged: an id, the area, how many features are in it, and the release of the first of these."""
     f = s.v_feature.where("layer = 'additions'")
-    sources = C.cells_of_boxes(f, ["project", "feature_id"], SIZE)
+    sources = S.of_features(f, ["project", "feature_id"], SIZE)
     regions = B.merged_regions(sources, ["project"], "feature_id", 1, SIZE)
     first = f.select(F.col("feature_id").alias("first_source"), "release", "release_date")
     return regions.join(first, "first_source").select("project", "region_id", "area", "sources", "release", "release_date")
@@ -182,9 +177,9 @@ def fn31(s):
 
 @R.add("fn42_export_perimeter", f"WITH {CELLS}, u AS (SELECT DISTINCT project, cx, cy FROM cell) SELECT project, count(*) FILTER (WHERE cx < 200) > 0 AS meets, count(*) FILTER (WHERE cx < 200) < count(*) AS clipped FROM u GROUP BY project")
 def fn42(s):
-    cells = C.union(feature_cells(s, ["project"]), ["project"])
-    inside = F.count_if(F.col("cx") < 200)
-    return cells.groupBy("project").agg((inside > 0).alias("meets"), (inside < F.count("*")).alias("clipped"))
+    cells = S.union(feature_cells(s, ["project"]), ["project"])
+    inside = F.sum(S.count(S.clip_bits((-(1 << 31), -(1 << 31), 199, 1 << 31))))
+    return cells.groupBy("project").agg((inside > 0).alias("meets"), (inside < F.sum(S.count())).alias("clipped"))
 
 
 #: Boxes clustered in the SQL twin by a walk from feature to feature.
@@ -241,10 +236,10 @@ _SHUT = f"""own AS (SELECT DISTINCT project, root, cx, cy FROM cell JOIN cl USIN
 @R.add("fn32_block_closing", f"WITH RECURSIVE {CELLS}, {_NODES}, {_PAIRS}, {_OPEN}, {_WALK}, {_SHUT} SELECT project, root, count(*) * 100 AS area, any_value(plain) AS plain_area FROM shut JOIN (SELECT project, root, count(*) * 100 AS plain FROM own GROUP BY ALL) USING (project, root) GROUP BY project, root")
 def fn32(s):
     """Each block closed over gaps; with a gap of 0 or below, the plain union."""
-    cells = C.cells_of_boxes(blocks(s), ["project", "root"], SIZE)
+    cells = S.of_features(blocks(s), ["project", "root"], SIZE)
     keys = ["project", "root"]
-    shut = C.area(B.closed_blocks(cells, keys, GAP, SIZE), keys, SIZE)
-    plain = C.area(B.closed_blocks(cells, keys, 0, SIZE), keys, SIZE).withColumnRenamed("area", "plain_area")
+    shut = S.area(B.closed_blocks(cells, keys, GAP, SIZE), keys, SIZE)
+    plain = S.area(B.closed_blocks(cells, keys, 0, SIZE), keys, SIZE).withColumnRenamed("area", "plain_area")
     return shut.join(plain, keys)
 
 
@@ -260,14 +255,14 @@ def gr02(s):
 @R.add("fn33_growth_envelope")
 def fn33(s):
     """Features bridged by a gap, holes filled, smoothed where that loses none of what it was made of, and clipped."""
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
+    cells = S.of_features(s.v_feature.where("layer = 'additions'"), ["project"], SIZE)
     return B.growth_envelope(cells, ["project"], 2, SIZE, AREA)
 
 
 @R.add("join08_source_counts", f"WITH RECURSIVE {CELLS}, pieces AS (SELECT DISTINCT project, feature_id AS piece, cx, cy FROM cell WHERE layer = 'additions'), {piece_walk_sql('pieces', 'project')} SELECT project, label, count(DISTINCT piece) AS sources, count(DISTINCT (cx, cy)) * 100 AS area FROM lab JOIN pieces USING (project, cx, cy) GROUP BY project, label")
 def join08(s):
     """Merged regions with the number of polygons in them."""
-    cells = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["project", "feature_id"], SIZE)
+    cells = S.of_features(s.v_feature.where("layer = 'additions'"), ["project", "feature_id"], SIZE)
     return B.merged_regions(cells, ["project"], "feature_id", 0, SIZE).select("project", "label", "sources", "area")
 
 
@@ -278,6 +273,6 @@ def join08(s):
 def join09(s):
     """Each feature's buffer without the cells of roads: of the parts those that touch the feature, or the whole buffer where
     nothing would be left."""
-    source = C.cells_of_boxes(s.v_feature.where("layer = 'additions'"), ["feature_id"], SIZE)
+    source = S.of_features(s.v_feature.where("layer = 'additions'"), ["feature_id"], SIZE)
     kept = B.road_split(source, "feature_id", 2, roads(s), SIZE)
-    return kept.groupBy("feature_id").agg((F.count("*") * SIZE * SIZE).alias("area"), F.first("uncut").alias("uncut"))
+    return kept.groupBy("feature_id").agg((F.sum(S.count()) * SIZE * SIZE).alias("area"), F.first("uncut").alias("uncut"))

@@ -12,7 +12,7 @@ from landfold.functions import geometry as G
 from landfold.functions import grid
 from landfold.functions import values as V
 from landfold.operators import cells as C
-from landfold.operators import blocks, exports, graph, metrics, raster, records
+from landfold.operators import blocks, exports, graph, metrics, raster, records, strips
 from landfold.sources.views import view
 from landfold.streaming import jobs
 
@@ -182,10 +182,10 @@ def test_running_numbers(spark):
 
 def test_road_split_keeps_touching_parts(spark):
     """A road beside a feature takes off the far part of its buffer; one over the whole feature leaves the buffer uncut."""
-    source = spark.createDataFrame([(1, 0, 0), (2, 100, 0)], "id bigint, cx bigint, cy bigint")
+    source = strips.of_cells(spark.createDataFrame([(1, 0, 0), (2, 100, 0)], "id bigint, cx bigint, cy bigint"), ["id"])
     roads = spark.createDataFrame([(15.0, -900.0, 15.0, 900.0), (1005.0, -900.0, 1005.0, 900.0)], "x1 double, y1 double, x2 double, y2 double")
     got = {}
-    for r in blocks.road_split(source, "id", 2, roads, 10).collect():
+    for r in strips.cells_of(blocks.road_split(source, "id", 2, roads, 10), ["id", "uncut"]).collect():
         got.setdefault((r.id, r.uncut), set()).add((r.cx, r.cy))
     disc = {(x, y) for x in range(-2, 3) for y in range(-2, 3) if x * x + y * y <= 4}
     assert got == {(1, False): {c for c in disc if c[0] < 1}, (2, True): {(100 + x, y) for x, y in disc}}

@@ -164,3 +164,28 @@ def test_boxes_and_nulls(spark):
     assert {(r.k, r.label) for r in S.label(found, ["k"]).collect()} == {(None, 0), (2, -3 * (1 << 31) - 3)}
     assert S.morphed(found.where("false"), ["k"], (2, False, False)).count() == 0
     assert S.label(found.where("false"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [0, 50_000])
+def test_holes_over_squares(spark, monkeypatch, one_task):
+    """Holes inside a square, over squares, over whole empty squares; holes with islands; bays; sets closed by corners alone."""
+    monkeypatch.setattr(S, "ONE_TASK_EDGES", one_task)
+    frame = lambda x0, y0, x1, y1, t: {(x, y) for x in range(x0, x1) for y in range(y0, y1) if not (x0 + t <= x < x1 - t and y0 + t <= y < y1 - t)}
+    whole = frame(-100, -90, 400, 300, 2) | frame(150, 100, 158, 106, 1) | frame(0, 0, 64, 64, 1) | {(30, 30)}
+    bay = frame(500, 0, 800, 200, 3) - {(x, y) for x in range(797, 800) for y in range(90, 93)} | frame(520, 20, 540, 30, 1)
+    corners = {(900 + k, 100 + k) for k in range(100)} | {(900 + k, 100 - k) for k in range(100)} | {(999 + k, 199 - k) for k in range(100)} | {(999 + k, 1 + k) for k in range(100)}
+    some = {(1, *c) for c in whole | bay} | {(2, *c) for c in corners}
+    got = cells(S.filled(make(spark, some), ["k"]))
+    (x0, x1), (y0, y1) = ((min(v) - 1, max(v) + 1) for v in ([c[i] for c in some] for i in (1, 2)))
+    want = set()
+    for k in (1, 2):
+        own = {c[1:] for c in some if c[0] == k}
+        seen, todo = {(x0, y0)}, [(x0, y0)]
+        while todo:
+            x, y = todo.pop()
+            near = {c for c in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if x0 <= c[0] <= x1 and y0 <= c[1] <= y1 and c not in own and c not in seen}
+            seen |= near
+            todo += near
+        want |= {(k, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) if (x, y) not in seen}
+    assert got == want
+    assert (1, 100, 200) in got and (1, 600, 100) not in got and (1, 530, 25) in got and (2, 999, 100) in got
