@@ -17,14 +17,21 @@ from landfold.sources.staging import staged
 CHUNK = 256
 #: Border edges of chunks that one task may join up; beyond that the star rounds do.
 ONE_TASK_EDGES = 50_000
+#: The same for nodes that are whole numbers, which need no numbering; and edges that a task contracts at a time.
+ONE_TASK_NUMBERS, CONTRACTED = 1_000_000, 1_000_000
 
 
 def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """Components of undirected edges (a, b) of any type with an order: rows (node, root), root the least node of each; nodes
     without edges don't appear. Large-star and small-star steps take turns until every node hangs from one root; each round is
     a written table. A node with very many edges is only ever reduced by a combined minimum, or split by the adaptive skew
-    join. Up to `one_task` edges are joined up in one task instead, with the same result."""
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    join. Up to `one_task` edges are joined up in one task instead, with the same result.
+
+    Edges between whole numbers are contracted first: each task replaces those that it has by a spanning forest of stars."""
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if now.schema["a"].dataType.simpleString() == "bigint":
+        now = now.mapInArrow(_stars, "a bigint, b bigint")
+    now = staged(now.distinct(), "edges")
     if one_task and now.limit(one_task + 1).count() <= one_task:
         return _joined_up(now)
     while not _all_stars(now):
@@ -37,8 +44,32 @@ def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from each node to the least one that the task's edges reach from it, CONTRACTED edges at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def solved() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in "ab")
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = nodes[least_of_group(len(nodes), at[: len(a)], at[len(a) :])]
+        far = root != nodes
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CONTRACTED:
+            yield solved()
+            held = []
+    if held:
+        yield solved()
+
+
 def _joined_up(edges: DataFrame) -> DataFrame:
     """The same in one task; nodes are numbered in their order, so that the least number is the least node."""
+    if edges.schema["a"].dataType.simpleString() == "bigint":
+        found = edges.repartition(1).mapInArrow(lambda batches: _stars(_whole(batches)), "a bigint, b bigint")
+        found = staged(found.withColumnsRenamed({"a": "node", "b": "root"}), "edge-roots")
+        return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     numbered = ends.repartition(1).sortWithinPartitions("node").withColumn("k", F.monotonically_increasing_id())
     numbered = staged(numbered, "edge-nodes")
@@ -55,6 +86,11 @@ def _joined_up(edges: DataFrame) -> DataFrame:
     return found.join(numbered, "k").join(numbered.withColumnsRenamed({"node": "root", "k": "r"}), "r").select("node", "root")
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})])
+    yield from found.combine_chunks().to_batches()
+
+
 def least_of_group(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For 0 .. n - 1 the least number that edges between a and b reach."""
     root = np.arange(n)
@@ -76,7 +112,7 @@ def _all_stars(edges: DataFrame) -> bool:
 
 def with_roots(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """nodes with `root`, a node without edges being its own."""
-    roots = components(edges).withColumnRenamed("node", node)
+    roots = components(edges, ONE_TASK_NUMBERS).withColumnRenamed("node", node)
     return nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
 
 

@@ -23,6 +23,7 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Callable] = {}
         self.oracle: dict[str, str] = {}
+        self.plain: dict[str, Callable] = {}
 
     def add(self, name: str, sql: str | None = None) -> Callable:
         """Registers a function of a Source; sql is its twin over tables and views."""
@@ -30,6 +31,7 @@ class Registry:
         def register(f: Callable[[Source], DataFrame]) -> Callable:
             if name in self.queries:
                 raise ValueError(f"{name} is registered twice")
+            self.plain[name] = f
             self.queries[name] = lambda spark, sf_dir: f(Source(spark, sf_dir))
             if sql is not None:
                 self.oracle[name] = duck(sql)

@@ -10,7 +10,7 @@ from landfold.operators import blocks as B
 from landfold.operators import graph as G
 from landfold.operators import strips as S
 from landfold.operators.metrics import safe_ratio
-from landfold.plans.base import Registry
+from landfold.plans.base import Registry, Source
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
@@ -276,3 +276,40 @@ def join09(s):
     source = S.of_features(s.v_feature.where("layer = 'additions'"), ["feature_id"], SIZE)
     kept = B.road_split(source, "feature_id", 2, roads(s), SIZE)
     return kept.groupBy("feature_id").agg((F.sum(S.count()) * SIZE * SIZE).alias("area"), F.first("uncut").alias("uncut"))
+
+
+# --- the same over polygons: four slanted corners about thrice the box's size, and a hole in every third feature
+
+_CORNERS = [("0.25e0", "0e0"), ("1e0", "0.3e0"), ("0.6e0", "1e0"), ("0e0", "0.55e0")]
+_HOLE = [("0.33e0", "0.48e0"), ("0.48e0", "0.33e0"), ("0.63e0", "0.48e0"), ("0.48e0", "0.63e0")]
+_X, _Y = "minx + 0.37e0 + 3 * (maxx - minx) * {0}", "miny + 0.41e0 + 3 * (maxy - miny) * {0}"
+
+
+class Polygons(Source):
+    """A source whose features have rings."""
+
+    def __getattr__(self, name):
+        found = super().__getattr__(name)
+        if name != "v_feature":
+            return found
+        ring = lambda corners: F.array(*[F.struct(F.expr(_X.format(x)).alias("x"), F.expr(_Y.format(y)).alias("y")) for x, y in corners])
+        return found.withColumn("rings", F.when(F.col("feature_id") % 3 == 0, F.array(ring(_CORNERS), ring(_HOLE))).otherwise(F.array(ring(_CORNERS))))
+
+
+_LISTED = ", ".join(f"[{', '.join(text.format(c[k]) for c in _CORNERS + _HOLE)}] AS {name}" for k, (name, text) in enumerate((("xs", _X), ("ys", _Y))))
+#: Edge k goes from corner k to the next of its ring; a cell is on where an odd number of edges crosses its row at or before its centre.
+_CROSSED = """(ys[k + 1] <= 10 * (cy + 0.5e0)) <> (ys[(k % 4 + 1) % 4 + k // 4 * 4 + 1] <= 10 * (cy + 0.5e0))
+    AND xs[k + 1] + (10 * (cy + 0.5e0) - ys[k + 1]) * (xs[(k % 4 + 1) % 4 + k // 4 * 4 + 1] - xs[k + 1]) / (ys[(k % 4 + 1) % 4 + k // 4 * 4 + 1] - ys[k + 1]) <= 10 * (cx + 0.5e0)"""
+POLYGON_CELLS = f"""corners AS (SELECT *, {_LISTED} FROM v_feature), pcol AS (SELECT *, unnest(range(minx // 10 - 1, (minx + 3 * (maxx - minx)) // 10 + 2)) AS cx FROM corners), pgrid AS (SELECT *, unnest(range(miny // 10 - 1, (miny + 3 * (maxy - miny)) // 10 + 2)) AS cy FROM pcol),
+    cell AS (SELECT * FROM pgrid WHERE len(list_filter(range(CASE WHEN feature_id % 3 = 0 THEN 8 ELSE 4 END), lambda k: {_CROSSED})) % 2 = 1)"""
+
+for _name in ("win04_monotone_fold", "win05_cumulative_buffers", "agg07_coverage_fraction", "agg08_dissolve_area", "set03_overlay", "join06_footprint_overlap", "join07_edge_band_overlap", "fn31_closing", "fn42_export_perimeter"):
+    R.queries[f"{_name}_polygons"] = lambda spark, sf_dir, f=R.plain[_name]: f(Polygons(spark, sf_dir))
+    R.oracle[f"{_name}_polygons"] = R.oracle[_name].replace(CELLS, POLYGON_CELLS)
+
+
+@R.add("ras10_polygons", f"WITH {POLYGON_CELLS} SELECT DISTINCT project, cx AS col, cy AS row FROM cell")
+def ras10_polygons(s):
+    """Polygons with holes to a mask, a pixel being on where its centre is inside."""
+    cells = S.cells_of(S.union(S.of_features(Polygons(s.spark, s.sf_dir).v_feature, ["project"], SIZE), ["project"]), ["project"])
+    return cells.select("project", F.col("cx").alias("col"), F.col("cy").alias("row"))
