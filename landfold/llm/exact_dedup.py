@@ -5,8 +5,9 @@ rows is no heavier than any other), compared with the index by a sort-merge anti
 and appended to it: what is new with its doc_id, what is known as a further count. A feed of documents goes in parts, by
 descending ranges of doc_id, so that of equal texts the row with the largest doc_id is met first and is the one that stays.
 
-A feed may be run again, after a failure or with other rows: what its earlier runs have appended doesn't count for it, and
-compact() removes that, merges counts, and leaves one sorted file to a bucket.
+A feed may be run again, after a failure or with other rows: a run that has come to its end leaves a row that says so, and of
+each feed only the latest such run counts. compact() removes the rest, merges counts, and leaves one sorted file to a bucket,
+in a table of the next generation, which takes over once it is whole.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays, a null doc_id being
 the smallest; of rows equal in text and doc_id one stays; a text that another feed has put into the index stays nowhere in
@@ -32,41 +33,85 @@ INDEX_SCHEMA = "digest binary, keep_id bigint, n bigint, feed string, run string
 PARTS = 2
 
 
+#: Feeds up to which the list of their latest runs is broadcast.
+BROADCAST_FEEDS = 100_000
+#: Ended runs after which the pipeline compacts its index.
+COMPACT_AFTER = 4
+
+
 class DigestIndex:
-    """A managed Parquet table of (digest, keep_id, n, feed, run), bucketed and sorted by digest; all rows of a digest carry
-    the same keep_id, and n adds up to the number of its documents."""
+    """A managed Parquet table of (digest, keep_id, n, feed, run), bucketed and sorted by digest; all rows of a digest that
+    count carry the same keep_id, and n adds up to the number of its documents. A row without a digest ends its run."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name = spark, name
         #: Each append writes one file for each bucket. The number is fixed when the table is made.
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(name):
-            self._write(spark.createDataFrame([], INDEX_SCHEMA), name)
+        whole = [t for t in self.generations() if self._is_whole(t)]
+        if not whole:
+            self._begin(0, spark.createDataFrame([], INDEX_SCHEMA))
+        self._tidy()
+
+    def generations(self) -> list[str]:
+        """The tables of this index, oldest first; more than one only where compact() was cut off."""
+        return sorted(r.tableName for r in self.spark.sql(f"SHOW TABLES LIKE '{self.name}_g*'").collect())
+
+    def _is_whole(self, name: str) -> bool:
+        return any(r.key == "landfold.whole" for r in self.spark.sql(f"SHOW TBLPROPERTIES {name}").collect())
+
+    def _begin(self, generation: int, rows: DataFrame, ended: int = 0) -> None:
+        """ended: how many ended runs are in it from the start."""
+        name = f"{self.name}_g{generation:09d}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._write(rows, name)
+        self.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('landfold.whole' = 'true', 'landfold.ended' = '{ended}')")
+
+    def _tidy(self) -> None:
+        """The latest whole generation stays."""
+        self.table = [t for t in self.generations() if self._is_whole(t)][-1]
+        for other in self.generations():
+            if other != self.table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {other}")
 
     def _write(self, rows: DataFrame, name: str) -> None:
         dealt = rows.select("digest", "keep_id", "n", "feed", "run").repartition(self.buckets, "digest")
         dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
+    def ended(self) -> DataFrame:
+        """Each feed's latest run that came to its end."""
+        return self.spark.table(self.table).where("digest IS NULL").groupBy("feed").agg(F.max("run").alias("run"))
+
     def read(self, feed: str | None = None, run: str | None = None) -> DataFrame:
-        """All rows, or those that count for a run of a feed: of other feeds, and its own."""
-        rows = self.spark.table(self.name)
-        return rows if feed is None else rows.where((F.col("feed") != feed) | (F.col("run") == run))
+        """The rows that count: those of each feed's latest ended run; for a run of a feed, its own in place of that."""
+        rows, last = self.spark.table(self.table).where("digest IS NOT NULL"), self.ended()
+        if feed is not None:
+            last = last.where(F.col("feed") != feed).unionByName(self.spark.createDataFrame([(feed, run)], "feed string, run string"))
+        last = staged(last, "index-runs")
+        return rows.join(F.broadcast(last) if last.count() <= BROADCAST_FEEDS else last, ["feed", "run"], "left_semi")
 
     def append(self, rows: DataFrame) -> None:
-        self._write(rows, self.name)
+        self._write(rows, self.table)
+
+    def end(self, feed: str, run: str) -> None:
+        """Says that a run is complete; until then its rows count for itself alone."""
+        self._write(self.spark.createDataFrame([(None, None, 0, feed, run)], INDEX_SCHEMA), self.table)
+
+    def runs(self) -> int:
+        """Runs that have ended since the last compact()."""
+        told = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.table}").collect()}
+        return self.spark.table(self.table).where("digest IS NULL").count() - int(told["landfold.ended"])
 
     def compact(self) -> None:
-        """One row for each digest and feed, of the feed's latest run, in one sorted file for each bucket."""
-        rows = self.read()
-        last = rows.groupBy("feed").agg(F.max("run").alias("run"))  # a row for each feed
-        live = rows.join(last, ["feed", "run"], "left_semi").groupBy("digest", "feed", "run").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        fresh = f"{self.name}_{uuid.uuid4().hex[:8]}"
-        self._write(live, fresh)
-        self.drop()
-        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.name}")
+        """One row for each digest and feed, of the feed's latest ended run, in one sorted file for each bucket."""
+        live = self.read().groupBy("digest", "feed", "run").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        ends = self.ended().select(F.lit(None).cast("binary").alias("digest"), "feed", "run", F.lit(None).cast("bigint").alias("keep_id"), F.lit(0).cast("bigint").alias("n"))
+        ends = staged(ends, "index-ends")
+        self._begin(int(self.table.rsplit("_g", 1)[1]) + 1, live.unionByName(ends), ends.count())
+        self._tidy()
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in self.generations():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def digest_column(text: str = "text") -> Column:
@@ -101,6 +146,7 @@ def dedup_feed(docs: DataFrame, index: DigestIndex, feed: str, parts: int = PART
         new = verdict.where("keep_row IS NOT NULL").select("digest", "keep_row")
         news.append(new.count())
         stay = new if stay is None else stay.unionByName(new)
+    index.end(feed, run)
     sizes = index.read(feed, run).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return rows, staged(sizes.join(stay.hint("merge"), "digest", "left"), "digest-sizes"), news
 
@@ -138,6 +184,19 @@ def named_index(spark: SparkSession, purpose: str, sf_dir: str) -> DigestIndex:
     return DigestIndex(spark, name)
 
 
+def feed_of(files: list[str]) -> str:
+    """A feed's name by the files that it comes from: the same files are the same feed, further ones make another."""
+    return hashlib.sha256("\n".join(sorted(files)).encode()).hexdigest()[:16]
+
+
+def keep_new_of(docs: DataFrame, index: DigestIndex, files: list[str]) -> DataFrame:
+    """keep_new() of a feed that comes from these files, compacting the index now and then."""
+    kept = staged(keep_new(docs, index, feed_of(files)), "new-texts")
+    if index.runs() > COMPACT_AFTER:
+        index.compact()
+    return kept
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is this query's own; it goes once the result is written."""
     index = new_index(spark)

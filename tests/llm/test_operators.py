@@ -48,7 +48,7 @@ def test_exact_dedup_goes_through_the_index(spark):
     assert Counter(r.group_size for r in sizes.collect()) == Counter({1: 3, 14: 5, 15: 2})
     assert index.read().count() == 17 and index.read().where("keep_id >= 93").agg(F.sum("n")).first()[0] == 100
     index.drop()
-    assert not spark.catalog.tableExists(index.name)
+    assert not index.generations()
 
 
 def test_exact_dedup_second_feed_repeated_and_compacted(spark):
@@ -61,7 +61,45 @@ def test_exact_dedup_second_feed_repeated_and_compacted(spark):
         assert got == {9: (2, False, 3), 8: (8, True, 2), 7: (8, False, 2)}
         if k == 1:
             index.compact()
-            assert sorted((r.keep_id, r.n, r.feed) for r in index.read().collect()) == [(2, 1, "two"), (2, 2, "one"), (3, 1, "one"), (8, 2, "two")]
+            assert sorted((r.keep_id, r.n, r.feed) for r in index.read().select("keep_id", "n", "feed").collect()) == [(2, 1, "two"), (2, 2, "one"), (3, 1, "one"), (8, 2, "two")]
+    index.drop()
+
+
+def test_only_the_latest_ended_run_of_a_feed_counts(spark, monkeypatch):
+    index = exact_dedup.new_index(spark)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, text string")
+    told = lambda docs, feed: {r.doc_id: (r.kept, r.group_size) for r in exact_dedup.verdicts(docs, index, feed).collect()}
+    told(frame((1, "x"), (2, "x"), (3, "gone")), "A")
+    assert told(frame((1, "x"), (2, "x")), "A") == {1: (False, 2), 2: (True, 2)}
+    assert told(frame((7, "x"), (8, "gone")), "B") == {7: (False, 3), 8: (True, 1)}
+    # A later run of A fails after its first part: the earlier one goes on counting, before and after compact().
+    appended = index.append
+    monkeypatch.setattr(index, "append", lambda rows: (appended(rows), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        told(frame((1, "x"), (5, "new")), "A")
+    monkeypatch.setattr(index, "append", appended)
+    for k in range(2):
+        assert told(frame((7, "x"), (8, "gone"), (9, "new")), "B") == {7: (False, 3), 8: (True, 1), 9: (True, 1)}
+        if k == 0:
+            index.compact()
+    # compact() that is cut off leaves the old generation; a fresh handle tidies up.
+    monkeypatch.setattr(index, "_is_whole", lambda name: name.endswith("1"))
+    spark.sql(f"CREATE TABLE {index.name}_g000000007 (digest binary) USING parquet")
+    again = exact_dedup.DigestIndex(spark, index.name)
+    assert again.generations() == [again.table] and again.table.endswith("_g000000001")
+    again.drop()
+
+
+def test_old_files_go_by_the_anti_join(spark, docs):
+    index = exact_dedup.new_index(spark)
+    old = docs.where("doc_id < 60")
+    first = exact_dedup.keep_new_of(old, index, ["a"])
+    assert exact_dedup.keep_new_of(old, index, ["a"]).count() == first.count() > 0
+    both = exact_dedup.keep_new_of(docs, index, ["b", "a"])
+    assert both.join(first, "text", "left_semi").count() == 0 and both.count() > 0
+    for k in range(2):
+        exact_dedup.keep_new_of(old, index, [f"f{k}"])
+    assert index.runs() == 0 and index.table.endswith("_g000000001")
     index.drop()
 
 
@@ -299,6 +337,22 @@ def test_mixture_fractional_weights(spark):
         mixing.whole_weights({"a": -1}, 1)
 
 
+@pytest.mark.parametrize("bin_rows", [1, 50_000])
+def test_mixture_without_ids(spark, monkeypatch, bin_rows):
+    """Rows without a doc_id, or that share one, are chosen each for itself, up to the quota."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", bin_rows)
+    rows = [(None if k % 2 else 7, f"text number {k}", "en", "s", 1) for k in range(200)] + [(1000 + k, f"other {k}", "en", "t", 1) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mix = mixing.Mixture(percent=50)
+    narrow, cuts = mixing.plan_mixture(docs, mix)
+    quotas = {r["_lf_source"]: r.quota for r in cuts.collect()}
+    kept = mixing.mix_documents(docs, mix).collect()
+    for source, quota in quotas.items():
+        tokens = sum(len(r.text) // 4 + 1 for r in kept if r.source == source)
+        assert quota - 6 < tokens <= quota and quota > 300
+    assert len({r.text for r in kept if r.doc_id is None}) > 20 and any(r.doc_id == 7 for r in kept)
+
+
 def test_mixture_documents(clashing, empty):
     out = mixing.mix_documents(clashing, mixing.Mixture())
     assert out.columns == clashing.columns and out.count() > 0
@@ -627,6 +681,20 @@ def test_codec_matches_the_library(library):
         assert own.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_very_long_words(library):
+    """Words beyond and about the limit of merging side by side; a million letters take seconds."""
+    import random
+    import time
+
+    rng, own = random.Random(3), bpe.Codec(bpe.vocabulary_path())
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshrdlu", "é日x", "a") for n in (510, 511, 512, 513, 3000, 40_000)]
+    for word, a in zip(words, own.encode_batch(words), strict=True):
+        assert np.frombuffer(a, own.width).tolist() == library.encode(word, add_special_tokens=False).ids
+    own, begun = bpe.Codec(bpe.vocabulary_path()), time.time()
+    (ids,) = own.encode_batch(["".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))])
+    assert len(ids) > 400_000 and time.time() - begun < 60
+
+
 def test_pairs_against_exact_merges(library):
     own = bpe.Codec(bpe.vocabulary_path())
     rng = np.random.default_rng(2)
