@@ -19,6 +19,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ END = "Ā"
 ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: What a worker remembers of words that it has seen: up to twice so many, the older half forgotten at once.
 CACHE_WORDS = 150_000
+#: Letters beyond which a word is merged by itself, with a heap.
+LONG_WORD = 512
 NEVER = np.int64(1 << 62)
 
 
@@ -206,6 +209,9 @@ class Codec:
         leftmost. Words of like length are merged side by side, a step of each at a time."""
         out: list[np.ndarray] = [np.zeros(0, self.width)] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        while order and len(words[order[-1]]) > LONG_WORD:  # steps side by side cost the square of a word's length
+            k = order.pop()
+            out[k] = self._merged_long(words[k])
         start = 0
         while start < len(order):
             stop, longest = start, len(words[order[start]]) + 3
@@ -217,6 +223,30 @@ class Codec:
             start = stop
         return out
 
+    def _merged_long(self, word: str) -> np.ndarray:
+        """The same for one word, by a linked list of its parts and a heap of their merges."""
+        ids = self.letter[np.frombuffer(word[:-1].encode("latin-1"), np.uint8)].tolist()
+        ids[-1] = int(self.last_letter[ord(word[-2])])
+        n, found = len(ids), self.merges.get
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        pairs = ((found(pair), k) for k, pair in enumerate(zip(ids, ids[1:], strict=False)))
+        heap = [(hit[0], k, ids[k], ids[k + 1]) for hit, k in pairs if hit is not None]
+        heapify(heap)
+        while heap:
+            _, at, a, b = heappop(heap)
+            right = after[at]
+            if right < 0 or ids[at] != a or ids[right] != b:
+                continue  # one of the two has been merged since
+            ids[at], ids[right] = found((a, b))[1], -1
+            after[at] = after[right]
+            if after[right] >= 0:
+                before[after[right]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] >= 0 and (hit := found((ids[left], ids[after[left]]))) is not None:
+                    heappush(heap, (hit[0], left, ids[left], ids[after[left]]))
+        whole = np.array(ids)
+        return whole[whole >= 0].astype(self.width)
+
     def _merged(self, words: list[str]) -> list[np.ndarray]:
         sizes = np.array([len(w) - 1 for w in words])
         width = int(sizes.max()) + 1
