@@ -33,6 +33,7 @@ from landfold.llm.common import scratch, staged, table, text_of
 
 END_ID = 2
 CACHE_WORDS = 550_000
+SHARD_BYTES = 128 << 20  # of text in a shard
 SEQUENCE, BATCH = 2048, 128  # ids in a sequence, sequences in a record batch
 MANIFEST = "shard int, tokens_path string, index_path string, n_documents bigint, n_tokens bigint"
 
@@ -204,7 +205,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // SHARD_BYTES + 1)
+    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return staged(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
 
