@@ -7,13 +7,13 @@ The shares come in closed form from running sums over one row per node, in whole
 a family's children are dealt out by ranges, so that one with millions of sources is no burden either.
 
 A leaf with quota q and t tokens is read q div t times in full, and of the next epoch a prefix of q mod t tokens: the
-documents in the order of a hash of (seed, epoch, doc_id), as long as their running total stays within it. The cut is
-found from histograms of the hash's bits, 64 bins of a leaf and then 64 of the one bin where it falls, and inside the last
-of these; no task sees a whole leaf, so a source with a third of all rows is no burden.
+documents in the order of a hash of (seed, epoch, doc_id), then of their texts' hash, as long as their running total stays
+within it. The cut is found from histograms of the hash's bits, 64 bins of a leaf and then 64 of the one bin where it falls,
+until the bin is small; no task sees a whole leaf, so a source with a third of all rows is no burden.
 
 Only DataFrame functions. Defined results: null domain, lang or source count as 'unknown'; tokens are the text's UTF-8 bytes div 4
-plus 1, of the whole text (null text: empty); rows that tie in hash and doc_id, repeated rows among them, go in or stay out
-together; weights may be fractions, and one of 0 gives nothing (one below 0 is refused); columns of any name are handed on,
+plus 1, of the whole text (null text: empty); rows without a doc_id are ordered by their text's hash; rows alike in doc_id and
+text go in or stay out together; weights may be fractions, and one of 0 gives nothing (one below 0 is refused); columns of any name are handed on,
 as the operator's own begin with _lf_; an empty table gives no rows.
 """
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from landfold.llm.common import staged, table, text_of
 
 LEAF = ["_lf_domain", "_lf_lang", "_lf_source"]
-LEVELS, LEVEL_BITS, HASH_BITS = 2, 6, 60
+LEVEL_BITS, HASH_BITS = 6, 60
+#: What a leaf's documents are ordered by; rows of a bin below which no further histogram is made.
+ORDER, BIN_ROWS = ["_lf_hash", "_lf_id", "_lf_text"], 50_000
 #: A table of leaves is broadcast up to so many rows, of about 100 bytes each; beyond that it is joined by a shuffle that
 #: the adaptive planner can split.
 BROADCAST_LEAVES = 2000
@@ -76,7 +78,7 @@ def _weight(names: dict, column: str, other) -> Column:
 
 def _with_leaf(docs: DataFrame, mix: Mixture) -> DataFrame:
     return docs.withColumns({"_lf_domain": F.coalesce(F.expr(mix.domain), F.lit("unknown")), "_lf_lang": F.coalesce("lang", F.lit("unknown")), "_lf_source": F.coalesce("source", F.lit("unknown")),
-                             "_lf_tokens": F.floor(F.octet_length(text_of()) / 4).cast("bigint") + 1})
+                             "_lf_tokens": F.floor(F.octet_length(text_of()) / 4).cast("bigint") + 1, "_lf_text": F.xxhash64(text_of())})
 
 
 def _with_running(rows: DataFrame, family: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -127,8 +129,9 @@ def leaf_quotas(leaves: DataFrame, mix: Mixture) -> DataFrame:
 
 
 def _order_key(seed: int) -> Column:
-    """60 bits of a hash of seed, epoch and doc_id."""
-    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_lf_full").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    """60 bits of a hash of seed, epoch and doc_id; without a doc_id, of the text's hash."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("_lf_text").cast("string")))
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_lf_full").cast("string"), own).cast("binary"))
     return F.conv(F.substring(mixed, 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -140,35 +143,41 @@ def _by_leaf(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _keyed(rows: DataFrame, mix: Mixture) -> DataFrame:
+    """Rows with their place in the order: hash, doc_id, and the text's hash."""
     return rows.withColumns({"_lf_hash": _order_key(mix.seed), "_lf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))})
 
 
 def plan_mixture(docs: DataFrame, mix: Mixture) -> tuple[DataFrame, DataFrame]:
     """The narrow rows (doc_id, leaf, tokens), and one row per leaf: quota, full, and the last (hash, id) of the prefix."""
-    rows = staged(_with_leaf(docs, mix).select("doc_id", *LEAF, "_lf_tokens"), "mix-rows")
+    rows = staged(_with_leaf(docs, mix).select("doc_id", *LEAF, "_lf_tokens", "_lf_text"), "mix-rows")
     leaves = rows.groupBy(*LEAF).agg(F.sum("_lf_tokens").alias("tokens"))
     plan = staged(leaf_quotas(leaves, mix), "mix-quotas")
-    partial = staged(_keyed(_by_leaf(rows, plan.where("part > 0")), mix).select(*LEAF, "_lf_hash", "_lf_id", "_lf_tokens", "_lf_part"), "mix-order")
-    inside, edge = partial.withColumn("base", F.lit(0).cast("bigint")), None
-    for level in range(1, LEVELS + 1):
+    partial = staged(_keyed(_by_leaf(rows, plan.where("part > 0")), mix).select(*LEAF, *ORDER, "_lf_tokens", "_lf_part"), "mix-order")
+    inside, edge, level, small = partial.withColumn("base", F.lit(0).cast("bigint")), None, 0, False
+    while not small and level < HASH_BITS // LEVEL_BITS:
+        level += 1
         binned = inside.withColumn("_lf_bin", F.shiftright("_lf_hash", HASH_BITS - level * LEVEL_BITS))
-        bins = binned.groupBy(*LEAF, "_lf_bin").agg(F.sum("_lf_tokens").alias("n"), F.first("_lf_part").alias("part"), F.first("base").alias("base"))
+        bins = binned.groupBy(*LEAF, "_lf_bin").agg(F.sum("_lf_tokens").alias("n"), F.count("*").alias("rows"), F.first("_lf_part").alias("part"), F.first("base").alias("base"))
         upto = F.col("base") + F.sum("n").over(W.partitionBy(*LEAF).orderBy("_lf_bin"))  # at most 64 rows a leaf
         bins = bins.withColumn("upto", upto).withColumn("base", F.col("upto") - F.col("n"))
-        edge = staged(bins.where((F.col("base") <= F.col("part")) & (F.col("upto") > F.col("part"))).select(*LEAF, "_lf_bin", "base"), "mix-edges")
-        inside = binned.drop("base").join(edge, [*LEAF, "_lf_bin"])
-    running = F.sum("_lf_tokens").over(W.partitionBy(*LEAF).orderBy("_lf_hash", "_lf_id"))  # rows that tie count together
-    last = inside.withColumn("upto", F.col("base") + running).where("upto <= _lf_part").groupBy(*LEAF).agg(F.max(F.struct("_lf_hash", "_lf_id")).alias("last"))
-    cuts = plan.join(edge.drop("base"), LEAF, "left").join(last, LEAF, "left")
-    cuts = cuts.select(*LEAF, "quota", "full", F.coalesce("last._lf_hash", F.shiftleft(F.col("_lf_bin").cast("bigint"), HASH_BITS - LEVELS * LEVEL_BITS) - 1, F.lit(-1)).alias("last_hash"), F.coalesce("last._lf_id", F.lit((1 << 63) - 1)).alias("last_id"))
-    return rows, staged(cuts, "mix-cuts")
+        edge = staged(bins.where((F.col("base") <= F.col("part")) & (F.col("upto") > F.col("part"))).select(*LEAF, "_lf_bin", "base", "rows"), "mix-edges")
+        small = (edge.agg(F.max("rows")).first()[0] or 0) <= BIN_ROWS
+        inside = binned.drop("base").join(edge.drop("rows"), [*LEAF, "_lf_bin"])
+    # Rows that tie in all three go together, and are added up before they meet.
+    tied = inside.groupBy(*LEAF, *ORDER).agg(F.sum("_lf_tokens").alias("_lf_tokens"), F.first("_lf_part").alias("_lf_part"), F.first("base").alias("base"))
+    running = F.sum("_lf_tokens").over(W.partitionBy(*LEAF).orderBy(*ORDER))
+    last = tied.withColumn("upto", F.col("base") + running).where("upto <= _lf_part").groupBy(*LEAF).agg(F.max(F.struct(*ORDER)).alias("last"))
+    cuts = plan.join(edge.drop("base", "rows"), LEAF, "left").join(last, LEAF, "left")
+    before = F.shiftleft(F.col("_lf_bin").cast("bigint"), HASH_BITS - level * LEVEL_BITS) - 1
+    most = F.lit((1 << 63) - 1)
+    return rows, staged(cuts.select(*LEAF, "quota", "full", F.coalesce("last._lf_hash", before, F.lit(-1)).alias("last_hash"), F.coalesce("last._lf_id", most).alias("last_id"), F.coalesce("last._lf_text", most).alias("last_text")), "mix-cuts")
 
 
 def with_copies(rows: DataFrame, cuts: DataFrame, mix: Mixture) -> DataFrame:
     """Adds _lf_copies, how often a row is in the mixture; rows have LEAF and doc_id."""
     placed = _keyed(_by_leaf(rows, cuts), mix)
-    last = F.struct(F.col("_lf_last_hash"), F.col("_lf_last_id"))
-    inside = F.struct(F.col("_lf_hash"), F.col("_lf_id")) <= last
+    last = F.struct("_lf_last_hash", "_lf_last_id", "_lf_last_text")
+    inside = F.struct(*ORDER) <= last
     return placed.withColumn("_lf_copies", F.col("_lf_full") + inside.cast("bigint"))
 
 
