@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 rereads it as the next one's docs. All stages but the last return the columns of documents.
 
 Defined results: as each operator says, so a null text counts as empty; rows without a doc_id, or that share one, are judged
-each for itself; texts are read whole; columns of any name that don't begin with _lf_ are handed on up to the last stage,
+each for itself but by their texts, so that such rows of equal text are one; texts are read whole; columns of any name that don't begin with _lf_ are handed on up to the last stage,
 which gives doc_id and tokens; an empty table gives no rows.
 """
 
@@ -22,8 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays. The index lasts; running the pipeline again over the same tables gives the same."""
-    return exact_dedup.keep_new(docs, exact_dedup.named_index(spark, "pipeline", sf_dir), "pipeline")
+    """Of equal texts one stays. The index lasts, its feeds being the files of documents: running the pipeline again over the
+    same files gives the same, and with further files beside them what is new in those."""
+    files = table(spark, sf_dir, "documents").inputFiles()
+    return exact_dedup.keep_new_of(docs, exact_dedup.named_index(spark, "pipeline", sf_dir), files)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
