@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -23,15 +25,34 @@ def to_pixels(cells: DataFrame) -> DataFrame:
     return cells.withColumnsRenamed({"cx": "col", "cy": "row"})
 
 
-def chunks(pixels: DataFrame, size: int = 32) -> DataFrame:
-    """(raster, chunk_row, chunk_col, row0, col0, h, w, values): values in row-major order; pixels fill each chunk."""
+def _placed(cells: str, field: Callable[[Column], Column], h: Column, w: Column, row0: Column, col0: Column) -> Column:
+    """Values of cells (structs with row, col) in row-major order; NULL where a place has no cell."""
+    full = F.transform(F.array_sort(cells), lambda x: field(x))
+    at = F.map_from_entries(F.transform(cells, lambda x: F.struct(((x.row - row0) * w + x.col - col0).cast("int").alias("k"), field(x).alias("v"))))
+    return F.when(F.size(cells) == h * w, full).otherwise(F.transform(F.sequence(F.lit(0), (h * w - 1).cast("int")), lambda k: F.try_element_at(at, k)))
+
+
+def chunks(pixels: DataFrame, size: int = 32, bands: tuple[str, ...] = ("p",)) -> DataFrame:
+    """(raster, chunk_row, chunk_col, row0, col0, h, w, values): values in row-major order, NULL for pixels that aren't there.
+    With several bands, values has an array for each, and `valid` is where all of them have a value: a bit a pixel in numbers of
+    64, or NULL where that is everywhere."""
     at = pixels.withColumns({"chunk_row": F.floor(F.col("row") / size), "chunk_col": F.floor(F.col("col") / size)})
-    found = at.groupBy("raster", "chunk_row", "chunk_col").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "p"))), lambda x: x.p).alias("values"), F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"))
-    return found.select("raster", "chunk_row", "chunk_col", "row0", "col0", "h", "w", "values")
+    place = [F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w")]
+    found = at.groupBy("raster", "chunk_row", "chunk_col").agg(F.collect_list(F.struct("row", "col", *bands)).alias("_c"), *place)
+    put = lambda field: _placed("_c", field, F.col("h"), F.col("w"), F.col("row0"), F.col("col0"))
+    names = ["raster", "chunk_row", "chunk_col", "row0", "col0", "h", "w"]
+    if len(bands) == 1:
+        return found.select(*names, put(lambda x: x[bands[0]]).alias("values"))
+    there = F.transform(put(lambda x: F.array(*[x[b] for b in bands])), lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull()))
+    whole = found.select(*names, F.array(*[put(itemgetter(b)) for b in bands]).alias("values"), there.alias("_valid"))
+    word = lambda k: F.aggregate(F.transform(F.slice("_valid", k * 64 + 1, 64), lambda v, j: F.when(v, F.call_function("shiftleft", F.lit(1).cast("bigint"), j)).otherwise(0)), F.lit(0).cast("bigint"), lambda t, x: t.bitwiseOR(x))
+    packed = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_valid") / 64).cast("int") - 1), word)
+    return whole.select(*names, "values", F.when(F.exists("_valid", lambda v: ~v), packed).alias("valid"))
 
 
 def pixels_of(chunked: DataFrame) -> DataFrame:
-    rows = chunked.select("raster", "row0", "col0", "w", F.posexplode("values").alias("k", "p"))
+    """(raster, row, col, p) of the pixels that have a value."""
+    rows = chunked.select("raster", "row0", "col0", "w", F.posexplode("values").alias("k", "p")).where("p IS NOT NULL")
     return rows.select("raster", (F.col("row0") + F.floor(F.col("k") / F.col("w"))).alias("row"), (F.col("col0") + F.col("k") % F.col("w")).alias("col"), "p")
 
 
@@ -164,56 +185,104 @@ def outlines(labelled: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
 
 
 #: (tile, t1, t2, masks) -> (probability, mask, metadata): a window's place, both dates' values and validity as arrays of its
-#: shape, and what a model makes of them.
-Predictor = Callable[[dict, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray, dict]]
+#: shape (values of several bands with the band as the first axis), and what a model makes of them. The masks are those of both
+#: dates, and of the area where there is one.
+Predictor = Callable[[dict, np.ndarray, np.ndarray, tuple[np.ndarray, ...]], tuple[np.ndarray, np.ndarray, dict]]
 PATCH = "raster string, index bigint, y0 bigint, x0 bigint, h bigint, w bigint, p array<double>, mask array<boolean>, metadata map<string, string>"
 _MADE: dict = {}
+#: Predictors that a worker process keeps.
+MADE_MOST = 8
 
 
-def _made(make: Callable[[], Predictor]) -> Predictor:
-    """One predictor for each worker process and factory."""
-    key = (make.__module__, make.__qualname__)
-    if key not in _MADE:
-        _MADE[key] = make()
-    return _MADE[key]
+def _made(token: str, make: Callable[[], Predictor]) -> Predictor:
+    """One predictor for each worker process and call of predict()."""
+    if token not in _MADE:
+        while len(_MADE) >= MADE_MOST:
+            del _MADE[next(iter(_MADE))]
+        _MADE[token] = make()
+    return _MADE[token]
 
 
-def paired_chunks(pixels: DataFrame, a: str = "t1", b: str = "t2", size: int = 32) -> DataFrame:
+def paired_chunks(pixels: DataFrame, a: str = "t1", b: str = "t2", size: int = 32, bands: tuple[str, ...] = ("p",)) -> DataFrame:
     """Chunks of both dates side by side: (raster, chunk_row, chunk_col, row0, col0, h, w, v1, v2, m1, m2), the masks being where
-    a date has a value."""
-    both = pair(pixels, a, b).withColumns({"chunk_row": F.floor(F.col("row") / size), "chunk_col": F.floor(F.col("col") / size)})
-    cell = F.array_sort(F.collect_list(F.struct("row", "col", "p1", "p2")))
-    found = both.groupBy("chunk_row", "chunk_col").agg(cell.alias("c"), F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"))
-    band = lambda k: F.transform("c", lambda x: F.coalesce(x[k], F.lit(0.0)))
-    there = lambda k: F.transform("c", lambda x: x[k].isNotNull())
-    return found.select(F.lit(f"{a}-{b}").alias("raster"), "chunk_row", "chunk_col", "row0", "col0", "h", "w", band("p1").alias("v1"), band("p2").alias("v2"), there("p1").alias("m1"), there("p2").alias("m2"))
+    a date has a value in all bands; an array of a mask is NULL where that is everywhere. With several bands v1 and v2 have
+    an array for each."""
+    one = lambda r, c: F.max(F.when(F.col("raster") == r, F.col(c)))
+    both = pixels.groupBy("row", "col").agg(*[one(r, c).alias(f"{c}_{k}") for k, r in ((1, a), (2, b)) for c in bands])
+    both = both.withColumns({"chunk_row": F.floor(F.col("row") / size), "chunk_col": F.floor(F.col("col") / size)})
+    names = [f"{c}_{k}" for k in (1, 2) for c in bands]
+    place = [F.min("row").alias("row0"), F.min("col").alias("col0"), (F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w")]
+    found = both.groupBy("chunk_row", "chunk_col").agg(F.collect_list(F.struct("row", "col", *names)).alias("_c"), *place)
+    put = lambda c: _placed("_c", lambda x: x[c], F.col("h"), F.col("w"), F.col("row0"), F.col("col0"))
+    found = found.withColumns({n: put(n) for n in names})
+    out = []
+    for k in (1, 2):
+        own = [F.col(f"{c}_{k}") for c in bands]
+        values = own[0] if len(bands) == 1 else F.array(*own)
+        there = F.transform(own[0], lambda v: v.isNotNull())
+        for band in own[1:]:
+            there = F.zip_with(there, band, lambda t, v: t & v.isNotNull())
+        out += [values.alias(f"v{k}"), F.when(F.exists(there, lambda v: ~v), there).alias(f"m{k}")]
+    return found.select(F.lit(f"{a}-{b}").alias("raster"), "chunk_row", "chunk_col", "row0", "col0", "h", "w", *out)
+
+
+def with_area(chunked: DataFrame, area: DataFrame, size: int = 32) -> DataFrame:
+    """Chunks with the strips (sx, cy, bits) of an area that lie in them, as `area`; empty where it has none there."""
+    first = lambda add: F.floor((F.col("sx") * 64 + add) / size)
+    met = area.select("sx", "cy", "bits", F.floor(F.col("cy") / size).alias("chunk_row"), F.explode(F.sequence(first(0), first(63))).alias("chunk_col"))
+    listed = met.groupBy("chunk_row", "chunk_col").agg(F.collect_list(F.struct(F.col("sx").cast("bigint").alias("sx"), F.col("cy").cast("bigint").alias("cy"), "bits")).alias("area"))
+    joined = chunked.join(listed, ["chunk_row", "chunk_col"], "left")
+    return joined.withColumn("area", F.coalesce("area", F.array().cast(listed.schema["area"].dataType)))
 
 
 def predict(windows: DataFrame, chunked: DataFrame, size: int, make: Callable[[], Predictor]) -> DataFrame:
     """Windows (raster, index, y0, y1, x0, x1) over paired chunks of `size`: PATCH rows, one for each window.
 
     Each window names the chunks that it touches, meets them by an equi-join, and is put together whole before the predictor
-    sees it; `make` is called once in a worker process. Chunks that aren't there leave their part of the masks off."""
+    sees it; `make` is called once in a worker process for each call of predict(). Chunks and pixels that aren't there leave
+    their part of the masks off, also of a window without any chunk. Where chunks have an `area`, patches are off outside it."""
+    token = uuid.uuid4().hex
+    n_bands = 0
+    if chunked.schema["v1"].dataType.simpleString() == "array<array<double>>":
+        first = chunked.select(F.size("v1").alias("n")).first()
+        n_bands = first.n if first else 1
+    has_area = "area" in chunked.columns
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows.iloc[0]
         tile = {c: head[c] if c == "raster" else int(head[c]) for c in ("raster", "index", "y0", "y1", "x0", "x1")}
         h, w = tile["y1"] - tile["y0"], tile["x1"] - tile["x0"]
-        bands = {c: np.zeros((h, w), bool if c[0] == "m" else float) for c in ("v1", "v2", "m1", "m2")}
-        for c in rows.itertuples(index=False):
-            top, bottom = max(tile["y0"], c.row0), min(tile["y1"], c.row0 + c.h)
-            left, right = max(tile["x0"], c.col0), min(tile["x1"], c.col0 + c.w)
-            if top < bottom and left < right:
-                for name, whole in bands.items():
-                    part = np.asarray(getattr(c, name)).reshape(c.h, c.w)[top - c.row0 : bottom - c.row0, left - c.col0 : right - c.col0]
-                    whole[top - tile["y0"] : bottom - tile["y0"], left - tile["x0"] : right - tile["x0"]] = part
-        p, mask, told = _made(make)(tile, bands["v1"], bands["v2"], (bands["m1"], bands["m2"]))
-        mask = np.asarray(mask, bool) & bands["m1"] & bands["m2"]
+        values = {c: np.zeros((n_bands, h, w) if n_bands else (h, w)) for c in ("v1", "v2")}
+        masks = {c: np.zeros((h, w), bool) for c in ("m1", "m2")}
+        area = np.zeros((h, w), bool)
+        for c in rows[rows.row0.notna()].itertuples(index=False):
+            row0, col0, ch, cw = int(c.row0), int(c.col0), int(c.h), int(c.w)
+            top, bottom = max(tile["y0"], row0), min(tile["y1"], row0 + ch)
+            left, right = max(tile["x0"], col0), min(tile["x1"], col0 + cw)
+            if has_area:
+                for s in c.area:
+                    if tile["y0"] <= s["cy"] < tile["y1"]:
+                        on = np.flatnonzero(np.unpackbits(np.array([s["bits"]], "<i8").view(np.uint8), bitorder="little")) + s["sx"] * 64 - tile["x0"]
+                        area[s["cy"] - tile["y0"], on[(on >= 0) & (on < w)]] = True
+            if top >= bottom or left >= right:
+                continue
+            source = slice(top - row0, bottom - row0), slice(left - col0, right - col0)
+            target = slice(top - tile["y0"], bottom - tile["y0"]), slice(left - tile["x0"], right - tile["x0"])
+            for name, whole in values.items():
+                found = getattr(c, name)
+                part = np.array([np.asarray(x, float) for x in found] if n_bands else found, float).reshape((n_bands, ch, cw) if n_bands else (ch, cw))
+                whole[(..., *target)] = np.nan_to_num(part[(..., *source)])
+            for name, whole in masks.items():
+                found = getattr(c, name)
+                whole[target] = True if found is None else np.asarray(found, bool).reshape(ch, cw)[source]
+        both = (masks["m1"], masks["m2"], area) if has_area else (masks["m1"], masks["m2"])
+        p, mask, told = _made(token, make)(tile, values["v1"], values["v2"], both)
+        mask = np.asarray(mask, bool) & np.logical_and.reduce(both)
         return pd.DataFrame([(tile["raster"], tile["index"], tile["y0"], tile["x0"], h, w, np.asarray(p, float).ravel(), mask.ravel(), {k: str(v) for k, v in told.items()})], columns=[f.split()[0] for f in PATCH.split(", ", 8)])
 
     span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor((F.col(high) - 1) / size)))
     wanted = windows.select("raster", "index", "y0", "y1", "x0", "x1").withColumn("chunk_row", span("y0", "y1")).withColumn("chunk_col", span("x0", "x1"))
-    return wanted.join(chunked, ["raster", "chunk_row", "chunk_col"]).groupBy("raster", "index").applyInPandas(run, PATCH)
+    return wanted.join(chunked, ["raster", "chunk_row", "chunk_col"], "left").groupBy("raster", "index").applyInPandas(run, PATCH)
 
 
 def mosaic(patches: DataFrame, size: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landfold.functions import grid
 from landfold.functions.geometry import cell_area_sql
 from landfold.operators import raster as P
+from landfold.operators import strips as S
 from landfold.operators.graph import numbered
 from landfold.plans.base import Registry
 from landfold.plans.growth import SIZE
@@ -155,6 +156,45 @@ def udf01(s):
     return found.select("index", "y0", "x0", F.col("metadata")["pixels"].cast("bigint").alias("pixels"), F.size(F.filter("mask", lambda m: m)).cast("bigint").alias("mask_pixels"), F.round(total, 4).alias("total"))
 
 
+#: Three bands of each date, the third missing where the column is a multiple of 7; an area of slanted polygons.
+_BANDS = {"r": "p", "g": "1 - p", "b": "CASE WHEN col % 7 <> 0 THEN p * p END"}
+_BAND_SQL = ", ".join(f"{e} AS {c}" for c, e in _BANDS.items())
+
+
+def _mean_gain() -> P.Predictor:
+    """The query's model of three bands: the mean gain, on inside the area and where both dates have all bands."""
+
+    def predictor(tile, t1, t2, masks):
+        p = np.clip(t2 - t1, 0, 1).mean(axis=0)
+        return p, p >= 0.05, {"bands": len(t1), "area": int(masks[2].sum())}
+
+    return predictor
+
+
+_AREA_SQL = "a AS (SELECT (row + col) % 64 < 40 AND row % 50 < 45 AS inside, row, col FROM (SELECT DISTINCT row, col FROM v_pixel))"
+
+
+@R.add("udf01_band_predictor", f"WITH {_WINDOWS}, {_AREA_SQL}, v AS (SELECT raster, row, col, {_BAND_SQL} FROM v_pixel), two AS (SELECT row, col, {', '.join(f'max(CASE WHEN raster = {r!r} THEN {c} END) AS {c}{k}' for k, r in ((1, 't1'), (2, 't2')) for c in _BANDS)} FROM v GROUP BY row, col), g AS (SELECT row, col, (greatest(0, least(1, r2 - r1)) + greatest(0, least(1, g2 - g1)) + greatest(0, least(1, coalesce(b2, 0) - coalesce(b1, 0)))) / 3 AS q, b1 IS NOT NULL AND b2 IS NOT NULL AS valid FROM two) SELECT index, '3' AS bands, count(*) FILTER (WHERE inside) AS area_pixels, count(*) FILTER (WHERE inside AND valid AND q >= 0.05) AS mask_pixels FROM w JOIN g ON row >= y0 AND row < y0 + 32 AND col >= x0 AND col < x0 + 32 JOIN a USING (row, col) GROUP BY index")
+def udf01_bands(s):
+    """Windows of three bands, with the missing ones masked, inside an area given as packed strips."""
+    px = s.v_pixel.select("raster", "row", "col", *[F.expr(e).alias(c) for c, e in _BANDS.items()])
+    places = s.v_pixel.select(F.col("col").alias("cx"), F.col("row").alias("cy")).distinct()
+    area = S.of_cells(places.where("(cy + cx) % 64 < 40 AND cy % 50 < 45"), [])
+    chunked = P.with_area(P.paired_chunks(px, bands=tuple(_BANDS)), area)
+    found = P.predict(windows(s), chunked, 32, _mean_gain)
+    return found.select("index", F.col("metadata")["bands"].alias("bands"), F.col("metadata")["area"].cast("bigint").alias("area_pixels"), F.size(F.filter("mask", lambda m: m)).cast("bigint").alias("mask_pixels"))
+
+
+@R.add("src07_band_chunks", f"SELECT raster, row // 32 AS chunk_row, col // 32 AS chunk_col, round(sum(r), 6) AS r, round(sum(g), 6) AS g, round(sum(b), 6) AS b, CASE WHEN count(*) FILTER (WHERE b IS NULL) > 0 THEN count(b) END AS valid FROM (SELECT raster, row, col, p AS r, 1 - p AS g, CASE WHEN col >= 32 OR col % 7 <> 0 THEN p * p END AS b FROM v_pixel) GROUP BY ALL")
+def src07_bands(s):
+    """Chunks of three bands with a packed mask of validity, which is NULL where all pixels are valid."""
+    third = F.expr("CASE WHEN col >= 32 OR col % 7 <> 0 THEN p * p END")
+    c = P.chunks(s.v_pixel.select("raster", "row", "col", F.col("p").alias("r"), (1 - F.col("p")).alias("g"), third.alias("b")), bands=("r", "g", "b"))
+    total = lambda k: F.round(F.aggregate(F.col("values")[k], F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0))), 6)
+    bits = F.aggregate("valid", F.lit(0).cast("bigint"), lambda t, x: t + F.bit_count(x).cast("bigint"))
+    return c.select("raster", "chunk_row", "chunk_col", total(0).alias("r"), total(1).alias("g"), total(2).alias("b"), bits.alias("valid"))
+
+
 def windows(s):
     height = s.v_pixel.agg((F.max("row") + 1).alias("height"), F.lit(WIDTH).cast("bigint").alias("width"))
     headers = height.withColumns({"raster": F.lit("t1-t2"), "size": F.lit(32).cast("bigint")})

@@ -285,6 +285,34 @@ def test_tiled_prediction_of_whole_windows(spark):
     assert sorted((r.tile_row, r.tile_col, r.pixels) for r in regions) == [(0, 0, 144), (0, 1, 96), (1, 0, 96), (1, 1, 64)]
 
 
+def flat(level):
+    def make():
+        return lambda tile, t1, t2, masks: (np.full(t1.shape[-2:], level), np.ones(t1.shape[-2:], bool), {})
+
+    return make
+
+
+def test_predictors_of_one_closure_differ(spark):
+    """Two models of the same factory, and a partial, in one session."""
+    from functools import partial
+
+    px = pixels(spark, np.ones((4, 4))).unionByName(pixels(spark, np.ones((4, 4)), "t2"))
+    windows = spark.createDataFrame([("t1-t2", 0, 0, 4, 0, 4)], "raster string, index bigint, y0 bigint, y1 bigint, x0 bigint, x1 bigint")
+    chunked = raster.paired_chunks(px, size=4)
+    assert [raster.predict(windows, chunked, 4, m).first().p[0] for m in (flat(0.1), flat(0.9), partial(flat(0.5)))] == [0.1, 0.9, 0.5]
+
+
+def test_windows_and_pixels_that_are_missing(spark):
+    """A window without a chunk comes out masked; gaps stay where they are."""
+    gaps = spark.createDataFrame([("t1", 0, 0, 1.0), ("t1", 0, 1, 2.0), ("t1", 1, 1, 3.0)], "raster string, row bigint, col bigint, p double")
+    assert sorted((r.row, r.col, r.p) for r in raster.pixels_of(raster.chunks(gaps, 4)).collect()) == [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)]
+    assert raster.chunks(gaps, 4).first()["values"] == [1.0, 2.0, None, 3.0]
+    both = gaps.unionByName(gaps.withColumn("raster", F.lit("t2")))
+    windows = spark.createDataFrame([("t1-t2", 0, 0, 2, 0, 2), ("t1-t2", 1, 50, 52, 50, 53)], "raster string, index bigint, y0 bigint, y1 bigint, x0 bigint, x1 bigint")
+    got = {r["index"]: (r.h, r.w, r.mask) for r in raster.predict(windows, raster.paired_chunks(both, size=4), 4, flat(0.9)).collect()}
+    assert got == {0: (2, 2, [True, True, False, True]), 1: (2, 3, [False] * 6)}
+
+
 def test_last_window_stays(spark):
     rows = [("r", 1, 0, 0, 1, 3, [1.0, 1.0, 1.0], [True] * 3, {}), ("r", 0, 0, 1, 1, 3, [0.0, 0.0, 0.0], [False] * 3, {})]
     got = raster.mosaic_pixels(raster.mosaic(spark.createDataFrame(rows, raster.PATCH), 2)).orderBy("col").collect()
