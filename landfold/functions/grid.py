@@ -106,6 +106,62 @@ def unproject_mercator(x, y) -> tuple[Column, Column]:
     return _c(x) / HALF_SPAN * 180, F.degrees(2 * F.atan(F.exp(_c(y) / HALF_SPAN * math.pi)) - math.pi / 2)
 
 
+#: The ellipsoid, the scale on a zone's central meridian, and the offsets of its coordinates.
+_A, _F, UTM_SCALE, UTM_EAST, UTM_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N, _E = _F / (2 - _F), math.sqrt(_F * (2 - _F))
+#: The rectifying radius, and the coefficients of the Krüger series to the fourth order in the third flattening: forward,
+#: inverse, and from the conformal latitude to the latitude. What is left out is less than a micrometre.
+UTM_RADIUS = UTM_SCALE * _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+UTM_FORWARD = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3 + 41 / 180 * _N**4, 13 / 48 * _N**2 - 3 / 5 * _N**3 + 557 / 1440 * _N**4, 61 / 240 * _N**3 - 103 / 140 * _N**4, 49561 / 161280 * _N**4)
+UTM_INVERSE = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 / 1440 * _N**4, 17 / 480 * _N**3 - 37 / 840 * _N**4, 4397 / 161280 * _N**4)
+UTM_LATITUDE = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3 + 116 / 45 * _N**4, 7 / 3 * _N**2 - 8 / 5 * _N**3 - 227 / 45 * _N**4, 56 / 15 * _N**3 - 136 / 35 * _N**4, 4279 / 630 * _N**4)
+
+
+def _series(factors: tuple, first, second, a: Column, b: Column) -> Column:
+    total = F.lit(0.0)
+    for k, f in enumerate(factors, 1):
+        total = total + f * first(2 * k * a) * second(2 * k * b)
+    return total
+
+
+def project_utm(lon, lat, epsg) -> tuple[Column, Column]:
+    """East and north in a zone (326zz or 327zz), in metres."""
+    epsg = _c(epsg)
+    zone, south = epsg % 100, F.floor(epsg / 100) == 327
+    away = F.radians(_c(lon) - (zone * 6 - 183))
+    sine = F.sin(F.radians(_c(lat)))
+    t = F.sinh(F.atanh(sine) - _E * F.atanh(_E * sine))
+    xi, eta = F.atan2(t, F.cos(away)), F.asinh(F.sin(away) / F.sqrt(t * t + F.cos(away) * F.cos(away)))
+    x = eta + _series(UTM_FORWARD, F.cos, F.sinh, xi, eta)
+    y = xi + _series(UTM_FORWARD, F.sin, F.cosh, xi, eta)
+    return UTM_EAST + UTM_RADIUS * x, UTM_RADIUS * y + F.when(south, UTM_NORTH).otherwise(0.0)
+
+
+def unproject_utm(x, y, epsg) -> tuple[Column, Column]:
+    epsg = _c(epsg)
+    zone, south = epsg % 100, F.floor(epsg / 100) == 327
+    eta = (_c(x) - UTM_EAST) / UTM_RADIUS
+    xi = (_c(y) - F.when(south, UTM_NORTH).otherwise(0.0)) / UTM_RADIUS
+    a, b = xi - _series(UTM_INVERSE, F.sin, F.cosh, xi, eta), eta - _series(UTM_INVERSE, F.cos, F.sinh, xi, eta)
+    conformal = F.asin(F.sin(a) / F.cosh(b))
+    lat = conformal
+    for k, f in enumerate(UTM_LATITUDE, 1):
+        lat = lat + f * F.sin(2 * k * conformal)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(lat)
+
+
+def reproject(x, y, source, target) -> tuple[Column, Column]:
+    """Between 4326 (degrees), 3857 and the UTM zones, given by number; NULL for any other system."""
+    source, target = _c(source), _c(target)
+    zone = lambda c: F.floor(c / 100).isin(326, 327) & (c % 100).between(1, 60)
+    pick = lambda of, ways: F.when(of == 4326, ways[0]).when(of == 3857, ways[1]).when(zone(of), ways[2])
+    from_mercator, from_utm = unproject_mercator(x, y), unproject_utm(x, y, source)
+    lon, lat = (pick(source, (_c(v).cast("double"), from_mercator[k], from_utm[k])) for k, v in enumerate((x, y)))
+    to_mercator, to_utm = project_mercator(lon, lat), project_utm(lon, lat, target)
+    same = source == target
+    return tuple(F.when(same, _c(v).cast("double")).otherwise(pick(target, (g, to_mercator[k], to_utm[k]))) for k, (v, g) in enumerate(((x, lon), (y, lat))))
+
+
 def zoom_for(metres_per_pixel, low: int = 0, high: int = 22) -> Column:
     """The zoom whose pixels come nearest, within limits."""
     return F.greatest(F.lit(low), F.least(F.lit(high), F.round(F.log2(F.lit(2 * HALF_SPAN / TILE_PIXELS) / _c(metres_per_pixel)))))

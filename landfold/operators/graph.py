@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -236,6 +237,59 @@ def connector(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"x1": x1, "x2": x2, "y1": y1, "y2": y2})
 
 
+def _nearest(p: str, a: str, b: str) -> Column:
+    """Of a segment from a to b the point nearest to p, with the squared distance: (d, x, y). The names are prefixes."""
+    px, py, ax, ay, bx, by = (F.col(f"{n}{v}") for n in (p, a, b) for v in "xy")
+    dx, dy = bx - ax, by - ay
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / square))).otherwise(0.0)
+    x, y = ax + t * dx, ay + t * dy
+    return F.struct(((px - x) * (px - x) + (py - y) * (py - y)).alias("d"), x.alias("x"), y.alias("y"))
+
+
+def ring_pairs(features: DataFrame, node: str, keys: list[str], gap: float, rings: str = "rings") -> DataFrame:
+    """Pairs (keys, a, b) of polygons with holes whose distance is at most the gap, with the distance and its connector, from
+    (x1, y1) on the first to (x2, y2) on the second: 0 where they overlap, as when one lies within the other.
+
+    Edges in pieces are dealt out to the buckets that they touch when grown by half the gap, and meet there; the least distance
+    of a pair's edges is a grouping. Only a pair whose boxes overlap can be one within the other: there a corner is tested."""
+    size, half = max(1.0, gap * 5), gap / 2
+    ring = F.col("_r")
+    ends = lambda k: F.struct(*[F.get(ring, j)[v].cast("double").alias(f"{v}{e}") for e, j in ((1, k), (2, (k + 1) % F.size(ring))) for v in "xy"])
+    edges = features.select(*keys, node, F.explode(rings).alias("_r")).where(F.size("_r") > 0).select(*keys, node, F.explode(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), ends)).alias("e"))
+    edges = split_segments(edges.select(*keys, node, "e.*"), size)
+    span = lambda v: F.explode(F.sequence(F.floor((F.least(f"{v}1", f"{v}2") - half) / size), F.floor((F.greatest(f"{v}1", f"{v}2") + half) / size)))
+    dealt = edges.withColumn("_bx", span("x")).withColumn("_by", span("y"))
+    side = lambda n, to: dealt.select(*keys, "_bx", "_by", F.col(node).alias(n), *[F.col(f"{v}{e}").alias(f"{to[e - 1]}{v}") for e in (1, 2) for v in "xy"])
+    met = side("a", "pq").join(side("b", "rs"), [*keys, "_bx", "_by"]).where("a < b")
+    turn = lambda i, j, k: F.signum((F.col(f"{j}x") - F.col(f"{i}x")) * (F.col(f"{k}y") - F.col(f"{i}y")) - (F.col(f"{j}y") - F.col(f"{i}y")) * (F.col(f"{k}x") - F.col(f"{i}x")))
+    crosses = (turn("p", "q", "r") * turn("p", "q", "s") < 0) & (turn("r", "s", "p") * turn("r", "s", "q") < 0)
+    link = lambda d, first, second: F.struct(d.alias("d"), *[first[v].alias(f"{v}1") for v in "xy"], *[second[v].alias(f"{v}2") for v in "xy"])
+    point = lambda n: {v: F.col(f"{n}{v}") for v in "xy"}
+    ways = []
+    for own, (a, b) in (("p", "rs"), ("q", "rs"), ("r", "pq"), ("s", "pq")):
+        near = _nearest(own, a, b)
+        first, second = (point(own), near) if own in "pq" else (near, point(own))
+        ways.append(link(near["d"], first, second))
+    # Where edges cross, the point where they do: along the first one by the areas on both sides of it.
+    area = lambda i, j, k: (F.col(f"{j}x") - F.col(f"{i}x")) * (F.col(f"{k}y") - F.col(f"{i}y")) - (F.col(f"{j}y") - F.col(f"{i}y")) * (F.col(f"{k}x") - F.col(f"{i}x"))
+    t = area("r", "s", "p") / (area("r", "s", "p") - area("r", "s", "q"))
+    at = {v: F.col(f"p{v}") + t * (F.col(f"q{v}") - F.col(f"p{v}")) for v in "xy"}
+    least = met.select(*keys, "a", "b", F.when(crosses, link(F.lit(0.0), at, at)).otherwise(F.least(*ways)).alias("l")).groupBy(*keys, "a", "b").agg(F.min("l").alias("l"))
+    apart = least.where(F.col("l.d") <= gap * gap).select(*keys, "a", "b", "l.*")
+    flat = F.flatten(rings)
+    boxes = features.withColumns({**{f"min{v}": F.array_min(F.transform(flat, itemgetter(v))) for v in "xy"}, **{f"max{v}": F.array_max(F.transform(flat, itemgetter(v))) for v in "xy"}})
+    over = close_pairs(boxes.where("minx IS NOT NULL"), node, keys, gap).where("minx <= o_maxx AND o_minx <= maxx AND miny <= o_maxy AND o_miny <= maxy").select(*keys, "a", "b")
+    ringed = lambda n: features.select(F.col(node).alias(n), F.col(rings).alias(f"_{n}"))
+    both = over.join(ringed("a"), "a").join(ringed("b"), "b")
+    corner = lambda n: F.flatten(f"_{n}")[0]
+    odd = lambda p, of: F.aggregate(F.col(of), F.lit(0), lambda t, r: t + F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda k: F.struct(r[k].alias("a"), r[(k + 1) % F.size(r)].alias("b"))), lambda e: ((e.a.y <= p.y) != (e.b.y <= p.y)) & (e.a.x + (p.y - e.a.y) * (e.b.x - e.a.x) / (e.b.y - e.a.y) <= p.x)))) % 2 == 1
+    within = both.select(*keys, "a", "b", F.when(odd(corner("a"), "_b"), corner("a")).when(odd(corner("b"), "_a"), corner("b")).alias("_p")).where("_p IS NOT NULL")
+    within = within.select(*keys, "a", "b", F.lit(0.0).alias("d"), *[F.col(f"_p.{v}").cast("double").alias(f"{v}{e}") for e in (1, 2) for v in "xy"])
+    found = apart.unionByName(within).groupBy(*keys, "a", "b").agg(F.min(F.struct("d", "x1", "y1", "x2", "y2")).alias("l"))
+    return found.select(*keys, "a", "b", F.sqrt("l.d").alias("distance"), "l.x1", "l.y1", "l.x2", "l.y2")
+
+
 def split_segments(segments: DataFrame, size: float) -> DataFrame:
     """Segments (x1, y1, x2, y2) in pieces that are at most `size` long on either axis."""
     long = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from landfold.functions import grid as G
@@ -113,6 +115,25 @@ def fn13(s):
     return p.select("id", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"), rounded(lon).alias("lon"), rounded(lat).alias("lat"))
 
 
+def _utm_sql() -> str:
+    """East and north by the same series, about the point's own zone."""
+    sums = lambda first, second: " + ".join(f"{f!r}::DOUBLE * {first}({2 * k} * xi) * {second}({2 * k} * eta)" for k, f in enumerate(G.UTM_FORWARD, 1))
+    e = math.sqrt(1 / 298.257223563 * (2 - 1 / 298.257223563))
+    return f"""z AS (SELECT id, lon, lat, least(floor((lon + 180) / 6) + 1, 60) AS zone, sin(radians(lat)) AS s FROM {LONLAT}), t AS (SELECT *, radians(lon - (zone * 6 - 183)) AS away, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS t FROM z),
+        p AS (SELECT *, atan2(t, cos(away)) AS xi, asinh(sin(away) / sqrt(t * t + cos(away) * cos(away))) AS eta FROM t)
+        SELECT id, CAST(CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS INT) AS epsg, round(500000 + {G.UTM_RADIUS!r}::DOUBLE * (eta + {sums('cos', 'sinh')}), 3) AS x, round({G.UTM_RADIUS!r}::DOUBLE * (xi + {sums('sin', 'cosh')}) + CASE WHEN lat >= 0 THEN 0 ELSE 10000000 END, 3) AS y, round(lon, 7) AS lon, round(lat, 7) AS lat FROM p"""
+
+
+@R.add("fn13_utm", f"WITH {_utm_sql()}")
+def fn13_utm(s):
+    """Degrees to each point's UTM zone, and back."""
+    p = points(s).where("abs(lat) < 89").withColumn("epsg", G.utm_epsg("lon", "lat"))
+    x, y = G.reproject("lon", "lat", F.lit(4326), "epsg")
+    p = p.select("id", "epsg", x.alias("x"), y.alias("y"))
+    lon, lat = G.reproject("x", "y", "epsg", F.lit(4326))
+    return p.select("id", "epsg", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"), rounded(lon, 7).alias("lon"), rounded(lat, 7).alias("lat"))
+
+
 @R.add("fn14_zoom_range", f"SELECT event_id, CAST(greatest(0, least(22, round(log2({2 * G.HALF_SPAN / 256} / (value + 0.013))))) AS INT) AS zoom FROM v_tile_check")
 def fn14(s):
     return s.v_tile_check.select("event_id", G.zoom_for(F.col("value") + 0.013).cast("int").alias("zoom"))

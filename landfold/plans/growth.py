@@ -313,3 +313,39 @@ def ras10_polygons(s):
     """Polygons with holes to a mask, a pixel being on where its centre is inside."""
     cells = S.cells_of(S.union(S.of_features(Polygons(s.spark, s.sf_dir).v_feature, ["project"], SIZE), ["project"]), ["project"])
     return cells.select("project", F.col("cx").alias("col"), F.col("cy").alias("row"))
+
+
+_EDGES = f"""corners AS (SELECT *, {_LISTED} FROM v_feature), edge AS (SELECT project, feature_id, xs[k + 1] AS px, ys[k + 1] AS py, xs[(k % 4 + 1) % 4 + k // 4 * 4 + 1] AS qx, ys[(k % 4 + 1) % 4 + k // 4 * 4 + 1] AS qy FROM (SELECT *, unnest(range(CASE WHEN feature_id % 3 = 0 THEN 8 ELSE 4 END)) AS k FROM corners)),
+    box AS (SELECT feature_id, project, min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM edge GROUP BY ALL), near AS (SELECT a.project, a.feature_id AS a, b.feature_id AS b FROM box a JOIN box b ON a.project = b.project AND a.feature_id < b.feature_id AND a.x0 - 40 <= b.x1 AND b.x0 - 40 <= a.x1 AND a.y0 - 40 <= b.y1 AND b.y0 - 40 <= a.y1),
+    two AS (SELECT n.a, n.b, e.px AS ax, e.py AS ay, e.qx AS ox, e.qy AS oy, f.px AS cx, f.py AS cy, f.qx AS dx, f.qy AS dy FROM near n JOIN edge e ON e.feature_id = n.a JOIN edge f ON f.feature_id = n.b)"""
+
+
+def _to_segment(p, a, b):
+    along = f"(({p}x - {a}x) * ({b}x - {a}x) + ({p}y - {a}y) * ({b}y - {a}y)) / (pow({b}x - {a}x, 2) + pow({b}y - {a}y, 2))"
+    t = f"greatest(0, least(1, {along}))"
+    return f"(pow({p}x - {a}x - {t} * ({b}x - {a}x), 2) + pow({p}y - {a}y - {t} * ({b}y - {a}y), 2))"
+
+
+def _turn(a, b, c):
+    return f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+
+
+#: Distance by all pairs of edges; crossing edges and a first corner inside the other polygon make it 0.
+_DISTANCES = f"""{_EDGES}, apart AS (SELECT a, b, min(CASE WHEN {_turn('a', 'o', 'c')} * {_turn('a', 'o', 'd')} < 0 AND {_turn('c', 'd', 'a')} * {_turn('c', 'd', 'o')} < 0 THEN 0 ELSE least({_to_segment('a', 'c', 'd')}, {_to_segment('o', 'c', 'd')}, {_to_segment('c', 'a', 'o')}, {_to_segment('d', 'a', 'o')}) END) AS d FROM two GROUP BY a, b),
+    within AS (SELECT n.a, n.b FROM (SELECT a, b, a AS inner_id, b AS outer_id FROM near UNION ALL SELECT a, b, b, a FROM near) n JOIN corners c ON c.feature_id = n.inner_id JOIN edge e ON e.feature_id = n.outer_id WHERE (e.py <= c.ys[1]) <> (e.qy <= c.ys[1]) AND e.px + (c.ys[1] - e.py) * (e.qx - e.px) / (e.qy - e.py) <= c.xs[1] GROUP BY n.a, n.b, n.inner_id HAVING count(*) % 2 = 1),
+    pair AS (SELECT a, b, sqrt(CASE WHEN (a, b) IN (SELECT (a, b) FROM within) THEN 0 ELSE d END) AS distance FROM apart), q AS (SELECT a, b, distance FROM pair WHERE distance <= 40)"""
+
+
+@R.add("join03_polygon_distance", f"WITH {_DISTANCES} SELECT a, b, round(distance, 6) AS distance, round(distance, 6) AS length FROM q")
+def join03_polygons(s):
+    """Pairs of polygons within the gap, with their distance and the length of the connector."""
+    found = G.ring_pairs(Polygons(s.spark, s.sf_dir).v_feature, "feature_id", ["project"], GAP)
+    length = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+    return found.select("a", "b", F.round("distance", 6).alias("distance"), F.round(length, 6).alias("length"))
+
+
+@R.add("gr01_polygon_linkage", f"WITH RECURSIVE {_DISTANCES}, n AS (SELECT * FROM v_feature), {_WALK} SELECT feature_id, root FROM cl")
+def gr01_polygons(s):
+    """Clusters of polygons within the gap of each other."""
+    nodes = Polygons(s.spark, s.sf_dir).v_feature
+    return G.with_roots(nodes.select("feature_id"), "feature_id", G.ring_pairs(nodes, "feature_id", ["project"], GAP).select("a", "b"))
