@@ -124,42 +124,58 @@ def _series(factors: tuple, first, second, a: Column, b: Column) -> Column:
     return total
 
 
+def _let(values: dict[str, Column], then) -> Column:
+    """What an expression makes of values that are worked out once, however often it names them."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), 0)
+
+
 def project_utm(lon, lat, epsg) -> tuple[Column, Column]:
     """East and north in a zone (326zz or 327zz), in metres."""
-    epsg = _c(epsg)
-    zone, south = epsg % 100, F.floor(epsg / 100) == 327
-    away = F.radians(_c(lon) - (zone * 6 - 183))
-    sine = F.sin(F.radians(_c(lat)))
-    t = F.sinh(F.atanh(sine) - _E * F.atanh(_E * sine))
-    xi, eta = F.atan2(t, F.cos(away)), F.asinh(F.sin(away) / F.sqrt(t * t + F.cos(away) * F.cos(away)))
-    x = eta + _series(UTM_FORWARD, F.cos, F.sinh, xi, eta)
-    y = xi + _series(UTM_FORWARD, F.sin, F.cosh, xi, eta)
-    return UTM_EAST + UTM_RADIUS * x, UTM_RADIUS * y + F.when(south, UTM_NORTH).otherwise(0.0)
+
+    def place(v: Column) -> Column:
+        spread = lambda w: _let({"xi": F.atan2(w.t, F.cos(w.away)), "eta": F.asinh(F.sin(w.away) / F.sqrt(w.t * w.t + F.cos(w.away) * F.cos(w.away)))}, lambda u: F.struct(
+            (UTM_EAST + UTM_RADIUS * (u.eta + _series(UTM_FORWARD, F.cos, F.sinh, u.xi, u.eta))).alias("x"),
+            (UTM_RADIUS * (u.xi + _series(UTM_FORWARD, F.sin, F.cosh, u.xi, u.eta)) + w.south).alias("y")))
+        sine = lambda w: {"t": F.sinh(F.atanh(w.sine) - _E * F.atanh(_E * w.sine)), "away": w.away, "south": w.south}
+        first = {"sine": F.sin(F.radians(v.lat)), "away": F.radians(v.lon - (v.epsg % 100 * 6 - 183)), "south": F.when(F.floor(v.epsg / 100) == 327, UTM_NORTH).otherwise(0.0)}
+        return _let(first, lambda w: _let(sine(w), spread))
+
+    found = _let({"lon": _c(lon), "lat": _c(lat), "epsg": _c(epsg)}, place)
+    return found.x, found.y
 
 
 def unproject_utm(x, y, epsg) -> tuple[Column, Column]:
-    epsg = _c(epsg)
-    zone, south = epsg % 100, F.floor(epsg / 100) == 327
-    eta = (_c(x) - UTM_EAST) / UTM_RADIUS
-    xi = (_c(y) - F.when(south, UTM_NORTH).otherwise(0.0)) / UTM_RADIUS
-    a, b = xi - _series(UTM_INVERSE, F.sin, F.cosh, xi, eta), eta - _series(UTM_INVERSE, F.cos, F.sinh, xi, eta)
-    conformal = F.asin(F.sin(a) / F.cosh(b))
-    lat = conformal
-    for k, f in enumerate(UTM_LATITUDE, 1):
-        lat = lat + f * F.sin(2 * k * conformal)
-    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a))), F.degrees(lat)
+    def place(v: Column) -> Column:
+        scaled = {"eta": (v.x - UTM_EAST) / UTM_RADIUS, "xi": (v.y - F.when(F.floor(v.epsg / 100) == 327, UTM_NORTH).otherwise(0.0)) / UTM_RADIUS}
+        true = lambda w: {"a": w.xi - _series(UTM_INVERSE, F.sin, F.cosh, w.xi, w.eta), "b": w.eta - _series(UTM_INVERSE, F.cos, F.sinh, w.xi, w.eta)}
+
+        def degrees(w: Column) -> Column:
+            conformal = {"c": F.asin(F.sin(w.a) / F.cosh(w.b)), "lon": v.epsg % 100 * 6 - 183 + F.degrees(F.atan2(F.sinh(w.b), F.cos(w.a)))}
+            return _let(conformal, lambda u: F.struct(u.lon.alias("x"), F.degrees(u.c + _series(UTM_LATITUDE, F.sin, lambda _: F.lit(1.0), u.c, u.c)).alias("y")))
+
+        return _let(scaled, lambda w: _let(true(w), degrees))
+
+    found = _let({"x": _c(x), "y": _c(y), "epsg": _c(epsg)}, place)
+    return found.x, found.y
 
 
 def reproject(x, y, source, target) -> tuple[Column, Column]:
     """Between 4326 (degrees), 3857 and the UTM zones, given by number; NULL for any other system."""
-    source, target = _c(source), _c(target)
     zone = lambda c: F.floor(c / 100).isin(326, 327) & (c % 100).between(1, 60)
     pick = lambda of, ways: F.when(of == 4326, ways[0]).when(of == 3857, ways[1]).when(zone(of), ways[2])
-    from_mercator, from_utm = unproject_mercator(x, y), unproject_utm(x, y, source)
-    lon, lat = (pick(source, (_c(v).cast("double"), from_mercator[k], from_utm[k])) for k, v in enumerate((x, y)))
-    to_mercator, to_utm = project_mercator(lon, lat), project_utm(lon, lat, target)
-    same = source == target
-    return tuple(F.when(same, _c(v).cast("double")).otherwise(pick(target, (g, to_mercator[k], to_utm[k]))) for k, (v, g) in enumerate(((x, lon), (y, lat))))
+
+    def place(v: Column) -> Column:
+        from_mercator, from_utm = unproject_mercator(v.x, v.y), unproject_utm(v.x, v.y, v.source)
+        degrees = {n: pick(v.source, (o, from_mercator[k], from_utm[k])) for k, (n, o) in enumerate((("lon", v.x), ("lat", v.y)))}
+
+        def onward(w: Column) -> Column:
+            to_mercator, to_utm = project_mercator(w.lon, w.lat), project_utm(w.lon, w.lat, v.target)
+            return F.struct(*[F.when(v.source == v.target, own).otherwise(pick(v.target, (g, to_mercator[k], to_utm[k]))).alias(n) for k, (n, own, g) in enumerate((("x", v.x, w.lon), ("y", v.y, w.lat)))])
+
+        return _let(degrees, onward)
+
+    found = _let({"x": _c(x).cast("double"), "y": _c(y).cast("double"), "source": _c(source), "target": _c(target)}, place)
+    return found.x, found.y
 
 
 def zoom_for(metres_per_pixel, low: int = 0, high: int = 22) -> Column:

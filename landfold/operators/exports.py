@@ -67,14 +67,14 @@ HASH_KEYS = ("pair_request_hash", "pairRequestHash")
 
 
 def json_references(rows: DataFrame, doc: str, keys: list[str], depth: int) -> DataFrame:
-    """References in nested documents: (keys, reason, field_path, request_hash). A known key of a hash or of a path gives its own
-    name as the reason; any other text with /requests/ in it counts as text. The hash is that of a hash key, or what follows
-    /requests/ in a path."""
+    """References in nested documents: (keys, reason, field_path, request_hash), a row for each. A known key of a hash or of a path
+    gives its own name as the reason; any other text with /requests/ in it counts as text. The hash is that of a hash key, or
+    what follows /requests/ in a path: each such hash of a text, once; what lies below `depth` is one text."""
     leaves = walk_json(rows, doc, keys, depth).where("value <> ''")
     key = F.regexp_extract("field_path", r"([A-Za-z_]+)$", 1)
-    in_path = F.nullif(F.regexp_extract("value", r"/requests/([^/]+)", 1), F.lit(""))
+    in_path = F.array_distinct(F.regexp_extract_all("value", F.lit(r"/requests/([^/\"\\\s]+)"), F.lit(1)))
     reason = F.when(key.isin(*HASH_KEYS, *PATH_KEYS), key).when(F.col("value").contains("/requests/"), "text")
-    found = leaves.withColumns({"reason": reason, "request_hash": F.when(key.isin(*HASH_KEYS), F.col("value")).otherwise(in_path)})
+    found = leaves.withColumns({"reason": reason, "request_hash": F.explode_outer(F.when(key.isin(*HASH_KEYS), F.array("value")).otherwise(in_path))})
     return found.where("reason IS NOT NULL").select(*keys, "reason", "field_path", "request_hash")
 
 

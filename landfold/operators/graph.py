@@ -22,15 +22,16 @@ ONE_TASK_EDGES = 50_000
 ONE_TASK_NUMBERS, CONTRACTED = 1_000_000, 1_000_000
 
 
-def components(edges: DataFrame, one_task: int = 0) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 0, contract: bool = False) -> DataFrame:
     """Components of undirected edges (a, b) of any type with an order: rows (node, root), root the least node of each; nodes
     without edges don't appear. Large-star and small-star steps take turns until every node hangs from one root; each round is
     a written table. A node with very many edges is only ever reduced by a combined minimum, or split by the adaptive skew
     join. Up to `one_task` edges are joined up in one task instead, with the same result.
 
-    Edges between whole numbers are contracted first: each task replaces those that it has by a spanning forest of stars."""
+    With `contract`, edges between whole numbers are thinned out first: each task replaces those that it has by a spanning
+    forest of stars."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    if now.schema["a"].dataType.simpleString() == "bigint":
+    if contract:
         now = now.mapInArrow(_stars, "a bigint, b bigint")
     now = staged(now.distinct(), "edges")
     if one_task and now.limit(one_task + 1).count() <= one_task:
@@ -113,7 +114,8 @@ def _all_stars(edges: DataFrame) -> bool:
 
 def with_roots(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """nodes with `root`, a node without edges being its own."""
-    roots = components(edges, ONE_TASK_NUMBERS).withColumnRenamed("node", node)
+    whole = edges.schema["a"].dataType.simpleString() == "bigint"
+    roots = components(edges, ONE_TASK_NUMBERS if whole else ONE_TASK_EDGES, contract=whole).withColumnRenamed("node", node)
     return nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
 
 

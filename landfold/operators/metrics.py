@@ -128,13 +128,14 @@ def memory_growth(samples: DataFrame, group: str, order: str, value: str) -> Dat
 
 def metric_lines(merged: DataFrame) -> DataFrame:
     """merged_metrics() as lines of text: (section, name, label, part, line). Histograms give two, a count and a sum; values are
-    written as whole numbers, and backslashes, quotes and line ends of labels are escaped."""
+    written with up to six decimals, and backslashes, quotes and line ends of labels are escaped."""
+    text = lambda v: F.regexp_replace(F.regexp_replace(F.format_string("%.6f", v.cast("double")), r"\.?0+$", ""), "^-0$", "0")
     section = F.when(F.col("kind") == "counter", 1).when(F.col("kind") == "gauge", 2).otherwise(3)
-    kinds = F.when(F.col("kind") == "histogram", F.array(F.struct(F.lit(1).alias("part"), F.lit("_count").alias("end"), F.col("observations").alias("v")), F.struct(F.lit(2).alias("part"), F.lit("_sum").alias("end"), F.floor("value").alias("v")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("part"), F.lit("").alias("end"), F.floor("value").alias("v"))))
+    kinds = F.when(F.col("kind") == "histogram", F.array(F.struct(F.lit(1).alias("part"), F.lit("_count").alias("end"), F.col("observations").cast("string").alias("v")), F.struct(F.lit(2).alias("part"), F.lit("_sum").alias("end"), text(F.col("value")).alias("v")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("part"), F.lit("").alias("end"), text(F.col("value")).alias("v"))))
     escaped = F.replace(F.replace(F.replace(F.col("label").cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     rows = merged.select(section.alias("section"), "name", "label", F.explode(kinds).alias("k")).select("section", "name", "label", "k.*")
-    return rows.select("section", "name", "label", "part", F.concat("name", "end", F.lit('{label="'), escaped, F.lit('"} '), F.col("v").cast("string")).alias("line"))
+    return rows.select("section", "name", "label", "part", F.concat("name", "end", F.lit('{label="'), escaped, F.lit('"} '), "v").alias("line"))
 
 
 def summary_metrics(summary: DataFrame) -> DataFrame:

@@ -13,6 +13,22 @@ def with_previous(rows: DataFrame, group: str, order: list[str], columns: dict[s
     return rows.withColumns({new: F.lag(old).over(w) for old, new in columns.items()})
 
 
+def selected_releases(releases: DataFrame, requests: DataFrame, group: str) -> DataFrame:
+    """releases: (group, release, release_date); requests: (group, selector). Selectors are `latest`, `latest_minus_N`, a
+    release's identifier, or its date as yyyy-mm-dd, of which the first in time is taken. Returns requests with release,
+    release_date and reason, which says why there is none: older_than_first or unknown_selector."""
+    newest = F.row_number().over(W.partitionBy(group).orderBy(F.desc("release_date"), F.desc("release")))
+    ranked = releases.select(group, "release", "release_date").withColumn("_k", newest)
+    text = F.trim("selector")
+    back = F.when(text == "latest", F.lit(0)).otherwise(F.regexp_extract(text, r"^latest_minus_([0-9]{1,9})$", 1).try_cast("int"))
+    asked = requests.distinct().withColumns({"_back": back, "_text": text})
+    by_place = asked.where("_back IS NOT NULL").withColumn("_k", F.col("_back") + 1).join(ranked, [group, "_k"], "left").select(group, "selector", "release", "release_date", F.when(F.col("release").isNull(), "older_than_first").alias("reason"))
+    names = ranked.select(group, F.explode(F.array_distinct(F.array(F.col("release").cast("string"), F.col("release_date").cast("string")))).alias("_text"), "release", "release_date", "_k")
+    first = names.groupBy(group, "_text").agg(F.max_by(F.struct("release", "release_date"), "_k").alias("r"))
+    by_name = asked.where("_back IS NULL").join(first, [group, "_text"], "left").select(group, "selector", "r.release", "r.release_date", F.when(F.col("r").isNull(), "unknown_selector").alias("reason"))
+    return by_place.unionByName(by_name)
+
+
 def stable_id(group: list[str], year: Column, layer: str, order: list[str]) -> Column:
     """yyyy-layer-000001, counted by group, year and layer."""
     n = F.row_number().over(W.partitionBy(*group, year, layer).orderBy(*order))

@@ -130,6 +130,19 @@ def top04(s):
     return every.join(ranked, "project", "left").groupBy("project").agg(F.max(F.when(F.col("k") == 1, F.col("release"))).alias("latest"), F.max(F.when(F.col("k") == 3, F.col("release"))).alias("latest_minus_2"))
 
 
+@R.add("top04_all_selectors", """WITH m AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY release_date DESC, release DESC) AS k FROM v_milestone),
+    r AS (SELECT DISTINCT project, unnest(['latest', ' latest_minus_1', 'latest_minus_9', least_id, day, 'newest']) AS selector FROM (SELECT project, min(release)::VARCHAR AS least_id, max(release_date)::VARCHAR AS day FROM v_milestone GROUP BY project)),
+    x AS (SELECT r.project, r.selector, m.release, m.release_date, row_number() OVER (PARTITION BY r.project, r.selector ORDER BY m.k DESC) AS n FROM r LEFT JOIN m ON m.project = r.project AND CASE WHEN r.selector = 'latest' THEN m.k = 1 WHEN r.selector LIKE '%latest_minus%' THEN m.k = right(r.selector, 1)::INT + 1 ELSE m.release::VARCHAR = r.selector OR m.release_date::VARCHAR = r.selector END)
+    SELECT project, selector, release, CASE WHEN release IS NULL THEN CASE WHEN selector LIKE '%minus%' THEN 'older_than_first' ELSE 'unknown_selector' END END AS reason FROM x WHERE n = 1""")
+def top04_all(s):
+    """Every kind of selector for every project: by place, identifier and date, with ones that find nothing."""
+    m = s.v_milestone.select("project", "release", "release_date")
+    own = m.groupBy("project").agg(F.min("release").cast("string").alias("i"), F.max("release_date").cast("string").alias("d"))
+    fixed = [F.lit(x) for x in ("latest", " latest_minus_1", "latest_minus_9", "newest")]
+    asked = own.select("project", F.explode(F.array(*fixed, "i", "d")).alias("selector"))
+    return T.selected_releases(m, asked, "project").drop("release_date")
+
+
 @R.add("top05_export_order", "SELECT feature_id, row_number() OVER (PARTITION BY project ORDER BY coalesce(CASE WHEN feature_id % 9 > 0 THEN strftime(release_date, '%Y-%m-%d') END, '9999-99-99'), CASE layer WHEN 'additions' THEN 1 WHEN 'effective' THEN 2 ELSE 3 END, layer, feature_id) AS place FROM v_feature")
 def top05(s):
     """By date, empty last; then by the layers' own order."""

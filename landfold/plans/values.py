@@ -222,14 +222,15 @@ def src12(s):
     return leaves.groupBy("field_path").agg(F.count("*").alias("n"), F.count_distinct("value").alias("d"))
 
 
-@R.add("src13_reference_extraction", "WITH a AS (SELECT artifact_id, path, sha FROM v_artifact) SELECT artifact_id, 'pair_request_hash' AS reason, '$.pair_request_hash' AS field_path, substr(sha, 1, 24) AS request_hash FROM a UNION ALL SELECT artifact_id, 'cog_path', '$.imagery[0].cog_path', NULL FROM a WHERE artifact_id % 3 = 0 UNION ALL SELECT artifact_id, 'path', '$.imagery[0].path', substr(sha, 1, 24) FROM a WHERE artifact_id % 3 <> 0 UNION ALL SELECT artifact_id, 'text', '$.notes.free', substr(sha, 1, 24) FROM a WHERE artifact_id % 4 = 0")
+@R.add("src13_reference_extraction", "WITH a AS (SELECT artifact_id, path, sha FROM v_artifact) SELECT artifact_id, 'pair_request_hash' AS reason, '$.pair_request_hash' AS field_path, substr(sha, 1, 24) AS request_hash FROM a UNION ALL SELECT artifact_id, 'cog_path', '$.imagery[0].cog_path', NULL FROM a WHERE artifact_id % 3 = 0 UNION ALL SELECT artifact_id, 'path', '$.imagery[0].path', substr(sha, 1, 24) FROM a WHERE artifact_id % 3 <> 0 UNION ALL SELECT artifact_id, 'text', '$.notes.free', substr(sha, 1, 24) FROM a WHERE artifact_id % 4 = 0 UNION ALL SELECT artifact_id, 'text', '$.notes.free', substr(sha, 25, 24) FROM a WHERE artifact_id % 4 = 0 AND substr(sha, 25, 24) <> substr(sha, 1, 24)")
 def src13(s):
     """Nested metadata: values of keys that are known to hold paths or hashes, and any other text with a request's path; each
     with its place, why it counts, and the request's hash where it tells one."""
     k, sha = F.col("artifact_id"), F.substring("sha", 1, 24)
     path = F.concat(F.lit("/cache/requests/"), sha, F.lit("/a.tif"))
     item = F.when(k % 3 == 0, F.struct(F.concat(F.lit("/store/"), "path").alias("cog_path"), F.lit(None).cast("string").alias("path"))).otherwise(F.struct(F.lit(None).cast("string").alias("cog_path"), path.alias("path")))
-    note = F.when(k % 4 == 0, F.concat(F.lit("see "), path)).otherwise("nothing")
+    other = F.concat(F.lit("/old/requests/"), F.substring("sha", 25, 24), F.lit("/b.tif"))
+    note = F.when(k % 4 == 0, F.concat(F.lit("see "), path, F.lit(" and "), other, F.lit(" or "), path)).otherwise("nothing")
     doc = F.to_json(F.struct(sha.alias("pair_request_hash"), F.array(item).alias("imagery"), F.struct(note.alias("free")).alias("notes")))
     return X.json_references(s.v_artifact.select("artifact_id", doc.alias("doc")), "doc", ["artifact_id"], depth=4)
 
@@ -364,11 +365,11 @@ def snk08_blocks(s):
     return s.v_feature.where("layer = 'blocks'").select("project", "release", n.alias("block_no"), F.expr("(maxx - minx) * (maxy - miny)").alias("area_m2"), degrees("minx", "maxx", PLANE_LON).alias("lon"), degrees("miny", "maxy", PLANE_LAT).alias("lat"), F.round("p", 4).alias("confidence"))
 
 
-@R.add("snk13_metric_text", r"""WITH e AS (SELECT kind, name, 'a"' || label || '\' AS label, value, seq FROM v_metric_event), m AS (SELECT kind, name, label, count(*) AS n, sum(value) AS s, arg_max(value, seq) AS v FROM e GROUP BY ALL), x AS (SELECT 1 AS r, name AS shown, name, label, CAST(floor(s) AS BIGINT) AS whole FROM m WHERE kind = 'counter' UNION ALL SELECT 2, name, name, label, CAST(floor(v) AS BIGINT) FROM m WHERE kind = 'gauge' UNION ALL SELECT 3, name || '_count', name, label, n FROM m WHERE kind = 'histogram' UNION ALL SELECT 4, name || '_sum', name, label, CAST(floor(s) AS BIGINT) FROM m WHERE kind = 'histogram')
-    SELECT row_number() OVER (ORDER BY CASE WHEN r < 3 THEN r ELSE 3 END, name, label, r) AS place, shown || '{label="' || replace(replace(label, '\', '\\'), '"', '\"') || '"} ' || whole AS line FROM x""")
+@R.add("snk13_metric_text", r"""WITH e AS (SELECT kind, name, 'a"' || label || '\' AS label, value, seq FROM v_metric_event), m AS (SELECT kind, name, label, count(*) AS n, sum(value) AS s, arg_max(value, seq) AS v FROM e GROUP BY ALL), x AS (SELECT 1 AS r, name AS shown, name, label, {s} AS whole FROM m WHERE kind = 'counter' UNION ALL SELECT 2, name, name, label, {v} FROM m WHERE kind = 'gauge' UNION ALL SELECT 3, name || '_count', name, label, n::VARCHAR FROM m WHERE kind = 'histogram' UNION ALL SELECT 4, name || '_sum', name, label, {s} FROM m WHERE kind = 'histogram')
+    SELECT row_number() OVER (ORDER BY CASE WHEN r < 3 THEN r ELSE 3 END, name, label, r) AS place, shown || '{label="' || replace(replace(label, '\', '\\'), '"', '\"') || '"} ' || whole AS line FROM x""".replace("{s}", r"regexp_replace(printf('%.6f', s::DOUBLE), '\.?0+$', '')").replace("{v}", r"regexp_replace(printf('%.6f', v::DOUBLE), '\.?0+$', '')"))
 def snk13(s):
     """Samples as text: counters, gauges and histograms (as count and sum), in this order and then by name and label, whose
-    values are escaped. Numbers are whole here."""
+    values are escaped."""
     e = s.v_metric_event.withColumn("label", F.concat(F.lit('a"'), F.col("label").cast("string"), F.lit("\\")))
     return numbered(M.metric_lines(M.merged_metrics(e)), ["section", "name", "label", "part"], "place").select("place", "line")
 

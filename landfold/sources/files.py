@@ -50,11 +50,15 @@ def capped_lines(spark: SparkSession, path: str, schema: str, order: list[str],
 
 
 def resolved(path: Column) -> Column:
-    """A path without `.` and without `name/..`."""
-    plain = F.regexp_replace(path, r"/\./", "/")
-    for _ in range(4):
-        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return plain
+    """A path without `.` and without `name/..`, however many; what goes above the path's start stays."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        up = (part == "..") & (F.size(done) > 0) & ~last.isin("..", "") & ~F.endswith(last, F.lit(":"))
+        return F.when(part == ".", done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
 
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:

@@ -442,3 +442,57 @@ def test_holes_are_filled(spark):
     frame = spark.createDataFrame([(1, x, y) for x, y in ring | corner | bay], "k int, cx bigint, cy bigint")
     got = {(r.cx, r.cy) for r in exports.filled(frame, ["k"]).collect()}
     assert got == {(x, y) for x in range(7) for y in range(7)} | corner | {(21, 21)} | bay
+
+
+def test_paths_are_resolved_to_any_depth(spark):
+    from landfold.sources.files import resolved
+
+    want = {
+        "a/b/c/d/e/f/../../../../../../x": "x", "/a/./b/../c": "/a/c", "../a/../b": "../b", "file:///a/b/../../c": "file:///c", "a/../../b": "../b", "/../x": "/../x", "./a": "a", "plain": "plain",
+    }
+    got = {r.path: r.to for r in spark.createDataFrame([(p,) for p in want], "path string").select("path", resolved(F.col("path")).alias("to")).collect()}
+    assert got == want
+
+
+def test_metric_lines_keep_decimals(spark):
+    rows = [("gauge", "g", "x", 0.5, 1), ("counter", "c", 'a"\\\n', 12.0, 1), ("histogram", "h", "x", 2.25, 7), ("gauge", "z", "x", -0.0, 1)]
+    merged = spark.createDataFrame(rows, "kind string, name string, label string, value double, observations bigint")
+    lines = {r.line for r in metrics.metric_lines(merged).collect()}
+    assert lines == {'g{label="x"} 0.5', 'c{label="a\\"\\\\\\n"} 12', 'h_count{label="x"} 7', 'h_sum{label="x"} 2.25', 'z{label="x"} 0'}
+
+
+def test_known_points_in_utm(spark):
+    """A tower whose place is well known, a point on a central meridian, and both ways to under a millimetre."""
+    at = lambda lon, lat, epsg: spark.range(1).select(*[v.alias(n) for n, v in zip("xy", grid.project_utm(F.lit(lon), F.lit(lat), F.lit(epsg)), strict=True)]).first()
+    tower = at(-79.387139, 43.642566, 32617)
+    assert abs(tower.x - 630084) < 1 and abs(tower.y - 4833438) < 1.5
+    middle = at(-9.0, 0.0, 32729)
+    assert abs(middle.x - 500_000) < 1e-6 and abs(middle.y - 10_000_000) < 1e-6
+    rng = random.Random(8)
+    rows = [(lon, rng.uniform(-84, 84)) for lon in (rng.uniform(-180, 180) for _ in range(300))]
+    frame = spark.createDataFrame(rows, "lon double, lat double").withColumn("epsg", grid.utm_epsg("lon", "lat"))
+    x, y = grid.reproject("lon", "lat", F.lit(4326), "epsg")
+    lon, lat = grid.reproject("x", "y", "epsg", F.lit(4326))
+    for r in frame.withColumns({"x": x, "y": y}).withColumns({"lon2": lon, "lat2": lat}).collect():
+        assert abs(r.lat2 - r.lat) * 111_320 < 1e-3 and abs(r.lon2 - r.lon) * 111_320 < 1e-3
+    mx, my = grid.reproject(F.lit(-79.387139), F.lit(43.642566), F.lit(4326), F.lit(3857))
+    ux, uy = grid.reproject(mx, my, F.lit(3857), F.lit(32617))
+    row = spark.range(1).select(ux.alias("x"), uy.alias("y"), grid.reproject(mx, my, F.lit(3857), F.lit(1234))[0].alias("none")).first()
+    assert abs(row.x - tower.x) < 1e-3 and abs(row.y - tower.y) < 1e-3 and row.none is None
+
+
+def test_ring_distances(spark):
+    """Apart, touching at a corner, crossing, one within another, and one inside another's hole."""
+    box = lambda x0, y0, x1, y1: [{"x": float(x), "y": float(y)} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
+    slanted = [{"x": 30.0, "y": 0.0}, {"x": 40.0, "y": 10.0}, {"x": 30.0, "y": 20.0}]
+    rows = [
+        (1, 1, [box(0, 0, 10, 10)]), (1, 2, [slanted]), (1, 3, [box(10, 10, 14, 14)]), (1, 4, [box(5, -5, 6, 30)]), (1, 5, [box(2, 2, 3, 3)]),
+        (2, 6, [box(0, 0, 100, 100), box(20, 20, 80, 80)]), (2, 7, [box(45, 45, 55, 55)]), (2, 8, [box(22, 40, 24, 44)]), (1, 9, [box(9000, 0, 9001, 1)]), (3, 10, None), (3, 11, []),
+    ]
+    frame = spark.createDataFrame(rows, "k int, id bigint, rings array<array<struct<x: double, y: double>>>")
+    found = {(r.a, r.b): r for r in graph.ring_pairs(frame, "id", ["k"], 25).collect()}
+    link = found[6, 8]
+    assert (link.x1, link.x2) == (20.0, 22.0) and link.y1 == link.y2 and 40 <= link.y1 <= 44
+    assert found[1, 2].distance == 20.0 and (found[1, 2].x1, found[1, 2].x2) == (10.0, 30.0)
+    assert [found[p].distance for p in ((1, 3), (1, 4), (1, 5))] == [0.0, 0.0, 0.0] and found[6, 7].distance == 25.0 and found[4, 5].distance == 2.0
+    assert not any(9 in p or 10 in p or 11 in p for p in found)
