@@ -182,11 +182,20 @@ def _ssn(text: str, cipher: Cipher) -> str | None:
 
 
 def _day(year: str, month: str, day: str, cipher: Cipher) -> datetime.date | None:
+    """A day above 12 stays above 12, and one up to 12 stays so, whatever the form: a date that is written month first can be
+    told by its day alone, and is to get the same pseudonym as in other forms."""
     try:
-        n = datetime.date(int(year), int(month), int(day)).toordinal()
+        old = datetime.date(int(year), int(month), int(day))
     except ValueError:
         return None
-    return datetime.date.fromordinal(FIRST_DAY + cipher.number(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")) if FIRST_DAY <= n <= LAST_DAY else None
+    n = old.toordinal()
+    if not FIRST_DAY <= n <= LAST_DAY:
+        return None
+    while True:
+        n = FIRST_DAY + cipher.number(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date")
+        new = datetime.date.fromordinal(n)
+        if (new.day > 12) == (old.day > 12):
+            return new
 
 
 def _ymd(text: str, cipher: Cipher) -> str | None:
@@ -200,9 +209,7 @@ def _dmy(text: str, cipher: Cipher) -> str | None:
     d = _day(year, month, day, cipher)
     if d:
         return f"{d.day:02d}{sign}{d.month:02d}{sign}{d.year}"
-    d = _day(year, day, month, cipher)  # month first: the day is above 12, and so is the new one, else the form couldn't be told
-    while d and d.day <= 12:
-        d = _day(str(d.year), str(d.month), str(d.day), cipher)
+    d = _day(year, day, month, cipher)  # month first: the day is above 12
     return d and f"{d.month:02d}{sign}{d.day:02d}{sign}{d.year}"
 
 
@@ -213,12 +220,18 @@ def _ip(text: str, cipher: Cipher) -> str | None:
     return ".".join(map(str, cipher.number(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip").to_bytes(4, "big")))
 
 
+#: The country codes of one and of two digits; all others have three.
+COUNTRY_CODES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(text: str, cipher: Cipher) -> str | None:
+    """Behind a plus sign the country's code stays, however the number is spaced."""
     digits = _digits(text)
     if not 8 <= len(digits) <= 15:
         return None
-    country = len(re.match(r"\+(\d{0,3})", text)[1]) if text[0] == "+" else 0
-    country = min(country, len(digits) - 7) if country == len(digits) or text[1 + country : 2 + country].isdigit() else country
+    country = next((n for n in (1, 2) if digits[:n] in COUNTRY_CODES), 3) if text[0] == "+" else 0
+    country = min(country, len(digits) - 7)
     return _put(text, digits[:country] + cipher.digits(digits[country:], "phone"))
 
 

@@ -413,6 +413,24 @@ def test_month_first_dates_stay_so():
     assert pii.pseudonymised("02/30/1990", b"k")[0] == "02/30/1990"
 
 
+def test_values_are_linked_across_forms():
+    """One date in four forms, one number in several spacings: the same pseudonym in each."""
+    import datetime
+    import re
+
+    cipher = pii.Cipher(b"some key")
+    for k in range(0, 40_000, 20):
+        d = datetime.date(1930, 1, 1) + datetime.timedelta(k)
+        new = pii._ymd(f"{d:%Y-%m-%d}", cipher)
+        assert pii._dmy(f"{d:%d/%m/%Y}", cipher) == "/".join(reversed(new.split("-")))
+        if d.day > 12:
+            y, m, day = new.split("-")
+            assert pii._dmy(f"{d:%m/%d/%Y}", cipher) == f"{m}/{day}/{y}" and int(day) > 12
+    forms = ["+34600123456", "+34 600 123 456", "+34 600-12-34-56", "+346 00123456"]
+    assert len({re.sub(r"\D", "", pii._phone(f, cipher)) for f in forms}) == 1
+    assert all(pii._phone(f, cipher).startswith("+34") and "600123456" not in re.sub(r"\D", "", pii._phone(f, cipher)) for f in forms)
+
+
 def test_long_local_parts_change_throughout():
     local = "abcdefghij" * 60
     out, found = pii.pseudonymised(f"to {local}@mail.example.com", b"k")
