@@ -207,8 +207,115 @@ def clip_to_box(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.
     return np.vstack([pts, pts[:1]])
 
 
+def _halved(rings: list[np.ndarray], axis: int, limit: float, keep_above: bool) -> list[np.ndarray]:
+    """Closed rings, outer ones counter-clockwise and holes clockwise, cut by a line. What is left of a ring are chains between
+    crossings of the line; sorted along it, the crossings bound the inside by twos, and each chain goes on, along the line,
+    with the one that begins at the other end of such a piece."""
+    out, chains, crossings = [], [], []  # crossings: place along the line, chain, whether the chain ends there
+    for ring in rings:
+        points = ring[:-1]
+        inside = points[:, axis] >= limit if keep_above else points[:, axis] <= limit
+        if inside.all():
+            out.append(ring)
+        if inside.all() or not inside.any():
+            continue
+        following = np.roll(points, -1, axis=0)
+        turns = np.flatnonzero(inside != np.roll(inside, -1))
+        a, b = points[turns], following[turns]
+        at = a + ((limit - a[:, axis]) / (b[:, axis] - a[:, axis]))[:, None] * (b - a)
+        at[:, axis] = limit
+        entries = np.flatnonzero(~inside[turns])
+        for k in entries.tolist():
+            last = (k + 1) % len(turns)
+            first, stop = int(turns[k]) + 1, int(turns[last])
+            if stop < first:
+                stop += len(points)
+            chain = np.vstack([at[k], points[np.arange(first, stop + 1) % len(points)], at[last]])
+            crossings += [(at[k][1 - axis], len(chains), False), (at[last][1 - axis], len(chains), True)]
+            chains.append(chain)
+    crossings.sort()
+    # Where an end and a beginning share a place, what comes first along the line may be either: the pieces are the same.
+    onward = {}
+    for one, two in zip(crossings[::2], crossings[1::2], strict=True):
+        if one[2] == two[2]:
+            return out + _untwisted(chains, crossings)
+        end, begin = (one, two) if one[2] else (two, one)
+        onward[end[1]] = begin[1]
+    return out + _joined(chains, onward)
+
+
+def _untwisted(chains: list[np.ndarray], crossings: list[tuple[float, int, bool]]) -> list[np.ndarray]:
+    """The same where places tie: ends and beginnings are sorted apart, and meet in their order."""
+    ends, begins = ([c[1] for c in crossings if c[2] == e] for e in (True, False))
+    return _joined(chains, dict(zip(ends, begins, strict=True)))
+
+
+def _joined(chains: list[np.ndarray], onward: dict[int, int]) -> list[np.ndarray]:
+    rings, left = [], set(onward)
+    while left:
+        start = k = min(left)
+        parts = []
+        while True:
+            left.discard(k)
+            parts.append(chains[k])
+            k = onward[k]
+            if k == start:
+                break
+        ring = np.vstack(parts)
+        ring = ring[np.concatenate([[True], (np.diff(ring, axis=0) != 0).any(1)])]
+        if (ring[0] != ring[-1]).any():
+            ring = np.vstack([ring, ring[:1]])
+        if len(ring) > 3 and ring_area(ring):
+            rings.append(ring)
+    return rings
+
+
+def ring_area(ring: np.ndarray) -> float:
+    """Above 0 for counter-clockwise rings."""
+    x, y = (ring - ring[0]).T
+    return float(x[:-1] @ y[1:] - x[1:] @ y[:-1]) / 2
+
+
+def within_ring(x: float, y: float, ring: np.ndarray) -> bool:
+    a, b = ring[:-1], ring[1:]
+    cut = (a[:, 1] <= y) != (b[:, 1] <= y)
+    a, b = a[cut], b[cut]
+    return bool(((a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])) <= x).sum() % 2)
+
+
+def clip_polygon(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> list[list[np.ndarray]]:
+    """A polygon (closed rings, the outer one first) cut to a box: its parts, each with the holes that it keeps. Rings may have
+    either direction; they are turned first."""
+    rings = [r if (ring_area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(rings) if len(r) > 3]
+    for axis, limit, above in ((0, box[0], True), (1, box[1], True), (0, box[2], False), (1, box[3], False)):
+        rings = _halved(rings, axis, limit, above)
+    outer = [[r] for r in rings if ring_area(r) > 0]
+    for hole in (r for r in rings if ring_area(r) < 0):
+        x, y = hole[:-1].mean(0) if len(hole) < 5 else hole[0] + (hole[1] - hole[0]) / 2
+        owners = [p for p in outer if within_ring(x, y, p[0])] or outer[:1]
+        min(owners, key=lambda p: ring_area(p[0])).append(hole)
+    return outer
+
+
+def crossing_segments(ring: np.ndarray) -> np.ndarray:
+    """Pairs (k, l), k < l, of segments of a closed ring that meet other than at the point that neighbours share."""
+    a, b = ring[:-1], ring[1:]
+    n, found = len(a), []
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
+    for start in range(0, n, 256):
+        k, m = np.arange(start, min(n, start + 256))[:, None], np.arange(n)[None, :]
+        near = (m > k + 1) & ~((k == 0) & (m == n - 1)) & (low[k] <= high[m]).all(-1) & (low[m] <= high[k]).all(-1)
+        k, m = (np.broadcast_to(x, near.shape)[near] for x in (k, m))
+        p, q, r, s = a[k], b[k], a[m], b[m]
+        hit = (side(p, q, r) * side(p, q, s) <= 0) & (side(r, s, p) * side(r, s, q) <= 0)
+        found.append(np.stack([k[hit], m[hit]], 1))
+    return np.concatenate(found) if found else np.zeros((0, 2), int)
+
+
 def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Points that lie off the line of their neighbours by more than the tolerance; the ring itself if under four are left."""
+    """Points that lie off the line of their neighbours by more than the tolerance; the ring itself if under four are left. A cut
+    that would make the ring meet itself is undone: its farthest point comes back, until no two cuts meet."""
     keep = np.zeros(len(ring), bool)
     keep[[0, -1]] = True
     far = int(np.argmax(np.hypot(*(ring - ring[0]).T)))
@@ -225,8 +332,18 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
         if off[k] > tolerance:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    out = ring[keep]
-    return out if len(out) >= 4 else ring
+    if keep.sum() < 4:
+        return ring
+    while True:
+        kept = np.flatnonzero(keep)
+        again = False
+        for k in np.unique(crossing_segments(ring[kept])).tolist():
+            a, b = kept[k], kept[k + 1]
+            if b - a > 1:
+                line, rest = ring[b] - ring[a], ring[a + 1 : b] - ring[a]
+                keep[a + 1 + int(np.argmax(np.abs(line[0] * rest[:, 1] - line[1] * rest[:, 0])))] = again = True
+        if not again:
+            return ring[kept]
 
 
 def _array(ring) -> np.ndarray:
@@ -269,6 +386,16 @@ def clipped_ring(ring, box: tuple[float, float, float, float]) -> Column:
     return _over_rings(lambda r: _ring(clip_to_box(r, box)), RING_TYPE)(ring)
 
 
+def clipped_parts(rings, box: tuple[float, float, float, float]) -> Column:
+    """Of polygons (arrays of rings) the parts inside a box: an array of polygons."""
+
+    def run(polygons: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else [[_ring(r) for r in part] for part in clip_polygon([_array(r) for r in p], box)] for p in polygons], dtype=object)
+
+    run.__annotations__ = {"polygons": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, T.ArrayType(T.ArrayType(RING_TYPE)))(rings)
+
+
 def simplified_ring(ring, tolerance: float) -> Column:
     return _over_rings(lambda r: _ring(simplified(r, tolerance)), RING_TYPE)(ring)
 

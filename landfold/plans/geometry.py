@@ -120,6 +120,20 @@ def fn29(s):
     return near.withColumn("c", G.clipped_ring("ring", (1000, 1000, 2000, 2000))).select("feature_id", F.round(G.signed_area("c"), 6).alias("area")).where("area > 0")
 
 
+@R.add("fn29_clip_parts", "SELECT feature_id, CASE WHEN feature_id % 2 = 0 THEN 2 ELSE 1 END AS parts, CASE WHEN feature_id % 2 = 0 THEN 0 ELSE 1 END AS holes, round(CASE WHEN feature_id % 2 = 0 THEN 2 * 0.25e0 * 0.5e0 ELSE 0.8e0 - 0.04e0 END * (1 + feature_id % 9) * (1 + feature_id % 7), 6) AS area FROM v_feature")
+def fn29_parts(s):
+    """Cuts to a box: a U on its feet has two parts left above its floor, a square keeps the hole that the cut misses."""
+    w, h = 1 + F.col("feature_id") % 9, 1 + F.col("feature_id") % 7
+    ring = lambda corners: G.ring_from([(w * x, h * (y - 0.5)) for x, y in corners])
+    u = ring([(0, 0), (1, 0), (1, 1), (0.75, 1), (0.75, 0.25), (0.25, 0.25), (0.25, 1), (0, 1), (0, 0)])
+    square, hole = ring([(0, 0.3), (1, 0.3), (1, 1.3), (0, 1.3), (0, 0.3)]), ring([(0.4, 0.8), (0.6, 0.8), (0.6, 1), (0.4, 1), (0.4, 0.8)])
+    f = s.v_feature.select("feature_id", F.when(F.col("feature_id") % 2 == 0, F.array(u)).otherwise(F.array(square, hole)).alias("rings"))
+    f = f.withColumn("parts", G.clipped_parts("rings", (-100.0, 0.0, 100.0, 100.0)))
+    area = F.aggregate("parts", F.lit(0.0), lambda t, p: t + F.aggregate(p, F.lit(0.0), lambda v, r: v + G.signed_area(r)))
+    holes = F.aggregate("parts", F.lit(0), lambda t, p: t + F.size(p) - 1)
+    return f.select("feature_id", F.size("parts").alias("parts"), holes.alias("holes"), F.round(area, 6).alias("area"))
+
+
 @R.add("fn34_simplify", "SELECT feature_id, CAST(5 AS BIGINT) AS points FROM v_feature")
 def fn34(s):
     """Points on a side go, corners stay."""
