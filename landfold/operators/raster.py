@@ -336,6 +336,15 @@ def tile_regions(mask: DataFrame, size: int) -> DataFrame:
     return regions_.join(tile, ["raster", "by", "bx"]).withColumnsRenamed({"by": "tile_row", "bx": "tile_col"})
 
 
+def tile_polygons(mask: DataFrame, size: int) -> DataFrame:
+    """tile_regions() with each region's polygon: `rings`, its closed rings, the outer one first, in pixels."""
+    place = ["raster", "tile_row", "tile_col"]
+    found = label_chunks(to_cells(mask), ["raster"], size).withColumn("label", F.col("ny") * (1 << 31) + F.col("nx"))
+    labelled = found.select("raster", F.col("by").alias("tile_row"), F.col("bx").alias("tile_col"), "label", F.col("cx").alias("col"), F.col("cy").alias("row"))
+    rings = outlines(labelled, place).groupBy(*place, "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda r: r.points).alias("rings"))
+    return tile_regions(mask, size).join(rings, [*place, "label"])
+
+
 def resample(pixels: DataFrame, scale: float, nearest: bool) -> DataFrame:
     """Values on a grid whose pixels are `scale` source pixels wide and that ends where each raster does: the nearest source
     pixel, or the weighted mean of those of four that are there."""

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from landfold.functions import grid
-from landfold.functions.geometry import cell_area_sql
+from landfold.functions.geometry import cell_area_sql, ring_length, signed_area
 from landfold.operators import raster as P
 from landfold.operators import strips as S
 from landfold.operators.graph import numbered
@@ -237,6 +237,20 @@ def ras12(s):
     return P.tile_regions(s.v_pixel.where("p >= 0.68"), 32).withColumn("mean_probability", F.round("mean_probability", 6))
 
 
+#: Components within tiles by a recursive walk.
+_TILE_LABEL = """WITH RECURSIVE m AS (SELECT raster, row // 32 AS tile_row, col // 32 AS tile_col, row, col, p FROM v_pixel WHERE p >= 0.68), walk(raster, tile_row, tile_col, row, col, label) AS (SELECT raster, tile_row, tile_col, row, col, row * 2147483648 + col FROM m
+    UNION SELECT m.raster, m.tile_row, m.tile_col, m.row, m.col, label FROM walk w, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx), m WHERE m.raster = w.raster AND m.tile_row = w.tile_row AND m.tile_col = w.tile_col AND m.row = w.row + dy AND m.col = w.col + dx),
+    lab AS (SELECT raster, tile_row, tile_col, row, col, min(label)::BIGINT AS label FROM walk GROUP BY ALL)"""
+
+
+@R.add("ras12_tile_polygons", f"{_TILE_LABEL} SELECT raster, tile_row, tile_col, label, CAST(count(*) AS DOUBLE) AS area, CAST(sum(4 - (SELECT count(*) FROM lab b WHERE b.raster = a.raster AND b.tile_row = a.tile_row AND b.tile_col = a.tile_col AND b.label = a.label AND abs(a.row - b.row) + abs(a.col - b.col) = 1)) AS DOUBLE) AS perimeter, min(row) AS row0 FROM lab a GROUP BY ALL")
+def ras12_polygons(s):
+    """Polygons of the tiles' regions, measured: area within the rings, holes taken off, and the length of all rings."""
+    found = P.tile_polygons(s.v_pixel.where("p >= 0.68"), 32)
+    total = lambda f: F.aggregate("rings", F.lit(0.0), lambda t, r: t + f(r))
+    return found.select("raster", "tile_row", "tile_col", "label", total(signed_area).alias("area"), total(ring_length).alias("perimeter"), "row0")
+
+
 @R.add("ras13_mosaic", "SELECT release, z, x, y, (x - x0) * 256 AS col0, (y - y0) * 256 AS row0, n FROM (SELECT release, z, x, y, count(*) AS n FROM v_tile_check WHERE status = 'available' GROUP BY ALL) JOIN (SELECT release, z, min(x) AS x0, min(y) AS y0 FROM v_tile_check GROUP BY release, z) USING (release, z)")
 def ras13(s):
     """Places of available tiles in their mosaic; missing ones leave holes. The chunk table is the mosaic."""
