@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,23 +53,42 @@ def run(stream: DataFrame, mode: str, name: str, base: str | None = None, once:
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
+PROGRESS = "n bigint, summarised boolean, batch bigint"
+
+
 def refreshed(stream: DataFrame, name: str, summary: Callable[[DataFrame], DataFrame], every: int, base: str | None = None) -> DataFrame:
-    """Rows are added to a table; whenever `every` further ones have come, at the latest with the last of a batch, the summary of
-    the whole table is written anew. Returns the last summary."""
+    """Rows are added to a table; with each batch in which a further `every` of them are complete, and at the end for what is
+    left, the summary of the whole table is written anew. How far it has come is a table beside it, a row a batch, so that with
+    the same `base` a later call goes on, and one with nothing new returns the last summary."""
     spark = stream.sparkSession
     base = base or staged_path(spark, f"stream-{name}")
-    told = {}
+    whole = lambda: spark.read.schema(stream.schema).parquet(f"{base}/rows/batch=*")
+
+    def note(number: int, n: int, summarised: bool) -> None:
+        spark.createDataFrame([(n, summarised)], "n bigint, summarised boolean").coalesce(1).write.mode("overwrite").parquet(f"{base}/progress/batch={number}")
+
+    def summarise(number: int, n: int) -> None:
+        summary(whole()).write.mode("overwrite").parquet(f"{base}/summary-{number}")
+        note(number, n, True)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
-        rows = spark.read.parquet(f"{base}/rows")
-        n = rows.count()
-        if n // every > told.get("rows", 0) // every or n % every:
-            summary(rows.drop("batch")).write.mode("overwrite").parquet(f"{base}/summary-{number}")
-            told.update(rows=n, path=f"{base}/summary-{number}")
+        n = spark.read.parquet(f"{base}/rows/batch={number}").count()
+        note(number, n, False)
+        before = spark.read.schema(PROGRESS).parquet(f"{base}/progress").where(F.col("batch") < number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if (before + n) // every > before // every:
+            summarise(number, n)
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(told["path"])
+    try:
+        done = spark.read.schema(PROGRESS).parquet(f"{base}/progress")
+        last = done.agg(F.max("batch").alias("batch"), F.max_by("n", "batch").alias("n"), F.max(F.when(F.col("summarised"), F.col("batch"))).alias("told")).first()
+    except AnalysisException:  # no batch has ever come
+        return summary(spark.createDataFrame([], stream.schema))
+    if last.told is None or done.where(F.col("batch") > last.told).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
+        summarise(last.batch, last.n)
+        return spark.read.parquet(f"{base}/summary-{last.batch}")
+    return spark.read.parquet(f"{base}/summary-{last.told}")
 
 
 def live_metrics(events: DataFrame) -> DataFrame:

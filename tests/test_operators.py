@@ -399,6 +399,25 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert done() == ([(0, 2), (1, 1), (4, 1), (5, 2)], [0, 1, 2])
 
 
+def test_a_refreshed_summary_goes_on_after_a_restart(spark, tmp_path):
+    """Summaries each 25 rows and at the end; a call with nothing new returns the last one."""
+    seen = []
+
+    def summary(rows):
+        seen.append(rows.count())
+        return rows.agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+    add = lambda low, high: spark.range(low, high).select(F.col("id").alias("v")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: jobs.file_stream(spark, "v bigint", f"{tmp_path}/in")
+    told = lambda: tuple(jobs.refreshed(stream(), "r", summary, 25, f"{tmp_path}/base").first())
+    for low in (0, 10, 20):
+        add(low, low + 10)
+    assert told() == (30, 435) and seen == [30]  # the third batch completes 25, and nothing is left
+    assert told() == (30, 435) and seen == [30]
+    add(30, 40)
+    assert told() == (40, 780) and seen == [30, 40]
+
+
 def test_json_stream_drops_broken_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"name": "x", "value": 1}\n{broken\n{"name": "x", "value": 2}\n')
     stream = jobs.json_stream(spark, f"file://{tmp_path}", "name string, value double")
