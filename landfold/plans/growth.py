@@ -15,6 +15,7 @@ from landfold.plans.base import Registry, Source
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.oracle
 SIZE = 10
+AREA = (5, 5, 394, 394)  # of cells, both ends included
 #: Cells of features in the SQL twins: all edges are multiples of the cell.
 CELLS = "cells AS (SELECT * , unnest(range(minx // 10, maxx // 10)) AS cx FROM v_feature), cell AS (SELECT *, unnest(range(miny // 10, maxy // 10)) AS cy FROM cells)"
 
@@ -48,6 +49,17 @@ def win04(s):
     return S.growth(S.of_features(live, ["project", "segment", "release"], SIZE), steps, ["project", "segment"], "release", SIZE)
 
 
+_AREA_WHERE = "cx BETWEEN 5 AND 394 AND cy BETWEEN 5 AND 394"
+
+
+@R.add("win04_fold_in_area", f"""WITH {CELLS}, seen AS (SELECT project, cx, cy, min(release) AS release FROM cell WHERE layer = 'additions' AND {_AREA_WHERE} GROUP BY ALL), added AS (SELECT project, release, count(*) * 100 AS added_area FROM seen GROUP BY ALL)
+    SELECT project, release, coalesce(added_area, 0)::BIGINT AS added_area, (sum(coalesce(added_area, 0)) OVER (PARTITION BY project ORDER BY release))::BIGINT AS total_area FROM (SELECT DISTINCT project, release FROM v_feature) LEFT JOIN added USING (project, release)""")
+def win04_in_area(s):
+    """The same for the candidates alone, clipped to the area: what lies outside counts at no milestone."""
+    inside = S.clipped(S.of_features(s.v_feature.where("layer = 'additions'"), ["project", "release"], SIZE), AREA)
+    return S.growth(inside, s.v_feature, ["project"], "release", SIZE)
+
+
 _BUFFERED = "buffered AS (SELECT DISTINCT project, release, cx + dx AS cx, cy + dy AS cy FROM cell, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE layer = 'additions' AND dx * dx + dy * dy <= 1)"
 
 
@@ -84,6 +96,14 @@ def agg08(s):
     return measured(B.polygons(feature_cells(s, keys), keys, SIZE), keys)
 
 
+@R.add("agg14_dissolve_geometry", f"WITH {CELLS}, u AS (SELECT DISTINCT project, release, cx, cy FROM cell), m AS ({rings_sql('u', 'project, release')}), a AS (SELECT project, release, round(avg(score), 6) AS mean_score, count(*) AS n_sources FROM v_feature GROUP BY ALL) SELECT project, release, area, perimeter, mean_score, n_sources FROM m JOIN a USING (project, release)")
+def agg14_geometry(s):
+    """One geometry for each milestone, as the polygons of the union, here measured, with the mean score and number of sources."""
+    keys = ["project", "release"]
+    told = s.v_feature.groupBy(*keys).agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n_sources"))
+    return measured(B.polygons(feature_cells(s, keys), keys, SIZE), keys).join(told, keys)
+
+
 _TWO = "a AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'additions'), b AS (SELECT DISTINCT project, cx, cy FROM cell WHERE layer = 'effective')"
 
 
@@ -192,7 +212,6 @@ _OPEN = """q AS (SELECT p.a, p.b FROM (SELECT *, CASE WHEN maxx < o_minx THEN ma
 
 
 GAP = 40
-AREA = (5, 5, 394, 394)  # of cells, both ends included
 
 
 def roads(s):
@@ -303,7 +322,7 @@ _CROSSED = """(ys[k + 1] <= 10 * (cy + 0.5e0)) <> (ys[(k % 4 + 1) % 4 + k // 4 *
 POLYGON_CELLS = f"""corners AS (SELECT *, {_LISTED} FROM v_feature), pcol AS (SELECT *, unnest(range(minx // 10 - 1, (minx + 3 * (maxx - minx)) // 10 + 2)) AS cx FROM corners), pgrid AS (SELECT *, unnest(range(miny // 10 - 1, (miny + 3 * (maxy - miny)) // 10 + 2)) AS cy FROM pcol),
     cell AS (SELECT * FROM pgrid WHERE len(list_filter(range(CASE WHEN feature_id % 3 = 0 THEN 8 ELSE 4 END), lambda k: {_CROSSED})) % 2 = 1)"""
 
-for _name in ("win04_monotone_fold", "win05_cumulative_buffers", "agg07_coverage_fraction", "agg08_dissolve_area", "set03_overlay", "join06_footprint_overlap", "join07_edge_band_overlap", "fn31_closing", "fn42_export_perimeter"):
+for _name in ("win04_monotone_fold", "win04_fold_in_area", "win05_cumulative_buffers", "agg07_coverage_fraction", "agg08_dissolve_area", "set03_overlay", "join06_footprint_overlap", "join07_edge_band_overlap", "fn31_closing", "fn42_export_perimeter"):
     R.queries[f"{_name}_polygons"] = lambda spark, sf_dir, f=R.plain[_name]: f(Polygons(spark, sf_dir))
     R.oracle[f"{_name}_polygons"] = R.oracle[_name].replace(CELLS, POLYGON_CELLS)
 
