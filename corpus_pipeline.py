@@ -10,6 +10,7 @@ which gives doc_id and tokens; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from landfold.llm import bpe, exact_dedup, mixing, quality_model, simhash
@@ -23,8 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays. The index lasts, its feeds being the files of documents: running the pipeline again over the
-    same files gives the same, and with further files beside them what is new in those."""
-    files = table(spark, sf_dir, "documents").inputFiles()
+    same files gives the same, and with further files beside them what is new in those. A folder without that table is one
+    feed."""
+    try:
+        files = table(spark, sf_dir, "documents").inputFiles()
+    except AnalysisException:
+        files = [sf_dir]
     return exact_dedup.keep_new_of(docs, exact_dedup.named_index(spark, "pipeline", sf_dir), files)
 
 
