@@ -347,18 +347,24 @@ def tile_polygons(mask: DataFrame, size: int) -> DataFrame:
 
 def resample(pixels: DataFrame, scale: float, nearest: bool) -> DataFrame:
     """Values on a grid whose pixels are `scale` source pixels wide and that ends where each raster does: the nearest source
-    pixel, or the weighted mean of those of four that are there."""
+    pixel, or the weighted mean of those of four that are there.
+
+    Each source pixel says itself which pixels it has a share in, so that no grid is written out; what is joined is a row for
+    each raster."""
     sizes = pixels.groupBy("raster").agg(F.floor((F.max("row") + 1) / scale).cast("bigint").alias("_h"), F.floor((F.max("col") + 1) / scale).cast("bigint").alias("_w"))
-    upto = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>")))
-    grid = sizes.select("raster", upto("_h").alias("row"), "_w").withColumn("col", upto("_w")).drop("_w")
-    y, x = (F.col("row") + 0.5) * scale - 0.5, (F.col("col") + 0.5) * scale - 0.5
-    if nearest:
-        want = grid.withColumns({"sr": F.floor(y + 0.5), "sc": F.floor(x + 0.5), "weight": F.lit(1.0)})
-    else:
-        corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-        want = grid.withColumns({"y": y, "x": x}).withColumn("c", corner)
-        part = lambda v, k: F.when(k == 1, v - F.floor(v)).otherwise(1 - (v - F.floor(v)))
-        want = want.withColumns({"sr": F.floor("y") + F.col("c.a"), "sc": F.floor("x") + F.col("c.b"), "weight": part(F.col("y"), F.col("c.a")) * part(F.col("x"), F.col("c.b"))}).where("weight > 0")
-    source = pixels.select("raster", F.col("row").alias("sr"), F.col("col").alias("sc"), "p")
-    joined = source.join(want, ["raster", "sr", "sc"])
-    return joined.groupBy("raster", "row", "col").agg((F.sum(F.col("p") * F.col("weight")) / F.sum("weight")).alias("p"))
+
+    reach = 0.5 if nearest else 1.0  # of a place beyond the source pixel's middle
+
+    def dealt(rows: DataFrame, source: str, limit: str) -> DataFrame:
+        """Along one axis: rows with the pixel (_k_source) that they have a share in, and its weight."""
+        s, k = F.col(source), F.col(f"_k_{source}")
+        first = F.greatest(F.floor((s - reach + 0.5) / scale - 0.5), F.lit(0).cast("bigint"))
+        last = F.least(F.ceil((s + reach + 0.5) / scale - 0.5), F.col(limit) - 1)
+        rows = rows.where(last >= first).withColumn(f"_k_{source}", F.explode(F.sequence(first, last)))
+        place = (k + 0.5) * scale - 0.5
+        weight = F.when(F.floor(place + 0.5) == s, 1.0) if nearest else F.when(F.floor(place) == s, 1 - (place - F.floor(place))).when(F.floor(place) + 1 == s, place - F.floor(place))
+        return rows.withColumn(f"_w_{source}", weight).where(F.col(f"_w_{source}") > 0)
+
+    shared = dealt(dealt(pixels.join(F.broadcast(sizes), "raster"), "row", "_h"), "col", "_w")
+    weight = F.col("_w_row") * F.col("_w_col")
+    return shared.groupBy("raster", F.col("_k_row").alias("row"), F.col("_k_col").alias("col")).agg((F.sum(F.col("p") * weight) / F.sum(weight)).alias("p"))
