@@ -64,11 +64,11 @@ def closed_blocks(strips: DataFrame, keys: list[str], gap: float, size: int) ->
 
 
 def growth_blocks(members: DataFrame, keys: list[str], gap: float, size: int, area: tuple[int, int, int, int]) -> DataFrame:
-    """members: features with their block's root. One row per block with anything inside the area: block_id by root within the
-    keys, members, area on the ellipsoid, centre."""
+    """members: features with their block's root; where there is a column `members`, a row stands for so many of them. One row
+    per block with anything inside the area: block_id by root within the keys, members, area on the ellipsoid, centre."""
     own = [*keys, "root"]
     found = S.measures(S.clipped(closed_blocks(S.of_features(members, own, size), own, gap, size), area), own, size).drop("cells")
-    told = members.groupBy(*own).agg(F.count("*").alias("members"))
+    told = members.groupBy(*own).agg((F.sum("members") if "members" in members.columns else F.count("*")).alias("members"))
     return found.join(told, own).withColumn("block_id", F.row_number().over(W.partitionBy(*keys).orderBy("root")).cast("bigint"))
 
 
