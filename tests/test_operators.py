@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import numpy as np
@@ -515,3 +516,83 @@ def test_ring_distances(spark):
     assert found[1, 2].distance == 20.0 and (found[1, 2].x1, found[1, 2].x2) == (10.0, 30.0)
     assert [found[p].distance for p in ((1, 3), (1, 4), (1, 5))] == [0.0, 0.0, 0.0] and found[6, 7].distance == 25.0 and found[4, 5].distance == 2.0
     assert not any(9 in p or 10 in p or 11 in p for p in found)
+
+
+def generated_in_broadcast(df):
+    """Whether the plan broadcasts what an explode gives, whose size the planner can't know."""
+    lines = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").splitlines()
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x: deep(x) > deep(line), lines[k + 1 :])
+            if any("Generate" in x for x in below):
+                return True
+    return False
+
+
+def test_resampling_joins_no_grid(spark):
+    """Against a plain version, with gaps and several scales; no row of the target is sent to all tasks."""
+    rng = np.random.default_rng(4)
+    a = rng.random((9, 7))
+    a[rng.random(a.shape) < 0.2] = np.nan
+    frame = pixels(spark, a).where("NOT isnan(p)")
+    for scale, nearest in ((2.0, False), (2.0, True), (3.0, True), (1.5, False), (0.75, False), (0.5, True)):
+        found = raster.resample(frame, scale, nearest)
+        assert not generated_in_broadcast(found)
+        want = {}
+        for r in range(int(9 // scale)):
+            for c in range(int(7 // scale)):
+                y, x = (r + 0.5) * scale - 0.5, (c + 0.5) * scale - 0.5
+                y0, x0 = (int(np.floor(v + 0.5 * nearest)) for v in (y, x))
+                near = [(y0, x0, 1.0)] if nearest else [(y0 + i, x0 + j, abs(1 - i - y + y0) * abs(1 - j - x + x0)) for i in (0, 1) for j in (0, 1)]
+                near = [(a[i, j], w) for i, j, w in near if w > 0 and 0 <= i < 9 and 0 <= j < 7 and not np.isnan(a[i, j])]
+                if near:
+                    want[r, c] = sum(v * w for v, w in near) / sum(w for _, w in near)
+        got = {(x["row"], x["col"]): x["p"] for x in found.collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_features_alike_are_paired_once(spark):
+    """Boxes and rings with copies against all pairs; copies are met as one, and NULL keys are alike to none."""
+    rng = random.Random(6)
+    spots = [(rng.randrange(0, 400), rng.randrange(0, 400), rng.randrange(5, 40), rng.randrange(5, 40)) for _ in range(25)]
+    rows = [(None if k % 19 == 0 else k % 2, k, *(lambda x, y, w, h: (x, y, x + w, y + h))(*spots[rng.randrange(25)])) for k in range(160)]
+    frame = spark.createDataFrame(rows, "k int, id bigint, minx bigint, miny bigint, maxx bigint, maxy bigint")
+    far = lambda a, b: max(a[2] - b[4], b[2] - a[4], 0) ** 2 + max(a[3] - b[5], b[3] - a[5], 0) ** 2
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and a[0] is not None and a[0] == b[0] and far(a, b) <= 400}
+    shapes = graph.alike(frame, "id", ["k"], graph.BOX)
+    assert shapes.count() < 70
+    pairs = graph.close_pairs(shapes, "id", ["k"], 20).select("a", "b")
+    own = shapes.where("members > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    found = [(r.a, r.b) for r in graph.of_members(pairs.unionByName(own), frame, "id", shapes, ["k", *graph.BOX]).collect()]
+    assert len(found) == len(want) and set(found) == want
+    rooted = graph.with_shape_roots(frame, "id", graph.with_roots(shapes, "id", pairs), ["k", *graph.BOX])
+    plain = {r.id: r.root for r in graph.with_roots(frame, "id", graph.close_pairs(frame, "id", ["k"], 20).select("a", "b")).collect()}
+    assert {r.id: r.root for r in rooted.collect()} == plain and len(plain) == 160
+
+
+def test_polygons_alike_are_paired_once(spark):
+    """Polygons with copies: the same distances as between all, from plans that broadcast nothing that was exploded."""
+    rng = random.Random(12)
+    ring = lambda x, y, s: [{"x": float(x + dx * s), "y": float(y + dy * s)} for dx, dy in ((0, 0), (3, 1), (2, 4), (-1, 2))]
+    spots = [(rng.randrange(0, 300), rng.randrange(0, 300), rng.randrange(3, 12)) for _ in range(14)]
+    rows = [(k % 2, k, [ring(*spots[rng.randrange(14)])]) for k in range(60)]
+    kind = "k int, id bigint, rings array<array<struct<x: double, y: double>>>"
+    found = graph.ring_pairs(spark.createDataFrame(rows, kind), "id", ["k"], 25)
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    alone = {}
+    for k in (0, 1):  # each pair of unlike ones as a frame's only two
+        unlike = {str(r[2]): r for r in rows if r[0] == k}
+        told = graph.ring_pairs(spark.createDataFrame(list(unlike.values()), kind), "id", ["k"], 25).collect()
+        of = {r[1]: str(r[2]) for r in unlike.values()}
+        alone |= {(k, frozenset((of[r.a], of[r.b]))): r.distance for r in told}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[1] < b[1] and a[0] == b[0]:
+                d = 0.0 if a[2] == b[2] else alone.get((a[0], frozenset((str(a[2]), str(b[2])))))
+                if d is not None:
+                    want[a[1], b[1]] = d
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    shapes = graph.alike(spark.createDataFrame(rows, kind), "id", ["k"], ["rings"])
+    assert shapes.count() <= 28 and not generated_in_broadcast(graph.ring_links(shapes, "id", ["k"], 25))
