@@ -336,14 +336,17 @@ def snk04(s):
 def snk07(s):
     """The layered result: a cumulative layer, each milestone's additions (newest first), buffer layers by distance and merged;
     without the baseline, and without empty layers. Written by group and layer, and read back."""
-    f = s.v_feature.withColumn("k", F.dense_rank().over(W.partitionBy("project").orderBy("release"))).where("k > 1")
+    first = s.v_feature.groupBy(F.col("project").alias("_project")).agg(F.min("release").alias("_first"))  # the baselines
+    later = F.coalesce(F.col("release") > F.col("_first"), F.col("_first").isNotNull())
+    f = s.v_feature.join(first, F.col("project").eqNullSafe(F.col("_project"))).where(later)
     shape = ["project", "grp", "layer", "minx", "miny", "maxx", "maxy"]
     cumulative = f.where("layer = 'effective'").withColumns({"grp": F.lit("cumulative"), "layer": F.lit("all")})
     added = f.where("layer = 'additions'").withColumn("grp", F.col("release"))
     buffers = f.where("layer = 'blocks'").withColumns({"grp": F.lit("buffers"), "layer": F.explode(F.array(*map(F.lit, ("10m", "15m", "merged"))))})
     whole = cumulative.select(*shape).unionByName(added.select(*shape)).unionByName(buffers.select(*shape))
     to = staged_path(s.spark, "layers")
-    whole.repartition("grp", "layer").write.partitionBy("grp", "layer").parquet(to)
+    # By ranges: a layer of any size is dealt out to several tasks, and a task writes few layers.
+    whole.repartitionByRange(*["grp", "layer", *shape[:1], *shape[3:]]).write.partitionBy("grp", "layer").parquet(to)
     back = s.spark.read.schema("project bigint, minx bigint, miny bigint, maxx bigint, maxy bigint, grp string, layer string").parquet(to)
     found = back.groupBy("project", "grp", "layer").agg(F.count("*").alias("n"), F.sum(F.expr("(maxx - minx) * (maxy - miny)")).alias("area"))
     dated = F.col("grp").startswith("WB")
