@@ -217,13 +217,17 @@ def fn43(s):
 
 @R.add("join04_hole_assignment", "SELECT a.feature_id AS hole, min(b.feature_id) AS outer_id FROM v_feature a JOIN v_feature b ON a.project = b.project AND b.layer = 'effective' AND a.layer = 'additions' AND a.minx + 1 > b.minx AND a.minx + 1 < b.maxx AND a.miny + 1 > b.miny AND a.miny + 1 < b.maxy GROUP BY a.feature_id")
 def join04(s):
-    """A hole belongs to the outer ring that contains its representative point. Candidates meet in a bucket of the lattice."""
-    f = s.v_feature.withColumn("ring", G.box_ring("minx", "miny", "maxx", "maxy"))
+    """A hole belongs to the outer ring that contains its representative point. Boxes alike stand for each other, by their
+    least id, and so do points; they meet in a bucket of the lattice, and every hole gets what its point has found."""
+    box, spot = ["minx", "miny", "maxx", "maxy"], ["project", "px", "py"]
     span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 100), F.floor(F.col(b) / 100)))
-    outer = f.where("layer = 'effective'").select("project", F.col("feature_id").alias("outer_id"), F.col("ring").alias("outer_ring"), "minx", "maxx", "miny", "maxy").withColumn("bx", span("minx", "maxx")).withColumn("by", span("miny", "maxy"))
-    hole = f.where("layer = 'additions'").select("project", F.col("feature_id").alias("hole"), (F.col("minx") + 1).alias("px"), (F.col("miny") + 1).alias("py")).withColumns({"bx": F.floor(F.col("px") / 100), "by": F.floor(F.col("py") / 100)})
-    met = hole.join(outer.drop("minx", "maxx", "miny", "maxy"), ["project", "bx", "by"]).where(G.inside(F.col("px"), F.col("py"), F.col("outer_ring")))
-    return met.groupBy("hole").agg(F.min("outer_id").alias("outer_id"))
+    outer = s.v_feature.where("layer = 'effective'").groupBy("project", *box).agg(F.min("feature_id").alias("outer_id"))
+    outer = outer.withColumn("outer_ring", G.box_ring(*box)).withColumn("bx", span("minx", "maxx")).withColumn("by", span("miny", "maxy"))
+    hole = s.v_feature.where("layer = 'additions'").select("project", F.col("feature_id").alias("hole"), (F.col("minx") + 1).alias("px"), (F.col("miny") + 1).alias("py"))
+    spots = hole.select(*spot).distinct().withColumns({"bx": F.floor(F.col("px") / 100), "by": F.floor(F.col("py") / 100)})
+    met = spots.hint("merge").join(outer.drop(*box), ["project", "bx", "by"]).where(G.inside(F.col("px"), F.col("py"), F.col("outer_ring")))
+    found = met.groupBy(*spot).agg(F.min("outer_id").alias("outer_id"))
+    return hole.join(found, spot).groupBy("hole").agg(F.min("outer_id").alias("outer_id"))
 
 
 @R.add("fn55_feature_area", "SELECT feature_id, CASE WHEN feature_id % 3 = 0 THEN score WHEN feature_id % 3 = 1 THEN p ELSE CAST((maxx - minx) * (maxy - miny) AS DOUBLE) END AS area FROM v_feature")
