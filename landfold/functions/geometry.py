@@ -7,7 +7,8 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -288,7 +289,8 @@ def clip_polygon(rings: list[np.ndarray], box: tuple[float, float, float, float]
     either direction; they are turned first."""
     rings = [r if (ring_area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(rings) if len(r) > 3]
     for axis, limit, above in ((0, box[0], True), (1, box[1], True), (0, box[2], False), (1, box[3], False)):
-        rings = _halved(rings, axis, limit, above)
+        if any(r[:, axis].min() < limit if above else r[:, axis].max() > limit for r in rings):
+            rings = _halved(rings, axis, limit, above)
     outer = [[r] for r in rings if ring_area(r) > 0]
     for hole in (r for r in rings if ring_area(r) < 0):
         x, y = hole[:-1].mean(0) if len(hole) < 5 else hole[0] + (hole[1] - hole[0]) / 2
@@ -346,25 +348,84 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
             return ring[kept]
 
 
-def _array(ring) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
+def clip_to_boxes(rings: list[np.ndarray], boxes: np.ndarray) -> list[np.ndarray]:
+    """clip_to_box for many closed rings, each with a box of its own: rings of about the same length go side by side."""
+    out: list = [np.zeros((0, 2))] * len(rings)
+    sizes = np.array([max(len(r) - 1, 0) for r in rings], np.int64)
+    classes = np.ceil(np.log2(np.maximum(sizes, 1)))
+    for c in np.unique(classes[sizes > 0]):
+        rows = np.flatnonzero((classes == c) & (sizes > 0))
+        step = max(1, SIDE_BY_SIDE >> int(c))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            points = np.zeros((len(part), int(sizes[part].max()), 2))
+            points[np.arange(points.shape[1]) < sizes[part, None]] = np.concatenate([rings[r][:-1] for r in part])
+            points, left = _clipped_side_by_side(points, sizes[part], boxes[part])
+            for r, p, n in zip(part.tolist(), points, left.tolist(), strict=True):
+                if n:
+                    out[r] = np.concatenate([p[:n], p[:1]])
+    return out
+
+
+def _clipped_side_by_side(points: np.ndarray, sizes: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """points: (rings, corners, 2), of which the first `sizes` of a ring count."""
+    for axis, side, keep_above in ((0, 0, True), (1, 1, True), (0, 2, False), (1, 3, False)):
+        limit, k = boxes[:, side, None], np.arange(points.shape[1])
+        there = k < sizes[:, None]
+        following = np.take_along_axis(points, np.where(k + 1 < sizes[:, None], k + 1, 0)[:, :, None], axis=1)
+        a, b = points[:, :, axis], following[:, :, axis]
+        in_a, in_b = ((v >= limit if keep_above else v <= limit) & there for v in (a, b))
+        cut = in_a != in_b
+        t = (limit - a) / np.where(cut, b - a, 1)
+        both = np.stack([points, points + t[:, :, None] * (following - points)], 2).reshape(len(points), -1, 2)
+        kept = np.stack([in_a, cut], 2).reshape(len(points), -1)
+        sizes = kept.sum(1)
+        points = np.zeros((len(both), int(sizes.max(initial=0)), 2))
+        points[np.arange(points.shape[1]) < sizes[:, None]] = both[kept]
+    return points, sizes
 
 
-def _ring(points: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in points]
+RING_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+ARROW_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+#: Corners of rings that are clipped side by side.
+SIDE_BY_SIDE = 1 << 18
 
 
-RING_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _arrays(rings: pa.Array) -> list[np.ndarray | None]:
+    """Rings of an Arrow array as (n, 2) views of one array, None for NULL."""
+    xy = np.stack([v.to_numpy(zero_copy_only=False).astype(float) for v in rings.flatten().flatten()], 1)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [xy[a:b] if there else None for a, b, there in zip([0, *ends], ends, rings.is_valid().to_pylist())]  # noqa: B905
+
+
+def _ring_list(rings: list[np.ndarray]) -> pa.Array:
+    xy = np.concatenate([np.zeros((0, 2)), *rings])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rings)]), pa.int32()), points)
+
+
+def _each(keys: list[bytes | None], of: Callable[[int], object], packed: Callable[[list], pa.Array]) -> pa.Array:
+    """The results of a batch: rows of one key are worked out once, NULL for None."""
+    places: dict[bytes, int] = {}
+    at, made = [], []
+    for k, key in enumerate(keys):
+        if key is not None and key not in places:
+            places[key] = len(made)
+            made.append(of(k))
+        at.append(None if key is None else places[key])
+    return packed(made).take(pa.array(at, pa.int64()))
 
 
 def _over_rings(of: Callable[[np.ndarray], object], kind: T.DataType) -> Callable:
-    """An Arrow function over a column of rings; NULL for NULL."""
+    """An Arrow function over a column of rings; NULL for NULL. Equal rings of a batch are worked on once."""
+    packed = (lambda made: pa.array(made, pa.float64())) if kind == T.DoubleType() else _ring_list
 
-    def run(rings: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else of(_array(r)) for r in rings], dtype=float if kind == T.DoubleType() else object)
+    def run(rings: pa.Array) -> pa.Array:
+        found = _arrays(rings)
+        return _each([None if r is None else r.tobytes() for r in found], lambda k: of(found[k]), packed)
 
-    run.__annotations__ = {"rings": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, kind)
+    run.__annotations__ = {"rings": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)
 
 
 def geodesic_area_of(ring) -> Column:
@@ -383,28 +444,40 @@ def thinness_of(ring) -> Column:
 
 
 def clipped_ring(ring, box: tuple[float, float, float, float]) -> Column:
-    return _over_rings(lambda r: _ring(clip_to_box(r, box)), RING_TYPE)(ring)
+    return _over_rings(lambda r: clip_to_box(r, box), RING_TYPE)(ring)
 
 
 def clipped_parts(rings, box: tuple[float, float, float, float]) -> Column:
     """Of polygons (arrays of rings) the parts inside a box: an array of polygons."""
 
-    def run(polygons: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else [[_ring(r) for r in part] for part in clip_polygon([_array(r) for r in p], box)] for p in polygons], dtype=object)
+    def run(polygons: pa.Array) -> pa.Array:
+        flat = _arrays(polygons.flatten())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(polygons), 0).to_numpy(zero_copy_only=False)).tolist()
+        found = [flat[a:b] if there else None for a, b, there in zip([0, *ends], ends, polygons.is_valid().to_pylist())]  # noqa: B905
+        keys = [None if p is None else b"".join(x for r in p for x in (len(r).to_bytes(8), r.tobytes())) for p in found]
+        return _each(keys, lambda k: clip_polygon(found[k], box), packed)
+
+    def packed(made: list) -> pa.Array:
+        parts = [part for polygon in made for part in polygon]
+        listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), _ring_list([r for part in parts for r in part]))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), listed)
 
-    run.__annotations__ = {"polygons": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, T.ArrayType(T.ArrayType(RING_TYPE)))(rings)
+    run.__annotations__ = {"polygons": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.ArrayType(T.ArrayType(RING_TYPE)))(rings)
 
 
 def simplified_ring(ring, tolerance: float) -> Column:
-    return _over_rings(lambda r: _ring(simplified(r, tolerance)), RING_TYPE)(ring)
+    return _over_rings(lambda r: simplified(r, tolerance), RING_TYPE)(ring)
 
 
 def clipped_to(ring, minx, miny, maxx, maxy) -> Column:
     """A ring cut to a box of its own row."""
 
-    def run(rings: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([_ring(clip_to_box(_array(r), box)) for r, *box in zip(rings, a, b, c, d, strict=True)], dtype=object)
+    def run(rings: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        found = _arrays(rings)
+        boxes = np.stack([v.to_numpy(zero_copy_only=False).astype(float) for v in (a, b, c, d)], 1)
+        cut = clip_to_boxes([np.zeros((0, 2)) if r is None else r for r in found], boxes)
+        return _ring_list(cut).take(pa.array([None if r is None else k for k, r in enumerate(found)], pa.int64()))
 
-    run.__annotations__ = {**dict.fromkeys(("rings", "a", "b", "c", "d"), pd.Series), "return": pd.Series}
-    return F.pandas_udf(run, RING_TYPE)(ring, minx, miny, maxx, maxy)
+    run.__annotations__ = {**dict.fromkeys(("rings", "a", "b", "c", "d"), pa.Array), "return": pa.Array}
+    return F.arrow_udf(run, RING_TYPE)(ring, minx, miny, maxx, maxy)

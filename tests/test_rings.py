@@ -78,3 +78,30 @@ def test_a_spike_that_plain_cuts_would_cross():
     assert not len(G.crossing_segments(ring))
     out = G.simplified(ring, 8.0)
     assert not len(G.crossing_segments(out)) and (50.0, -6.0) in {tuple(p) for p in out.tolist()}
+
+
+def test_clipped_side_by_side():
+    """Rings of many lengths, each with a box of its own, as one by one."""
+    rng = np.random.default_rng(5)
+    rings = [np.zeros((0, 2))]
+    for n in [3, 3, 4, 5, 8, 9, 40, 300] * 12:
+        points = rng.random((n, 2)) * 20 - 10
+        rings.append(np.vstack([points, points[:1]]))
+    low = rng.random((len(rings), 2)) * 12 - 12
+    boxes = np.hstack([low, low + rng.random((len(rings), 2)) * 14])
+    found = G.clip_to_boxes(rings, boxes)
+    assert len(found) == len(rings) and any(len(f) for f in found)
+    for ring, box, got in zip(rings, boxes, found, strict=True):
+        want = G.clip_to_box(ring, tuple(box)) if len(ring) else ring
+        assert np.array_equal(got, want)
+
+
+def test_equal_rings_are_worked_on_once():
+    calls = []
+    rows = [b"a", None, b"b", b"a", b"a", None]
+    got = G._each(rows, lambda k: calls.append(k) or float(k), lambda made: G.pa.array(made, G.pa.float64()))
+    assert got.to_pylist() == [0, None, 2, 0, 0, None] and calls == [0, 2]
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 0.0}]
+    listed = G.pa.array([ring, None, [], ring], G.ARROW_RING)
+    assert [None if r is None else r.tolist() for r in G._arrays(listed.slice(1))] == [None, [], [[0, 0], [1, 0], [0, 0]]]
+    assert G._ring_list([np.zeros((0, 2)), np.array([[1.0, 2.0]])]).to_pylist() == [[], [{"x": 1.0, "y": 2.0}]]
