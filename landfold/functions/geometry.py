@@ -4,7 +4,7 @@ are column expressions; hulls, clipping, simplification and geodesic areas are A
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -350,21 +350,64 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
 
 def clip_to_boxes(rings: list[np.ndarray], boxes: np.ndarray) -> list[np.ndarray]:
     """clip_to_box for many closed rings, each with a box of its own: rings of about the same length go side by side."""
-    out: list = [np.zeros((0, 2))] * len(rings)
-    sizes = np.array([max(len(r) - 1, 0) for r in rings], np.int64)
+    sizes = np.array([len(r) for r in rings], np.int64)
+    xy, left, _ = _clipped_flat(np.concatenate([np.zeros((0, 2)), *rings]), np.cumsum(sizes) - sizes, sizes, boxes)
+    ends = np.cumsum(left).tolist()
+    return [xy[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+
+
+def _clipped_flat(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for rings that lie behind each other in xy: points and sizes of what is left, and areas of that, summed up as
+    signed_area does."""
+    areas, parts = np.zeros(len(sizes)), []
+    for rows in _alongside(np.maximum(sizes - 1, 0)):
+        n = sizes[rows] - 1
+        points, left = _clipped_side_by_side(_padded(xy, starts[rows], n), n, boxes[rows])
+        if not left.any():
+            continue
+        points = np.concatenate([points, points[:, :1]], 1)
+        points[np.arange(len(rows)), left] = points[:, 0]
+        left += left > 0
+        areas[rows] = _areas(points, left)
+        parts.append((rows, points, left))
+    return *_gathered(len(sizes), parts), areas
+
+
+def _alongside(sizes: np.ndarray, weight: int = 1) -> Iterator[np.ndarray]:
+    """Rows of rings of about the same length, not above SIDE_BY_SIDE corners (to the power of `weight`) at a time; those
+    without corners are left out."""
     classes = np.ceil(np.log2(np.maximum(sizes, 1)))
     for c in np.unique(classes[sizes > 0]):
         rows = np.flatnonzero((classes == c) & (sizes > 0))
-        step = max(1, SIDE_BY_SIDE >> int(c))
-        for k in range(0, len(rows), step):
-            part = rows[k : k + step]
-            points = np.zeros((len(part), int(sizes[part].max()), 2))
-            points[np.arange(points.shape[1]) < sizes[part, None]] = np.concatenate([rings[r][:-1] for r in part])
-            points, left = _clipped_side_by_side(points, sizes[part], boxes[part])
-            for r, p, n in zip(part.tolist(), points, left.tolist(), strict=True):
-                if n:
-                    out[r] = np.concatenate([p[:n], p[:1]])
-    return out
+        step = max(1, SIDE_BY_SIDE >> int(c) * weight)
+        yield from (rows[k : k + step] for k in range(0, len(rows), step))
+
+
+def _padded(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(rings, corners, 2); what stands beyond a ring's size means nothing."""
+    return xy[np.minimum(starts[:, None] + np.arange(sizes.max()), len(xy) - 1)]
+
+
+def _gathered(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of (rows, padded points, sizes) as n rings behind each other, and the sizes of these."""
+    sizes = np.zeros(n, np.int64)
+    for rows, _, left in parts:
+        sizes[rows] = left
+    starts, xy = np.cumsum(sizes) - sizes, np.zeros((int(sizes.sum()), 2))
+    for rows, points, left in parts:
+        k = np.arange(points.shape[1])
+        there = k < left[:, None]
+        xy[(starts[rows, None] + k)[there]] = points[there]
+    return xy, sizes
+
+
+def _areas(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Above 0 for counter-clockwise rings; edge by edge, as signed_area sums up."""
+    x, y = points[:, :, 0], points[:, :, 1]
+    total = np.zeros(len(points))
+    for k in range(points.shape[1] - 1):
+        total += np.where(k + 1 < sizes, x[:, k] * y[:, k + 1] - x[:, k + 1] * y[:, k], 0.0)
+    return total / 2
 
 
 def _clipped_side_by_side(points: np.ndarray, sizes: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -399,9 +442,21 @@ def _arrays(rings: pa.Array) -> list[np.ndarray | None]:
 
 
 def _ring_list(rings: list[np.ndarray]) -> pa.Array:
-    xy = np.concatenate([np.zeros((0, 2)), *rings])
+    return _listed(np.concatenate([np.zeros((0, 2)), *rings]), np.array([len(r) for r in rings], np.int64))
+
+
+def _listed(xy: np.ndarray, sizes: np.ndarray, there: np.ndarray | None = None) -> pa.Array:
+    """Rings that lie behind each other; NULL where they aren't there."""
     points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rings)]), pa.int32()), points)
+    gaps = None if there is None or there.all() else pa.array(~there)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), points, mask=gaps)
+
+
+def _flat(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rings of an Arrow array behind each other: points (n, 2), starts, sizes (0 for NULL), and whether a ring is there."""
+    xy = np.stack([v.to_numpy(zero_copy_only=False).astype(float) for v in rings.flatten().flatten()], 1)
+    sizes = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return xy, np.cumsum(sizes) - sizes, sizes, rings.is_valid().to_numpy(zero_copy_only=False)
 
 
 def _each(keys: list[bytes | None], of: Callable[[int], object], packed: Callable[[list], pa.Array]) -> pa.Array:
@@ -471,13 +526,13 @@ def simplified_ring(ring, tolerance: float) -> Column:
 
 
 def clipped_to(ring, minx, miny, maxx, maxy) -> Column:
-    """A ring cut to a box of its own row."""
+    """A ring cut to a box of its own row, with its area: (ring, area)."""
 
     def run(rings: pa.Array, a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
-        found = _arrays(rings)
+        xy, starts, sizes, there = _flat(rings)
         boxes = np.stack([v.to_numpy(zero_copy_only=False).astype(float) for v in (a, b, c, d)], 1)
-        cut = clip_to_boxes([np.zeros((0, 2)) if r is None else r for r in found], boxes)
-        return _ring_list(cut).take(pa.array([None if r is None else k for k, r in enumerate(found)], pa.int64()))
+        cut, left, areas = _clipped_flat(xy, starts, sizes, boxes)
+        return pa.StructArray.from_arrays([_listed(cut, left, there), pa.array(areas, mask=~there)], ["ring", "area"])
 
     run.__annotations__ = {**dict.fromkeys(("rings", "a", "b", "c", "d"), pa.Array), "return": pa.Array}
-    return F.arrow_udf(run, RING_TYPE)(ring, minx, miny, maxx, maxy)
+    return F.arrow_udf(run, T.StructType([T.StructField("ring", RING_TYPE), T.StructField("area", T.DoubleType())]))(ring, minx, miny, maxx, maxy)

@@ -382,7 +382,7 @@ def snk14(s):
     """Features clipped to the tiles of every level: written by level, one row for each feature and tile with its cut ring, and
     read back."""
     to = staged_path(s.spark, "vector-tiles")
-    feature_tiles(s).select("z", "tx", "ty", "feature_id", "cut").repartition("z", "tx", "ty").sortWithinPartitions("tx", "ty", "feature_id").write.partitionBy("z").parquet(to)
+    feature_tiles(s.v_feature).select("z", "tx", "ty", "feature_id", "cut").repartition("z", "tx", "ty").sortWithinPartitions("tx", "ty", "feature_id").write.partitionBy("z").parquet(to)
     back = s.spark.read.schema(f"tx bigint, ty bigint, feature_id bigint, cut {RING}, z int").parquet(to)
     return back.groupBy("z", "tx", "ty").agg(F.count("*").alias("n"), F.round(F.sum(F.abs(signed_area("cut"))), 3).alias("area"))
 

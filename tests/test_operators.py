@@ -596,3 +596,26 @@ def test_polygons_alike_are_paired_once(spark):
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     shapes = graph.alike(spark.createDataFrame(rows, kind), "id", ["k"], ["rings"])
     assert shapes.count() <= 28 and not generated_in_broadcast(graph.ring_links(shapes, "id", ["k"], 25))
+
+def test_tiles_of_boxes(spark):
+    """Against every tile by hand: boxes on tiles' borders, over several tiles, without extent, and NULL ones."""
+    from landfold.functions.geometry import clip_to_box, ring_area
+    from landfold.plans.geometry import LEVELS, feature_tiles
+
+    boxes = [(0, 0, 128, 128), (100, 100, 300, 140), (512, 0, 520, 10), (-10, -10, 10, 10), (5, 5, 5, 50), (5, 5, 50, 5), (250, 250, 262, 262), None]
+    df = spark.createDataFrame([(k, *(b or [None] * 4)) for k, b in enumerate(boxes)], "id long, minx long, miny long, maxx long, maxy long")
+    got = feature_tiles(df)
+    assert "signed" not in got._jdf.queryExecution().optimizedPlan().toString() and "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for k, b in enumerate(boxes):
+        for z, size in LEVELS.items():
+            for tx in range(-2, 8) if b else ():
+                for ty in range(-2, 8):
+                    a, c, d, e = b
+                    ring = np.array([(a, c), (d, c), (d - (d - a) * 0.25, e), (a, e), (a, c)], float)
+                    cut = clip_to_box(ring, (tx * size, ty * size, (tx + 1) * size, (ty + 1) * size))
+                    if len(cut) and ring_area(cut) > 0:
+                        want[k, z, tx, ty] = round(ring_area(cut), 6)
+    rows = got.collect()
+    found = {(r.id, r.z, r.tx, r.ty): round(float(ring_area(np.array([(p.x, p.y) for p in r.cut]))), 6) for r in rows}
+    assert len(rows) == len(found) and found == want

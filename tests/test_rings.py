@@ -105,3 +105,18 @@ def test_equal_rings_are_worked_on_once():
     listed = G.pa.array([ring, None, [], ring], G.ARROW_RING)
     assert [None if r is None else r.tolist() for r in G._arrays(listed.slice(1))] == [None, [], [[0, 0], [1, 0], [0, 0]]]
     assert G._ring_list([np.zeros((0, 2)), np.array([[1.0, 2.0]])]).to_pylist() == [[], [{"x": 1.0, "y": 2.0}]]
+
+
+def test_clips_with_gaps_and_areas():
+    """Arrow rings with a NULL and an empty one, each cut to a box of its own: rings and areas as one by one."""
+    rng = np.random.default_rng(8)
+    rings = [star(rng, int(rng.integers(3, 70))) for _ in range(60)]
+    rows = [None if k % 7 == 0 else [] if k % 7 == 1 else [{"x": x, "y": y} for x, y in r.tolist()] for k, r in enumerate(rings)]
+    xy, starts, sizes, there = G._flat(G.pa.array([None, *rows], G.ARROW_RING).slice(1))
+    boxes = np.tile([-40.0, -40.0, 50.0, 30.0], (60, 1)) + rng.uniform(-30, 30, (60, 1))
+    cut, left, areas = G._clipped_flat(xy, starts, sizes, boxes)
+    got = G._listed(cut, left, there).to_pylist()
+    for k, row in enumerate(rows):
+        want = G.clip_to_box(rings[k], tuple(boxes[k])) if row else np.zeros((0, 2))
+        assert (got[k] is None) == (row is None) and [(p["x"], p["y"]) for p in got[k] or []] == [tuple(p) for p in want.tolist()]
+        assert math.isclose(areas[k], G.ring_area(want) if len(want) else 0.0, abs_tol=1e-6)
