@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from landfold.operators import records as C
+from landfold.operators.graph import BOX
 from landfold.plans.base import Registry
 from landfold.plans.geometry import feature_tiles
 
@@ -164,8 +165,10 @@ def join27(s):
 
 @R.add("join05_feature_tiles", "SELECT z, tx, ty, count(*) AS n, count(DISTINCT project) AS projects FROM (SELECT *, unnest(range(miny // size, maxy // size + 1)) AS ty FROM (SELECT *, unnest(range(minx // size, maxx // size + 1)) AS tx FROM v_feature, (VALUES (1, 512), (2, 256), (3, 128)) p(z, size))) WHERE ty * size < maxy AND (ty + 1) * size > miny AND (tx + 1) * size > minx AND tx * size < maxx - (maxx - minx) * 0.25 * (greatest(miny, ty * size) - miny) / (maxy - miny) GROUP BY z, tx, ty")
 def join05(s):
-    """Each feature under the tiles of every level that it shares a part of: candidates by its bounds, then the exact clip."""
-    return feature_tiles(s.v_feature).groupBy("z", "tx", "ty").agg(F.count("*").alias("n"), F.count_distinct("project").alias("projects"))
+    """Each feature under the tiles of every level that it shares a part of: candidates by its bounds, then the exact clip.
+    Features of one project and box lie under the same tiles, and are clipped as one that counts for all."""
+    shapes = s.v_feature.groupBy("project", *BOX).agg(F.count("*").alias("members"))
+    return feature_tiles(shapes).groupBy("z", "tx", "ty").agg(F.sum("members").alias("n"), F.count_distinct("project").alias("projects"))
 
 
 @R.add("flt06_polygon_filter", "SELECT feature_id FROM v_feature WHERE p > 0 AND (maxx - minx) * (maxy - miny) > 0 AND maxx > 500 AND minx < 3000")
