@@ -190,6 +190,12 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float]:
     return float(min(w[k], h[k])), float(max(w[k], h[k]))
 
 
+def _alone(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rings that don't go side by side: of more than FEW points, or with some that aren't finite."""
+    odd = np.concatenate([[0], np.cumsum(~np.isfinite(xy).all(1))])
+    return (sizes > FEW) | (odd[starts + sizes] > odd[starts])
+
+
 def clip_to_box(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
     """A closed ring cut by each side of the box in turn; empty if nothing is left."""
     pts = ring[:-1]
@@ -348,6 +354,73 @@ def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
             return ring[kept]
 
 
+def simplified_rings(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """simplified for rings that lie behind each other in xy; those of up to FEW points go side by side, and one by one only
+    where cuts would meet."""
+    parts, alone = [], _alone(xy, starts, sizes)
+    for rows in _alongside(np.where(alone, 0, sizes), 2):
+        points, n = _padded(xy, starts[rows], sizes[rows]), sizes[rows]
+        keep = _kept_side_by_side(points, n, tolerance)
+        left = keep.sum(1)
+        order = np.argsort(~keep, axis=1, kind="stable")[:, : int(left.max())]
+        points = np.take_along_axis(points, order[:, :, None], 1)
+        cut = np.flatnonzero(left < n)
+        met = cut[_cuts_meet(points[cut], left[cut], order[cut])]
+        alone[rows[met]] = True
+        left[met] = 0
+        parts.append((rows, points, left))
+    for k in np.flatnonzero(alone).tolist():
+        ring = simplified(xy[starts[k] : starts[k] + sizes[k]], tolerance)
+        parts.append((np.array([k]), ring[None], np.array([len(ring)])))
+    return _gathered(len(sizes), parts)
+
+
+def _kept_side_by_side(points: np.ndarray, sizes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which of the first `sizes` points of (rings, points, 2) stay: between two that do, the farthest from their line comes back
+    while it is farther than the tolerance; all where under four would."""
+    k, rows = np.arange(points.shape[1]), np.arange(len(points))
+    there = k < sizes[:, None]
+    keep = np.zeros(there.shape, bool)
+    keep[:, 0] = keep[rows, sizes - 1] = True
+    off = np.hypot(*(points - points[:, :1]).transpose(2, 0, 1))
+    keep[rows, np.argmax(np.where(there, off, -1.0), axis=1)] = True
+    todo = there & ~keep
+    while todo.any():
+        before = np.maximum.accumulate(np.where(keep, k, 0), axis=1)
+        after = np.minimum.accumulate(np.where(keep, k, len(k) - 1)[:, ::-1], axis=1)[:, ::-1]
+        r, i = np.nonzero(todo)
+        a = before[r, i]
+        line, rest = (points[r, after[r, i]] - points[r, a]).T, (points[r, i] - points[r, a]).T
+        size = np.hypot(*line)
+        off = np.where(size > 0, np.abs(line[0] * rest[1] - line[1] * rest[0]) / np.where(size > 0, size, 1.0), np.hypot(*rest))
+        new = np.append(True, (np.diff(r) != 0) | (np.diff(a) != 0))
+        most, own = np.maximum.reduceat(off, np.flatnonzero(new)), np.cumsum(new) - 1
+        first = np.flatnonzero(off == most[own])
+        first = first[np.append(True, np.diff(own[first]) != 0)]
+        far = most > tolerance
+        keep[r[first[far]], i[first[far]]] = True
+        todo[r, i] = far[own]
+        todo &= ~keep
+    return np.where(keep.sum(1)[:, None] < 4, there, keep)
+
+
+def _cuts_meet(points: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether a segment of a ring meets another that isn't its neighbour, one of the two being a cut: places are those of the
+    points in the ring before."""
+    a, b, n = points[:, :-1], points[:, 1:], sizes[:, None, None] - 1
+    k, m = np.arange(a.shape[1])[:, None], np.arange(a.shape[1])
+    cut = np.diff(places, axis=1) > 1
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    near = (m > k + 1) & (m < n) & ~((k == 0) & (m == n - 1)) & (cut[:, :, None] | cut[:, None, :])
+    near &= (low[:, :, None] <= high[:, None]).all(-1) & (low[:, None] <= high[:, :, None]).all(-1)
+    r, k, m = np.nonzero(near)
+    p, q, s, t = a[r, k], b[r, k], a[r, m], b[r, m]
+    side = lambda p, q, r: np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+    found = np.zeros(len(points), bool)
+    found[r[(side(p, q, s) * side(p, q, t) <= 0) & (side(s, t, p) * side(s, t, q) <= 0)]] = True
+    return found
+
+
 def clip_to_boxes(rings: list[np.ndarray], boxes: np.ndarray) -> list[np.ndarray]:
     """clip_to_box for many closed rings, each with a box of its own: rings of about the same length go side by side."""
     sizes = np.array([len(r) for r in rings], np.int64)
@@ -430,8 +503,8 @@ def _clipped_side_by_side(points: np.ndarray, sizes: np.ndarray, boxes: np.ndarr
 
 RING_TYPE = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 ARROW_RING = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-#: Corners of rings that are clipped side by side.
-SIDE_BY_SIDE = 1 << 18
+#: Corners of rings, or pairs of them, that are worked on side by side; points of a ring up to which hulls and simplification are.
+SIDE_BY_SIDE, FEW = 1 << 18, 64
 
 
 def _arrays(rings: pa.Array) -> list[np.ndarray | None]:
@@ -522,7 +595,12 @@ def clipped_parts(rings, box: tuple[float, float, float, float]) -> Column:
 
 
 def simplified_ring(ring, tolerance: float) -> Column:
-    return _over_rings(lambda r: simplified(r, tolerance), RING_TYPE)(ring)
+    def run(rings: pa.Array) -> pa.Array:
+        xy, starts, sizes, there = _flat(rings)
+        return _listed(*simplified_rings(xy, starts, sizes, tolerance), there)
+
+    run.__annotations__ = {"rings": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, RING_TYPE)(ring)
 
 
 def clipped_to(ring, minx, miny, maxx, maxy) -> Column:

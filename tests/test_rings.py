@@ -120,3 +120,26 @@ def test_clips_with_gaps_and_areas():
         want = G.clip_to_box(rings[k], tuple(boxes[k])) if row else np.zeros((0, 2))
         assert (got[k] is None) == (row is None) and [(p["x"], p["y"]) for p in got[k] or []] == [tuple(p) for p in want.tolist()]
         assert math.isclose(areas[k], G.ring_area(want) if len(want) else 0.0, abs_tol=1e-6)
+
+
+def behind_each_other(rings):
+    sizes = np.array([len(r) for r in rings], np.int64)
+    return np.concatenate(rings), np.cumsum(sizes) - sizes, sizes
+
+
+@pytest.mark.parametrize("tolerance", [0.5, 8.0, 40.0])
+def test_simplified_side_by_side(monkeypatch, tolerance):
+    """As one by one, with calls for long rings and those whose cuts meet alone."""
+    rng = np.random.default_rng(12)
+    spike = np.array([(0, 0), (50, -6), (100, 0), (100, 40), (52, 40), (50, -3), (48, 40), (0, 40), (0, 0)], float)
+    rings = [spike, np.zeros((0, 2)), np.ones((1, 2)), np.ones((6, 2)), star(rng, 150)]
+    rings += [star(rng, n) for n in [3, 4, 5, 8, 13, 30, 62] * 30] + [rng.integers(0, 30, (n, 2)).astype(float) for n in (2, 3, 4, 6, 9)]
+    want = [G.simplified(r, tolerance) if len(r) else r for r in rings]
+    calls = []
+    plain = G.simplified
+    monkeypatch.setattr(G, "simplified", lambda p, t: calls.append(len(p)) or plain(p, t))
+    xy, left = G.simplified_rings(*behind_each_other(rings), tolerance)
+    ends = np.cumsum(left)
+    for w, a, b in zip(want, [0, *ends], ends, strict=False):
+        assert np.array_equal(xy[a:b], w)
+    assert 151 in calls and len(calls) < 100 and (tolerance != 8.0 or 9 in calls)
