@@ -184,12 +184,66 @@ def least_rectangle(points: np.ndarray) -> tuple[float, float]:
     edges = np.roll(hull, -1, axis=0) - hull
     angles = np.arctan2(edges[:, 1], edges[:, 0])
     c, s = np.cos(angles), np.sin(angles)
-    u, v = hull @ np.stack([c, s]), hull @ np.stack([-s, c])
+    x, y = hull[:, :1], hull[:, 1:]
+    u, v = x * c + y * s, y * c - x * s
     w, h = np.ptp(u, axis=0), np.ptp(v, axis=0)
     k = int(np.argmin(w * h))
     return float(min(w[k], h[k])), float(max(w[k], h[k]))
 
 
+def convex_hulls(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """convex_hull for many sets of finite points side by side, (sets, points, 2), of which the first `sizes` count: corners and
+    their number."""
+    k = np.arange(points.shape[1])
+    xy = np.where((k < sizes[:, None])[:, :, None], points, np.inf)
+    xy = np.take_along_axis(xy, np.lexsort((xy[:, :, 1], xy[:, :, 0]), axis=1)[:, :, None], 1)
+    halves = []
+    for places in (np.broadcast_to(k, xy.shape[:2]), np.maximum(sizes[:, None] - 1 - k, 0)):
+        out, n = np.zeros(xy.shape[:2], np.int64), np.zeros(len(xy), np.int64)
+        for j in range(xy.shape[1]):
+            rows = back = np.flatnonzero(j < sizes)
+            while len(back := back[n[back] > 1]):
+                a, b, p = (xy[back, at] for at in (out[back, n[back] - 2], out[back, n[back] - 1], places[back, j]))
+                back = back[(b[:, 0] - a[:, 0]) * (p[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (p[:, 0] - a[:, 0]) <= 0]
+                n[back] -= 1
+            out[rows, n[rows]] = places[rows, j]
+            n[rows] += 1
+        halves.append((out, n - 1))
+    (low, n), (high, m) = halves
+    k = np.arange(max(1, int((n + m).max())))
+    at = np.where(k < n[:, None], low[:, np.minimum(k, low.shape[1] - 1)], np.take_along_axis(high, np.clip(k - n[:, None], 0, high.shape[1] - 1), 1))
+    return np.take_along_axis(xy, at[:, :, None], 1), n + m
+
+
+def least_rectangles(points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """least_rectangle for many sets of finite points side by side."""
+    hulls, n = convex_hulls(points, sizes)
+    k = np.arange(hulls.shape[1])
+    there = k < n[:, None]
+    edges = np.take_along_axis(hulls, np.where(k + 1 < n[:, None], k + 1, 0)[:, :, None], 1) - hulls
+    angles = np.arctan2(*np.where(there, edges.transpose(2, 0, 1), 0.0)[::-1])
+    c, s = np.cos(angles)[:, None, :], np.sin(angles)[:, None, :]
+    x, y = (np.where(there, hulls[:, :, v], hulls[:, :1, v])[:, :, None] for v in (0, 1))
+    w, h = np.ptp(x * c + y * s, axis=1), np.ptp(y * c - x * s, axis=1)
+    best = np.argmin(np.where(there, w * h, np.inf), axis=1)
+    w, h = w[np.arange(len(w)), best], h[np.arange(len(h)), best]
+    flat = np.hypot(*(np.ptp(v[:, :, 0], axis=1) for v in (x, y)))
+    return np.where(n < 3, 0.0, np.minimum(w, h)), np.where(n < 3, flat, np.maximum(w, h))
+
+
+def thinnesses(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Short by long side of the least rectangle about rings that lie behind each other in xy, and whether there is one; those of
+    up to FEW points go side by side."""
+    short, long = np.zeros(len(sizes)), np.zeros(len(sizes))
+    alone = _alone(xy, starts, sizes)
+    for rows in _alongside(np.where(alone, 0, sizes), 2):
+        short[rows], long[rows] = least_rectangles(_padded(xy, starts[rows], sizes[rows]), sizes[rows])
+    for k in np.flatnonzero(alone).tolist():
+        short[k], long[k] = least_rectangle(xy[starts[k] : starts[k] + sizes[k]])
+    there = long != 0
+    return short / np.where(there, long, 1.0), there
+
+
 def _alone(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Rings that don't go side by side: of more than FEW points, or with some that aren't finite."""
     odd = np.concatenate([[0], np.cumsum(~np.isfinite(xy).all(1))])
@@ -564,11 +618,13 @@ def geodesic_area_of(ring) -> Column:
 def thinness_of(ring) -> Column:
     """Short by long side of the smallest rectangle."""
 
-    def thin(points: np.ndarray) -> float | None:
-        short, long = least_rectangle(points)
-        return short / long if long else None
+    def run(rings: pa.Array) -> pa.Array:
+        xy, starts, sizes, _ = _flat(rings)
+        found, there = thinnesses(xy, starts, sizes)
+        return pa.array(found, mask=~there)
 
-    return _over_rings(thin, T.DoubleType())(ring)
+    run.__annotations__ = {"rings": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, T.DoubleType())(ring)
 
 
 def clipped_ring(ring, box: tuple[float, float, float, float]) -> Column:

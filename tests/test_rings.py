@@ -127,6 +127,28 @@ def behind_each_other(rings):
     return np.concatenate(rings), np.cumsum(sizes) - sizes, sizes
 
 
+def test_least_rectangles_side_by_side(monkeypatch):
+    """As one by one, without a call for each: rings of many lengths, with points that repeat, on a line, all one, or none."""
+    rng = np.random.default_rng(11)
+    rings = [star(rng, n) for n in [3, 4, 5, 7, 12, 30, 60] * 20] + [rng.integers(0, 4, (n, 2)).astype(float) for n in [1, 2, 3, 5, 9, 20] * 20]
+    rings += [np.zeros((0, 2)), np.ones((4, 2)), np.arange(8.0).reshape(4, 2), star(rng, 200)]
+    want = []
+    for r in rings:
+        hull = G.convex_hull(r) if len(r) else r
+        n = len(hull)
+        got, left = G.convex_hulls(r[None], np.array([len(r)])) if len(r) else (np.zeros((1, 0, 2)), [0])
+        assert left[0] == n if n > 2 else left[0] < 3
+        assert n < 3 or np.array_equal(got[0, :n], hull)
+        want.append(G.least_rectangle(r) if len(r) else (0.0, 0.0))
+    calls = []
+    plain = G.least_rectangle
+    monkeypatch.setattr(G, "least_rectangle", lambda p: calls.append(len(p)) or plain(p))
+    found, there = G.thinnesses(*behind_each_other(rings))
+    assert calls == [201]
+    for (short, long), got, ok in zip(want, found, there, strict=True):
+        assert ok == (long != 0) and (not ok or math.isclose(got, short / long, rel_tol=1e-12, abs_tol=1e-12))
+
+
 @pytest.mark.parametrize("tolerance", [0.5, 8.0, 40.0])
 def test_simplified_side_by_side(monkeypatch, tolerance):
     """As one by one, with calls for long rings and those whose cuts meet alone."""
