@@ -355,7 +355,8 @@ def clip_polygon(rings: list[np.ndarray], box: tuple[float, float, float, float]
     for hole in (r for r in rings if ring_area(r) < 0):
         x, y = hole[:-1].mean(0) if len(hole) < 5 else hole[0] + (hole[1] - hole[0]) / 2
         owners = [p for p in outer if within_ring(x, y, p[0])] or outer[:1]
-        min(owners, key=lambda p: ring_area(p[0])).append(hole)
+        if owners:  # a hole without an outer ring is in nothing
+            min(owners, key=lambda p: ring_area(p[0])).append(hole)
     return outer
 
 

@@ -619,3 +619,16 @@ def test_tiles_of_boxes(spark):
     rows = got.collect()
     found = {(r.id, r.z, r.tx, r.ty): round(float(ring_area(np.array([(p.x, p.y) for p in r.cut]))), 6) for r in rows}
     assert len(rows) == len(found) and found == want
+
+
+def test_parts_of_polygons_in_a_batch(spark):
+    """Copies, NULL and empty polygons, and the same points as one ring or two: each row gets its own parts."""
+    square, hole = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], [(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)]
+    points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    rows = [[square, hole], [square + hole], [square], None, [], [square, hole], [square, []], [[], square]]
+    df = spark.createDataFrame([(k, None if r is None else [points(x) for x in r]) for k, r in enumerate(rows)], "id long, rings array<array<struct<x: double, y: double>>>").coalesce(1)
+    got = {r.id: r.parts for r in df.select("id", G.clipped_parts("rings", (-1.0, -1.0, 9.0, 9.0)).alias("parts")).collect()}
+    assert {k: None if v is None else [len(p) for p in v] for k, v in got.items()} == {0: [2], 1: [1], 2: [1], 3: None, 4: [], 5: [2], 6: [1], 7: []}
+    assert got[0] == got[5] and len(got[1][0][0]) == 10
+    measured = df.select("id", G.clipped_ring(F.col("rings")[0], (1, 1, 9, 9)).alias("r")).where("id IN (0, 2, 3)").collect()
+    assert {r.id: None if r.r is None else [(p.x, p.y) for p in r.r] for r in measured} == {0: [(4, 1), (4, 4), (1, 4), (1, 1), (4, 1)], 2: [(4, 1), (4, 4), (1, 4), (1, 1), (4, 1)], 3: None}
