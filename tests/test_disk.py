@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from landfold.operators import graph
 
 SMOKE = "/root/testdata/sf0.001"
 
@@ -49,3 +51,43 @@ def test_blocks_of_copies_move_no_more(spark, copies, name):
     found = {n: shuffled(spark, lambda d=d: queries()[name](spark, str(d)).drop("members").collect()) for n, d in copies.items()}
     assert sorted(map(str, found[1][0])) == sorted(map(str, found[8][0])) and found[1][0]
     assert found[8][1] <= 1.5 * found[1][1]
+
+
+def test_pairs_of_copies_are_not_shuffled(spark, copies):
+    """Pairs grow with the square of the copies, what is shuffled with the copies alone."""
+    found = {n: shuffled(spark, lambda d=d: queries()["join03_distance_barrier_pairs"](spark, str(d)).count()) for n, d in copies.items()}
+    n = spark.read.parquet(f"{SMOKE}/orders.parquet").count()
+    assert found[8][0] == 64 * found[1][0] + 28 * n  # of each old pair 64, and all pairs among a feature's copies
+    assert found[8][1] <= 1.5 * 8 * found[1][1]
+
+
+def test_pairs_of_one_list_move_once(spark):
+    """Members of a shape, here from one partition, move once: as a list to the task that writes their pairs out."""
+    rng = random.Random(3)
+    ids = rng.sample(range(1 << 62), 30_000)
+    frame = spark.createDataFrame([(i, 0, 10 * (k % 10), 0, 10 * (k % 10) + 5, 5) for k, i in enumerate(ids)], "id bigint, k int, minx int, miny int, maxx int, maxy int").coalesce(1)
+    shapes = graph.alike(frame, "id", ["k"], graph.BOX)
+    own = shapes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    rows, _, moved = shuffled(spark, lambda: graph.of_members(own, frame, "id", shapes, ["k", *graph.BOX]).count())
+    assert rows == 10 * 3000 * 2999 // 2
+    assert moved <= 10 * len(ids)  # of 8 bytes each
+
+
+def test_members_of_several_lists(spark, monkeypatch):
+    """Shapes with many lists, with connectors: each pair once, turned where it is one of unlike shapes."""
+    monkeypatch.setattr(graph, "LISTED", 4)
+    members = {0: [1, 8, 12, 13, 20, 21, 22, 29, 30, 31, 40], 1: [2, 3, 9, 14, 23, 24], 2: [5], 3: [6, 7]}
+    frame = spark.createDataFrame([(i, s, s) for s, of in members.items() for i in of], "id bigint, k int, shape int")
+    shapes = graph.alike(frame, "id", ["k"], ["shape"])
+    links = [(1, 1), (1, 2), (2, 2), (5, 5), (2, 5), (6, 6)]
+    pairs = spark.createDataFrame([(a, b, 10.0 * a, 1.0, 10.0 * b, 2.0) for a, b in links], "a bigint, b bigint, x1 double, y1 double, x2 double, y2 double")
+    got = [tuple(r) for r in graph.of_members(pairs, frame, "id", shapes, ["k", "shape"]).select("a", "b", "x1", "y1", "x2", "y2").collect()]
+    of = {min(v): v for v in members.values()}
+    want = []
+    for s, t in links:
+        for a in of[s]:
+            for b in of[t]:
+                if s == t and a < b or s != t:
+                    ends = (10.0 * s, 1.0, 10.0 * t, 2.0)
+                    want.append((a, b, *ends) if a < b else (b, a, *ends[2:], *ends[:2]))
+    assert sorted(got) == sorted(want)
