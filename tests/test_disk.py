@@ -91,3 +91,29 @@ def test_members_of_several_lists(spark, monkeypatch):
                     ends = (10.0 * s, 1.0, 10.0 * t, 2.0)
                     want.append((a, b, *ends) if a < b else (b, a, *ends[2:], *ends[:2]))
     assert sorted(got) == sorted(want)
+
+
+def exploded(df):
+    """Rows that the explodes of a frame's last stage gave."""
+
+    def rows(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind in ("AdaptiveSparkPlanExec", "ResultQueryStageExec"):
+            return rows(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        own = plan.metrics().apply("numOutputRows").value() if kind == "GenerateExec" else 0
+        below = plan.children()
+        return own + sum(rows(below.apply(k)) for k in range(below.size()))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_pairs_come_by_pieces_of_lists(spark):
+    """A list's pairs aren't all held before the first of them goes on."""
+    frame = spark.range(3000).select("id", F.lit(1).alias("k"), F.lit("x").alias("shape"))
+    shapes = graph.alike(frame, "id", ["k"], ["shape"])
+    own = shapes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    pairs = graph.of_members(own, frame, "id", shapes, ["k", "shape"])
+    first = pairs.limit(1)
+    assert len(first.collect()) == 1 and 0 < exploded(first) <= 3 * 64 * 64
+    whole = pairs.agg(F.count("*"), F.countDistinct("a", "b"), F.min(F.col("b") - F.col("a"))).first()
+    assert tuple(whole) == (3000 * 2999 // 2, 3000 * 2999 // 2, 1)
