@@ -117,3 +117,21 @@ def test_pairs_come_by_pieces_of_lists(spark):
     assert len(first.collect()) == 1 and 0 < exploded(first) <= 3 * 64 * 64
     whole = pairs.agg(F.count("*"), F.countDistinct("a", "b"), F.min(F.col("b") - F.col("a"))).first()
     assert tuple(whole) == (3000 * 2999 // 2, 3000 * 2999 // 2, 1)
+
+
+def test_distances_of_polygons_are_compiled_and_rounded_once(spark):
+    """No method of a stage is longer than the JVM compiles (8,000 bytes), and nothing is rounded for each pair of copies."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        frame = spark.createDataFrame([(k, 1, [[{"x": 9.0 * k, "y": 0.0}, {"x": 9.0 * k + 3, "y": 1.0}, {"x": 9.0 * k, "y": 5.0}]]) for k in range(5)], "id bigint, k int, rings array<array<struct<x: double, y: double>>>")
+        links = graph.ring_links(graph.alike(frame, "id", ["k"], ["rings"]), "id", ["k"], 10)
+        assert sorted((r.a, r.b, r.distance) for r in links.collect()) == [(k, k + 1, 6.0) for k in range(4)]
+        code = links._jdf.queryExecution().debug().codegenToSeq()
+        lengths = [code.apply(k)._3().maxMethodCodeSize() for k in range(code.size())]
+        assert lengths and max(lengths) <= 8000
+    finally:
+        spark.conf.set(name, before)
+    found = queries()["join03_polygon_distance"](spark, SMOKE)
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
